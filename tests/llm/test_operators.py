@@ -389,6 +389,7 @@ def test_pipeline_stages(spark):
     one = p.quality_rules(spark, d, SF)
     kept = {r["doc_id"] for r in queries.op8_quality_rules(spark, SF).where("kept").collect()}
     assert one.columns == d.columns and {r["doc_id"] for r in one.collect()} == kept
+    one = spark.createDataFrame(one.collect(), one.schema)
     two = p.line_dedup(spark, one, SF)
     assert two.columns == d.columns and two.count() == len(kept)
     rows = [(r["doc_id"], r["text"]) for r in two.collect()]
