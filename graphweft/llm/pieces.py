@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 #: Stretches that a worker remembers; the older half of what it knows goes when there are more.
-REMEMBERED = 120_000
+REMEMBERED = 300_000
+#: Characters up to which a stretch keeps its agenda as a list of pairs in place; longer ones use a heap.
+SHORT = 40
 
 
 class Pieces:
@@ -52,8 +54,21 @@ class Pieces:
 
     def merge(self, text: str) -> list[int]:
         """Symbols start as characters; the adjacent pair of best score (then leftmost) is joined until no pair is a piece."""
+        scores, worst = self.scores, float("inf")
+        if len(text) <= SHORT:
+            get, short = scores.get, list(text)
+            pairs = [get(a + b, worst) for a, b in zip(short, short[1:])]
+            while pairs and (best := min(pairs)) < worst:
+                i = pairs.index(best)
+                short[i] = joined = short[i] + short[i + 1]
+                del short[i + 1], pairs[i]
+                if i:
+                    pairs[i - 1] = get(short[i - 1] + joined, worst)
+                if i < len(pairs):
+                    pairs[i] = get(joined + short[i + 1], worst)
+            return self._numbers(short)
         symbols: list[str | None] = list(text)
-        n, scores = len(symbols), self.scores
+        n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda: list[tuple[float, int, str]] = []
         for i in range(n - 1):
@@ -73,13 +88,16 @@ class Pieces:
                     heapq.heappush(agenda, (scores[new], i, new))
             if (k := before[i]) >= 0 and (new := symbols[k] + pair) in scores:
                 heapq.heappush(agenda, (scores[new], k, new))
+        return self._numbers(s for s in symbols if s is not None)
+
+    def _numbers(self, symbols) -> list[int]:
+        """Ids of pieces; a character that is none becomes its bytes."""
         out: list[int] = []
         for s in symbols:
-            if s is not None:
-                if (known := self.ids.get(s)) is not None:
-                    out.append(known)
-                else:
-                    out.extend(self.bytes[b] for b in s.encode())
+            if (known := self.ids.get(s)) is not None:
+                out.append(known)
+            else:
+                out.extend(self.bytes[b] for b in s.encode())
         return out
 
     def look_up(self, texts: list[str]) -> list[tuple[list[int], str]]:
