@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 #: Stretches that a worker remembers; the older half of what it knows goes when there are more.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Characters up to which a stretch keeps its agenda as a list of pairs in place; longer ones use a heap.
 SHORT = 40
 
