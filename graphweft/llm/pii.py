@@ -328,23 +328,27 @@ def written(rng: np.random.Generator, kind: int) -> str:
     return pick(f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+49 {a} {b}{c}", f"{a}.{b}.{c}", f"+1-{a}-{b}-{c}")
 
 
-def training_windows(texts: list[str], most: int = SAMPLE_WINDOWS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Classes and tags: windows around the base spans of the texts, plain windows, and windows with written examples set in."""
+def labelled_windows(text: str, most: int = 8) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Stretches of a whole text with the base spans inside them: at most `most` windows with signs, spread over the text, and a plain one from its middle."""
+    spans, starts, out = base_spans(text), windows_of(text), []
+    for a in starts[:: max(1, -(-len(starts) // most))]:
+        near = [(s, k, e) for s, k, e in spans if s < a + WINDOW and e > a]
+        if all(s >= a and e <= a + WINDOW for s, _, e in near):
+            out.append((text[a : a + WINDOW], [(s - a, k, e - a) for s, k, e in near]))
+    middle = max(0, len(text) // 2 - WINDOW // 2)
+    stretch = text[middle : middle + WINDOW]
+    if stretch and not _SIGN.search(stretch):
+        out.append((stretch, []))
+    return out
+
+
+def training_windows(stretches: list[tuple[str, list[tuple[int, int, int]]]], most: int = SAMPLE_WINDOWS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and tags: labelled stretches, plain ones, and plain ones with written examples set in."""
     rng = np.random.default_rng(seed)
-    rows: list[tuple[str, list[tuple[int, int, int]]]] = []
-    plain = []
-    for t in texts:
-        spans = base_spans(t)
-        for a in windows_of(t)[:8]:
-            inside = [(s - a, k, e - a) for s, k, e in spans if s >= a and e <= a + WINDOW]
-            if not any(s < a + WINDOW and e > a and not (s >= a and e <= a + WINDOW) for s, _, e in spans):
-                rows.append((t[a : a + WINDOW], inside))
-        if len(t) > WINDOW:
-            at = int(rng.integers(0, len(t) - WINDOW))
-            plain.append(t[at : at + WINDOW])
-    rows = [rows[i] for i in rng.permutation(len(rows))[: most // 3]]
+    own, plain = [x for x in stretches if _SIGN.search(x[0])], [t for t, _ in stretches if not _SIGN.search(t)]
+    rows = [own[i] for i in rng.permutation(len(own))[: most // 3]]
     plain = [plain[i] for i in rng.permutation(len(plain))[: most // 4]] or ["a plain stretch of words without anything personal in it at all"]
-    rows += [(t, []) for t in plain if not _SIGN.search(t)]
+    rows += [(t, []) for t in plain]
     while len(rows) < most:
         kind = int(rng.integers(4))
         s, host = written(rng, kind), plain[int(rng.integers(len(plain)))]
@@ -362,13 +366,21 @@ def training_windows(texts: list[str], most: int = SAMPLE_WINDOWS, seed: int = 7
 
 
 def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Tagger:
-    """A tagger from windows of at most `sample` documents (those of smallest id hash)."""
+    """A tagger from labelled windows of at most `sample` documents (those of smallest id hash); only the windows reach the driver."""
     from .common import bounded_sample
 
     some = bounded_sample(docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "doc_id", sample)
-    got = docs.select("doc_id", F.substring("text", 1, 20_000).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(some), "doc_id").toPandas().sort_values(["doc_id", "text"])
+
+    def batches(it):
+        for b in it:
+            got = [x for t in b.column("text") for x in labelled_windows(t.as_py() or "")]
+            told = [",".join(f"{a}:{k}:{e}" for a, k, e in spans) for _, spans in got]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in got], pa.string()), pa.array(told, pa.string())], ["stretch", "told"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text").mapInArrow(batches, "stretch string, told string").distinct().toPandas()
+    stretches = sorted((t, [tuple(map(int, x.split(":"))) for x in told.split(",") if x]) for t, told in zip(rows["stretch"], rows["told"]))
     tagger = Tagger()
-    tagger.fit(*training_windows(got["text"].tolist()))
+    tagger.fit(*training_windows(stretches))
     return tagger
 
 

@@ -73,6 +73,8 @@ def test_pii_adds_spans_and_keeps_base(spark, odd, empty):
     base, added = pii.find_spans([text, "nothing here at all"], tagger)[0]
     at = text.index("10.20")
     assert base == [(at, 1, at + 11)] and all(b <= at or a >= at + 11 for a, _, b in added)
+    tail = "x " * 40_000 + "write to a.b@c.example.org today"
+    assert any("a.b@c.example.org" in w for w, _ in pii.labelled_windows(tail))
     rng = np.random.default_rng(1)
     held = [pii.written(rng, 3) for _ in range(60)]
     found = sum(bool(b or a) for b, a in pii.find_spans([f"some words {s} and more words" for s in held], tagger))
