@@ -71,8 +71,12 @@ def measure(df: DataFrame, text: str = "text", window_limit: int = 1 << POSITION
         .withColumn("n_dup_lines", (F.col("_n_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         .withColumn("_shouts", F.size(F.regexp_extract_all(t, F.lit("[A-Z]{2,}"), F.lit(0))))
         .withColumn("_bangs", F.size(F.regexp_extract_all(t, F.lit("[!?]{2,}"), F.lit(0))))
+        .withColumn("_late", F.monotonically_increasing_id())
         .drop("_lines", "_words")
     )
+    # A caller's filter would be pushed below and copy the expressions above into their own lambdas; it stops at a row number that each measure reads.
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_n_lines", "_shouts", "_bangs"]
+    df = df.withColumns({c: F.when(F.col("_late") >= 0, F.col(c)) for c in counts}).drop("_late")
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     lines = F.greatest(F.col("_n_lines"), F.lit(1)).cast("double")
     return (

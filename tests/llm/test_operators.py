@@ -293,17 +293,19 @@ TEXTS = [(1, "x A-b, c y", 0), (2, "k0 k1 k2 k3 k4 k5 k6 k7 k8 z a b c a b c", 0
 def plain_scan(t, bench):
     cut = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda s: (s or "").translate({c: c + 32 for c in range(65, 91)})
-    w, hit, items = cut.findall(low(t)), set(), set()
+    w, hit, items, at = cut.findall(low(t)), set(), set(), {}
+    for m in range(1, 9):
+        for p in range(len(w) - m + 1):
+            at.setdefault(tuple(w[p : p + m]), []).append(p)
     for i, b in bench:
         g = cut.findall(low(b))
         if i is None or not g:
             continue
         m = min(8, len(g))
         for k in range(len(g) - m + 1):
-            for p in range(len(w) - m + 1):
-                if w[p : p + m] == g[k : k + m]:
-                    hit |= set(range(p, p + m))
-                    items.add(str(i))
+            for p in at.get(tuple(g[k : k + m]), []):
+                hit |= set(range(p, p + m))
+                items.add(str(i))
     return len(w), len(hit), len(items), sha(",".join(sorted(items))), len(items) >= 2
 
 
@@ -408,4 +410,4 @@ def test_pipeline_stages(spark):
             assert four[i] == t
         elif n == 1:
             assert plain_scan(four[i], bench)[1] == 0
-    assert p.run(spark, SMALL).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] or p.run(spark, SMALL).count() > 0
+    assert p.run(spark, SMALL).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
