@@ -55,10 +55,10 @@ def _(g):
     return T.lcom4(own, uses, g.edges.limit(0))
 
 
-@on_trade("g41_taint", ", k as (select id, split_part(path, '/', 1) as z from n), r(o, id) as (select id, id from k where z = 'ASIA' union select r.o, e.target_id from r join e on e.source_id = r.id join k a on a.id = e.source_id join k b on b.id = e.target_id where b.z <> 'AMERICA' and (a.z <> 'EUROPE')) select o as source_id, r.id as target_id from r join k using (id) where z = 'EUROPE'")
+@on_trade("g41_taint", ", k as (select id, split_part(path, '/', 1) as z from n), r(o, id) as (select id, id from k where z = 'ASIA' union select r.o, e.target_id from r join e on e.source_id = r.id join k a on a.id = e.source_id join k b on b.id = e.target_id where b.z <> 'MIDDLE EAST' and (a.z <> 'AMERICA')) select o as source_id, r.id as target_id from r join k using (id) where z = 'AMERICA'")
 def _(g):
     zone = lambda z: g.nodes.where(region_of() == z).select("id")
-    return T.taint(g.edges, zone("ASIA"), zone("EUROPE"), zone("AMERICA"))
+    return T.taint(g.edges, zone("ASIA"), zone("AMERICA"), zone("MIDDLE EAST"))
 
 
 on_trade("g31_louvain")(lambda g: T.louvain(g.nodes, g.edges))
@@ -120,9 +120,9 @@ def _(g):
     return G.betweenness(g.nodes, g.edges).select("id", F.round("betweenness", 4).alias("betweenness"))
 
 
-@on_trade("g27_bottlenecks", PATHS + " select id from bc where b > 40")
+@on_trade("g27_bottlenecks", PATHS + " select id from bc where b > 10")
 def _(g):
-    return G.betweenness(g.nodes, g.edges).where("betweenness > 40").select("id")
+    return G.betweenness(g.nodes, g.edges).where("betweenness > 10").select("id")
 
 
 @on_trade("g39_summary", DEG + ", s as (select source_id as a, target_id as b from e union select target_id, source_id from e union select id, id from n), r(a, b) as (select a, b from s union select r.a, s.b from r join s on s.a = r.b), wc as (select count(distinct low) as components from (select a, min(b) as low from r group by 1)) select (select count(*) from n) as nodes, (select count(*) from e) as edges, components, (select max(in_degree) from deg) as max_in, (select round(avg(out_degree), 6) from deg) as avg_out from wc")
