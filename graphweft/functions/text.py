@@ -97,3 +97,17 @@ def intent(subject: Column) -> Column:
     for name, words in reversed([("fix", "fix|bug|error|fail"), ("security", "auth|secret|token|vulnerab"), ("performance", "fast|slow|cache|optimi"), ("refactor", "refactor|rename|clean"), ("feature", "add|new|implement"), ("docs", "doc|readme|license")]):
         out = F.when(low.rlike(f"({words})"), name).otherwise(out)
     return F.when(low.rlike(r"^(feat|fix|docs|perf|refactor)(\([a-z]+\))?:"), F.regexp_extract(low, r"^([a-z]+)", 1)).otherwise(out)
+
+
+def looks_random(token: Column) -> Column:
+    """True for keys and digests: 32 or more base64 characters, no UUID, and enough entropy for the alphabet and length."""
+    bits, n = entropy(token), F.length(token)
+    uuid = (n == 36) & (n - F.length(F.replace(token, F.lit("-"), F.lit(""))) == 4)
+    enough = F.when(token.rlike("^[0-9A-Fa-f]+$"), bits >= 3.2).otherwise(((n >= 40) & (bits >= 4.0)) | (bits >= 4.3))
+    return token.rlike("^[A-Za-z0-9_+/=-]{32,}$") & ~uuid & enough
+
+
+def random_tokens(text: Column) -> Column:
+    """Words that look random, quotes, brackets and stops at their ends left out; the pattern goes first, entropy is dear."""
+    words = F.transform(F.split(text, r"[\s]+"), lambda w: F.btrim(w, F.lit("\"'` ,;()[]{}")))
+    return F.filter(F.filter(words, lambda w: w.rlike("^[A-Za-z0-9_+/=-]{32,}$")), looks_random)

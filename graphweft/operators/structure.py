@@ -285,3 +285,22 @@ def greedy_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 30, max
         return comm
 
     return _by_component(nodes, pair, assign, max_edges)
+
+
+def cycle_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(change, component, members): cycles that only one of two labellings (id, component) has.
+
+    Two cycles are one if their members are the same, which sizes and the size of the overlap tell:
+    no member list is collected. Components of one member are no cycles.
+    """
+    def cycles(labels, c, n):
+        return labels.groupBy(F.col("component").alias(c)).agg(F.count("*").alias(n)).where(F.col(n) > 1)
+
+    old, new = cycles(before, "_b", "_nb"), cycles(after, "_a", "_na")
+    met = before.select("id", F.col("component").alias("_b")).join(after.select("id", F.col("component").alias("_a")), "id").groupBy("_b", "_a").agg(F.count("*").alias("_k"))
+    same = met.join(old, "_b").join(new, "_a").where("_k = _nb and _k = _na")
+
+    def only(side, c, n, change):
+        return side.join(same, c, "left_anti").select(F.lit(change).alias("change"), F.col(c).alias("component"), F.col(n).alias("members"))
+
+    return only(old, "_b", "_nb", "resolved").unionByName(only(new, "_a", "_na", "introduced"))

@@ -331,3 +331,17 @@ def _(spark, d):
 def _(spark, d):
     at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return read(spark, d, "events").select("user_id", "event_id", at.cast("long").alias("position"))
+
+
+@query("x06_high_entropy", r"""with w as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\s]+'), lambda w: trim(w, '"''` ,;()[]{}')), lambda w: regexp_matches(w, '^[A-Za-z0-9_+/=-]{32,}$')) as ws from documents where text is not null), f as (select doc_id, list_filter(ws, lambda w: not (length(w) = 36 and length(w) - length(replace(w, '-', '')) = 4) and case when regexp_matches(w, '^[0-9A-Fa-f]+$') then list_entropy(string_split(w, '')) >= 3.2 else (length(w) >= 40 and list_entropy(string_split(w, '')) >= 4.0) or list_entropy(string_split(w, '')) >= 4.3 end) as s from w) select doc_id, len(s)::bigint as random_words, s[1] as first from f""")
+def _(spark, d):
+    found = X.random_tokens(F.col("text"))
+    return read(spark, d, "documents").where("text is not null").select("doc_id", found.alias("s")).select("doc_id", F.size("s").cast("long").alias("random_words"), F.try_element_at("s", F.lit(1)).alias("first"))
+
+
+CYCLES = "select c, count(*) as k, list(id order by id) as m from (select x.a as id, min(x.b) as c from {0} x join {0} y on x.a = y.b and x.b = y.a group by 1) group by 1 having count(*) > 1"
+
+
+@on_trade("s10_cycle_diff", ALL + f", h(a, b) as (select id, id from n union select h.a, e.target_id from h join e on e.source_id = h.b where e.source_id <> 'nation:6'), o as ({CYCLES.format('r')}), w as ({CYCLES.format('h')}) select 'resolved' as change, c as component, k as members from o where m not in (select m from w) union all select 'introduced', c, k from w where m not in (select m from o)")
+def _(g):
+    return T.cycle_diff(G.strong_components(g.nodes, g.edges), G.strong_components(g.nodes, g.edges.where("source_id <> 'nation:6'")))

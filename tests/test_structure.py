@@ -78,3 +78,22 @@ def test_lcom_taint_folders(spark):
     assert {tuple(r) for r in T.taint(edges, ids(0), ids(2, 3, 5), ids(4)).collect()} == {("v0", "v2")}
     paths = spark.createDataFrame([("a", "x/y/1.go"), ("b", "x/2.go"), ("c", "x/3.go"), ("d", "z/w/4.go"), ("e", "x/y/q/5.go")], "id string, path string")
     assert dict(T.folder_components(paths, 2).collect()) == {"a": "x", "b": "x", "c": "x", "d": "z/w", "e": "x"}
+
+
+def test_cycle_diff_compares_members(spark):
+    before = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("e", "e"), ("f", "f"), ("g", "f")], "id string, component string")
+    after = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("e", "c"), ("f", "f"), ("g", "g")], "id string, component string")
+    rows = {tuple(r) for r in T.cycle_diff(before, after).collect()}
+    assert rows == {("resolved", "c", 2), ("introduced", "c", 3), ("resolved", "f", 2)}
+    assert T.cycle_diff(before.limit(0), after.limit(0)).count() == 0
+
+
+def test_random_tokens(spark):
+    from pyspark.sql import functions as F
+
+    from graphweft.functions import text as X
+
+    key, flat = "Ab3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0fX", "a" * 64
+    texts = [f"x=1 ('{key}'), {flat}", "123e4567-e89b-12d3-a456-426614174000", "0123456789abcdef0123456789abcdef", "", None]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").select("k", X.random_tokens(F.col("text")).alias("s"))
+    assert {r.k: r.s for r in got.collect()} == {0: [key], 1: [], 2: ["0123456789abcdef0123456789abcdef"], 3: [], 4: None}
