@@ -235,6 +235,14 @@ def test_line_dedup_keeps_one(spark, odd, empty):
     assert lines.dedup_lines(odd).columns == odd.columns and lines.dedup_lines(odd).count() == len(ODD) and lines.dedup_lines(empty).count() == 0
 
 
+def test_pipeline_drops_short_boilerplate(spark):
+    import corpus_pipeline as p
+
+    rows = [(i, f"own words of text {i} here\n\nAll rights reserved.\nok", f"s{i % 6}") for i in range(12)] + [(20, "on two sites\nok", "s0"), (21, "on two sites", "s1")]
+    got = {r["doc_id"]: r["text"] for r in p.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), SMALL).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == f"own words of text {i} here\n" for i in range(1, 12)) and got[20] == got[21] == "on two sites"
+
+
 def test_quality_held_out(spark, odd, empty):
     sf = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
