@@ -236,11 +236,23 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     return assign(prints, ["doc_id"], **how).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
 
 
+def row_key():
+    return F.md5(F.concat_ws("\n", F.col("doc_id").cast("string"), F.col("text")).cast("binary"))
+
+
+def chosen(docs: DataFrame, **how) -> DataFrame:
+    """_dkey: the row key of the smallest doc_id of each component."""
+    prints = stored(fingerprints(docs.select("doc_id", row_key().alias("dkey"), "text")), "fps")
+    return assign(prints, ["doc_id", "dkey"], **how).select(F.col("least.dkey").alias("_dkey")).distinct()
+
+
+def pick(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs with one row of each key (_dkey)."""
+    apart = docs.select(F.struct("*").alias("_row"), row_key().alias("_dkey"))
+    met = apart.join(keys, "_dkey", "left_semi").withColumn("_copy", F.row_number().over(Window.partitionBy("_dkey").orderBy("_dkey")))
+    return met.where(F.col("_copy") == 1).select("_row.*")
+
+
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id (repeated rows: one of them)."""
-    key = F.md5(F.concat_ws("\n", F.col("doc_id").cast("string"), F.col("text")).cast("binary"))
-    prints = stored(fingerprints(docs.select("doc_id", key.alias("dkey"), "text")), "fps")
-    chosen = assign(prints, ["doc_id", "dkey"], **how).select(F.col("least.dkey").alias("_dkey")).distinct()
-    apart = docs.select(F.struct("*").alias("_row"), key.alias("_dkey"))
-    met = apart.join(chosen, "_dkey", "left_semi").withColumn("_copy", F.row_number().over(Window.partitionBy("_dkey").orderBy("_dkey")))
-    return met.where(F.col("_copy") == 1).select("_row.*")
+    return pick(docs, chosen(docs, **how))

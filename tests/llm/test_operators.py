@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from graphweft.llm import chat, decontam, lines, pieces, pii, quality, queries, rules, simhash, suffix_tree, urls
+from graphweft.llm import chat, decontam, lines, near, pieces, pii, quality, queries, rules, simhash, suffix_tree, urls
 from graphweft.llm.markov import END, SuffixTree
 
 SMALL, SF = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -394,6 +394,33 @@ def test_masks_cover():
         assert any(not m & diff for m in masks)
 
 
+def test_pipeline_drops_near_copies(spark, odd, empty):
+    import corpus_pipeline as p
+
+    stage = dict(p.STAGES)["SimHash near-dedup"]
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted(docs(spark, SF))
+    kept = {r["doc_id"] for r in p.near_dedup(spark, d, SF).collect()}
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        if w and i in kept:
+            sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root, ids = {i: i for i in kept}, sorted(sets)
+    while True:  # the least of a component, by brute force
+        before = dict(root)
+        for n, i in enumerate(ids):
+            for j in ids[n + 1 :]:
+                if min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+        if before == root:
+            break
+    want = {i for i in kept if root[i] == i}
+    got = {r["doc_id"] for r in stage(spark, d, SF).collect()}
+    assert got == want and len(want) < len(kept), (len(kept), len(want), got ^ want)
+    assert stage(spark, odd, SF).columns == odd.columns and stage(spark, empty, SF).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
