@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.llm import decontam, lines, pieces, rules, simhash
+from graphweft.llm import decontam, lines, near, pieces, rules, simhash
 from graphweft.llm.common import shared_dir, table
 from graphweft.llm.queries import model_bytes
 
@@ -27,6 +27,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What near_dedup keeps, less the copies that share four fifths of their five-word shingles."""
+    return near.keep_one(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
@@ -38,7 +43,7 @@ def sentencepiece_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str)
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup),
-    ("SimHash near-dedup", near_dedup),
+    ("SimHash near-dedup", near_copies),
     ("benchmark decontamination", decontamination),
     ("SentencePiece encoding and decoding", sentencepiece_round_trip),
 ]
