@@ -37,20 +37,29 @@ def budgeted(ranked: DataFrame, section: str, order: list, cost: str, budget: in
     return ranked.withColumn("_t", total).withColumn("_r", F.row_number().over(w)).where((F.col("_t") <= budget) | (F.col("_r") == 1)).drop("_t", "_r")
 
 
-def fill_budget(rows: DataFrame, section: str, score: str, id: str, cost: str, budget: int, top: int) -> DataFrame:
-    """Greedy fill by score: what doesn't fit is passed over and cheaper rows after it may still fit; at most `top` rows of a section compete."""
-    import pandas as pd
+def fill_budget(rows: DataFrame, section: str, score: str, id: str, cost: str, budget: int, top: int | None = None) -> DataFrame:
+    """Greedy fill by score: what doesn't fit is passed over and cheaper rows after it may still fit; with `top`, only that many rows of a section compete.
 
-    w = Window.partitionBy(section).orderBy(F.desc(score), id)
-    best = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
-
-    def run(pdf):
-        left, keep = budget, []
-        for i, c in zip(pdf.sort_values("_r").index, pdf.sort_values("_r")[cost]):
-            if c <= left:
-                keep.append(i)
-                left -= c
-        return pd.DataFrame({section: pdf.loc[keep, section], id: pdf.loc[keep, id]})
+    A section's rows stream through one task in order, which holds what is left of the budget and nothing else.
+    """
+    import pyarrow as pa
 
+    if top is not None:
+        w = Window.partitionBy(section).orderBy(F.desc(score), id)
+        rows = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
     types = dict(rows.dtypes)
-    return best.groupBy(section).applyInPandas(run, f"{section} {types[section]}, {id} {types[id]}")
+    ordered = rows.select(section, id, cost, score).repartition(section).sortWithinPartitions(F.col(section), F.desc(score), F.col(id)).select(section, id, cost)
+
+    def batches(it):
+        now, left, first = None, budget, True
+        for b in it:
+            keep = []
+            for s, c in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if first or s != now:
+                    now, left, first = s, budget, False
+                fits = c is not None and c <= left
+                left -= c if fits else 0
+                keep.append(fits)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], [section, id]).filter(pa.array(keep, pa.bool_()))
+
+    return ordered.mapInArrow(batches, f"`{section}` {types[section]}, `{id}` {types[id]}")

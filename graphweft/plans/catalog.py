@@ -400,7 +400,7 @@ def _(spark, d):
 @query("w06_budget_fill")
 def _(spark, d):
     rows = read(spark, d, "documents").select("doc_id", "source", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("score"), F.col("n_chars").alias("cost"))
-    return M.fill_budget(rows, "source", "score", "doc_id", "cost", 20_000, 200)
+    return M.fill_budget(rows, "source", "score", "doc_id", "cost", 20_000)
 
 
 @query("q09_budget_prefix", "select doc_id, source from (select *, sum(n_chars + 1) over (partition by source order by doc_id rows unbounded preceding) as t, row_number() over (partition by source order by doc_id) as r from documents) where t <= 20000 or r = 1")

@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphweft.operators import graphs as G
 from graphweft.operators import memory as M
@@ -67,6 +68,19 @@ def test_diff_and_rules(four):
     assert {r[1] for r in rows(U.apply_node_rules(four.nodes, U.NODE_RULES, ["STRUCT"]))} == {"R05"}
 
 
+def test_budget_fill_walks_every_row(spark):
+    from graphweft.plans import catalog
+
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("source", "doc_id", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("score"), "n_chars").collect()
+    left, want = {}, set()
+    for r in sorted(d, key=lambda r: (-r["score"], r["doc_id"])):
+        if r["n_chars"] <= left.setdefault(r["source"], 20_000):
+            left[r["source"]] -= r["n_chars"]
+            want.add((r["source"], r["doc_id"]))
+    got = rows(catalog.QUERIES["w06_budget_fill"](spark, "/root/testdata/sf0.1"))
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_budgets_and_conflicts(spark):
     df = spark.createDataFrame([("s", 1, 50, 9.0), ("s", 2, 60, 8.0), ("s", 3, 40, 7.0)], "section string, id int, cost int, score double")
     assert rows(M.fill_budget(df, "section", "score", "id", "cost", 100, 10)) == [("s", 1), ("s", 3)]
