@@ -3,7 +3,7 @@
 Two smoothed variable-order Markov models (suffix trees over bytes) are learned from all URLs
 that a rule allows or blocks. Other URLs are allowed if their log-likelihood difference per
 byte is at least a threshold, calibrated on the same URLs: the middle of the range that best
-separates the two classes.
+separates the two classes. The models learn from and judge the whole url, query and fragment included; rules and columns read host and path only.
 
 Defined results: a null url or one without `://` has empty host and path, which no rule fits;
 the models judge them like any other. Without URLs of both classes the threshold is 0 and both
@@ -84,9 +84,9 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, margin."""
     spark = pages.sparkSession
     host, path = parts(F.col("url"))
-    cut = pages.select("page_id", host.alias("host"), path.alias("path"))
+    cut = pages.select("page_id", host.alias("host"), path.alias("path"), F.coalesce("url", F.lit("")).alias("address"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    cut = cut.withColumn("rule", rule).withColumn("said", said).withColumn("address", F.concat("host", "path"))
+    cut = cut.withColumn("rule", rule).withColumn("said", said)
     ruled = cut.where(F.col("said").isNotNull()).select("address", "said")
     difference = margin(learn(ruled, "allow"), learn(ruled, "block"), spark)
     scored = cut.withColumn("margin", difference("address"))

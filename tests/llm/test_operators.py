@@ -226,6 +226,14 @@ def test_url_rules_and_models(spark):
     assert right > 0.85 * len(full), (right, len(full))
 
 
+def test_url_models_read_the_whole_url(spark):
+    pages = [(i, f"http://a{i}.org/x{i}?good=one") for i in range(60)] + [(i + 100, f"http://a{i}.com/de/x{i}?zzz#qqq") for i in range(60)]
+    other = [(500, "http://m.net/a?good=one"), (501, "http://m.net/a?zzz#qqq"), (502, "?good=one"), (503, "?zzz#qqq")]
+    got = {r["page_id"]: r for r in urls.filter_urls(spark.createDataFrame(pages + other, "page_id long, url string")).collect()}
+    assert got[500]["margin"] > got[501]["margin"] and got[502]["margin"] > got[503]["margin"]
+    assert (got[500]["verdict"], got[501]["verdict"]) == ("allow", "block") and got[502]["host"] == got[503]["path"] == ""
+
+
 def test_line_dedup_keeps_one(spark, odd, empty):
     shared = "this very line stands on many sites"
     rows = [(i, f"own words of text {i} here\n {shared} \nshort line", f"s{i % 6}") for i in range(12)] + [(20, f"{shared}\n{shared}", "s0"), (None, "x", None), (21, None, "s1")]
