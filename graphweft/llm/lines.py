@@ -1,16 +1,20 @@
 """Line dedup: lines that stand on many sites are boilerplate; one copy stays.
 
-HyperLogLog sketches of the sites, merged by aggregation for each line hash, estimate each
-line's spread. Lines whose estimate is near the threshold get an exact distinct count. A line
-over the threshold stays where it stands first (smallest doc_id, then position) and goes
-everywhere else.
+A first count leaves the lines that occur as often as the threshold asks for sites; only their
+occurrences are gathered. HyperLogLog sketches of the sites, merged by aggregation for each line
+hash, estimate each one's spread. Lines whose estimate is near the threshold get an exact distinct
+count. A line over the threshold stays where it stands first (smallest doc_id, then position) and
+goes everywhere else.
 
-Lines are compared trimmed. Lines of fewer than `min_words` words never count: short phrases
-meet by chance in a large corpus. A site is the column `source`; a null source is no site.
+Lines are compared trimmed, by 128 bits of hash, and every line that has a word counts, however
+short. A site is the column `source`; a null source is no site. Tables of up to `TOLD` lines go to every task;
+of larger ones only the lines with over 1/HOT of all occurrences do (HOT lines at most), and the
+others, none of them hot, meet by a shuffled join.
 
 Defined results: null text stays null, empty text stays empty; rows repeated under one doc_id
-are treated alike; a null doc_id sorts first; other columns pass through unchanged; an empty
-table gives an empty table.
+are treated alike; a null doc_id sorts first; other columns pass through unchanged (with counts,
+columns of docs called n_lines and n_removed give way to the counts); an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -18,54 +22,75 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored, where_late
+
 SITES = 5
-MIN_WORDS = 4
 #: log2 of the registers of a sketch; the relative error is below 1.04 / sqrt(2 ** LOG_K) for one sigma.
 LOG_K = 9
 #: Estimates within this share of the threshold are counted exactly: over six sigma.
 BAND = 0.3
-#: A line on a third of all rows meets its verdict in this many partitions.
-SALTS = 16
+#: Lines that go to every task, at most: some 40 MB.
+TOLD = 500_000
+#: A line with over 1/HOT of the gathered occurrences goes to every task in any case.
+HOT = 1000
+KEY = ["k1", "k2"]
+
+
+def _row_key():
+    return F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64("text", "doc_id").alias("r2")
 
 
-def _trimmed(line):
-    return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, source, r1 and r2 (of the row's id and text), pos (from 0), k1 and k2 (of the trimmed line), of lines with a word."""
+    flat = docs.where(F.col("text").isNotNull()).select("doc_id", "source", *_row_key(), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    line = F.btrim("line", F.lit(" \t\r\x0b\x0c"))
+    return flat.withColumn("line", line).where(F.col("line") != "").select("doc_id", "source", "r1", "r2", "pos", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"))
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, source, dkey (of the row's id and text), pos (from 0), key (of the trimmed line)."""
-    flat = docs.where(F.col("text").isNotNull()).select("doc_id", "source", _dkey().alias("dkey"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return flat.where(F.col("line").rlike(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+|$)){%d}" % min_words)).select("doc_id", "source", "dkey", "pos", F.md5(_trimmed(F.col("line")).cast("binary")).alias("key"))
+def _met(rows: DataFrame, table: DataFrame, told: int) -> DataFrame:
+    """rows joined to a stored table (KEY, n and more) of distinct lines."""
+    size, total = table.agg(F.count("*"), F.sum("n")).first()
+    if size <= told:
+        return rows.join(F.broadcast(table.drop("n")), KEY)
+    hot = table.where(F.col("n") * HOT > total).drop("n")
+    cold = table.where(F.col("n") * HOT <= total).drop("n")
+    return rows.join(F.broadcast(hot), KEY).unionByName(rows.join(F.broadcast(hot.select(*KEY)), KEY, "left_anti").join(cold, KEY))
 
 
-def _dkey():
-    return F.md5(F.concat_ws("\n", F.col("doc_id").cast("string"), F.col("text")).cast("binary"))
+def gathered(docs: DataFrame, sites: int = SITES, told: int = TOLD) -> tuple[DataFrame, DataFrame]:
+    """Lines (KEY, n) of `sites` occurrences or more, and these occurrences (as _lines gives them)."""
+    often = stored(_lines(docs).groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") >= sites), "often")
+    return often, stored(_met(_lines(docs), often, told), "occurrences")
 
 
-def boilerplate(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS, band: float = BAND) -> DataFrame:
-    """key, first (struct of doc_id and pos where it stands first) and n_sites (exact near the threshold) of the lines on at least `sites` sites."""
-    lines = _lines(docs, min_words)
-    spread = lines.groupBy("key").agg(F.hll_sketch_agg("source", LOG_K).alias("sketch"), F.min(F.struct("doc_id", "pos")).alias("first"))
-    spread = spread.select("key", "first", F.hll_sketch_estimate("sketch").alias("n_sites")).where(F.col("n_sites") >= sites * (1 - band))
-    near = spread.where(F.col("n_sites") <= sites * (1 + band))
-    exact = lines.join(near.select("key"), "key", "left_semi").groupBy("key", "source").agg(F.lit(1).alias("_")).groupBy("key").agg(F.count("source").alias("exact"))
-    return spread.join(exact, "key", "left").select("key", "first", F.coalesce("exact", "n_sites").alias("n_sites")).where(F.col("n_sites") >= sites)
+def boilerplate(often: DataFrame, occurrences: DataFrame, sites: int = SITES, band: float = BAND, told: int = TOLD) -> DataFrame:
+    """KEY, first (struct of doc_id and pos where it stands first), n_sites (exact near the threshold) and n of the lines on at least `sites` sites."""
+    spread = occurrences.groupBy(*KEY).agg(F.hll_sketch_agg("source", LOG_K).alias("sketch"), F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
+    spread = stored(spread.select(*KEY, "first", "n", F.hll_sketch_estimate("sketch").alias("n_sites")).where(F.col("n_sites") >= sites * (1 - band)), "spread")
+    near = spread.where(F.col("n_sites") <= sites * (1 + band)).select(*KEY, "n")
+    exact = _met(occurrences.select(*KEY, "source"), near, told).groupBy(*KEY, "source").agg(F.lit(1).alias("_")).groupBy(*KEY).agg(F.count("source").alias("exact"))
+    return stored(spread.join(exact, KEY, "left").select(*KEY, "first", F.coalesce("exact", "n_sites").alias("n_sites"), "n").where(F.col("n_sites") >= sites), "boilerplate")
 
 
-def dedup_lines(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS, band: float = BAND, counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, sites: int = SITES, band: float = BAND, counts: bool = False, told: int = TOLD) -> DataFrame:
     """docs with the lines removed; with `counts` also n_lines and n_removed (0 for null texts)."""
-    known = boilerplate(docs, sites, min_words, band).select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    lines = _lines(docs, min_words).withColumn("salt", F.pmod(F.xxhash64("dkey"), F.lit(SALTS)).cast("int"))
-    gone = lines.join(known, ["key", "salt"]).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first"))).groupBy("dkey").agg(F.collect_set("pos").alias("_gone"))
-    names = docs.columns
-    apart = docs.select(F.struct("*").alias("_row"), F.when(F.col("text").isNotNull(), _dkey()).alias("dkey"))
-    met = apart.join(gone, "dkey", "left")
-    split = F.split("_row.text", "\n")
-    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    text = F.when(F.col("_gone").isNotNull(), left).otherwise(F.col("_row.text"))
+    often, occurrences = gathered(docs, sites, told)
+    known = boilerplate(often, occurrences, sites, band, told).select(*KEY, "first", "n")
+    marked = _met(occurrences.select(*KEY, "doc_id", "pos", "r1", "r2"), known, told).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
+    gone = marked.groupBy("r1", "r2").agg(F.collect_set("pos").alias("_gone"))
+    names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
+    key = [F.when(F.col("text").isNotNull(), k).alias(n) for k, n in zip(_row_key(), ("r1", "r2"))]
+    met = docs.select(F.struct("*").alias("_row"), *key).join(gone, ["r1", "r2"], "left")
+    # both arrays are computed before the stretches between removed lines are cut from them: in time with the text's lines
+    met = met.withColumn("_gone", F.sort_array("_gone")).withColumn("_split", F.when(F.lit(counts) | F.col("_gone").isNotNull(), F.split("_row.text", "\n")))
+    met = where_late(met, F.lit(True))
+    size, lines = F.size("_gone"), F.size("_split")
+    first = lambda j: F.when(j == 0, F.lit(1)).otherwise(F.get("_gone", j - 1) + 2)
+    stretch = lambda j: F.slice("_split", first(j), F.when(j == size, lines).otherwise(F.get("_gone", j)) - first(j) + 1)
+    text = F.when(F.col("_gone").isNotNull(), F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), size), stretch)), "\n")).otherwise(F.col("_row.text"))
     own = [text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names]
-    told = [
-        F.when(F.col("_row.text").isNull(), F.lit(0)).otherwise(F.size(split)).cast("long").alias("n_lines"),
+    told_counts = [
+        F.when(F.col("_row.text").isNull(), F.lit(0)).otherwise(lines).cast("long").alias("n_lines"),
         F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
     ]
-    return met.select(*own, *(told if counts else []))
+    return met.select(*own, *(told_counts if counts else []))

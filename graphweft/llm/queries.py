@@ -88,7 +88,7 @@ from o group by conv_id""",
 with l as (
   select doc_id, source, md5(concat_ws(chr(10), doc_id::varchar, text)) as dkey, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos
   from documents where text is not null),
-w as (select *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as key from l where len(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) >= {lines.MIN_WORDS}),
+w as (select *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as key from l where trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''),
 b as (select key, min((coalesce(doc_id, -9223372036854775808), pos)) as first from w group by key having count(distinct source) >= {lines.SITES}),
 g as (select distinct w.dkey, w.pos from w join b using (key) where (coalesce(w.doc_id, -9223372036854775808), w.pos) <> b.first),
 a as (select doc_id, text, md5(concat_ws(chr(10), doc_id::varchar, text)) as dkey from documents),

@@ -234,12 +234,31 @@ def test_url_models_read_the_whole_url(spark):
     assert (got[500]["verdict"], got[501]["verdict"]) == ("allow", "block") and got[502]["host"] == got[503]["path"] == ""
 
 
-def test_line_dedup_keeps_one(spark, odd, empty):
+def plain_lines(rows, sites=5):
+    at = {}
+    for i, t, s in rows:
+        for k, x in enumerate((t or "").split("\n")):
+            if x.strip(" \t\r\x0b\x0c"):
+                at.setdefault(x.strip(" \t\r\x0b\x0c"), []).append((-(1 << 63) if i is None else i, k, s))
+    wide = {x: min(p)[:2] for x, p in at.items() if len({s for _, _, s in p} - {None}) >= sites}
+    out = []
+    for i, t, _ in rows:
+        keep = [x for k, x in enumerate((t or "").split("\n")) if (y := x.strip(" \t\r\x0b\x0c")) not in wide or wide[y] == (-(1 << 63) if i is None else i, k)]
+        out.append((i, None if t is None else "\n".join(keep)))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("told", [500_000, 2])
+def test_line_dedup_keeps_one(spark, odd, empty, told):
     shared = "this very line stands on many sites"
-    rows = [(i, f"own words of text {i} here\n {shared} \nshort line", f"s{i % 6}") for i in range(12)] + [(20, f"{shared}\n{shared}", "s0"), (None, "x", None), (21, None, "s1")]
+    rows = [(i, f"own words of text {i} here\n {shared} \nshort line\nok\n", f"s{i % 6}") for i in range(12)] + [(20, f"{shared}\n{shared}", "s0"), (20, f"{shared}\n{shared}", "s0"), (None, "x", None), (None, "ok\nx", "s9"), (21, None, "s1"), (22, "", "s2")]
+    rows += [(30 + i, "four sites only\n" + "\n".join(f"line {k % 7}" for k in range(9000 * (i == 3))), f"t{i}") for i in range(4)] + [(40 + i, f"own {i}\nline 3", f"u{i}") for i in range(5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r["doc_id"]: r for r in lines.dedup_lines(df, counts=True).collect()}
-    assert shared in got[0]["text"] and all(got[i]["text"] == f"own words of text {i} here\nshort line" for i in range(1, 12)) and got[20]["text"] == "" and got[21]["text"] is None and got[20]["n_removed"] == 2
+    got = lines.dedup_lines(df.withColumn("n_lines", F.lit("clash")), counts=True, told=told).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == plain_lines(rows)
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in got if r["doc_id"] in (0, 1, 20, 21, 22)} == {0: (5, 1), 1: (5, 3), 20: (2, 2), 21: (0, 0), 22: (1, 0)}
+    d = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()]
+    assert Counter(tuple(r) for r in lines.dedup_lines(spark.read.parquet(f"{SF}/documents.parquet"), told=told).select("doc_id", "text").collect()) == plain_lines(d)
     assert lines.dedup_lines(odd).columns == odd.columns and lines.dedup_lines(odd).count() == len(ODD) and lines.dedup_lines(empty).count() == 0
 
 
