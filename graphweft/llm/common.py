@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode where that is unset (tests), one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='graphweft-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -63,3 +65,12 @@ def where_late(df: DataFrame, condition: Column) -> DataFrame:
     A filter pushed below them would hold copies of their expressions, and a copy within a lambda is evaluated for each element.
     """
     return df.withColumn("_late", F.monotonically_increasing_id()).where((F.col("_late") >= 0) & condition).drop("_late")
+
+
+def without(df: DataFrame, items: str, gone: str) -> DataFrame:
+    """df with the array column `items` less the places (from 0) that the array column `gone` holds (null: none), in time with both sizes."""
+    df = where_late(df.withColumn(gone, F.sort_array(F.coalesce(gone, F.array().cast("array<int>")))), F.lit(True))  # both are columns from here on, not expressions
+    n, size = F.size(gone), F.size(items)
+    first = lambda j: F.when(j == 0, F.lit(1)).otherwise(F.get(gone, j - 1) + 2)
+    stretch = lambda j: F.slice(items, first(j), F.when(j == n, size).otherwise(F.get(gone, j)) - first(j) + 1)
+    return df.withColumn(items, F.when(n == 0, F.col(items)).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), n), stretch))))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, where_late
+from .common import stored, without
 
 SITES = 5
 #: log2 of the registers of a sketch; the relative error is below 1.04 / sqrt(2 ** LOG_K) for one sigma.
@@ -81,16 +81,11 @@ def dedup_lines(docs: DataFrame, sites: int = SITES, band: float = BAND, counts:
     names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
     key = [F.when(F.col("text").isNotNull(), k).alias(n) for k, n in zip(_row_key(), ("r1", "r2"))]
     met = docs.select(F.struct("*").alias("_row"), *key).join(gone, ["r1", "r2"], "left")
-    # both arrays are computed before the stretches between removed lines are cut from them: in time with the text's lines
-    met = met.withColumn("_gone", F.sort_array("_gone")).withColumn("_split", F.when(F.lit(counts) | F.col("_gone").isNotNull(), F.split("_row.text", "\n")))
-    met = where_late(met, F.lit(True))
-    size, lines = F.size("_gone"), F.size("_split")
-    first = lambda j: F.when(j == 0, F.lit(1)).otherwise(F.get("_gone", j - 1) + 2)
-    stretch = lambda j: F.slice("_split", first(j), F.when(j == size, lines).otherwise(F.get("_gone", j)) - first(j) + 1)
-    text = F.when(F.col("_gone").isNotNull(), F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), size), stretch)), "\n")).otherwise(F.col("_row.text"))
+    met = met.withColumn("_split", F.when(F.lit(counts) | F.col("_gone").isNotNull(), F.split("_row.text", "\n")))
+    met = met.withColumn("n_lines", F.size("_split")) if counts else met
+    met = without(met, "_split", "_gone")
+    text = F.when(F.size("_gone") > 0, F.array_join("_split", "\n")).otherwise(F.col("_row.text"))
     own = [text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names]
-    told_counts = [
-        F.when(F.col("_row.text").isNull(), F.lit(0)).otherwise(lines).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
-    ]
-    return met.select(*own, *(told_counts if counts else []))
+    none = F.col("_row.text").isNull()
+    told_counts = [F.when(none, F.lit(0)).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_removed")] if counts else []
+    return met.select(*own, *told_counts)
