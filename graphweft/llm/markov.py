@@ -79,11 +79,11 @@ class GramCounts:
         return keys.view(np.int64), n
 
 
-def frequent_levels(grams: DataFrame, depth: int, p_min: float, floor: float = 1 / 16):
-    """What a tree can be grown from: for k = 0..depth, grams of k+1 bytes whose context has at least p_min of all positions.
+def frequent_levels(grams: DataFrame, depth: int, p_min: float):
+    """What a tree can be grown from: for k = 0..depth, all grams of k+1 bytes whose context has at least p_min of all positions.
 
     grams: (gram, n), n summed over any repeats. Contexts of one length share the positions out, so at most 1/p_min of each length
-    pass, with at most 1/(p_min * floor) grams: the bound on what reaches the driver, whatever the corpus.
+    pass, with at most 256 next bytes each: the bound on what reaches the driver, whatever the corpus.
     Returns a list by k of (context numbers, byte values, counts).
     """
     from .common import stored
@@ -96,7 +96,7 @@ def frequent_levels(grams: DataFrame, depth: int, p_min: float, floor: float = 1
     each = whole.select("n", "gram", F.explode(masks).alias("x")).groupBy(F.col("x.k").alias("k"), F.col("gram").bitwiseAND(F.col("x.m")).alias("g")).agg(F.sum("n").alias("n"))
     each = stored(each.select("k", F.shiftrightunsigned("g", 8).alias("ctx"), F.col("g").bitwiseAND(F.lit(255)).cast("int").alias("sym"), "n"), "levels")
     often = each.groupBy("k", "ctx").agg(F.sum("n").alias("all")).where(F.col("all") >= p_min * total).select("k", "ctx")
-    got = each.where(F.col("n") >= p_min * floor * total).join(often, ["k", "ctx"], "left_semi").toPandas().sort_values(["k", "ctx", "sym"])
+    got = each.join(often, ["k", "ctx"], "left_semi").toPandas().sort_values(["k", "ctx", "sym"])
     return [tuple(part[c].to_numpy(t) for c, t in (("ctx", np.int64), ("sym", np.int64), ("n", np.float64))) for k in range(depth + 1) for part in [got[got["k"] == k]]]
 
 

@@ -1,13 +1,13 @@
 """URL filters: rules first, then two character models that tell accepted from rejected URLs.
 
-Two smoothed variable-order Markov models (suffix trees over bytes) are learned from all URLs
-that a rule allows or blocks. Other URLs are allowed if their log-likelihood difference per
-byte is at least a threshold, calibrated on the same URLs: the middle of the range that best
+Two smoothed variable-order Markov models (suffix trees over bytes) are learned from four fifths,
+by hash, of the URLs that a rule allows or blocks. Other URLs are allowed if their log-likelihood difference per
+byte is at least a threshold, calibrated on the fifth that the models haven't seen: the middle of the range that best
 separates the two classes. The models learn from and judge the whole url, query and fragment included; rules and columns read host and path only.
 
 Defined results: a null url or one without `://` has empty host and path, which no rule fits;
-the models judge them like any other. Without URLs of both classes the threshold is 0 and both
-models give the same, so unruled URLs are allowed. Rows with repeated or null page_id get a row
+the models judge them like any other. Where the fifth lacks a class all ruled URLs calibrate. Without URLs of both
+classes the threshold is 0, and without any both models give the same, so unruled URLs are allowed. Rows with repeated or null page_id get a row
 each; other columns are ignored; an empty table gives no rows.
 """
 
@@ -24,6 +24,8 @@ from .markov import DEPTH, END, SuffixTree, frequent_levels, gram_batches
 #: (verdict, rule): host, then path.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 P_MIN = 1e-4
+#: One in HELD of the ruled URLs calibrates.
+HELD = 5
 #: Steps of the calibration's histogram, from -SPAN to SPAN.
 SPAN, STEPS = 4.0, 4000
 
@@ -72,7 +74,8 @@ def threshold(counts: list[tuple[int, int, int]]) -> float:
     """From (step, allowed, blocked): the middle of the steps where the share of allowed at or above less that of blocked is largest."""
     a, b = np.zeros(STEPS + 2), np.zeros(STEPS + 2)
     for step, x, y in counts:
-        a[step], b[step] = x, y
+        a[step] += x
+        b[step] += y
     if not a.sum() or not b.sum():
         return 0.0
     gap = np.cumsum(b)[:-1] / b.sum() - np.cumsum(a)[:-1] / a.sum()  # threshold above each step
@@ -87,10 +90,13 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     cut = pages.select("page_id", host.alias("host"), path.alias("path"), F.coalesce("url", F.lit("")).alias("address"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     cut = cut.withColumn("rule", rule).withColumn("said", said)
-    ruled = cut.where(F.col("said").isNotNull()).select("address", "said")
+    cut = cut.withColumn("held", F.pmod(F.xxhash64("address"), F.lit(HELD)) == 0)
+    ruled = cut.where(F.col("said").isNotNull() & ~F.col("held")).select("address", "said")
     difference = margin(learn(ruled, "allow"), learn(ruled, "block"), spark)
     scored = cut.withColumn("margin", difference("address"))
     step = F.least(F.lit(STEPS), F.greatest(F.lit(0), F.floor((F.col("margin") + SPAN) / (2 * SPAN) * STEPS))).cast("int")
-    seen = scored.where(F.col("said").isNotNull()).groupBy(step.alias("step")).agg(F.sum((F.col("said") == "allow").cast("int")).alias("a"), F.sum((F.col("said") == "block").cast("int")).alias("b")).collect()
-    edge = threshold([tuple(r) for r in seen])
+    seen = scored.where(F.col("said").isNotNull()).groupBy(step.alias("step"), "held").agg(F.sum((F.col("said") == "allow").cast("int")).alias("a"), F.sum((F.col("said") == "block").cast("int")).alias("b")).collect()  # two rows a step
+    apart = [(r["step"], r["a"], r["b"]) for r in seen if r["held"]]
+    both = any(a for _, a, _ in apart) and any(b for _, _, b in apart)
+    edge = threshold(apart if both else [(r["step"], r["a"], r["b"]) for r in seen])
     return scored.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("margin") >= edge, "allow").otherwise("block")).alias("verdict"), "margin")

@@ -226,6 +226,57 @@ def test_url_rules_and_models(spark):
     assert right > 0.85 * len(full), (right, len(full))
 
 
+def test_url_verdicts_against_plain(spark):
+    """Rules, models, held-out calibration and verdicts from plain counts over all pages."""
+    from graphweft.llm.markov import DEPTH
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    rows = [(r["page_id"], r["url"], r["held"]) for r in pages.withColumn("held", F.pmod(F.xxhash64(F.coalesce("url", F.lit(""))), F.lit(urls.HELD)) == 0).collect()]
+
+    def ruled(u):
+        if u is None or "://" not in u:
+            return "", "", None, None
+        rest = u.split("://", 1)[1]
+        host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+        path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+        fits = [(len(r), r, v) for v, r in urls.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        return host, path, *(max(fits)[1:] if fits else (None, None))
+
+    def tree(texts):
+        grams = [Counter() for _ in range(DEPTH + 1)]
+        for t in texts:
+            p = END * DEPTH + t
+            for i in range(DEPTH, len(p)):
+                for k in range(DEPTH + 1):
+                    grams[k][int.from_bytes(p[i - k : i], "big"), p[i]] += 1
+        total, levels = sum(grams[0].values()), []
+        for g in grams:
+            size = Counter()
+            for (x, _), n in g.items():
+                size[x] += n
+            kept = sorted((x, s, n) for (x, s), n in g.items() if size[x] >= urls.P_MIN * total)
+            levels.append(tuple(np.array([r[j] for r in kept], t) for j, t in enumerate((np.int64, np.int64, float))))
+        return SuffixTree(levels)
+
+    data = lambda u: (u or "").encode().replace(END, b" ") + END
+    told = {i: ruled(u) for i, u, _ in rows}
+    good, bad = (tree([data(u) for i, u, h in rows if told[i][3] == v and not h]) for v in ("allow", "block"))
+    margin = {i: float((good.score([data(u)]) - bad.score([data(u)]))[0] / len(data(u))) for i, u, _ in rows}
+    step = {i: min(urls.STEPS, max(0, math.floor((m + urls.SPAN) / (2 * urls.SPAN) * urls.STEPS))) for i, m in margin.items()}
+    held = [(step[i], told[i][3]) for i, _, h in rows if h and told[i][3]]
+    n = Counter(v for _, v in held)
+    assert n["allow"] and n["block"]
+    gap = [sum(v == "block" for s, v in held if s <= e) / n["block"] - sum(v == "allow" for s, v in held if s <= e) / n["allow"] for e in range(urls.STEPS + 1)]
+    best = [e for e, g in enumerate(gap) if g >= max(gap) - 1e-12]
+    edge = -urls.SPAN + 2 * urls.SPAN * (best[0] + best[-1] + 2) / 2 / urls.STEPS
+    for r in queries.op5_url_filter(spark, SF).collect():
+        i = r["page_id"]
+        assert (r["host"], r["path"], r["rule"]) == told[i][:3] and abs(r["margin"] - margin[i]) < 1e-4
+        if abs(margin[i] - edge) > 1e-3:
+            assert r["verdict"] == (told[i][3] or ("allow" if margin[i] >= edge else "block"))
+
+
 def test_url_models_read_the_whole_url(spark):
     pages = [(i, f"http://a{i}.org/x{i}?good=one") for i in range(60)] + [(i + 100, f"http://a{i}.com/de/x{i}?zzz#qqq") for i in range(60)]
     other = [(500, "http://m.net/a?good=one"), (501, "http://m.net/a?zzz#qqq"), (502, "?good=one"), (503, "?zzz#qqq")]
@@ -344,16 +395,36 @@ def plain_scan(t, bench):
     return len(w), len(hit), len(items), sha(",".join(sorted(items))), len(items) >= 2
 
 
-@pytest.mark.parametrize("most", [50_000, 1])
-def test_decontamination_against_plain(spark, odd, empty, most):
+@pytest.mark.parametrize("how", [{}, {"max_literals": 1}, {"max_literals": 1, "block": 3}])
+def test_decontamination_against_plain(spark, odd, empty, how):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     df = spark.createDataFrame(TEXTS, "doc_id long, text string, n_words long")
-    got = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontam.scan(df, bench, max_literals=most).collect())
+    got = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontam.scan(df, bench, **how).collect())
     assert got == Counter((i, *plain_scan(t, BENCH)) for i, t, _ in TEXTS)
-    left = {r["doc_id"]: r["text"] for r in decontam.clean(df, bench, max_literals=most).collect()}
-    assert left[3] is None and left[4] == "..." and left[6] == "(" and left[2] == "a b" and 5 not in left
-    out = decontam.clean(odd, bench, max_literals=most)
-    assert out.columns == odd.columns and out.count() == len(ODD) and decontam.scan(empty, bench).count() == 0 and decontam.scan(odd, bench.limit(0)).count() == len(ODD)
+    for told in (1_000_000, 0):
+        left = {r["doc_id"]: r["text"] for r in decontam.clean(df, bench, told=told, **how).collect()}
+        assert left[3] is None and left[4] == "..." and left[6] == "(" and left[2] == "a b" and 5 not in left
+    out = decontam.clean(odd, bench, **how)
+    assert out.columns == odd.columns and out.count() == len(ODD) and decontam.scan(empty, bench, **how).count() == 0 and decontam.scan(odd, bench.limit(0), **how).count() == len(ODD)
+
+
+def test_decontamination_beyond_the_literals(spark):
+    """A benchmark of more windows than the expression holds: the streamed way with its own bounds."""
+    rng = np.random.default_rng(5)
+    d = spark.read.parquet(f"{SMALL}/documents.parquet").where("text is not null")
+    own = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    bench = own + [(1000 + i, " ".join(f"w{x}" for x in rng.integers(0, 50_000, 80))) for i in range(900)]
+    assert 900 * 73 > decontam.MAX_LITERALS
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontam.scan(d, b).collect()}
+    left = {r["doc_id"]: r["text"] for r in decontam.clean(d, b).collect()}
+    hit = 0
+    for i, t in docs(spark, SMALL):
+        want = plain_scan(t, own)
+        assert got[i] == want
+        hit += want[1] > 0
+        assert (i in left) == (want[2] < 2) and (want[2] or left[i] == t) and (want[2] != 1 or plain_scan(left[i], own)[1] == 0)
+    assert hit >= 3
 
 
 def plain_fingerprint(t):
