@@ -2,11 +2,15 @@
 
 The tagger is trained in numpy from labelled spans: those that the patterns find in a bounded
 sample of documents, and written variants set into stretches of the same documents. It reads
-windows of `WINDOW` characters that overlap by half. Every kind needs a digit or an at sign, so
-windows with neither can hold no span and are left out: they are judged, not skipped. Spans of
-all windows of a text are reconciled at once: each must pass its kind's check, may not touch a
-pattern's span, and of those that overlap the set with the highest total margin stays (weighted
-interval scheduling).
+windows of `WINDOW` characters that overlap by half. Every kind needs a digit or an at sign, so a
+span has some window with one; a window with neither is read if a span of a window beside it
+reaches its edge. Pieces that edges cut are joined on the text with all pieces of their kind that they meet, so a span may be
+longer than a window. Spans of all windows of a text are reconciled at once: each must pass its
+kind's check, may not touch a pattern's span, and of those that overlap the set with the
+highest total margin stays (weighted interval scheduling).
+
+The tagger is trained on at most `SAMPLE_WINDOWS` windows: a third of them from at most
+`SAMPLE_DOCS` documents, eight of each spread over its whole text, the others written.
 
 Defined results: null and empty texts have no spans; rows with repeated or null doc_id get a row
 each; other columns are ignored; an empty table gives no rows.
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 KINDS = ["email", "ip", "card", "phone"]
 WINDOW, STEP = 64, 32
 #: Documents and windows that the tagger is trained on, at most.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 2000, 1500
+SAMPLE_DOCS, SAMPLE_WINDOWS = 2000, 2400
 
 _AT_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -254,7 +258,7 @@ def windows_of(text: str) -> list[int]:
 
 
 def path_spans(path, margin) -> list[tuple[int, int, int, float]]:
-    """(start, end, kind, margin) of a window's tags."""
+    """(start, end, kind, margin) of a window's tags; one that begins inside stands for a span that the window's edge cuts."""
     out, t = [], 0
     while t < len(path):
         if path[t]:
@@ -268,6 +272,31 @@ def path_spans(path, margin) -> list[tuple[int, int, int, float]]:
     return out
 
 
+def joined(pieces: list[tuple[int, int, int, float, bool]]) -> list[tuple[int, int, int, float]]:
+    """Spans of pieces (start, end, kind, margin, cut): cut ones grow by all pieces of their kind that they meet."""
+    out = [(a, b, k, m) for a, b, k, m, cut in pieces if not cut]
+    for kind in range(len(KINDS)):
+        own, run = sorted(p for p in pieces if p[2] == kind), []
+
+        def done():
+            if any(p[4] for p in run):
+                end, total = run[0][0], 0.0
+                for a, b, _, m, _ in run:
+                    if b > end:
+                        total += m * (b - max(a, end)) / (b - a)
+                        end = b
+                out.append((run[0][0], end, kind, total))
+
+        for p in own:
+            if run and p[0] > max(q[1] for q in run):
+                done()
+                run = []
+            run.append(p)
+        if run:
+            done()
+    return out
+
+
 def reconcile(text: str, proposed: list[tuple[int, int, int, float]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Of all windows' proposals the plausible ones, off the base spans, that don't overlap and have the highest total margin."""
     best: dict[tuple[int, int, int], float] = {}
@@ -294,21 +323,28 @@ def reconcile(text: str, proposed: list[tuple[int, int, int, float]], base: list
 def find_spans(texts: list[str], tagger: Tagger, most: int = 2048) -> list[tuple[list, list]]:
     """Of each text, base spans and added ones."""
     base = [base_spans(t) for t in texts]
-    proposed: list[list] = [[] for _ in texts]
+    pieces: list[list] = [[] for _ in texts]
     todo = [(k, a) for k, t in enumerate(texts) for a in windows_of(t)]
-    for at in range(0, len(todo), most):
-        part = todo[at : at + most]
-        x = np.full((len(part), WINDOW), 4, np.int64)
-        for r, (k, a) in enumerate(part):
-            c = char_classes(texts[k][a : a + WINDOW])
-            x[r, : len(c)] = c
-        path, margin = tagger.decode(x)
-        for r in np.flatnonzero(path.any(axis=1)):
-            k, a = part[r]
-            for s, e, kind, m in path_spans(path[r], margin[r]):
-                if (s or not a) and (e < WINDOW or a + WINDOW >= len(texts[k])):  # what an edge cuts stands whole in the next window
-                    proposed[k].append((a + s, min(a + e, len(texts[k])), kind, m))
-    return [(b, reconcile(t, p, b) if p else []) for t, p, b in zip(texts, proposed, base)]
+    read = set(todo)
+    while todo:
+        further = []
+        for at in range(0, len(todo), most):
+            part = todo[at : at + most]
+            x = np.full((len(part), WINDOW), 4, np.int64)
+            for r, (k, a) in enumerate(part):
+                c = char_classes(texts[k][a : a + WINDOW])
+                x[r, : len(c)] = c
+            path, margin = tagger.decode(x)
+            for r in np.flatnonzero(path.any(axis=1)):
+                k, a = part[r]
+                size = len(texts[k])
+                for s, e, kind, m in path_spans(path[r], margin[r]):
+                    left, right = s == 0 and a > 0, e == WINDOW and a + WINDOW < size
+                    pieces[k].append((a + s, min(a + e, size), kind, m, left or right))
+                    further += [(k, b) for b, cut in ((a - STEP, left), (a + STEP, right)) if cut]
+        todo = sorted(set(further) - read)
+        read.update(todo)
+    return [(b, reconcile(t, joined(p), b) if p else []) for t, p, b in zip(texts, pieces, base)]
 
 
 def written(rng: np.random.Generator, kind: int) -> str:
@@ -317,6 +353,8 @@ def written(rng: np.random.Generator, kind: int) -> str:
     pick = lambda *x: x[rng.integers(len(x))]
     name = lambda k: "".join(chr(97 + c) for c in rng.integers(0, 26, k))
     if kind == 0:
+        if rng.random() < 0.4:  # a long one, often with spaces around the sign
+            return f"{'.'.join(name(rng.integers(3, 12)) for _ in range(rng.integers(1, 4)))}{pick('@', ' @ ', ' @ ')}{'.'.join(name(rng.integers(4, 14)) for _ in range(rng.integers(1, 5)))}.{pick('com', 'net', 'org')}"
         return f"{name(rng.integers(2, 9))}{pick('', '.', '_')}{n(rng.integers(0, 3))}{name(1)}{pick('@', '@', ' @ ')}{name(rng.integers(3, 9))}.{pick('com', 'net', 'org', 'example.com')}"
     if kind == 1:
         return pick(".", ".", "-", ":").join(str(x) for x in rng.integers(0, 256, 4))
@@ -329,12 +367,11 @@ def written(rng: np.random.Generator, kind: int) -> str:
 
 
 def labelled_windows(text: str, most: int = 8) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Stretches of a whole text with the base spans inside them: at most `most` windows with signs, spread over the text, and a plain one from its middle."""
+    """Stretches of a whole text with the base spans in them (those that an edge cuts begin before or end after it): at most `most` windows with signs, spread over the text, and a plain one from its middle."""
     spans, starts, out = base_spans(text), windows_of(text), []
     for a in starts[:: max(1, -(-len(starts) // most))]:
         near = [(s, k, e) for s, k, e in spans if s < a + WINDOW and e > a]
-        if all(s >= a and e <= a + WINDOW for s, _, e in near):
-            out.append((text[a : a + WINDOW], [(s - a, k, e - a) for s, k, e in near]))
+        out.append((text[a : a + WINDOW], [(s - a, k, e - a) for s, k, e in near]))
     middle = max(0, len(text) // 2 - WINDOW // 2)
     stretch = text[middle : middle + WINDOW]
     if stretch and not _SIGN.search(stretch):
@@ -352,16 +389,21 @@ def training_windows(stretches: list[tuple[str, list[tuple[int, int, int]]]], mo
     while len(rows) < most:
         kind = int(rng.integers(4))
         s, host = written(rng, kind), plain[int(rng.integers(len(plain)))]
-        at = int(rng.integers(0, max(1, WINDOW - len(s) - 1)))
-        lead = (host[: at - 1] + " ") if at else ""
-        rows.append(((lead + s + " " + host[at:])[:WINDOW], [(len(lead), kind, len(lead) + len(s))] if len(lead) + len(s) <= WINDOW else []))
+        inside = rng.random() < 0.7 and len(s) < WINDOW
+        at = int(rng.integers(0, max(1, WINDOW - len(s) - 1))) if inside else int(rng.integers(2 - len(s), WINDOW - 1))
+        if at < 0:
+            rows.append(((s[-at:] + " " + host)[:WINDOW], [(at, kind, at + len(s))]))
+        else:
+            lead = (host[: at - 1] + " ") if at else ""
+            rows.append(((lead + s + " " + host[at:])[:WINDOW], [(len(lead), kind, len(lead) + len(s))]))
     x, y = np.full((len(rows), WINDOW), 4, np.int64), np.zeros((len(rows), WINDOW), np.int64)
     for r, (t, spans) in enumerate(rows):
         c = char_classes(t)
         x[r, : len(c)] = c
         for s, k, e in sorted(spans, key=lambda z: -z[1]):
-            y[r, s:e] = 2 + 2 * k
-            y[r, s] = 1 + 2 * k
+            y[r, max(0, s) : e] = 2 + 2 * k
+            if s >= 0:
+                y[r, s] = 1 + 2 * k
     return x, y
 
 
