@@ -1,16 +1,19 @@
 """Quality classifier: random-indexing word vectors pooled per document and a two-layer network.
 
-Random indexing gives each word of the training sample a sparse random index vector; a word's
-own vector is the sum of the index vectors of its neighbours, scaled to length one. Words that
-the sample lacks take the mean vector of the sample's rare words of the same shape. A document
-is the mean of its words' vectors and three facts of its text. The network is trained on four fifths of the
-sample; the temperature of its probabilities is fitted on the other fifth.
+Random indexing gives each word a sparse random index vector; a word's own vector is the sum of the
+index vectors of its neighbours in all documents, scaled to length one. Every word seen `LEAST`
+times or more in the corpus has its own vector; rarer ones share one for each shape (case,
+digits, marks). A document is the mean of its words' vectors and three facts of its
+text. The network is trained on four fifths of a labelled sample; the temperature of its
+probabilities is fitted on the other fifth.
 
-The classifier is fitted on at most `SAMPLE` labelled documents that aren't held out; every
-document is scored, in whole.
+Vectors are summed by task and word, then by word, and stored as a table. Up to `MOST` words, the
+most frequent, go to every task; the others of a text meet their vectors by a shuffled join. Only the
+network is fitted on a sample: at most `SAMPLE` labelled documents that aren't held out, one
+row of each doc_id. Every document is scored, in whole.
 
 Defined results: null and empty texts have a zero vector and are scored from it; a null doc_id
-hashes as the empty text; rows with repeated doc_id get a row each; columns other than doc_id
+hashes as the empty text; rows with repeated doc_id get a row each; of repeated labels the higher counts; columns other than doc_id
 and text are ignored; an empty table gives no rows; without labels of both kinds the score is
 the share of label 1 (0.5 without any).
 """
@@ -18,19 +21,23 @@ the share of label 1 (0.5 without any).
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_mod
+from .common import bounded_sample, crc_mod, stored
+from .suffix_tree import bit_map, in_map
 
-SAMPLE, DIM, NONZERO, REACH, VOCABULARY = 4000, 48, 4, 2, 20_000
+SAMPLE, DIM, NONZERO, REACH, LEAST, MOST = 4000, 32, 4, 2, 5, 1_000_000
+#: Words after which a task hands its sums on, and tokens that are summed together.
+FLUSH, SPAN = 100_000, 1 << 18
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n").findall
-SHAPES = 6
+#: What stands for the rare words of a shape; no token begins like this.
+SHAPES = [f"\0{k}" for k in range(6)]
 
 
 def shape(token: str) -> int:
@@ -39,46 +46,301 @@ def shape(token: str) -> int:
     return 3 if token[0].isdigit() else 4 if len(token) == 1 else 5
 
 
-def index_vector(token: str, dim: int = DIM) -> np.ndarray:
-    """A few entries of +1 and -1 at places that the token's hash seeds."""
-    rng = np.random.default_rng(zlib.crc32(token.encode()))
-    out = np.zeros(dim, np.float32)
-    out[rng.permutation(dim)[:NONZERO]] = rng.choice([-1.0, 1.0], NONZERO)
+def word_hash(token: str) -> int:
+    """As Spark's xxhash64."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(token.encode(errors="replace"), 42)
+
+
+def index_vectors(hashes: np.ndarray) -> np.ndarray:
+    """NONZERO entries of +1 or -1 in each row, at places that the word's hash tells (equal places add up)."""
+    x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    out = np.zeros((len(x), DIM), np.int8)
+    rows = np.arange(len(x))
+    for j in range(NONZERO):
+        out[rows, (x >> np.uint64(64 - 5 * (j + 1))).astype(np.int64) % DIM] += np.where((x >> np.uint64(20 + j)) & np.uint64(1), 1, -1).astype(np.int8)
     return out
 
 
+class Sums:
+    """Of a task's words, counts and sums of neighbours' index vectors."""
+
+    def __init__(self, often: np.ndarray):
+        self.often = often  # a map of the words seen often enough; rare ones that it lets through join their shape when all is summed
+        self.clear()
+
+    def clear(self):
+        self.at: dict[str, int] = {}
+        self.index, self.slot = np.zeros((0, DIM), np.int8), np.zeros(0, np.int64)
+        self.names = list(SHAPES)
+        self.own, self.n = np.zeros((len(SHAPES), DIM), np.int64), np.zeros(len(SHAPES), np.int64)
+
+    def add(self, texts: list[list[str]]) -> None:
+        fresh = list(set().union(*texts) - self.at.keys())
+        if fresh:
+            h = np.array([word_hash(t) for t in fresh], np.uint64)
+            ok = in_map(self.often, h)
+            self.at.update(zip(fresh, range(len(self.at), len(self.at) + len(fresh))))
+            self.index = np.concatenate([self.index, index_vectors(h)])
+            slot = np.where(ok, np.cumsum(ok) + len(self.names) - 1, [shape(t) for t in fresh])
+            self.slot = np.concatenate([self.slot, slot])
+            self.names += [t for t, o in zip(fresh, ok.tolist()) if o]
+            more = len(self.names) - len(self.n)
+            self.own, self.n = np.concatenate([self.own, np.zeros((more, DIM), np.int64)]), np.concatenate([self.n, np.zeros(more, np.int64)])
+        at = self.at
+        i = np.array([at[t] for ts in texts for t in ts], np.int64)
+        if not len(i):
+            return
+        text = np.repeat(np.arange(len(texts)), [len(ts) for ts in texts])
+        x = self.index[i]
+        near = np.zeros((len(i), DIM), np.int16)
+        for r in range(1, REACH + 1):
+            same = (text[r:] == text[:-r])[:, None]
+            near[r:] += x[:-r] * same
+            near[:-r] += x[r:] * same
+        i = self.slot[i]
+        order = np.argsort(i, kind="stable")
+        start = np.flatnonzero(np.concatenate([[True], np.diff(i[order]) > 0]))
+        mine = i[order][start]
+        self.own[mine] += np.add.reduceat(near[order], start, axis=0, dtype=np.int64)
+        self.n[mine] += np.diff([*start, len(i)])
+
+    def rows(self) -> pa.RecordBatch:
+        return _sums(self.names, self.n, self.own)
+
+
+def _sums(names: list[str], n, own: np.ndarray) -> pa.RecordBatch:
+    """Rows of words, counts and sums, a byte for each entry where that holds it, else eight."""
+    small = np.abs(own).max(axis=1, initial=0) < 128
+    packed = [(v.astype(np.int8) if s else v).tobytes() for v, s in zip(own, small)]
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], ["token", "n", "vec"])
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.int8 if len(x) == DIM else np.int64)
+
+
+def _texts(it, size: int):
+    """Token lists of batches' texts, in lists of about `size` tokens; a longer text stands alone."""
+    held, n = [], 0
+    for b in it:
+        for t in b.column("text"):
+            held.append(_TOKENS(t.as_py() or ""))
+            n += len(held[-1])
+            if n >= size:
+                yield held
+                held, n = [], 0
+    yield held
+
+
+def count_tokens(docs: DataFrame) -> DataFrame:
+    """(token, n) over all texts."""
+
+    def batches(it):
+        tally = Counter()
+
+        def flush():
+            got = pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], ["token", "n"])
+            tally.clear()
+            return got
+
+        for texts in _texts(it, SPAN):
+            for t in texts:
+                tally.update(t)
+            if len(tally) > 2 * FLUSH:
+                yield flush()
+        yield flush()
+
+    return docs.select("text").mapInArrow(batches, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def sum_vectors(docs: DataFrame, often: np.ndarray, least: int) -> DataFrame:
+    """(token, n, vec): each word's count and sum, of whole length one in 127ths; of shapes and of words below `least` the sum itself."""
+    sent = docs.sparkSession.sparkContext.broadcast(often)
+
+    def parts(it):
+        sums = Sums(sent.value)
+        for texts in _texts(it, SPAN):
+            sums.add(texts)
+            if len(sums.n) > FLUSH or len(sums.at) > 5 * FLUSH:
+                yield sums.rows()
+                sums.clear()
+        yield sums.rows()
+
+    def whole(it):
+        token, n, v = None, 0, np.zeros(DIM, np.int64)
+        names, counts, packed = [], [], []
+
+        def done():
+            names.append(token)
+            counts.append(n)
+            packed.append(v.tobytes() if n < least or token in SHAPES else quantised(v.astype(float)))
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], ["token", "n", "vec"])
+
+        for b in it:
+            for t, k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if t != token:
+                    if n:
+                        done()
+                    token, n, v = t, 0, np.zeros(DIM, np.int64)
+                n += k
+                v = v + _unpacked(x)
+            if len(names) > 1 << 14:
+                yield rows()
+                names, counts, packed = [], [], []
+        if n:
+            done()
+        yield rows()
+
+    rows = docs.select("text").mapInArrow(parts, "token string, n long, vec binary").where("n > 0")
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(whole, "token string, n long, vec binary")
+
+
+def _shapes(rows: DataFrame) -> np.ndarray:
+    """Vectors of the shapes from the sums of shapes and rare words."""
+
+    def batches(it):
+        own = np.zeros((len(SHAPES), DIM), np.int64)
+        for b in it:
+            for t, x in zip(b.column("token").to_pylist(), b.column("vec").to_pylist()):
+                own[SHAPES.index(t) if t in SHAPES else shape(t)] += np.frombuffer(x, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], ["own"])
+
+    total = np.zeros((len(SHAPES), DIM), np.int64)
+    for r in rows.select("token", "vec").mapInArrow(batches, "own binary").toLocalIterator():  # a row for each task
+        total += np.frombuffer(r["own"], np.int64).reshape(total.shape)
+    return np.stack([np.frombuffer(quantised(v.astype(float)), np.int8) for v in total])
+
+
+def quantised(v: np.ndarray) -> bytes:
+    return np.rint(127 * v / max(1e-9, float(np.sqrt((v * v).sum())))).astype(np.int8).tobytes()
+
+
+@dataclass
 class Vectors:
-    def __init__(self, texts: list[str], least: int = 3):
-        docs = [_TOKENS(t) for t in texts]
-        tally = Counter(t for d in docs for t in d)
-        known = [t for t, n in sorted(tally.items(), key=lambda x: (-x[1], x[0])) if n >= least][:VOCABULARY]
-        self.at = {t: SHAPES + i for i, t in enumerate(known)}
-        index = np.stack([index_vector(f"\0{s}") for s in range(SHAPES)] + [index_vector(t) for t in known])
-        own = np.zeros_like(index)
-        for d in docs:
-            i = self.numbers(d)
-            for r in range(1, REACH + 1):
-                if len(i) > r:
-                    np.add.at(own, i[r:], index[i[:-r]])
-                    np.add.at(own, i[:-r], index[i[r:]])
-        self.table = (own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-
-    def numbers(self, tokens: list[str]) -> np.ndarray:
-        get = self.at.get
-        return np.array([k if (k := get(t)) is not None else shape(t) for t in tokens], np.int64)
-
-    def pool(self, text: str | None) -> np.ndarray:
-        """Mean vector; log length, share of distinct words, share of lines that repeat another."""
-        out = np.zeros(DIM + 3, np.float32)
-        tokens = _TOKENS(text or "")
-        if tokens:
-            i = self.numbers(tokens)
-            for k in range(0, len(i), 1 << 16):
-                out[:DIM] += self.table[i[k : k + (1 << 16)]].sum(axis=0)
-            out[:DIM] *= 8 / len(i)
-            lines = [x for x in text.split("\n") if x.strip()]
-            out[DIM:] = np.log1p(len(i)) / 4 - 1, len(set(tokens)) / len(i), 1 - len(set(lines)) / max(1, len(lines))
-        return out
+    """Words that every task knows with their vectors, and the table of the others (None if there are none)."""
+
+    at: dict[str, int]
+    table: np.ndarray
+    often: np.ndarray
+    rest: DataFrame | None
+
+    def sent(self, spark):
+        return spark.sparkContext.broadcast((self.at, self.table, self.often if self.rest is not None else None))
+
+
+def learn_vectors(docs: DataFrame, least: int = LEAST, most: int = MOST) -> Vectors:
+    """Vectors of all words of docs seen `least` times or more, and of the shapes of the others."""
+    often = stored(count_tokens(docs).where(F.col("n") >= least), "words")
+    bits = bit_map(often.select(F.xxhash64("token").alias("h")), "h")
+    named = stored(sum_vectors(docs, bits, least), "vectors")
+    rare = (F.col("n") < least) | F.col("token").isin(SHAPES)
+    shapes, named = _shapes(named.where(rare)), named.where(~rare)
+    size, total = named.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    edge = 0 if size <= most else -(-total // most)
+    got = named.where(F.col("n") >= edge).select("token", "vec").toArrow()
+    own = {t: np.frombuffer(v, np.int8) for t, v in zip(got.column("token").to_pylist(), got.column("vec").to_pylist())}
+    words = sorted(own)
+    table = np.concatenate([shapes, np.stack([own[t] for t in words]) if words else np.zeros((0, DIM), np.int8)])
+    return Vectors({t: k for k, t in enumerate(words, len(SHAPES))}, table, bits, named.where(F.col("n") < edge) if edge else None)
+
+
+def pool(docs: DataFrame, vectors: Vectors) -> DataFrame:
+    """docs' columns without text, and x: mean vector; log length, share of distinct words, share of lines that repeat another."""
+    keep = [f for f in docs.schema.fields if f.name not in ("text", "_rid")]
+    sent, whole = vectors.sent(docs.sparkSession), vectors.rest is None
+
+    def batches(it):
+        at, table, often = sent.value
+        get = at.get
+        for b in it:
+            sums, tails = np.zeros((len(b), DIM + 4), np.float32), [[] for _ in range(len(b))]
+            for r, t in enumerate(b.column("text")):
+                text = t.as_py() or ""
+                tokens = _TOKENS(text)
+                if not tokens:
+                    continue
+                tally = Counter(tokens)
+                known, n, other = [], [], []
+                for w, k in tally.items():
+                    if (i := get(w)) is None:
+                        other.append((w, k))
+                    else:
+                        known.append(i)
+                        n.append(k)
+                if other:
+                    met = np.zeros(len(other), bool) if often is None else in_map(often, np.array([word_hash(w) for w, _ in other], np.uint64))
+                    for (w, k), m in zip(other, met.tolist()):
+                        if m:
+                            tails[r].append((w, k, shape(w)))
+                        else:
+                            known.append(shape(w))
+                            n.append(k)
+                for k in range(0, len(known), 1 << 16):
+                    sums[r, :DIM] += np.asarray(n[k : k + (1 << 16)], np.float32) @ table[known[k : k + (1 << 16)]].astype(np.float32)
+                lines = [x for x in text.split("\n") if x.strip()]
+                sums[r, DIM:] = len(tokens), np.log1p(len(tokens)) / 4 - 1, len(tally) / len(tokens), 1 - len(set(lines)) / max(1, len(lines))
+            cols = {f.name: b.column(f.name) for f in keep}
+            if whole:
+                yield pa.RecordBatch.from_arrays([*cols.values(), _lists(features(sums))], [*cols, "x"])
+            else:
+                flat = [x for t in tails for x in t]
+                cut = pa.array(np.cumsum([0, *map(len, tails)]), pa.int32())
+                tail = pa.StructArray.from_arrays([pa.array([x[j] for x in flat], k) for j, k in enumerate((pa.string(), pa.int32(), pa.int32()))], ["token", "k", "shape"])
+                yield pa.RecordBatch.from_arrays([b.column("_rid"), *cols.values(), _lists(sums), pa.ListArray.from_arrays(cut, tail)], ["_rid", *cols, "sums", "tail"])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
+    names = [f.name for f in keep]
+    if whole:
+        return docs.select(*names, "text").mapInArrow(batches, f"{own}, x array<float>")
+    rows = docs.select(*names, "text", F.monotonically_increasing_id().alias("_rid")).mapInArrow(batches, f"_rid long, {own}, sums array<float>, tail array<struct<token:string,k:int,shape:int>>")
+    rows = stored(rows, "pooled")
+    tail = rows.select("_rid", F.explode("tail").alias("t")).select("_rid", "t.token", "t.k", "t.shape")
+    found = tail.join(vectors.rest.select("token", "vec"), "token", "left").select("_rid", "k", "shape", "vec").repartition("_rid").sortWithinPartitions("_rid")
+
+    def add(it):
+        _, table, _ = sent.value
+        rid, v = None, np.zeros(DIM)
+        out = []
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), _lists(np.array([x for _, x in out], np.float32).reshape(-1, DIM))], ["_rid", "more"])
+
+        for b in it:
+            for r, k, s, x in zip(*(c.to_pylist() for c in b.columns)):
+                if r != rid:
+                    if rid is not None:
+                        out.append((rid, v))
+                    rid, v = r, np.zeros(DIM)
+                v = v + k * (table[s] if x is None else np.frombuffer(x, np.int8)).astype(float)
+            if len(out) > 1 << 14:
+                yield done()
+                out = []
+        if rid is not None:
+            out.append((rid, v))
+        yield done()
+
+    def finish(it):
+        for b in it:
+            sums = np.stack(b.column("sums").to_pylist()).astype(np.float32) if len(b) else np.zeros((0, DIM + 4), np.float32)
+            for r, m in enumerate(b.column("more").to_pylist()):
+                if m is not None:
+                    sums[r, :DIM] += np.array(m, np.float32)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), _lists(features(sums))], [*names, "x"])
+
+    return rows.drop("tail").join(found.mapInArrow(add, "_rid long, more array<float>"), "_rid", "left").select(*names, "sums", "more").mapInArrow(finish, f"{own}, x array<float>")
+
+
+def features(sums: np.ndarray) -> np.ndarray:
+    """The network's input from sums of vectors, token counts and facts."""
+    return np.concatenate([sums[:, :DIM] * np.float32(8 / 127) / np.maximum(sums[:, DIM : DIM + 1], 1), sums[:, DIM + 1 :]], axis=1)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.astype(np.float32).ravel()))
 
 
 class Network:
@@ -124,28 +386,28 @@ class Constant:
         return np.full(len(x), self.share)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: int = 2, of: int = 4):
-    """Vectors and network from at most `sample` labelled documents (smallest id hash) whose crc32 mod `of` isn't `held_out`."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: int = 2, of: int = 4, least: int = LEAST, most: int = MOST):
+    """Vectors from all of docs, and a network from at most `sample` labelled documents (smallest id hash, one row of each) whose crc32 mod `of` isn't `held_out`."""
+    vectors = learn_vectors(docs, least, most)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (crc_mod(F.col("doc_id"), of) != held_out))
     some = bounded_sample(usable.groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", sample)
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").toPandas().sort_values(["doc_id", "text"])
-    texts, y = got["text"].tolist(), got["quality"].to_numpy()
-    vectors = Vectors(texts)
+    rows = pool(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "quality", "text"), vectors)
+    got = rows.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
+    y = got["quality"].to_numpy()
     if len(set(y)) < 2:
         return vectors, Constant(float(y.mean()) if len(y) else 0.5)
     order = np.random.default_rng(3).permutation(len(y))
-    return vectors, Network(np.stack([vectors.pool(texts[i]) for i in order]), y[order])
+    return vectors, Network(np.stack(got["x"].to_list())[order].astype(float), y[order])
 
 
 def score_quality(docs: DataFrame, model, threshold: float = 0.7, held_out: int = 2, of: int = 4) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # VOCABULARY words and weights of a fixed shape
+    vectors, network = model
 
     def batches(it):
-        vectors, network = sent.value
         for b in it:
-            x = np.stack([vectors.pool(t.as_py()) for t in b.column("text")]) if len(b) else np.zeros((0, DIM + 3))
+            x = np.stack(b.column("x").to_pylist()).astype(float) if len(b) else np.zeros((0, DIM + 3))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(network.predict(x).astype(np.float64))], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, score double")
+    scored = pool(docs.select("doc_id", "text"), vectors).mapInArrow(batches, "doc_id long, score double")
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), of) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
