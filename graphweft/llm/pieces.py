@@ -3,10 +3,13 @@
 For merge-type (BPE) vocabularies whose text normalisation is the identity with an added front
 space. A text is cut where no piece can reach across: before each run of space marks, and around
 control characters that no piece holds. Each stretch is merged on its own and remembered by the
-worker; new stretches are checked against the sentencepiece library, batch by batch.
+worker; new stretches are checked against the sentencepiece library, batch by batch. A stretch that the
+library encodes differently gets the library's ids; the job fails only if there are more than one
+in `DIFFERING` of at least `CHECKED` stretches, as the vocabulary is then of another kind.
 
 Defined results: null and empty texts have no ids and decode to the empty text; rows with
-repeated or null doc_id get a row each; other columns are ignored; an empty table gives no rows.
+repeated or null doc_id get a row each; other columns pass through, but for those named like
+a result, which give way to it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,14 +19,15 @@ import heapq
 import itertools
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
 #: Stretches that a worker remembers; the older half of what it knows goes when there are more.
 REMEMBERED = 500_000
-#: Characters up to which a stretch keeps its agenda as a list of pairs in place; longer ones use a heap.
-SHORT = 40
+#: Stretches from which on, and one in how many of them that may differ from the library's, a worker gives up.
+CHECKED, DIFFERING = 1000, 100
 
 
 class Pieces:
@@ -49,24 +53,13 @@ class Pieces:
         if any(MARK in p.lstrip(MARK) for p in self.ids) or not alone.startswith("\n"):
             raise ValueError("pieces reach across space marks or line ends")
         self.stretches = re.compile(rf"{MARK}+[^{MARK}{alone}]*|[{alone}]|[^{MARK}{alone}]+").findall
+        self.checked = self.differing = 0
         self.new: dict[str, tuple[tuple[int, ...], str]] = {}
         self.old: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def merge(self, text: str) -> list[int]:
         """Symbols start as characters; the adjacent pair of best score (then leftmost) is joined until no pair is a piece."""
-        scores, worst = self.scores, float("inf")
-        if len(text) <= SHORT:
-            get, short = scores.get, list(text)
-            pairs = [get(a + b, worst) for a, b in zip(short, short[1:])]
-            while pairs and (best := min(pairs)) < worst:
-                i = pairs.index(best)
-                short[i] = joined = short[i] + short[i + 1]
-                del short[i + 1], pairs[i]
-                if i:
-                    pairs[i - 1] = get(short[i - 1] + joined, worst)
-                if i < len(pairs):
-                    pairs[i] = get(joined + short[i + 1], worst)
-            return self._numbers(short)
+        scores = self.scores
         symbols: list[str | None] = list(text)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -122,17 +115,22 @@ class Pieces:
         return out
 
     def check(self, stretches: list[str]) -> None:
-        """Raise unless the library encodes the stretches alike; those without a space mark in front follow a line end, which is a byte of its own."""
+        """Compare with the library's ids and take those where they differ; stretches without a space mark in front follow a line end, which is a byte of its own."""
         marked = [s for s in stretches if s[0] == MARK]
         bare = [s for s in stretches if s[0] != MARK]
-        lib = self.library.encode([s[1:] for s in marked], num_threads=1) if marked else []
-        # a lone mark is the empty text to the library, which has no ids for it; the front mark of a text is never alone there
-        wrong = [s for s, ids in zip(marked, lib) if s != MARK and tuple(ids) != self.new[s][0]]
-        front = self.library.encode("\n") if bare else []
-        lib = self.library.encode(["\n" + s for s in bare], num_threads=1) if bare else []
-        wrong += [s for s, ids in zip(bare, lib) if ids[: len(front)] != front or tuple(ids[len(front) :]) != self.new[s][0]]
-        if wrong:
-            raise ValueError(f"the library encodes {wrong[0]!r} differently ({len(wrong)} of {len(stretches)})")
+        told: list[tuple[str, list[int]]] = []
+        if marked:  # a lone mark is the empty text to the library, which has no ids for it; the front mark of a text is never alone there
+            told += [(s, ids) for s, ids in zip(marked, self.library.encode([s[1:] for s in marked], num_threads=1)) if s != MARK]
+        if bare:
+            front = len(self.library.encode("\n"))
+            told += [(s, ids[front:]) for s, ids in zip(bare, self.library.encode(["\n" + s for s in bare], num_threads=1))]
+        for s, ids in told:
+            if tuple(ids) != self.new[s][0]:
+                self.differing += 1
+                self.new[s] = (tuple(ids), ",".join(map(str, ids)))
+        self.checked += len(told)
+        if self.checked >= CHECKED and self.differing * DIFFERING > self.checked:
+            raise ValueError(f"the library encodes {self.differing} of {self.checked} stretches differently")
 
 
 _known: dict[bytes, Pieces] = {}
@@ -159,49 +157,61 @@ def _some(column: pa.Array, most: int = 1 << 20):
         yield texts
 
 
+def _kept(df: DataFrame, *gone: str):
+    fields = [f for f in df.schema.fields if f.name not in gone]
+    return [f.name for f in fields], "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
+
+
 def encode_texts(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     """df with `ids` (array of int) instead of the text."""
-    keep = [f for f in df.schema.fields if f.name != text]
+    keep, schema = _kept(df, text, "ids")
     sent = df.sparkSession.sparkContext.broadcast(model)  # a vocabulary file: its size doesn't follow the data
 
     def batches(it):
         pieces = _pieces(sent.value)
         for b in it:
             ids = [i for texts in _some(b.column(text)) for i, _ in pieces.look_up(texts)]
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(ids, pa.list_(pa.int32()))], [*(f.name for f in keep), "ids"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(ids, pa.list_(pa.int32()))], [*keep, "ids"])
 
-    return df.select(*[f.name for f in keep], text).mapInArrow(batches, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "ids array<int>"]))
+    return df.select(*keep, text).mapInArrow(batches, f"{schema}ids array<int>")
 
 
 def decode_ids(df: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
     """df with `text` instead of the ids."""
-    keep = [f for f in df.schema.fields if f.name != ids]
+    keep, schema = _kept(df, ids, "text")
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def batches(it):
         lib = _pieces(sent.value).library
         for b in it:
             texts = [lib.decode(x.as_py() or []) for x in b.column(ids)]
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(texts, pa.string())], [*(f.name for f in keep), "text"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(texts, pa.string())], [*keep, "text"])
 
-    return df.select(*[f.name for f in keep], ids).mapInArrow(batches, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "text string"]))
+    return df.select(*keep, ids).mapInArrow(batches, f"{schema}text string")
 
 
-def round_trip(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
-    """df without the text, with n_tokens, ids_sha256 and decoded_sha256: encoded and decoded in one go, so that no ids leave the worker."""
-    keep = [f for f in df.schema.fields if f.name != text]
+def round_trip(df: DataFrame, model: bytes, text: str = "text", with_ids: bool = False) -> DataFrame:
+    """df without the text, with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids: encoded and decoded in one go."""
+    keep, schema = _kept(df, text, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else []))
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def batches(it):
         pieces = _pieces(sent.value)
         decode, sha = pieces.library.decode, hashlib.sha256
         for b in it:
-            n, a, d = [], [], []
+            n, a, d, all_ids = [], [], [], []
             for texts in _some(b.column(text)):
                 for ids, told in pieces.look_up(texts):
                     n.append(len(ids))
                     a.append(sha(told.encode()).hexdigest())
                     d.append(sha(decode(ids).encode() if ids else b"").hexdigest())
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], [*(f.name for f in keep), "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return df.select(*[f.name for f in keep], text).mapInArrow(batches, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "n_tokens long, ids_sha256 string, decoded_sha256 string"]))
+                    if with_ids:
+                        all_ids.append(np.array(ids, np.int32))
+            cols = [*(b.column(x) for x in keep), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
+            names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *all_ids]))))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return df.select(*keep, text).mapInArrow(batches, f"{schema}n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' if with_ids else ''}")
