@@ -6,8 +6,9 @@ as ordered `when` branches.
 
 Defined results: null and empty texts have no words, so all counts are 0 and base_failed is
 true. Rows with repeated or null doc_id are judged one by one. With no usable labels the list
-is empty and every text that passes the base rule is kept. Columns other than the id and the
-text are ignored by `measure` and survive `keep_good`.
+is empty and every text that passes the base rule is kept; of repeated labels the higher counts. Columns
+other than the id and the text survive `keep_good`; in `measure` and `judge` those named like a measure (or `_n`, `_lines`,
+`_words`, `kept`) give way to it.
 """
 
 from __future__ import annotations
@@ -157,9 +158,11 @@ def learn_list(x: np.ndarray, rejected: np.ndarray, precision: float = 0.85, mos
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[Condition]]:
     """The decision list for labels.quality = 0, from at most `sample` labelled documents (those of smallest id hash)."""
-    some = bounded_sample(labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", "quality").distinct(), "doc_id", sample)
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    some = bounded_sample(usable.groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", sample)
     rows = measure(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"))
-    got = rows.select("doc_id", "quality", "base_failed", *FACTS).toPandas().sort_values(["doc_id", "quality", *FACTS])
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("quality", "base_failed", *FACTS)).alias("r"))  # however many rows an id has
+    got = one.select("doc_id", "r.*").toPandas().sort_values("doc_id")
     got = got[~got["base_failed"]]
     return learn_list(got[FACTS].to_numpy(float), got["quality"].to_numpy() == 0)
 
