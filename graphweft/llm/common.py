@@ -27,11 +27,34 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_stored: list[str] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written(df: DataFrame, label: str, before: int) -> DataFrame:
+    """df as `stored` has it; what was stored since there were `before` tables, to compute df, is then removed."""
+    out = stored(df, label)
+    spark, own = df.sparkSession, _stored[-1]
+    for path in _stored[before:-1]:
+        remove(spark, path)
+    _stored[before:] = [own]
+    return out
+
+
+def tables_stored() -> int:
+    return len(_stored)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: computed once, lineage cut, safe against lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphweft/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

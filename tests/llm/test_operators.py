@@ -86,6 +86,73 @@ def test_pii_adds_spans_and_keeps_base(spark, odd, empty):
         assert len(told) == r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] + r["n_added"]
 
 
+def test_pii_added_spans_by_kind(spark):
+    """Held-out written variants that the patterns miss, also longer than a window's half and than a window: recall and precision of each kind."""
+    tagger = pii.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    rng = np.random.default_rng(99)
+    plain = "the of and in to thanedble attion that onea reed".split()
+    say = lambda n: " ".join(plain[int(k)] for k in rng.integers(0, len(plain), n))
+    for kind in range(4):
+        hit = n = wrong = long_hit = long_n = 0
+        for i in range(150):
+            s = pii.written(rng, kind)
+            if kind == 0 and i % 3 == 0:
+                s = ".".join(["surname"] * 2) + " @ " + ".".join("department" for _ in range(2 + i % 5)) + ".org"
+            text = f"{say(int(rng.integers(1, 40)))} {s} {say(20)}"
+            a = text.index(s)
+            base, added = pii.find_spans([text], tagger)[0]
+            if (a, kind, a + len(s)) in base:
+                continue
+            ok = (a, kind, a + len(s)) in added
+            n, hit, wrong = n + 1, hit + ok, wrong + len(added) - ok
+            if len(s) > 31:
+                long_n, long_hit = long_n + 1, long_hit + ok
+        assert n > 30 and hit >= 0.8 * n and wrong <= 0.1 * n, (kind, n, hit, wrong)
+        assert kind or (long_n > 40 and long_hit >= 0.9 * long_n), (long_n, long_hit)
+
+
+def test_pii_digests_of_the_query(spark):
+    table = dict(docs(spark, SMALL))
+    names = ["email", "ip", "card", "phone"]
+    told = lambda spans: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(spans))
+    for r in queries.op1_pii(spark, SMALL).collect():
+        base = plain_base(table[r["doc_id"]] or "")
+        assert [r[f"n_{n}"] for n in names] == [sum(k == i for _, k, _ in base) for i in range(4)] and r["base_sha256"] == sha(told(base))
+        spans = [s for s in r["spans"].split(",") if s]
+        assert set(told(base).split(",")) - {""} <= set(spans) and len(spans) == len(base) + r["n_added"]
+
+
+def test_pii_decoding_against_all_paths():
+    rng = np.random.default_rng(3)
+    t = pii.Tagger(hidden=3)
+    for k in t.p:
+        t.p[k] = rng.normal(0, 1, t.p[k].shape)
+    x = rng.integers(0, pii.CLASSES, (3, 4))
+    path, _ = t.decode(x)
+    e = t.emissions(x.T)
+    for r in range(3):
+        total = t.p["start"][:, None, None, None] + e[0, r][:, None, None, None] + t.p["trans"][:, :, None, None] + e[1, r][None, :, None, None]
+        total = total + t.p["trans"][None, :, :, None] + e[2, r][None, None, :, None] + t.p["trans"][None, None, :, :] + e[3, r][None, None, None, :]
+        assert tuple(path[r]) == np.unravel_index(total.argmax(), total.shape)
+
+
+def test_reconcile_against_all_subsets(monkeypatch):
+    monkeypatch.setattr(pii, "_plausible", lambda *a: True)
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        spans = [(int(a), int(a + n), int(k), float(m)) for a, n, k, m in zip(rng.integers(0, 30, 7), rng.integers(1, 12, 7), rng.integers(0, 4, 7), rng.random(7) * 5)]
+        base = [(4, 1, 7)]
+        best = 0.0
+        free = [s for s in spans if not (s[0] < 7 and s[1] > 4)]
+        for mask in range(1 << len(free)):
+            own = sorted(s for i, s in enumerate(free) if mask >> i & 1)
+            if all(x[1] <= y[0] for x, y in zip(own, own[1:])):
+                best = max(best, sum(s[3] for s in own))
+        got = pii.reconcile("x" * 50, spans, base)
+        margin = {(a, k, b): max(s[3] for s in spans if (s[0], s[2], s[1]) == (a, k, b)) for a, k, b in got}
+        assert abs(sum(margin.values()) - best) < 1e-9
+
+
 def test_pii_gradients_are_right():
     rng = np.random.default_rng(0)
     x, y = rng.integers(0, pii.CLASSES, (5, 3)), rng.integers(0, pii.TAGS, (5, 3))
@@ -321,6 +388,39 @@ def test_pipeline_drops_short_boilerplate(spark):
     assert got[0] == rows[0][1] and all(got[i] == f"own words of text {i} here\n" for i in range(1, 12)) and got[20] == got[21] == "on two sites"
 
 
+@pytest.mark.parametrize("most", [1_000_000, 300])
+def test_quality_against_plain(spark, most):
+    """Vectors, pooled features and scores from plain dictionaries; with `most`, most words meet their vectors by a join."""
+    d, lab = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = quality.fit(d, lab, most=most)
+    tokens = {i: re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n", t or "") for i, t in docs(spark, SMALL)}
+    n = Counter(w for t in tokens.values() for w in t)
+    name = {w: w if k >= quality.LEAST else quality.SHAPES[quality.shape(w)] for w, k in n.items()}
+    index = {w: quality.index_vectors(np.array([quality.word_hash(w)], np.uint64))[0].astype(int) for w in n}
+    own = {w: np.zeros(quality.DIM, int) for w in name.values()}
+    for t in tokens.values():
+        for i, w in enumerate(t):
+            for j in range(max(0, i - 2), min(len(t), i + 3)):
+                if j != i:
+                    own[name[w]] += index[t[j]]
+    vec = {w: np.frombuffer(quality.quantised(v.astype(float)), np.int8).astype(float) for w, v in own.items()}
+    texts = dict(docs(spark, SMALL))
+    network = model[1]
+    for r in quality.score_quality(d, model).collect():
+        t, tk = texts[r["doc_id"]] or "", tokens[r["doc_id"]]
+        x = np.zeros(quality.DIM + 3)
+        if tk:
+            ls = [s for s in t.split("\n") if s.strip()]
+            x[: quality.DIM] = 8 / 127 * sum(vec[name[w]] for w in tk) / len(tk)
+            x[quality.DIM :] = np.log1p(len(tk)) / 4 - 1, len(set(tk)) / len(tk), 1 - len(set(ls)) / max(1, len(ls))
+        h = np.tanh((x - network.mean) / network.scale @ network.p[0] + network.p[1])
+        want = 1 / (1 + np.exp(-(h @ network.p[2] + network.p[3]) / network.temperature))
+        assert abs(r["score"] - float(want[0])) < 1e-4 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+    twice = lab.unionByName(lab.select("doc_id", F.lit(0).alias("quality"), "toxic"))
+    again = quality.fit(d.unionByName(d), twice, most=most)  # repeated rows and labels: one of each
+    assert again[1].p[0].shape == network.p[0].shape
+
+
 def test_quality_held_out(spark, odd, empty):
     sf = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -492,13 +592,9 @@ def test_masks_cover():
         assert any(not m & diff for m in masks)
 
 
-def test_pipeline_drops_near_copies(spark, odd, empty):
-    import corpus_pipeline as p
-
-    stage = dict(p.STAGES)["SimHash near-dedup"]
-    d = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = sorted(docs(spark, SF))
-    kept = {r["doc_id"] for r in p.near_dedup(spark, d, SF).collect()}
+def plain_near(rows):
+    """doc_ids of (doc_id, text) rows that near-dedup keeps: of close fingerprints, then of alike shingle sets, the least of each component."""
+    kept = set(plain_components([(i, plain_fingerprint(t)) for i, t in rows]))
     sets = {}
     for i, t in rows:
         w = (t or "").encode().lower().split()
@@ -512,13 +608,63 @@ def test_pipeline_drops_near_copies(spark, odd, empty):
                 if min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                     root[i] = root[j] = min(root[i], root[j])
         if before == root:
-            break
-    want = {i for i in kept if root[i] == i}
+            return kept, {i for i in kept if root[i] == i}
+
+
+def plain_clean(t, bench):
+    """The text less its hit words, each with what follows up to the next word."""
+    cut = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = (t or "").translate({c: c + 32 for c in range(65, 91)})
+    w = list(cut.finditer(low))
+    words, gone = [m.group() for m in w], set()
+    for i, b in bench:
+        g = cut.findall((b or "").translate({c: c + 32 for c in range(65, 91)}))
+        m = min(8, len(g))
+        grams = {tuple(g[k : k + m]) for k in range(len(g) - m + 1)} if g and i is not None else set()
+        gone |= {p + k for p in range(len(words) - m + 1) if m and tuple(words[p : p + m]) in grams for k in range(m)}
+    if not gone:
+        return t
+    ends = [m.start() for m in w[1:]] + [len(t)]
+    return t[: w[0].start()] + "".join(t[m.start() : e] for k, (m, e) in enumerate(zip(w, ends)) if k not in gone)
+
+
+def test_pipeline_drops_near_copies(spark, odd, empty):
+    import corpus_pipeline as p
+
+    stage = dict(p.STAGES)["SimHash near-dedup"]
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    kept, want = plain_near(sorted(docs(spark, SF)))
     got = {r["doc_id"] for r in stage(spark, d, SF).collect()}
     assert got == want and len(want) < len(kept), (len(kept), len(want), got ^ want)
     assert stage(spark, odd, SF).columns == odd.columns and stage(spark, empty, SF).count() == 0
 
 
+def test_whole_pipeline_against_plain(spark, odd, tmp_path):
+    import corpus_pipeline as p
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_proto=queries.model_bytes())
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    good = {r["doc_id"] for r in queries.op8_quality_rules(spark, SMALL).where("kept").collect()}
+    rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source").collect() if r["doc_id"] in good]
+    rows = list(plain_lines(rows))
+    rows = [r for r in rows if r[0] in plain_near(sorted(rows))[1]]
+    rows = [(i, plain_clean(t, bench)) for i, t in rows if plain_scan(t, bench)[2] < 2]
+    got = p.run(spark, SMALL)
+    assert got.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    got = {r["doc_id"]: r for r in got.collect()}
+    assert set(got) == {i for i, _ in rows} and len(rows) > 50
+    for i, t in rows:
+        ids = lib.encode(t)
+        assert got[i]["ids"] == ids and got[i]["n_tokens"] == len(ids) and got[i]["decoded_sha256"] == sha(lib.decode(ids))
+    for name, d in (("odd", odd), ("empty", odd.limit(0))):
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{SMALL}/{other}.parquet").limit(0 if name == "empty" else 1000).write.parquet(f"{tmp_path}/{name}/{other}.parquet")
+        out = p.run(spark, f"{tmp_path}/{name}")
+        assert out.columns == [c for c in odd.columns if c not in ("text", "n_tokens")] + ["n_tokens", "ids_sha256", "decoded_sha256", "ids"] and (out.count() > 0) == (name == "odd")
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
@@ -543,4 +689,3 @@ def test_pipeline_stages(spark):
             assert four[i] == t
         elif n == 1:
             assert plain_scan(four[i], bench)[1] == 0
-    assert p.run(spark, SMALL).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
