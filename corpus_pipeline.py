@@ -1,17 +1,16 @@
-"""From raw documents to token counts: five stages, each written as Parquet and read again by the next.
+"""From raw documents to tokens: five stages, each written as Parquet and read again by the next.
 
 quality rules, line dedup, SimHash near-dedup, benchmark decontamination, SentencePiece encoding
-and decoding. All but the last return the columns of documents.
+and decoding. All but the last return the columns of documents; the last gives `ids` (the tokens), their number and
+digests instead of the text. A stage's input and what it stored on the way are removed once its output is written.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from graphweft.llm import decontam, lines, near, pieces, rules, simhash
-from graphweft.llm.common import shared_dir, table
+from graphweft.llm.common import table, tables_stored, written
 from graphweft.llm.queries import model_bytes
 
 
@@ -37,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sentencepiece_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.round_trip(docs.select("doc_id", "text"), model_bytes())
+    return pieces.round_trip(docs, model_bytes(), with_ids=True)
 
 
 STAGES = [
@@ -53,9 +52,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), tables_stored()
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{shared_dir(spark)}/graphweft/pipeline-{uuid.uuid4().hex}-{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{k}", before)
     return docs
