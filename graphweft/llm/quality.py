@@ -34,7 +34,7 @@ from .suffix_tree import bit_map, in_map
 
 SAMPLE, DIM, NONZERO, REACH, LEAST, MOST = 4000, 32, 4, 2, 5, 1_000_000
 #: Words after which a task hands its sums on, and tokens that are summed together.
-FLUSH, SPAN = 100_000, 1 << 18
+FLUSH, SPAN = 400_000, 1 << 18
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n").findall
 #: What stands for the rare words of a shape; no token begins like this.
 SHAPES = [f"\0{k}" for k in range(6)]
@@ -71,54 +71,70 @@ class Sums:
         self.clear()
 
     def clear(self):
-        self.at: dict[str, int] = {}
-        self.index, self.slot = np.zeros((0, DIM), np.int8), np.zeros(0, np.int64)
+        self.at: dict[str, int] = {}  # words that the map lets through; others are looked at anew each time
         self.names = list(SHAPES)
-        self.own, self.n = np.zeros((len(SHAPES), DIM), np.int64), np.zeros(len(SHAPES), np.int64)
+        self.index = index_vectors(np.zeros(len(SHAPES), np.uint64))
+        self.own, self.n, self.used = np.zeros((1024, DIM), np.int32), np.zeros(1024, np.int64), len(SHAPES)
 
     def add(self, texts: list[list[str]]) -> None:
         fresh = list(set().union(*texts) - self.at.keys())
+        rare: dict[str, int] = {}
+        index = self.index
         if fresh:
             h = np.array([word_hash(t) for t in fresh], np.uint64)
             ok = in_map(self.often, h)
-            self.at.update(zip(fresh, range(len(self.at), len(self.at) + len(fresh))))
-            self.index = np.concatenate([self.index, index_vectors(h)])
-            slot = np.where(ok, np.cumsum(ok) + len(self.names) - 1, [shape(t) for t in fresh])
-            self.slot = np.concatenate([self.slot, slot])
-            self.names += [t for t, o in zip(fresh, ok.tolist()) if o]
-            more = len(self.names) - len(self.n)
-            self.own, self.n = np.concatenate([self.own, np.zeros((more, DIM), np.int64)]), np.concatenate([self.n, np.zeros(more, np.int64)])
-        at = self.at
-        i = np.array([at[t] for ts in texts for t in ts], np.int64)
+            new = [t for t, o in zip(fresh, ok.tolist()) if o]
+            self.at.update(zip(new, range(self.used, self.used + len(new))))
+            self.names += new
+            self.used += len(new)
+            self.index = np.concatenate([self.index, index_vectors(h[ok])])
+            if self.used > len(self.n):
+                more = max(self.used, 2 * len(self.n)) - len(self.n)
+                self.own, self.n = np.concatenate([self.own, np.zeros((more, DIM), np.int32)]), np.concatenate([self.n, np.zeros(more, np.int64)])
+            odd = [t for t, o in zip(fresh, ok.tolist()) if not o]
+            rare = dict(zip(odd, range(self.used, self.used + len(odd))))
+            index = np.concatenate([self.index, index_vectors(h[~ok])])
+        at = {**self.at, **rare} if len(rare) < len(self.at) // 8 else None
+        get, more_of = self.at.get, rare.get
+        i = np.array([at[t] for ts in texts for t in ts] if at else [k if (k := get(t)) is not None else more_of(t) for ts in texts for t in ts], np.int64)
         if not len(i):
             return
         text = np.repeat(np.arange(len(texts)), [len(ts) for ts in texts])
-        x = self.index[i]
-        near = np.zeros((len(i), DIM), np.int16)
+        x = index[i]
+        near = np.zeros((len(i), DIM), np.int8)
         for r in range(1, REACH + 1):
-            same = (text[r:] == text[:-r])[:, None]
-            near[r:] += x[:-r] * same
-            near[:-r] += x[r:] * same
-        i = self.slot[i]
-        order = np.argsort(i, kind="stable")
-        start = np.flatnonzero(np.concatenate([[True], np.diff(i[order]) > 0]))
-        mine = i[order][start]
-        self.own[mine] += np.add.reduceat(near[order], start, axis=0, dtype=np.int64)
+            cut = np.flatnonzero(text[r:] != text[:-r])  # neighbours in another text
+            forth, back = x[:-r].copy(), x[r:].copy()
+            forth[cut] = 0
+            back[cut] = 0
+            near[r:] += forth
+            near[:-r] += back
+        slot = np.concatenate([np.arange(self.used), [shape(t) for t in rare]]).astype(np.int64)[i]
+        order = np.argsort(slot, kind="stable")
+        start = np.flatnonzero(np.concatenate([[True], np.diff(slot[order]) > 0]))
+        mine = slot[order][start]
+        self.own[mine] += np.add.reduceat(near[order], start, axis=0, dtype=np.int32)
         self.n[mine] += np.diff([*start, len(i)])
 
     def rows(self) -> pa.RecordBatch:
-        return _sums(self.names, self.n, self.own)
+        """Words, counts and sums: the lowest eight bits, signed, and, where that isn't all, what is above them."""
+        own = self.own[: self.used]
+        low = (own + 128 & 255) - 128
+        high = own - low >> 8
+        some = high.any(axis=1)
+        upper = [high[k].tobytes() if o else None for k, o in enumerate(some.tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(self.names, pa.string()), pa.array(self.n[: self.used]), _binary(low.astype(np.int8)), pa.array(upper, pa.binary())], ["token", "n", "low", "high"])
 
 
-def _sums(names: list[str], n, own: np.ndarray) -> pa.RecordBatch:
-    """Rows of words, counts and sums, a byte for each entry where that holds it, else eight."""
-    small = np.abs(own).max(axis=1, initial=0) < 128
-    packed = [(v.astype(np.int8) if s else v).tobytes() for v, s in zip(own, small)]
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], ["token", "n", "vec"])
+def _binary(x: np.ndarray) -> pa.Array:
+    """Rows of bytes as one binary column."""
+    offsets = (np.arange(len(x) + 1) * x.shape[1] * x.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))])
 
 
-def _unpacked(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, np.int8 if len(x) == DIM else np.int64)
+def _matrix(column: pa.Array, kind) -> np.ndarray:
+    """A binary column of equally long values as rows."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), DIM)
 
 
 def _texts(it, size: int):
@@ -148,7 +164,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         for texts in _texts(it, SPAN):
             for t in texts:
                 tally.update(t)
-            if len(tally) > 2 * FLUSH:
+            if len(tally) > FLUSH:
                 yield flush()
         yield flush()
 
@@ -156,47 +172,45 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 
 def sum_vectors(docs: DataFrame, often: np.ndarray, least: int) -> DataFrame:
-    """(token, n, vec): each word's count and sum, of whole length one in 127ths; of shapes and of words below `least` the sum itself."""
+    """(token, n, vec, raw): each word's count and sum, of whole length one in 127ths; of shapes and of words below `least` the sum itself too."""
     sent = docs.sparkSession.sparkContext.broadcast(often)
 
     def parts(it):
         sums = Sums(sent.value)
         for texts in _texts(it, SPAN):
             sums.add(texts)
-            if len(sums.n) > FLUSH or len(sums.at) > 5 * FLUSH:
+            if sums.used > FLUSH:
                 yield sums.rows()
                 sums.clear()
         yield sums.rows()
 
     def whole(it):
-        token, n, v = None, 0, np.zeros(DIM, np.int64)
-        names, counts, packed = [], [], []
-
-        def done():
-            names.append(token)
-            counts.append(n)
-            packed.append(v.tobytes() if n < least or token in SHAPES else quantised(v.astype(float)))
-
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], ["token", "n", "vec"])
-
+        held = None  # the last word's count and sum: more of it may follow
         for b in it:
-            for t, k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if t != token:
-                    if n:
-                        done()
-                    token, n, v = t, 0, np.zeros(DIM, np.int64)
-                n += k
-                v = v + _unpacked(x)
-            if len(names) > 1 << 14:
-                yield rows()
-                names, counts, packed = [], [], []
-        if n:
-            done()
-        yield rows()
-
-    rows = docs.select("text").mapInArrow(parts, "token string, n long, vec binary").where("n > 0")
-    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(whole, "token string, n long, vec binary")
+            tokens = b.column("token").to_pylist()
+            sums, n = _matrix(b.column("low"), np.int8).astype(np.int64), b.column("n").to_numpy()
+            for k, x in enumerate(b.column("high").to_pylist()):
+                if x is not None:
+                    sums[k] += np.frombuffer(x, np.int32).astype(np.int64) << 8
+            if held is not None:
+                tokens, n, sums = [held[0], *tokens], np.concatenate([[held[1]], n]), np.concatenate([held[2][None], sums])
+            if not tokens:
+                continue
+            start = np.flatnonzero([True, *(x != y for x, y in zip(tokens, tokens[1:]))])
+            n, sums = np.add.reduceat(n, start), np.add.reduceat(sums, start, axis=0)
+            names = [tokens[k] for k in start.tolist()]
+            held = names[-1], n[-1], sums[-1]
+            yield done(names[:-1], n[:-1], sums[:-1])
+        if held is not None:
+            yield done([held[0]], np.array([held[1]]), held[2][None])
+
+    def done(names, n, sums):
+        raw = (n < least) | np.array([x in SHAPES for x in names], bool)
+        packed = [s.tobytes() if r else None for s, r in zip(sums, raw.tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64()), _binary(quantised(sums)), pa.array(packed, pa.binary())], ["token", "n", "vec", "raw"])
+
+    rows = docs.select("text").mapInArrow(parts, "token string, n long, low binary, high binary").where("n > 0")
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(whole, "token string, n long, vec binary, raw binary")
 
 
 def _shapes(rows: DataFrame) -> np.ndarray:
@@ -205,18 +219,20 @@ def _shapes(rows: DataFrame) -> np.ndarray:
     def batches(it):
         own = np.zeros((len(SHAPES), DIM), np.int64)
         for b in it:
-            for t, x in zip(b.column("token").to_pylist(), b.column("vec").to_pylist()):
+            for t, x in zip(b.column("token").to_pylist(), b.column("raw").to_pylist()):
                 own[SHAPES.index(t) if t in SHAPES else shape(t)] += np.frombuffer(x, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], ["own"])
 
     total = np.zeros((len(SHAPES), DIM), np.int64)
-    for r in rows.select("token", "vec").mapInArrow(batches, "own binary").toLocalIterator():  # a row for each task
+    for r in rows.select("token", "raw").mapInArrow(batches, "own binary").toLocalIterator():  # a row for each task
         total += np.frombuffer(r["own"], np.int64).reshape(total.shape)
-    return np.stack([np.frombuffer(quantised(v.astype(float)), np.int8) for v in total])
+    return quantised(total)
 
 
-def quantised(v: np.ndarray) -> bytes:
-    return np.rint(127 * v / max(1e-9, float(np.sqrt((v * v).sum())))).astype(np.int8).tobytes()
+def quantised(v: np.ndarray) -> np.ndarray:
+    """Rows of whole length one, in 127ths."""
+    v = v.astype(float)
+    return np.rint(127 * v / np.maximum(1e-9, np.sqrt((v * v).sum(axis=1, keepdims=True)))).astype(np.int8)
 
 
 @dataclass
@@ -244,7 +260,7 @@ def learn_vectors(docs: DataFrame, least: int = LEAST, most: int = MOST) -> Vect
     got = named.where(F.col("n") >= edge).select("token", "vec").toArrow()
     own = {t: np.frombuffer(v, np.int8) for t, v in zip(got.column("token").to_pylist(), got.column("vec").to_pylist())}
     words = sorted(own)
-    table = np.concatenate([shapes, np.stack([own[t] for t in words]) if words else np.zeros((0, DIM), np.int8)])
+    table = np.concatenate([shapes, np.stack([own[t] for t in words]) if words else np.zeros((0, DIM), np.int8), np.zeros((1, DIM), np.int8)])  # zeros at the end
     return Vectors({t: k for k, t in enumerate(words, len(SHAPES))}, table, bits, named.where(F.col("n") < edge) if edge else None)
 
 
@@ -258,31 +274,30 @@ def pool(docs: DataFrame, vectors: Vectors) -> DataFrame:
         get = at.get
         for b in it:
             sums, tails = np.zeros((len(b), DIM + 4), np.float32), [[] for _ in range(len(b))]
-            for r, t in enumerate(b.column("text")):
-                text = t.as_py() or ""
-                tokens = _TOKENS(text)
-                if not tokens:
-                    continue
-                tally = Counter(tokens)
-                known, n, other = [], [], []
-                for w, k in tally.items():
-                    if (i := get(w)) is None:
-                        other.append((w, k))
-                    else:
-                        known.append(i)
-                        n.append(k)
-                if other:
-                    met = np.zeros(len(other), bool) if often is None else in_map(often, np.array([word_hash(w) for w, _ in other], np.uint64))
-                    for (w, k), m in zip(other, met.tolist()):
-                        if m:
-                            tails[r].append((w, k, shape(w)))
-                        else:
-                            known.append(shape(w))
-                            n.append(k)
-                for k in range(0, len(known), 1 << 16):
-                    sums[r, :DIM] += np.asarray(n[k : k + (1 << 16)], np.float32) @ table[known[k : k + (1 << 16)]].astype(np.float32)
-                lines = [x for x in text.split("\n") if x.strip()]
-                sums[r, DIM:] = len(tokens), np.log1p(len(tokens)) / 4 - 1, len(tally) / len(tokens), 1 - len(set(lines)) / max(1, len(lines))
+            r = 0
+            for texts in _texts([b], SPAN):
+                i = np.array([get(t, -1) for ts in texts for t in ts], np.int64)
+                lens = np.array([len(ts) for ts in texts])
+                odd = np.flatnonzero(i < 0)
+                if len(odd):
+                    at_text = np.searchsorted(np.cumsum(lens), odd, side="right")
+                    flat = [t for ts in texts for t in ts]
+                    other = [flat[k] for k in odd.tolist()]
+                    i[odd] = [shape(t) for t in other]
+                    if often is not None:
+                        met = in_map(often, np.array([word_hash(t) for t in other], np.uint64))
+                        for k, t, w in zip(odd[met].tolist(), at_text[met].tolist(), [w for w, m in zip(other, met.tolist()) if m]):
+                            tails[r + t].append((w, 1, int(i[k])))
+                            i[k] = len(table) - 1  # a row of zeros
+                x = table[i].astype(np.float32)
+                full = np.flatnonzero(lens)
+                if len(full):
+                    sums[r + full, :DIM] = np.add.reduceat(x, (np.cumsum(lens) - lens)[full], axis=0)
+                for k, ts in enumerate(texts):
+                    if ts:
+                        lines = [y for y in (b.column("text")[r + k].as_py()).split("\n") if y.strip()]
+                        sums[r + k, DIM:] = len(ts), np.log1p(len(ts)) / 4 - 1, len(set(ts)) / len(ts), 1 - len(set(lines)) / max(1, len(lines))
+                r += len(texts)
             cols = {f.name: b.column(f.name) for f in keep}
             if whole:
                 yield pa.RecordBatch.from_arrays([*cols.values(), _lists(features(sums))], [*cols, "x"])

@@ -403,7 +403,7 @@ def test_quality_against_plain(spark, most):
             for j in range(max(0, i - 2), min(len(t), i + 3)):
                 if j != i:
                     own[name[w]] += index[t[j]]
-    vec = {w: np.frombuffer(quality.quantised(v.astype(float)), np.int8).astype(float) for w, v in own.items()}
+    vec = {w: quality.quantised(v[None])[0].astype(float) for w, v in own.items()}
     texts = dict(docs(spark, SMALL))
     network = model[1]
     for r in quality.score_quality(d, model).collect():
