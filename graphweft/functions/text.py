@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that carry no meaning of their own.
-STOP = ["the", "and", "for", "with", "that", "this", "from", "was", "are", "is", "of", "to", "in", "a", "an", "it", "on", "by", "be", "or", "as", "at"]
+# Words that a question's terms leave out.
+STOP = [
+    "the", "and", "was", "were", "why", "what", "when", "how", "where", "who", "which", "does", "did", "do", "is", "are", "for", "from", "with", "this", "that", "have", "has", "had", "been", "being", "not",
+    "can", "could", "would", "should", "will", "about", "into", "than", "then", "there", "their", "they", "you", "your", "its", "it", "of", "on", "in", "at", "to", "by", "as", "or", "if", "but", "so", "up",
+    "out", "get", "use", "used", "using", "know", "tell", "explain", "introduce", "introduced", "added", "remove", "removed", "change", "changed", "happen", "happened", "still", "ever", "since",
+]
+# Words of a commit subject that say nothing of its cluster.
+GLUE = ["with", "from", "into", "when", "this", "that", "then", "they", "them", "have", "will", "make", "makeit", "maked", "more", "also", "only", "just", "some", "very"]
 
 
 def tokens(text: Column) -> Column:
@@ -16,8 +22,19 @@ def tokens(text: Column) -> Column:
 
 
 def significant(text: Column) -> Column:
-    """Distinct [a-z0-9] runs of at least four characters."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) >= 4))
+    """[a-z0-9] runs of at least four characters that aren't glue words, sorted, repeats included."""
+    glue = F.array(*map(F.lit, GLUE))
+    return F.array_sort(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: (F.length(t) >= 4) & ~F.array_contains(glue, t)))
+
+
+def name_tokens(name: Column) -> Column:
+    return F.regexp_extract_all(F.lower(name), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    """1 for equal names, else the Jaccard similarity of their token sets, 0 where one has none."""
+    x, y = F.array_distinct(name_tokens(a)), F.array_distinct(name_tokens(b))
+    return F.when(a == b, 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
 def token_estimate(text: Column) -> Column:
@@ -33,25 +50,37 @@ def entropy(text: Column) -> Column:
     return F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p))
 
 
-#: (pattern, replacement), applied in turn; fixed values.
+# Name, pattern and replacement of secrets, applied in turn.
 SECRETS = [
-    (r"(?i)\b(token|secret|password|api_key)(\s*=\s*)\"[^\"\n]*\"", '$1$2"[REDACTED]"'),
-    (r"AKIA[0-9A-Z]{16}", "[REDACTED]"),
-    (r"ghp_[A-Za-z0-9]{36}", "[REDACTED]"),
-    (r"-----BEGIN [A-Z ]+-----", "[REDACTED]"),
+    ("api_key_assignment", r"""(?i)((?:api[_-]?key|secret|token|client[_-]?secret|auth[_-]?token|credentials?|bearer|password|passwd|private[_-]?key)[A-Za-z0-9_-]*)\s*[:=]\s*["']?([A-Za-z0-9_\-\.\/\+]{8,})["']?""", "$1=[REDACTED:api_key_assignment]"),
+    ("bearer_header", r"(?i)\bbearer\s+[A-Za-z0-9\-_\.]{10,}", "[REDACTED:bearer_header]"),
+    ("aws_access_key", r"\b(AKIA|ABIA|ACCA|ASIA)[0-9A-Z]{16}\b", "[REDACTED:aws_access_key]"),
+    ("github_token", r"\b(ghp_[A-Za-z0-9]{36}|gho_[A-Za-z0-9]{36}|ghu_[A-Za-z0-9]{36}|ghs_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{82})\b", "[REDACTED:github_token]"),
+    ("slack_token", r"\bxox[baprs]-[0-9]{10,13}-[0-9]{10,13}[a-zA-Z0-9-]*\b", "[REDACTED:slack_token]"),
+    ("private_key_pem", r"-----BEGIN (?:RSA|EC|OPENSSH|PGP|DSA)? ?PRIVATE KEY-----[^-]+-----END (?:RSA|EC|OPENSSH|PGP|DSA)? ?PRIVATE KEY-----", "[REDACTED:private_key]"),
+    ("connection_string_credentials", r"(?i)((?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|amqps?|mssql))://([^:@/\s]+):([^@\s]+)@", "$1://$2:[REDACTED]@"),
+    ("jwt_token", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b", "[REDACTED:jwt_token]"),
 ]
 
 
-def sanitize(text: Column) -> Column:
-    for pattern, to in SECRETS:
-        text = F.regexp_replace(text, pattern, to)
+def redacted(text: Column) -> Column:
+    """The text with the patterns of secrets replaced."""
+    for _, pattern, to in SECRETS:
+        text = F.regexp_replace(text, ascii_bounds(pattern), to)
     return text
 
 
+def sanitize(df: DataFrame, column: str = "text") -> DataFrame:
+    """df with secrets in the column replaced: those of the patterns, then words that look random."""
+    df = df.withColumn(column, redacted(F.col(column)))
+    return df.withColumn(column, F.aggregate(random_tokens(F.col(column)), F.col(column), lambda t, w: F.replace(t, w, F.lit("[REDACTED:high_entropy_secret]"))))
+
+
 def has_secret(text: Column) -> Column:
-    out = F.lit(False)
-    for pattern, _ in SECRETS:
-        out = out | text.rlike(pattern)
+    """Whether a pattern occurs (credentials that are redacted already don't count) or a word looks random."""
+    out = F.size(random_tokens(text)) > 0
+    for name, pattern, _ in SECRETS:
+        out = out | text.rlike(ascii_bounds(pattern).replace("([^@\\s]+)@", "(?!\\[REDACTED)([^@\\s]+)@") if name == "connection_string_credentials" else ascii_bounds(pattern))
     return out
 
 
@@ -74,15 +103,79 @@ def parent_dir(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
+# Languages by extension, by extension of headers, by file name.
+LANGUAGES = {
+    "rust": ["rs"], "go": ["go"], "python": ["py", "pyi"], "java": ["java"], "javascript": ["js", "mjs", "cjs", "jsx"], "typescript": ["ts", "tsx", "cts", "mts"], "cpp": ["cpp", "cc", "cxx"], "c": ["c"],
+    "csharp": ["cs"], "ruby": ["rb"], "php": ["php"], "css": ["css", "scss", "less"], "html": ["html", "htm", "xhtml"], "kotlin": ["kt", "kts"], "swift": ["swift"], "scala": ["scala", "sc"], "json": ["json", "jsonc"],
+}
+HEADERS = {"cpp": ["hpp", "hh", "hxx", "h"]}
+LANGUAGE_FILES = {"ruby": ["rakefile", "gemfile", "config.ru"]}
+
+
 def language_of(path: Column) -> Column:
-    """By extension."""
-    ext = F.lower(F.substring_index(path, ".", -1))
+    """By file name, else by extension, else by header extension (`h` is the first language's that claims it); `unknown` for the rest."""
+    base = F.lower(F.substring_index(path, "/", -1))
+    ext = F.when(base.contains("."), F.substring_index(base, ".", -1)).otherwise(F.lit(""))
     out = F.lit("unknown")
-    for lang, exts in {"go": ["go"], "python": ["py"], "java": ["java"], "javascript": ["js", "jsx"], "typescript": ["ts", "tsx"], "rust": ["rs"], "cpp": ["cc", "cpp", "hpp"], "c": ["c", "h"], "html": ["html", "htm"]}.items():
-        out = F.when(ext.isin(exts), lang).otherwise(out)
+    for known, value in ((HEADERS, ext), (LANGUAGES, ext), (LANGUAGE_FILES, base)):
+        for lang, names in known.items():
+            out = F.when(value.isin(names), lang).otherwise(out)
     return out
 
 
+# Buckets of data types, in the order of their tests: (bucket, prefixes, parts, whole names, suffixes), all lower-case but for `[]`.
+TYPES = [
+    ("async_handle", ["promise", "task", "future", "completablefuture", "chan ", "channel"], [], [], []),
+    ("optional", ["option", "optional", "nullable"], [], [], ["?"]),
+    ("array", ["[]", "list", "array", "vector", "slice", "set", "hashset"], [], [], []),
+    ("map", ["map", "dict", "hash", "btree", "concurrenthashmap"], [], [], []),
+    ("string", [], ["string"], ["str", "char*", "std::string", "text", "stringbuilder"], []),
+    ("integer", [], ["int"], ["i8", "i16", "i32", "i64", "u8", "u16", "u32", "u64", "size_t", "ssize_t", "long", "short", "byte"], []),
+    ("number", [], ["float", "double"], ["f32", "f64", "number", "decimal", "bigdecimal"], []),
+    ("boolean", [], [], ["bool", "boolean"], []),
+    ("void", [], [], ["void", "nil", "null", "none", "()", "std::nullptr_t"], []),
+]
+
+
+def type_bucket(raw: Column) -> Column:
+    """The bucket of a declared type; an empty one is void, an unknown one stays as it is."""
+    raw = F.btrim(raw, F.lit(" \t\r\n"))
+    low, out = F.lower(raw), raw
+    for bucket, prefixes, parts, names, suffixes in reversed(TYPES):
+        hit = low.isin(names) if names else F.lit(False)
+        for test, xs in ((low.startswith, prefixes), (low.contains, parts), (raw.endswith, suffixes)):
+            for x in xs:
+                hit = hit | test(x)
+        out = F.when(hit, bucket).otherwise(out)
+    return F.when(raw == "", "void").otherwise(out)
+
+
+def merged_set(a: Column, b: Column) -> Column:
+    """Two comma lists as one, sorted, each entry once; an empty list leaves the other as it is."""
+    parts = F.filter(F.concat(F.split(a, ","), F.split(b, ",")), lambda x: x != "")
+    return F.when(a == "", b).when(b == "", a).otherwise(F.array_join(F.array_sort(F.array_distinct(parts)), ","))
+
+
+#: Patterns of instants, tried in turn.
+DATE_FORMATS = ["yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd"]
+
+
+def parse_instant(text: Column) -> Column:
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
+
+
+def percent_decoded(text: Column) -> Column:
+    """%XX escapes as the bytes that they stand for; what isn't an escape (a plus sign too) stays."""
+    kept = F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.url_decode(kept)
+
+
+def state_of_tags(tags: Column) -> Column:
+    """What follows `state=` in the first tag that says more than that; empty without one."""
+    found = F.filter(tags, lambda t: t.startswith("state=") & (F.length(t) > 6))
+    return F.coalesce(F.substr(F.get(found, 0), F.lit(7)), F.lit(""))
+
+
 def match_score(name: Column, terms: list[str]) -> Column:
     """Best over terms: equal 1.0, prefix 0.9, substring either way 0.8, else 0."""
     low = F.lower(name)
@@ -90,13 +183,52 @@ def match_score(name: Column, terms: list[str]) -> Column:
     return F.greatest(*each) if len(each) > 1 else each[0]
 
 
-def intent(subject: Column) -> Column:
-    """Conventional prefix first, else the first keyword family that occurs."""
-    low = F.lower(subject)
-    out = F.lit("unknown")
-    for name, words in reversed([("fix", "fix|bug|error|fail"), ("security", "auth|secret|token|vulnerab"), ("performance", "fast|slow|cache|optimi"), ("refactor", "refactor|rename|clean"), ("feature", "add|new|implement"), ("docs", "doc|readme|license")]):
-        out = F.when(low.rlike(f"({words})"), name).otherwise(out)
-    return F.when(low.rlike(r"^(feat|fix|docs|perf|refactor)(\([a-z]+\))?:"), F.regexp_extract(low, r"^([a-z]+)", 1)).otherwise(out)
+# Intents by touched file, by conventional type, by keyword; in the order of their tests.
+FILE_INTENTS = [
+    ("DEPENDENCY_UPDATE", r"(?i)^.*(go\.mod|go\.sum|package\.json|package-lock\.json|yarn\.lock|pnpm-lock\.yaml|pom\.xml|build\.gradle|requirements.*\.txt|Cargo\.(toml|lock)|Gemfile(\.lock)?|composer\.(json|lock))$"),
+    ("INFRASTRUCTURE", r"(?i)^.*(\.github/workflows/|\.gitlab-ci\.yml|Jenkinsfile|Dockerfile|docker-compose(\.yml|\.yaml)?|Makefile|\.goreleaser\.yml|\.terraform/|terraform\.tf|k8s/|helm/|infra/|\.github/actions/)"),
+    ("DOCS", r"(?i)(^|/)(docs?/|adr/|\.md$|\.mdx$|\.rst$|\.adoc$|\.txt$|CHANGELOG|README|CONTRIBUTING|LICENSE|NOTICE|AUTHORS|CODEOWNERS)"),
+]
+TYPE_INTENTS = {
+    "docs": "DOCS", "test": "TEST", "tests": "TEST", "fix": "FIX_BUG", "bugfix": "FIX_BUG", "hotfix": "FIX_BUG", "feat": "ADD_FEATURE", "feature": "ADD_FEATURE", "perf": "PERFORMANCE", "refactor": "REFACTOR", "style": "REFACTOR",
+    "security": "SECURITY", "sec": "SECURITY", "build": "INFRASTRUCTURE", "ci": "INFRASTRUCTURE", "infra": "INFRASTRUCTURE", "chore": "INFRASTRUCTURE", "deps": "DEPENDENCY_UPDATE", "dep": "DEPENDENCY_UPDATE",
+}
+KEYWORD_INTENTS = [
+    ("FIX_BUG", r"(?i)\b(fix(es|ed)?|bug( ?fix)?|correct(?:s|ed)?|resolve(?:s|d)?|hotfix)\b"),
+    ("TEST", r"(?i)\b(test(?:s|ing)?|spec(?:s)?|coverage|unit ?test|integration ?test|e2e)\b"),
+    ("PERFORMANCE", r"(?i)\b(perf(?:ormance)?|optimiz(?:e|es|ed|ing)?|accelerat(?:e|es|ed)?|speed ?up|latency|throughput|slowdown)\b"),
+    ("SECURITY", r"(?i)\b(secur(?:e|ity)|authentication|oauth|jwt|csrf|xss|vuln(?:erabilit)?|injection|sanitiz(?:e|es|ed)?|encrypt(?:s|ed|ion)?|decrypt(?:s|ed)?)\b"),
+    ("REFACTOR", r"(?i)\b(refactor(?:s|ed|ing)?|restructur(?:e|es|ed|ing)?|clean(?:up|s)?|reorgani[sz](?:e|es|ed|ing)?|simplif(?:y|ies|ied|ying)?|extract(?:s|ed|ing)?|consolidat(?:e|es|ed)?)\b"),
+    ("ADD_FEATURE", r"(?i)\b(add(?:s|ed)?|feat(?:ure)?|new |introduce(?:s|d)?|implement(?:s|ed)?|support(?:s|ed)? for|extend(?:s|ed)?)\b"),
+    ("DOCS", r"(?i)\b(doc(?:s|ument(?:s|ation)?)?\b|readme|changelog|comment(?:s|ing)?|wiki|adr )\b"),
+    ("INFRASTRUCTURE", r"(?i)\b(ci|cd|build|deploy(?:s|ed)?|release|infra(?:structure)?|pipeline|bump|upgrade|depend(?:enc|en)ies|tooling)\b"),
+]
+CONVENTIONAL = r"^\s*([a-zA-Z]+)(?:\(([^)]*)\))?(!)?:\s"
+MERGED = r"(?i)^merge\s+(pull\s+request|pull-?request|branch)\b"
+
+
+def ascii_bounds(pattern: str) -> str:
+    """The pattern with word boundaries between ASCII word characters and all others, whatever letters other scripts have."""
+    return pattern.replace(r"\b", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+
+
+def _first(text: Column, rules: list[tuple[str, str]]) -> Column:
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed(rules):
+        out = F.when(text.rlike(ascii_bounds(pattern)), name).otherwise(out)
+    return out
+
+
+def intent(subject: Column, body: Column, files: Column) -> Column:
+    """What a commit is for: if each touched file (array) has a rule, that of the first; else its conventional type; else the first
+    keyword rule that fits the body of a merged request, or subject and body; else UNKNOWN."""
+    each = F.transform(files, lambda f: _first(f, FILE_INTENTS))
+    by_file = F.when((F.size(files) > 0) & F.forall(each, lambda x: x.isNotNull()), F.get(each, 0))
+    kind = F.lower(F.regexp_extract(subject, CONVENTIONAL, 1))
+    by_type = F.try_element_at(F.create_map(*[F.lit(x) for kv in TYPE_INTENTS.items() for x in kv]), kind)
+    rest = F.btrim(body, F.lit(" \t\r\n"))
+    by_body = F.when(subject.rlike(ascii_bounds(MERGED)) & (rest != ""), _first(rest, KEYWORD_INTENTS))
+    return F.coalesce(by_file, by_type, by_body, _first(F.concat_ws("\n", subject, body), KEYWORD_INTENTS), F.lit("UNKNOWN"))
 
 
 def looks_random(token: Column) -> Column:

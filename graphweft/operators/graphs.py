@@ -24,6 +24,22 @@ def bfs(edges: DataFrame, seeds: DataFrame, direction: str = "out", max_depth: i
     return seen
 
 
+def shortest_path(edges: DataFrame, start: str, target: str, max_nodes: int = 0) -> DataFrame:
+    """(path, hops) of the shortest path, the least by its ids among equally short ones; max_nodes bounds the nodes on it, 0 is no limit."""
+    e = settled(edges.select("source_id", "target_id").distinct(), "adjacency")
+    front = edges.sparkSession.range(1).select(F.lit(start).alias("id"), F.array(F.lit(start)).alias("path"))
+    seen = front.select("id")
+    nodes = 1
+    while start != target and not front.isEmpty() and (not max_nodes or nodes < max_nodes):
+        nodes += 1
+        step = front.join(e, front["id"] == e["source_id"]).groupBy(F.col("target_id").alias("id")).agg(F.min("path").alias("p"))
+        front = settled(step.join(seen, "id", "left_anti").select("id", F.concat("p", F.array("id")).alias("path")), "paths")
+        if not front.where(F.col("id") == target).isEmpty():
+            break
+        seen = settled(seen.unionByName(front.select("id")), "seen") if nodes % 4 == 0 else seen.unionByName(front.select("id"))
+    return front.where(F.col("id") == target).select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).cast("long").alias("hops"))
+
+
 def simple_paths(edges: DataFrame, start: str, target: str, max_edges: int) -> DataFrame:
     """All simple paths of at most max_edges edges, as joined ids."""
     e = edges.select("source_id", "target_id").distinct()
@@ -61,15 +77,37 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): rounds of forward colouring with the greatest id and backward reach from each colour's root."""
+    """(id, component): rounds of forward colouring with the greatest id and backward reach from each colour's root.
+
+    Before each round nodes without an arc in or out are components of their own and go, three layers of them at most, so
+    tails cost no colouring; colours are settled every other step.
+    """
     left = settled(nodes.select("id"), "left")
     e = settled(edges.where("source_id <> target_id").select(F.col("source_id").alias("s"), F.col("target_id").alias("t")).distinct(), "arcs")
     done = None
-    while not left.isEmpty():
+
+    def add(part):
+        nonlocal done
+        done = part if done is None else done.unionByName(part)
+
+    while True:
+        for _ in range(3):
+            both = settled(e.select(F.col("s").alias("id")).intersect(e.select(F.col("t").alias("id"))), "both")
+            add(left.join(both, "id", "left_anti").select("id", F.col("id").alias("c")))
+            size = left.count()
+            left = settled(left.join(both, "id", "left_semi"), "left")
+            if left.count() == size:
+                break
+            e = settled(e.join(left.withColumnRenamed("id", "s"), "s", "left_semi").join(left.withColumnRenamed("id", "t"), "t", "left_semi"), "arcs")
+        if left.isEmpty():
+            break
         color = settled(left.select("id", F.col("id").alias("c")), "color")
         while True:
-            pushed = e.join(color, e["s"] == color["id"]).select(F.col("t").alias("id"), "c")
-            new = settled(color.unionByName(pushed).groupBy("id").agg(F.max("c").alias("c")), "color")
+            new = color
+            for _ in range(2):
+                pushed = e.join(new, e["s"] == new["id"]).select(F.col("t").alias("id"), "c")
+                new = new.unionByName(pushed).groupBy("id").agg(F.max("c").alias("c"))
+            new = settled(new, "color")
             if new.join(color, ["id", "c"], "left_anti").isEmpty():
                 break
             color = new
@@ -82,7 +120,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 break
             reach = settled(reach.unionByName(front), "reach")
         reach = settled(reach, "scc")
-        done = reach if done is None else done.unionByName(reach)
+        add(reach)
         left = settled(left.join(reach, "id", "left_anti"), "left")
         e = settled(e.join(left.withColumnRenamed("id", "s"), "s", "left_semi").join(left.withColumnRenamed("id", "t"), "t", "left_semi"), "arcs")
     low = done.groupBy("c").agg(F.min("id").alias("component"))
@@ -160,8 +198,8 @@ def propagate(scores: DataFrame, edges: DataFrame, factor: float = 0.8, cutoff:
     return now
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, cap: int = 1500, max_edges: int = 5_000_000) -> DataFrame:
-    """(id, betweenness): Brandes from at most cap evenly spaced sources, scaled; parallel edges multiply paths. Tasks hold the adjacency, so its size is checked."""
+def betweenness(nodes: DataFrame, edges: DataFrame, cap: int = 0, max_edges: int = 5_000_000) -> DataFrame:
+    """(id, betweenness): Brandes from every source, or from at most cap evenly spaced ones, scaled; parallel edges multiply paths. Tasks hold the adjacency, so its size is checked."""
     import pandas as pd
 
     from graphweft.operators.relational import evenly_spaced
@@ -173,8 +211,9 @@ def betweenness(nodes: DataFrame, edges: DataFrame, cap: int = 1500, max_edges:
     for r in edges.select("source_id", "target_id").toLocalIterator():
         adj.setdefault(r[0], []).append(r[1])
     sent = nodes.sparkSession.sparkContext.broadcast(adj)
-    sources = evenly_spaced(nodes, cap)
-    scale = nodes.count() / max(1, min(cap, nodes.count()))
+    n = nodes.count()
+    sources = evenly_spaced(nodes, cap) if cap else nodes.select("id").repartition(nodes.sparkSession.sparkContext.defaultParallelism)
+    scale = n / max(1, min(cap or n, n))
 
     def brandes(batches):
         adj, score = sent.value, {}
@@ -243,14 +282,28 @@ def modularity(edges: DataFrame, assignment: DataFrame) -> DataFrame:
     return deg.join(inside, "community", "left").agg(F.round(F.sum(F.coalesce("l", F.lit(0)) / float(max(1, m)) - F.pow(F.col("d") / (2.0 * max(1, m)), 2)), 6).alias("q"))
 
 
-def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, id, distance) for all sources at once."""
+def distances(edges: DataFrame, sources: DataFrame, max_depth: int = 0) -> DataFrame:
+    """(source, id, distance) for all sources at once, within max_depth steps (0: no limit). As large as what the sources reach."""
     e = settled(edges.select("source_id", "target_id").distinct(), "arcs")
     seen = settled(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("distance")), "seen")
     front, d = seen, 0
-    while not front.isEmpty():
+    while not front.isEmpty() and (not max_depth or d < max_depth):
         d += 1
         step = front.join(e, front["id"] == e["source_id"]).select("source", F.col("target_id").alias("id")).distinct()
         front = settled(step.join(seen, ["source", "id"], "left_anti").select("source", "id", F.lit(d).alias("distance")), "front")
         seen = settled(seen.unionByName(front), "seen")
     return seen
+
+
+def cyclic_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source_id, target_id, type CYCLIC_DEPENDENCY) of the edges within a strong component of two nodes or more."""
+    comp = settled(strong_components(nodes, edges), "components")
+    ends = edges.where("source_id <> target_id").select("source_id", "target_id").distinct()
+    met = ends.join(comp.select(F.col("id").alias("source_id"), F.col("component").alias("s")), "source_id").join(comp.select(F.col("id").alias("target_id"), F.col("component").alias("t")), "target_id")
+    return met.where("s = t").select("source_id", "target_id", F.lit("CYCLIC_DEPENDENCY").alias("type"))
+
+
+def islands(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(component, size) of weak components of two nodes or more that hold no entry point."""
+    comp = weak_components(nodes, edges).join(nodes.select("id", "entrypoint"), "id")
+    return comp.groupBy("component").agg(F.count("*").alias("size"), F.max("entrypoint").alias("entry")).where("size > 1 and not entry").select("component", "size")

@@ -14,7 +14,7 @@ from graphweft.operators import relational as R
 from graphweft.operators import rules as U
 from graphweft.runtime import settled
 from graphweft.sources import documents as D
-from graphweft.sources.tables import FK_SQL, TRADE_SQL, fk_graph, read, trade_graph
+from graphweft.sources.tables import CODE_SQL, FK_SQL, RING_SQL, TRADE_SQL, code_graph, fk_graph, read, ring_graph, trade_graph
 from graphweft.streaming import log as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,14 @@ def trade(sql: str) -> str:
     return f"with recursive {TRADE_SQL} {sql}"
 
 
+def ring(sql: str) -> str:
+    return f"with recursive {RING_SQL} {sql}"
+
+
+def code(sql: str) -> str:
+    return f"with recursive {CODE_SQL} {sql}"
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -47,6 +55,14 @@ def on_trade(name: str, sql: str | None = None):
     return lambda f: query(name, sql and trade(sql))(lambda spark, d: f(trade_graph(spark, d)))
 
 
+def on_ring(name: str, sql: str | None = None):
+    return lambda f: query(name, sql and ring(sql))(lambda spark, d: f(ring_graph(spark, d)))
+
+
+def on_code(name: str, sql: str | None = None):
+    return lambda f: query(name, sql and code(sql))(lambda spark, d: f(code_graph(spark, d)))
+
+
 DEG = ", x as (select source_id as id, 0 as i, 1 as o from e union all select target_id, 1, 0 from e), deg as (select n.id, coalesce(sum(i), 0)::bigint as in_degree, coalesce(sum(o), 0)::bigint as out_degree from n left join x using (id) group by n.id) "
 FAN = ", de as (select distinct source_id, target_id from e), fo as (select source_id as id, count(*) as fan_out from de group by 1), fi as (select target_id as id, count(*) as fan_in from de group by 1), fan as (select id, coalesce(fan_in, 0)::bigint as fan_in, coalesce(fan_out, 0)::bigint as fan_out from fo full join fi using (id)) "
 
@@ -87,48 +103,22 @@ def _(g):
     return R.instability(g.nodes, g.edges)
 
 
-@on_fk("a05_cohesion", ", m as (select distinct source_id as m, target_id as package from e where type = 'BELONGS_TO'), i as (select a.package, count(*) as k from e join m a on e.source_id = a.m join m b on e.target_id = b.m and a.package = b.package group by 1) select package, count(*) as members, round(coalesce(max(k), 0) / count(*), 6) as cohesion from m left join i using (package) group by package")
-def _(g):
-    return R.cohesion(g.edges)
-
-
 @on_fk("a06_density", DEG + "select count(*)::bigint as nodes, sum(out_degree)::bigint as edges, round(sum(out_degree) / (count(*) * (count(*) - 1.0)), 9) as density, max(in_degree) as max_in, round(avg(in_degree), 6) as avg_in from deg")
 def _(g):
     n = F.count("*")
     return R.degrees(g.nodes, g.edges).agg(n.alias("nodes"), F.sum("out_degree").alias("edges"), F.round(F.sum("out_degree") / (n * (n - F.lit(1.0))), 9).alias("density"), F.max("in_degree").alias("max_in"), F.round(F.avg("in_degree"), 6).alias("avg_in"))
 
 
-@on_fk("a07_god_objects_population", DEG + ", s as (select greatest(avg(in_degree) + 2 * stddev_pop(in_degree), sqrt(count(*))) as ti, greatest(avg(out_degree) + 2 * stddev_pop(out_degree), sqrt(count(*))) as t from deg) select id, in_degree, out_degree from deg, s where in_degree > ti and out_degree > t")
-def _(g):
-    return R.god_objects(g.nodes, g.edges)
-
-
 @on_fk("a08_god_objects_sample", DEG + ", s as (select avg(in_degree + out_degree) + 3 * stddev_samp(in_degree + out_degree) as t from deg) select id, in_degree + out_degree as total from deg, s where in_degree + out_degree > t")
 def _(g):
     return R.god_objects(g.nodes, g.edges, sample=True)
 
 
-@on_fk("a09_branch_count", " select id, (1 + count(e.source_id))::bigint as complexity from n left join e on e.source_id = n.id and e.type = 'CALLS' where kind = 'FUNCTION' group by id")
-def _(g):
-    calls = g.edges.where("type = 'CALLS'").groupBy(F.col("source_id").alias("id")).count()
-    return g.nodes.where("kind = 'FUNCTION'").select("id").join(calls, "id", "left").select("id", (F.lit(1) + F.coalesce("count", F.lit(0))).cast("long").alias("complexity"))
-
-
 @on_fk("a10_kind_counts", " select kind, count(*) as k from n group by kind")
 def _(g):
     return g.nodes.groupBy("kind").agg(F.count("*").alias("k"))
 
 
-@on_fk("a12_edge_stats", " select type, count(*) as edges, count(distinct source_id) as sources, count(distinct target_id) as targets, count(*) filter (line_number > 1) as late from e group by type")
-def _(g):
-    return g.edges.groupBy("type").agg(F.count("*").alias("edges"), F.countDistinct("source_id").alias("sources"), F.countDistinct("target_id").alias("targets"), F.count_if(F.col("line_number") > 1).alias("late"))
-
-
-@on_fk("a13_duplicate_edges", " select source_id, target_id, type, count(*) as k from e group by all having count(*) > 1")
-def _(g):
-    return g.edges.groupBy("source_id", "target_id", "type").agg(F.count("*").alias("k")).where("k > 1")
-
-
 def by_dir(g):
     return g.nodes.select("id", X.parent_dir(F.col("path")).alias("grp"))
 
@@ -141,13 +131,6 @@ def _(g):
     return R.collapse(g.edges, by_dir(g))
 
 
-@on_fk("a04_component_coupling", DIRS + ", d as (select distinct s, t from ce), o as (select s as grp, count(*) as ce from d group by 1), i as (select t as grp, count(*) as ca from d group by 1) select grp, coalesce(ca, 0)::bigint as ca, coalesce(ce, 0)::bigint as ce, round(coalesce(ce, 0) / (coalesce(ca, 0) + coalesce(ce, 0)), 6) as instability from o full join i using (grp)")
-def _(g):
-    c = R.collapse(g.edges, by_dir(g)).select("s", "t").distinct()
-    both = c.groupBy(F.col("s").alias("grp")).agg(F.count("*").alias("ce")).join(c.groupBy(F.col("t").alias("grp")).agg(F.count("*").alias("ca")), "grp", "full").na.fill(0)
-    return both.select("grp", "ca", "ce", F.round(F.col("ce") / (F.col("ca") + F.col("ce")), 6).alias("instability"))
-
-
 @on_fk("a20_package_fan_out", DIRS + "select s, count(distinct t) as k from ce group by s having count(distinct t) > 3")
 def _(g):
     return R.collapse(g.edges, by_dir(g)).groupBy("s").agg(F.countDistinct("t").alias("k")).where("k > 3")
@@ -209,30 +192,14 @@ def _(spark, d):
     return M.fold(read(spark, d, "events").withColumnRenamed("user_id", "component"))
 
 
-@query("a23_merge_claims", "select source as subject, lang as object, min(doc_id) as first_id, count(*) as claims, string_agg(distinct (n_chars % 10)::varchar, ',' order by (n_chars % 10)::varchar) as evidence from documents group by all")
-def _(spark, d):
-    refs = F.array_join(F.sort_array(F.collect_set((F.col("n_chars") % 10).cast("string"))), ",")
-    return read(spark, d, "documents").groupBy(F.col("source").alias("subject"), F.col("lang").alias("object")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("claims"), refs.alias("evidence"))
-
-
 # Filters
 
 
-@on_fk("f01_query_filter", DEG + "select n.id, name, kind from n join deg using (id) where kind = 'STRUCT' and contains(lower(name), 'customer') and regexp_matches(name, '[0-5]$') and in_degree + out_degree between 3 and 12")
-def _(g):
-    return R.query_filter(g.nodes, g.edges, kind="STRUCT", name="Customer", name_regex="[0-5]$", min_edges=3, max_edges=12).select("id", "name", "kind")
-
-
 @on_fk("f03_sources_by_pattern", " select distinct source_id from e where type = 'CALLS' and target_id = 'supplier:1'")
 def _(g):
     return g.edges.where("type = 'CALLS' and target_id = 'supplier:1'").select("source_id").distinct()
 
 
-@on_fk("f04_match_pattern", " select id from n where kind = 'STRUCT' and primitive = 'BUILDING' and contains(lower(name), '1')")
-def _(g):
-    return R.match(g.nodes, "kind:STRUCT primitive:BUILDING name:1").select("id")
-
-
 @on_fk("f05_kind_lookup", " select id, name from n where kind = 'PACKAGE'")
 def _(g):
     return g.nodes.where("kind = 'PACKAGE'").select("id", "name")
@@ -243,11 +210,6 @@ def _(g):
     return g.edges.where("source_id = 'order:1'").withColumn("dir", F.lit("out")).unionByName(g.edges.where("target_id = 'order:1'").withColumn("dir", F.lit("in")))
 
 
-@on_fk("f09_folder_scope", ", k as (select id from n where path = 'EUROPE' or starts_with(path, 'EUROPE/') or ends_with(path, '/EUROPE') or contains(path, '/EUROPE/')) select e.* from e semi join k a on a.id = source_id semi join k b on b.id = target_id")
-def _(g):
-    return R.scoped(g.nodes, g.edges, "EUROPE")[1].select("source_id", "target_id", "type", "line_number")
-
-
 @on_fk("f11_glob", r" select id, path from n where regexp_matches(path, '^[^/]*/[^/]*/cust[^/]*\.go$')")
 def _(g):
     return g.nodes.where(F.col("path").rlike(R.glob_regex("*/*/cust*.go"))).select("id", "path")
@@ -258,27 +220,11 @@ def _(g):
     return g.nodes.select("id", F.when(F.col("path").rlike(R.glob_regex("EUROPE/**")), "north").when(F.col("path").rlike(R.glob_regex("A**")), "wide").when(F.col("kind") == "INTERFACE", "parts").alias("layer"))
 
 
-@on_fk("f15_excluded_paths", r" select id from n where not regexp_matches(path, '(^|/)(AFRICA|ASIA)(/|$)|supplier\.go$')")
-def _(g):
-    return g.nodes.where(~F.col("path").rlike(r"(^|/)(AFRICA|ASIA)(/|$)|supplier\.go$")).select("id")
-
-
 @on_fk("f19_search", " select id, name from n where kind = 'CLASS' and (contains(lower(id), '1') or contains(lower(name), '1')) order by id limit 30")
 def _(g):
     return g.nodes.where((F.col("kind") == "CLASS") & (F.lower("id").contains("1") | F.lower("name").contains("1"))).select("id", "name").orderBy("id").limit(30)
 
 
-@query("f21_content_policy", "select doc_id, case when lang = 'de' then null when strlen(text) > 512 then text[1:512] else text end as content from documents")
-def _(spark, d):
-    t = F.when(F.col("lang") == "de", None).when(F.octet_length("text") > 512, F.substring("text", 1, 512)).otherwise(F.col("text"))
-    return read(spark, d, "documents").select("doc_id", t.alias("content"))
-
-
-@on_fk("f22_kind_migration", " select id, case kind when 'STRUCT' then 'TYPE' when 'CLASS' then 'TYPE' when 'FUNCTION' then 'EXECUTABLE' else kind end as kind from n")
-def _(g):
-    return g.nodes.select("id", F.when(F.col("kind").isin("STRUCT", "CLASS"), "TYPE").when(F.col("kind") == "FUNCTION", "EXECUTABLE").otherwise(F.col("kind")).alias("kind"))
-
-
 @on_fk("f26_prune_unreferenced", " select id from n where kind in ('MODULE', 'PACKAGE') or id in (select source_id from e union select target_id from e)")
 def _(g):
     ends = g.edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
@@ -374,12 +320,6 @@ def _(g):
 # Windows
 
 
-@query("w01_sessions", "with f as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 24 hour then 0 else 1 end as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding)::bigint as session from f) select user_id, session, count(*) as events, min(ts) as started, max(ts) as ended from s group by all")
-def _(spark, d):
-    s = R.sessions(read(spark, d, "events"), "user_id", "ts", 86400, "event_id")
-    return s.groupBy("user_id", "session").agg(F.count("*").alias("events"), F.min("ts").alias("started"), F.max("ts").alias("ended"))
-
-
 @query("w03_latest_wins", "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1")
 def _(spark, d):
     return R.latest(read(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
@@ -397,9 +337,16 @@ def _(spark, d):
     return read(spark, d, "events").withColumn("r", r).where("r <= 5").select("event_id")
 
 
-@query("w06_budget_fill")
+#: Greedy by recursion: of each section, its rows in order, each with what is left before it.
+FILL_SQL = """with recursive o as (select doc_id, source, n_chars as cost, row_number() over (partition by source order by sc desc, doc_id) as k from (select *, (doc_id * 7919) % 10007 as sc from documents)),
+f(source, k, rest, doc_id, taken) as (select distinct source, 0::bigint, 20000::bigint, null::bigint, false from o
+ union all select o.source, o.k, case when o.cost <= f.rest then f.rest - o.cost else f.rest end, o.doc_id, o.cost <= f.rest from f join o on o.source = f.source and o.k = f.k + 1)
+select source, doc_id from f where taken"""
+
+
+@query("w06_budget_fill", FILL_SQL)
 def _(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", "source", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("score"), F.col("n_chars").alias("cost"))
+    rows = read(spark, d, "documents").select("doc_id", "source", (F.col("doc_id") * 7919 % 10007).alias("score"), F.col("n_chars").alias("cost"))
     return M.fill_budget(rows, "source", "score", "doc_id", "cost", 20_000)
 
 
@@ -416,7 +363,7 @@ def _(g):
 # Sets and diffs
 
 
-@query("s01_graph_diff", fk(", b as (select * from n where kind <> 'FUNCTION' or name < 'order 5'), h as (select * from n where kind <> 'FUNCTION' or name > 'order 3'), be as (select distinct type || '|' || source_id || '|' || target_id as key from e semi join b on b.id = source_id), he as (select distinct type || '|' || source_id || '|' || target_id as key from e semi join h on h.id = source_id) select 'added' as change, 'node' as entity, id as key from h anti join b using (id) union all select 'removed', 'node', id from b anti join h using (id) union all select 'added', 'edge', key from he anti join be using (key) union all select 'removed', 'edge', key from be anti join he using (key)"))
+@query("s01_graph_diff", fk(", b as (select id from n where kind <> 'FUNCTION' or name < 'order 5'), h as (select id from n where kind <> 'FUNCTION' or name > 'order 3'), x as (select 'node' as entity, id as key, 1 as side from b union all select 'node', id, 2 from h union all select distinct 'edge', type || '|' || source_id || '|' || target_id, 1 from e where source_id in (select id from b) union all select distinct 'edge', type || '|' || source_id || '|' || target_id, 2 from e where source_id in (select id from h)) select case max(side) when 2 then 'added' else 'removed' end as change, entity, key from x group by entity, key having count(*) = 1"))
 def _(spark, d):
     g = fk_graph(spark, d)
     b, h = g.nodes.where("kind <> 'FUNCTION' or name < 'order 5'"), g.nodes.where("kind <> 'FUNCTION' or name > 'order 3'")
@@ -458,57 +405,66 @@ def _(spark, d):
 
 # Graphs
 
-REACH = ", r(id, distance) as (select 'nation:0', 0 union select e.target_id, r.distance + 1 from r join e on e.source_id = r.id where r.distance < 25), b as (select id, min(distance) as distance from r group by 1) "
-BACK = ", r(id, distance) as (select 'nation:0', 0 union select e.source_id, r.distance + 1 from r join e on e.target_id = r.id where r.distance < 25), b as (select id, min(distance) as distance from r group by 1) "
+SEED, GOAL = "pkg0/file0.go::fn0", "pkg6/file6.go::fn6"
+REACH = f", r(id, distance) as (select '{SEED}', 0 union select e.target_id, r.distance + 1 from r join e on e.source_id = r.id where r.distance < 25), b as (select id, min(distance) as distance from r group by 1) "
+BACK = f", r(id, distance) as (select '{SEED}', 0 union select e.source_id, r.distance + 1 from r join e on e.target_id = r.id where r.distance < 25), b as (select id, min(distance) as distance from r group by 1) "
 
 
 def seed(g):
-    return g.nodes.where("id = 'nation:0'").select("id")
+    return g.nodes.where(F.col("id") == SEED).select("id")
 
 
-@on_trade("g04_bfs", REACH + "select * from b")
+@on_ring("g04_bfs", REACH + "select * from b")
 def _(g):
     return G.bfs(g.edges, seed(g))
 
 
-@on_trade("g05_bfs_levels", REACH + "select distance, count(*) as k from b where distance <= 3 group by 1")
+@on_ring("g05_bfs_levels", REACH + "select distance, count(*) as k from b where distance <= 3 group by 1")
 def _(g):
     return G.bfs(g.edges, seed(g), max_depth=3).groupBy("distance").agg(F.count("*").alias("k"))
 
 
-@on_trade("g07_impact_radius", BACK + "select count(*) - 1 as radius from b")
+@on_ring("g07_impact_radius", BACK + "select count(*) - 1 as radius from b")
 def _(g):
     return G.bfs(g.edges, seed(g), "in").agg((F.count("*") - 1).alias("radius"))
 
 
-@on_trade("g08_impact", BACK + ", m as (select id, distance, path from b join n using (id) where distance > 0) select count(*) filter (distance = 1) as direct, count(*) filter (distance > 1) as transitive, count(distinct split_part(path, '/', 1)) as files from m")
+@on_trade("g03_simple_paths", ", p(path, last) as (select ['nation:0'], 'nation:0' union all select list_append(path, target_id), target_id from p join e on source_id = last where not list_contains(path, target_id) and last <> 'nation:6' and len(path) <= 6) select array_to_string(path, '>') as path, (len(path) - 1)::bigint as length from p where last = 'nation:6'")
 def _(g):
-    m = G.bfs(g.edges, seed(g), "in").where("distance > 0").join(g.nodes, "id")
-    return m.agg(F.count_if(F.col("distance") == 1).alias("direct"), F.count_if(F.col("distance") > 1).alias("transitive"), F.countDistinct(region_of()).alias("files"))
+    return G.simple_paths(g.edges, "nation:0", "nation:6", 6)
 
 
-@on_fk("g11_dead_code", ", r(id) as (select 'order:1' union select 'order:2' union select e.target_id from r join e on e.source_id = r.id) select id from n where kind in ('CLASS', 'STRUCT', 'INTERFACE') and id not in (select id from r)")
-def _(g):
-    live = G.bfs(g.edges, g.nodes.where("id in ('order:1', 'order:2')"))
-    return g.nodes.where("kind in ('CLASS', 'STRUCT', 'INTERFACE')").join(live, "id", "left_anti").select("id")
+SHORTEST = f", w(path, last) as (select ['{SEED}'], '{SEED}' union select list_append(path, e.target_id), e.target_id from w join (select distinct source_id, target_id from e where type = 'CALLS') e on e.source_id = w.last where len(path) < 14 and w.last <> '{GOAL}' and not list_contains(path, e.target_id)) "
 
 
-@on_trade("g03_simple_paths", ", p(path, last) as (select ['nation:0'], 'nation:0' union all select list_append(path, target_id), target_id from p join e on source_id = last where not list_contains(path, target_id) and last <> 'nation:6' and len(path) <= 6) select array_to_string(path, '>') as path, (len(path) - 1)::bigint as length from p where last = 'nation:6'")
+@on_ring("g01_shortest_path", SHORTEST + f"select array_to_string(path, '>') as path, (len(path) - 1)::bigint as hops from (select path from w where last = '{GOAL}' order by len(path), path limit 1)")
 def _(g):
-    return G.simple_paths(g.edges, "nation:0", "nation:6", 6)
+    return G.shortest_path(g.edges.where("type = 'CALLS'"), SEED, GOAL)
 
 
-@on_trade("g01_shortest_path", REACH + "select distance::bigint as hops from b where id = 'nation:6'")
+@on_ring("g02_path_bounds", SHORTEST + f"select 'in' as bound, (len(path) - 1)::bigint as hops from (select path from w where last = '{GOAL}' order by len(path), path limit 1) union all select 'self', 0")
 def _(g):
-    return G.bfs(g.edges, seed(g)).where("id = 'nation:6'").select(F.col("distance").cast("long").alias("hops"))
+    """The bound counts nodes: one fewer than the path has finds nothing, a start that is the target has no hops."""
+    calls = settled(g.edges.where("type = 'CALLS'"))
+    found = settled(G.shortest_path(calls, SEED, GOAL))
+    n = found.first()["hops"] + 1
+    inside, outside = G.shortest_path(calls, SEED, GOAL, n), G.shortest_path(calls, SEED, GOAL, n - 1)
+    return inside.select(F.lit("in").alias("bound"), "hops").unionByName(outside.select(F.lit("out").alias("bound"), "hops")).unionByName(G.shortest_path(calls, SEED, SEED).select(F.lit("self").alias("bound"), "hops"))
 
 
 ALL = ", r(a, b) as (select id, id from n union select r.a, e.target_id from r join e on e.source_id = r.b) "
 
 
-@on_trade("g12_strong_components", ALL + "select x.a as id, min(x.b) as component from r x join r y on x.a = y.b and x.b = y.a group by 1")
+ARCS = ", d as (select distinct source_id, target_id from e where type in ('CALLS', 'EXTENDS', 'DATA_FLOW')), r(a, b) as (select id, id from n union select r.a, d.target_id from r join d on d.source_id = r.b) "
+
+
+def arcs(g):
+    return g.edges.where("type in ('CALLS', 'EXTENDS', 'DATA_FLOW')")
+
+
+@on_code("g12_strong_components", ARCS + "select x.a as id, min(x.b) as component from r x join r y on x.a = y.b and x.b = y.a group by 1")
 def _(g):
-    return G.strong_components(g.nodes, g.edges)
+    return G.strong_components(g.nodes, arcs(g))
 
 
 @on_trade("g16_cycle_edges", ALL + ", c as (select x.a as id, min(x.b) as component from r x join r y on x.a = y.b and x.b = y.a group by 1) select source_id, target_id from e join c a on a.id = source_id join c b on b.id = target_id where a.component = b.component")
@@ -517,9 +473,21 @@ def _(g):
     return R.with_layers(c.withColumnRenamed("component", "layer"), g.edges, F.col("layer")).where("source_layer = target_layer").select("source_id", "target_id")
 
 
-@on_trade("g28_weak_components", ", r(a, b) as (select id, id from n union select r.a, case when e.source_id = r.b then e.target_id else e.source_id end from r join e on e.source_id = r.b or e.target_id = r.b) select a as id, min(b) as component from r group by 1")
+WEAK = ", u as (select source_id as s, target_id as t from e where type in ('PUBLISHES_EVENT', 'EXTENDS', 'IMPLEMENTS', 'CONTAINS') union select target_id, source_id from e where type in ('PUBLISHES_EVENT', 'EXTENDS', 'IMPLEMENTS', 'CONTAINS')), r(a, b) as (select id, id from n union select r.a, u.t from r join u on u.s = r.b), wc as (select a as id, min(b) as component from r group by 1) "
+
+
+def loose(g):
+    return g.edges.where("type in ('PUBLISHES_EVENT', 'EXTENDS', 'IMPLEMENTS', 'CONTAINS')")
+
+
+@on_code("g28_weak_components", WEAK + "select * from wc")
+def _(g):
+    return G.weak_components(g.nodes, loose(g))
+
+
+@on_code("g28_islands", WEAK + "select component, count(*) as size from wc join n using (id) group by component having count(*) > 1 and not bool_or(entrypoint)")
 def _(g):
-    return G.weak_components(g.nodes, g.edges)
+    return G.islands(g.nodes, loose(g))
 
 
 @on_trade("g18_topological_levels", LAYERS + ", d as (select distinct source_id, target_id from l where source_id < target_id), r(id, level) as (select id, 0 from n union select d.target_id, r.level + 1 from r join d on d.source_id = r.id) select id, max(level) as level from r group by 1")
@@ -527,31 +495,42 @@ def _(g):
     return G.topological_levels(g.nodes, g.edges.where("source_id < target_id"))
 
 
-def pagerank_sql(rounds: int) -> str:
-    out = ", od as (select source_id, count(*) as d from e group by 1), w as (select source_id, target_id, count(*) / max(d) as w from e join od using (source_id) group by all), c as (select count(*) as c from n), p0 as (select id, 1 / c as rank from n, c)"
+def pagerank_sql(rounds: int, kind: str = "", jump: str = "1 / c") -> str:
+    own = f" where type = '{kind}'" if kind else ""
+    out = f", ee as (select * from e{own}), od as (select source_id, count(*) as d from ee group by 1), w as (select source_id, target_id, count(*) / max(d) as w from ee join od using (source_id) group by all), c as (select count(*) as c from n), j as (select id, {jump} as jump from n, c), p0 as (select id, jump as rank from j)"
     for k in range(rounds):
-        out += f", l{k} as (select coalesce(sum(rank), 0) as lost from p{k} where id not in (select source_id from od)), p{k + 1} as (select n.id, (0.15 + 0.85 * max(lost)) / max(c) + 0.85 * coalesce(sum(p.rank * w), 0) as rank from n cross join c cross join l{k} left join w on w.target_id = n.id left join p{k} p on p.id = w.source_id group by n.id)"
+        out += f", l{k} as (select coalesce(sum(rank), 0) as lost from p{k} where id not in (select source_id from od)), p{k + 1} as (select j.id, (0.15 + 0.85 * max(lost)) * max(jump) + 0.85 * coalesce(sum(p.rank * w), 0) as rank from j cross join l{k} left join w on w.target_id = j.id left join p{k} p on p.id = w.source_id group by j.id)"
     return out + f" select id, round(rank, 8) as rank from p{rounds}"
 
 
-@on_trade("g21_pagerank", pagerank_sql(10))
+@on_ring("g21_pagerank", pagerank_sql(10))
 def _(g):
     return G.pagerank(g.nodes, g.edges, 10).select("id", F.round("rank", 8).alias("rank"))
 
 
-@on_trade("t03_pagerank_top", pagerank_sql(10) + " order by rank desc, id limit 10")
+@on_ring("t03_pagerank_top", pagerank_sql(10) + " order by rank desc, id limit 10")
 def _(g):
     return G.pagerank(g.nodes, g.edges, 10).select("id", F.round("rank", 8).alias("rank")).orderBy(F.desc("rank"), "id").limit(10)
 
 
-@on_trade("g24_personal_pagerank")
+@on_ring("g24_personal_pagerank", pagerank_sql(15, jump=f"case when id = '{SEED}' then 50 else 1 end / (c + 49)"))
+def _(g):
+    return G.pagerank(g.nodes, g.edges, 15, personal=g.nodes.select("id", F.when(F.col("id") == SEED, 50.0).otherwise(1.0).alias("weight"))).select("id", F.round("rank", 8).alias("rank"))
+
+
+def k_core_sql(k: int, rounds: int) -> str:
+    out = ", c0 as (select distinct least(source_id, target_id) as a, greatest(source_id, target_id) as b from e where type in ('PUBLISHES_EVENT', 'EXTENDS', 'IMPLEMENTS', 'CONTAINS', 'DATA_FLOW') and source_id <> target_id)"
+    for i in range(rounds):
+        out += f", w{i} as (select id from (select a as id from c{i} union all select b from c{i}) group by id having count(*) < {k}), c{i + 1} as (select * from c{i} where a not in (select id from w{i}) and b not in (select id from w{i}))"
+    return out + f" select distinct id from (select a as id from c{rounds} union all select b from c{rounds})"
+
+
+@on_code("g35_k_core", k_core_sql(2, 40))
 def _(g):
-    return G.pagerank(g.nodes, g.edges, 15, personal=g.nodes.select("id", F.when(F.col("id") == "nation:0", 50.0).otherwise(1.0).alias("weight"))).select("id", F.round("rank", 8).alias("rank"))
+    return G.k_core(g.edges.where("type in ('PUBLISHES_EVENT', 'EXTENDS', 'IMPLEMENTS', 'CONTAINS', 'DATA_FLOW')"), 2)
 
 
-on_trade("g25_betweenness")(lambda g: G.betweenness(g.nodes, g.edges))
-on_trade("g34_label_propagation")(lambda g: G.label_propagation(g.nodes, g.edges))
-on_trade("g35_k_core")(lambda g: G.k_core(g.edges, 2))
+on_ring("g34_label_propagation")(lambda g: G.label_propagation(g.nodes, g.edges))
 
 
 @on_trade("g33_modularity", LAYERS + ", m as (select count(*) as m from l), i as (select sl as c, count(*) as k from l where sl = tl group by 1), d as (select c, count(*) as d from (select sl as c from l union all select tl from l) group by 1) select round(sum(coalesce(k, 0) / m - pow(d / (2 * m), 2)), 6) as q from d left join i using (c), m")
@@ -564,14 +543,14 @@ def _(g):
     return G.distances(g.edges, g.nodes).where("distance > 0").agg(F.max("distance").cast("long").alias("diameter"), F.round(F.avg("distance"), 6).alias("mean"))
 
 
-@on_trade("g42_type_closure", ", r(s, t, d) as (select distinct source_id, target_id, 1 from e union select r.s, e.target_id, r.d + 1 from r join e on e.source_id = r.t where r.d < 5 and r.s <> e.target_id), b as (select s, t, min(d) as d from r group by all) select s as source_id, t as target_id, d as depth from b where d > 1")
+@on_code("g42_type_closure", ", t as (select distinct source_id, target_id from e where type in ('EXTENDS', 'IMPLEMENTS')), r(s, t, d) as (select source_id, target_id, 1 from t union select r.s, t.target_id, r.d + 1 from r join t on t.source_id = r.t where r.d < 5 and r.s <> t.target_id), b as (select s, t, min(d) as d from r group by all) select s as source_id, t as target_id, d as depth from b where d > 1")
 def _(g):
-    return G.closure(g.edges)
+    return G.closure(g.edges.where("type in ('EXTENDS', 'IMPLEMENTS')"))
 
 
-@on_trade("g40_propagation", ", r(id, k) as (select id, 0 from n where name in ('CHINA', 'FRANCE') or id in ('nation:3', 'nation:7') union select e.source_id, r.k + 1 from r join e on e.target_id = r.id where r.k < 10 and pow(0.8, r.k + 1) >= 0.1) select id, 'IO' as label, round(pow(0.8, min(k)), 9) as score from r group by id")
+@on_ring("g40_propagation", ", r(id, k) as (select id, 0 from n where name in ('fn3', 'fn77') union select e.source_id, r.k + 1 from r join e on e.target_id = r.id where r.k < 10 and pow(0.8, r.k) >= 0.1) select id, 'IO' as label, round(pow(0.8, min(k)), 9) as score from r group by id")
 def _(g):
-    s = g.nodes.where("name in ('CHINA', 'FRANCE') or id in ('nation:3', 'nation:7')").select("id", F.lit("IO").alias("label"), F.lit(1.0).alias("score"))
+    s = g.nodes.where("name in ('fn3', 'fn77')").select("id", F.lit("IO").alias("label"), F.lit(1.0).alias("score"))
     return G.propagate(s, g.edges).select("id", "label", F.round("score", 9).alias("score"))
 
 
@@ -583,26 +562,6 @@ def _(g):
 # Rules, ranking, text
 
 
-@on_fk("r01_node_rules", " select id, rule, message from n, (values ('R05', 'acts as repository', ['repository', 'repo', 'store']), ('R09', 'publishes events', ['publisher', 'producer', 'emitter']), ('R19', 'logs', ['logger', 'log']), ('R14', 'authenticates', ['auth', 'jwt', 'token'])) v(rule, message, words) where kind in ('INTERFACE', 'STRUCT') and len(list_filter(words, lambda w: contains(lower(name), w))) > 0")
-def _(g):
-    return U.apply_node_rules(g.nodes, [r for r in U.NODE_RULES if r.id in ("R05", "R09", "R19", "R14")], ["INTERFACE", "STRUCT"])
-
-
-@on_fk("r06_smells", FAN + "select * from (select 'god' as smell, id, 'HIGH' as severity from fan where fan_in > 40 union all select 'coupling', id, 'MEDIUM' from fan where fan_in >= 2 and fan_out >= 1 and fan_in >= 5 and fan_out >= 5 union all select 'unstable', id, 'LOW' from fan where fan_out >= 3 and fan_out / (fan_in + fan_out) >= 0.8) semi join n using (id)")
-def _(g):
-    return U.smells(g.nodes, g.edges, 40, 5, 0.8)
-
-
-@on_trade("r11_lint", LAYERS + "select 'no-asia' as rule, 'error' as severity, source_id, target_id from l where starts_with(ap, 'EUROPE/') and starts_with(bp, 'ASIA/') union all select 'stay', 'warning', source_id, target_id from l where starts_with(ap, 'AFRICA/') and not starts_with(bp, 'AFRICA/') union all select 'fan', 'warning', source_id, null from (select source_id from (select distinct source_id, target_id, ap from l) where starts_with(ap, 'A') group by source_id having count(*) > 1)")
-def _(g):
-    return U.lint(g.nodes, g.edges, [U.LintRule("no-asia", "EUROPE/**", deny=("ASIA/**",)), U.LintRule("stay", "AFRICA/**", "warning", allow_only=("AFRICA/**",)), U.LintRule("fan", "A**", "warning", max_fan_out=1)])
-
-
-@query("r14_intent", "select doc_id, case when regexp_matches(s, '(fix|bug|error|fail)') then 'fix' when regexp_matches(s, '(auth|secret|token|vulnerab)') then 'security' when regexp_matches(s, '(fast|slow|cache|optimi)') then 'performance' when regexp_matches(s, '(refactor|rename|clean)') then 'refactor' when regexp_matches(s, '(add|new|implement)') then 'feature' when regexp_matches(s, '(doc|readme|license)') then 'docs' else 'unknown' end as intent from (select doc_id, lower(text[1:2000]) as s from documents)")
-def _(spark, d):
-    return read(spark, d, "documents").select("doc_id", X.intent(F.substring("text", 1, 2000)).alias("intent"))
-
-
 @on_fk("q02_match_rank", ", s as (select id, greatest(case when lower(name) = 'green' then 1.0 when starts_with(lower(name), 'green') then 0.9 when contains(lower(name), 'green') then 0.8 else 0 end, case when lower(name) = 'customer' then 1.0 when starts_with(lower(name), 'customer') then 0.9 when contains(lower(name), 'customer') then 0.8 else 0 end)::double as score from n) select id, score from s where score > 0 order by score desc, id limit 40")
 def _(g):
     return g.nodes.select("id", X.match_score(F.col("name"), ["green", "customer"]).alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(40)
@@ -620,47 +579,21 @@ def _(spark, d):
     return t.join(F.broadcast(some), F.col("m") | ~F.col("some")).select("doc_id")  # one row
 
 
-@query("x01_tokens", r"with s as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+'), lambda t: strlen(t) >= 2 and not list_contains(" + str(X.STOP) + ", t)) as t from documents) select doc_id, len(t)::bigint as n, sha256(array_to_string(t, ' ')) as digest from s")
-def _(spark, d):
-    return read(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.sha2(F.array_join("t", " "), 256).alias("digest"))
-
-
-@query("x02_significant_tokens", "select doc_id, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 4)))::bigint as n from documents")
-def _(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.size(X.significant(F.col("text"))).cast("long").alias("n"))
-
-
 @query("x04_token_estimate", "select doc_id, greatest(1, strlen(text) // 4)::bigint as tokens from documents")
 def _(spark, d):
     return read(spark, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("x07_sanitize", r"""select doc_id, sha256(regexp_replace(text, '(?i)\b(token|secret|password|api_key)(\s*=\s*)"[^"\n]*"', '\1\2"[REDACTED]"', 'g')) as clean, regexp_matches(text, '(?i)\b(token|secret|password|api_key)(\s*=\s*)"[^"\n]*"') as secret from documents""")
-def _(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.sha2(X.sanitize(F.col("text")), 256).alias("clean"), X.has_secret(F.col("text")).alias("secret"))
-
-
 @query("x09_chunk_id", r"select doc_id, 'c' || sha256(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'))[1:12] as chunk from documents")
 def _(spark, d):
     return read(spark, d, "documents").select("doc_id", X.chunk_id(F.col("text")).alias("chunk"))
 
 
-@query("x11_freshness", "select event_id, round(pow(0.5, date_diff('second', ts, timestamp '2024-02-01') / 3600.0 / (24 * 30)), 8) as freshness from events")
-def _(spark, d):
-    age = (F.unix_seconds(F.lit("2024-02-01 00:00:00").cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))) / 3600.0
-    return read(spark, d, "events").select("event_id", F.round(X.freshness(age, F.lit(30.0)), 8).alias("freshness"))
-
-
 @query("x13_slug", "select p_partkey, regexp_replace(p_name || '/' || p_type, '[^A-Za-z0-9_-]+', '_', 'g') as slug from part")
 def _(spark, d):
     return read(spark, d, "part").select("p_partkey", X.slug(F.concat_ws("/", "p_name", "p_type")).alias("slug"))
 
 
-@query("sc14_language", r"select page_id, case when lower(regexp_extract(url, '\.([^.]*)$', 1)) in ('html', 'htm') then 'html' else 'unknown' end as language from pages")
-def _(spark, d):
-    return read(spark, d, "pages").select("page_id", X.language_of(F.col("url")).alias("language"))
-
-
 @query("d06_semantic_no_op", "with t as (select doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> ''))) as w from documents) select a.doc_id as a, b.doc_id as b, a.w = b.w as same from t a join t b on b.doc_id = a.doc_id + 1")
 def _(spark, d):
     t = read(spark, d, "documents").select("doc_id", F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != ""))).alias("w"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphweft.functions import text as X
 from graphweft.operators import graphs as G
 from graphweft.operators import relational as R
-from graphweft.plans.catalog import DEG, DIRS, LAYERS, by_dir, on_fk, on_trade, query, region_of
+from graphweft.plans.catalog import DEG, DIRS, LAYERS, by_dir, on_fk, on_ring, on_trade, query, region_of
 from graphweft.runtime import settled
 from graphweft.sources.tables import read
 
@@ -49,11 +49,6 @@ def _(spark, d):
     return read(spark, d, "pages").where(F.col("url").rlike(r"/(en|de)/[0-9]+(\.html)?$")).select("page_id")
 
 
-@query("sc17_snapshot_latest", "select o_orderpriority, max_by(o_orderkey, {'a': o_orderdate, 'b': o_orderkey}) as latest from orders where starts_with(o_orderpriority, '1') or starts_with(o_orderpriority, '2') group by 1")
-def _(spark, d):
-    return read(spark, d, "orders").where("o_orderpriority like '1%' or o_orderpriority like '2%'").groupBy("o_orderpriority").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
-
-
 @on_fk("sk01_distinct_edges", " select distinct * from e")
 def _(g):
     return g.edges.distinct()
@@ -62,31 +57,6 @@ def _(g):
 GROUPS = {"CALLS": "CallGraph", "DEPENDS_ON": "CallGraph", "COMPOSES": "Composition", "BELONGS_TO": "Structural"}
 
 
-@on_fk("f08_predicate_groups", " select case type when 'CALLS' then 'CallGraph' when 'DEPENDS_ON' then 'CallGraph' when 'COMPOSES' then 'Composition' else 'Structural' end as grp, count(*) as k from e where type <> 'BELONGS_TO' group by 1")
-def _(g):
-    names = F.create_map(*[F.lit(x) for kv in GROUPS.items() for x in kv])
-    return g.edges.withColumn("grp", names[F.col("type")]).where("grp in ('CallGraph', 'Composition')").groupBy("grp").agg(F.count("*").alias("k"))
-
-
-@on_fk("f10_entry_points", ", p as (select id, case when id = 'order:none' then 1 when lower(name) = 'main' then 2 when regexp_matches(lower(name), '(handler|controller|api|china)') then 3 else 4 end as pass from n) select id from p where pass = (select min(pass) from p)")
-def _(g):
-    low = F.lower("name")
-    p = g.nodes.select("id", F.when(F.col("id") == "order:none", 1).when(low == "main", 2).when(low.rlike("(handler|controller|api|china)"), 3).otherwise(4).alias("pass"))
-    return p.join(F.broadcast(p.agg(F.min("pass").alias("pass"))), "pass").select("id")  # one row
-
-
-@on_fk("f16_api_surface", " select id from n where regexp_matches(name, '^[A-Z]') and kind in ('STRUCT', 'CLASS') and id not in (select target_id from e where type = 'DEPENDS_ON')")
-def _(g):
-    used = g.edges.where("type = 'DEPENDS_ON'").select(F.col("target_id").alias("id"))
-    return g.nodes.where(F.col("name").rlike("^[A-Z]") & F.col("kind").isin("STRUCT", "CLASS")).join(used, "id", "left_anti").select("id")
-
-
-@on_fk("f25_test_exclusion", ", t as (select id, regexp_matches(path, 'supplier') as test from n), a as (select bool_and(test) as every from t) select id from t, a where every or not test")
-def _(g):
-    t = g.nodes.select("id", F.col("path").rlike("supplier").alias("test"))
-    return t.join(F.broadcast(t.agg(F.bool_and("test").alias("every"))), F.col("every") | ~F.col("test")).select("id")  # one row
-
-
 @on_fk("j03_dangling_sweep", ", k as (select id from n where kind <> 'PACKAGE') select type, count(*) filter (source_id in (select id from k) and target_id in (select id from k)) as kept, count(*) filter (not (source_id in (select id from k) and target_id in (select id from k))) as errors from e group by type")
 def _(g):
     k = g.nodes.where("kind <> 'PACKAGE'")
@@ -148,12 +118,6 @@ def _(spark, d):
     return read(spark, d, "events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("types"))
 
 
-@on_fk("a33_risk_score", DEG + "select id, case when raw = 0 then 5 when raw < 5 then 15 else least(raw, 100) end::bigint as risk from (select id, in_degree * 3 + out_degree as raw from deg)")
-def _(g):
-    raw = F.col("in_degree") * 3 + F.col("out_degree")
-    return R.degrees(g.nodes, g.edges).select("id", F.when(raw == 0, 5).when(raw < 5, 15).otherwise(F.least(raw, F.lit(100))).cast("long").alias("risk"))
-
-
 @query("s06_tombstones", "select doc_id from documents where doc_id % 3 <> 0 except select doc_id from documents where doc_id % 2 = 0")
 def _(spark, d):
     t = read(spark, d, "documents").select("doc_id")
@@ -166,40 +130,9 @@ def _(g):
     return o.select(F.col("source_id").alias("a"), "target_id").join(o.select(F.col("source_id").alias("b"), "target_id"), "target_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-@on_trade("g10_upstream_capped", ", r(id) as (select 'nation:6' union select e.source_id from r join e on e.target_id = r.id) select id from r where id <> 'nation:6' order by id limit 5")
+@on_ring("g10_upstream_capped", ", r(id) as (select 'pkg6/file6.go::fn6' union select e.source_id from r join e on e.target_id = r.id) select id from r where id <> 'pkg6/file6.go::fn6' order by id limit 5")
 def _(g):
-    return G.bfs(g.edges, g.nodes.where("id = 'nation:6'"), "in").where("distance > 0").select("id").orderBy("id").limit(5)
-
-
-@on_trade("g14_cycle_members", ", r(a, b) as (select source_id, target_id from e union select r.a, e.target_id from r join e on e.source_id = r.b) select distinct a as id from r where a = b")
-def _(g):
-    c = settled(G.strong_components(g.nodes, g.edges))
-    big = c.groupBy("component").count().where("count > 1").select("component")
-    return c.join(big, "component", "left_semi").select("id")
-
-
-@on_trade("g44_reachable_kinds", ", r(a, id, d) as (select id, id, 0 from n union select r.a, e.target_id, r.d + 1 from r join e on e.source_id = r.id where r.d < 5), b as (select distinct a, split_part(path, '/', 1) as region from r join n using (id)) select a as id, string_agg(region, ',' order by region) as regions from b group by a")
-def _(g):
-    d = G.distances(g.edges, g.nodes).where("distance <= 5").join(g.nodes.select("id", region_of().alias("region")), "id")
-    return d.groupBy(F.col("source").alias("id")).agg(F.array_join(F.sort_array(F.collect_set("region")), ",").alias("regions"))
-
-
-@query("r12_event_ids", "select event_id, sha256(event_type || '|' || user_id || '|' || event_id)[1:16] as id from events")
-def _(spark, d):
-    return read(spark, d, "events").select("event_id", F.substring(F.sha2(F.concat_ws("|", "event_type", "user_id", "event_id"), 256), 1, 16).alias("id"))
-
-
-@query("r16_aging", "with u as (select user_id, max(ts) as seen from events group by 1) select user_id, case when user_id % 10 = 0 then 'PINNED' when date_diff('hour', seen, timestamp '2024-02-01') > 24 * 7 then 'REMOVED' when date_diff('hour', seen, timestamp '2024-02-01') > 48 then 'STALE' else 'ACTIVE' end as state from u")
-def _(spark, d):
-    hours = F.floor(F.unix_seconds(F.date_trunc("hour", F.lit("2024-02-01").cast("timestamp"))) / 3600) - F.floor(F.unix_seconds(F.col("seen").cast("timestamp")) / 3600)
-    u = read(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("seen"))
-    return u.select("user_id", F.when(F.col("user_id") % 10 == 0, "PINNED").when(hours > 24 * 7, "REMOVED").when(hours > 48, "STALE").otherwise("ACTIVE").alias("state"))
-
-
-@query("r17_claims", "select distinct user_id as subject, case event_type when 'purchase' then 'bought' when 'signup' then 'joined' else 'did' end as predicate, event_type as object from events")
-def _(spark, d):
-    said = F.when(F.col("event_type") == "purchase", "bought").when(F.col("event_type") == "signup", "joined").otherwise("did")
-    return read(spark, d, "events").select(F.col("user_id").alias("subject"), said.alias("predicate"), F.col("event_type").alias("object")).distinct()
+    return G.bfs(g.edges, g.nodes.where("id = 'pkg6/file6.go::fn6'"), "in").where("distance > 0").select("id").orderBy("id").limit(5)
 
 
 @query("q03_claim_score", "select event_id, round(case when starts_with(event_type, 'p') then 0.9 else 0.8 end * coalesce(nullif(value / 1000, 0), 0.5), 8) as score from events where contains(event_type, 'c')")
@@ -208,23 +141,11 @@ def _(spark, d):
     return read(spark, d, "events").where(F.col("event_type").contains("c")).select("event_id", F.round(m * F.coalesce(F.nullif(F.col("value") / 1000, F.lit(0.0)), F.lit(0.5)), 8).alias("score"))
 
 
-@query("q05_related_timeline", "select distinct user_id, event_type, ts from events where contains(event_type, 'sign') or contains(event_type, 'err')")
-def _(spark, d):
-    return read(spark, d, "events").where(F.col("event_type").contains("sign") | F.col("event_type").contains("err")).select("user_id", "event_type", "ts").distinct()
-
-
 @on_fk("q10_symbol_lookup", " select id, name from n where lower(name) = 'china' or ends_with(id, ':7')")
 def _(g):
     return g.nodes.where((F.lower("name") == "china") | F.col("id").endswith(":7")).select("id", "name")
 
 
-@query("x03_name_similarity", "with t as (select n_nationkey as k, n_name, list_distinct(regexp_extract_all(lower(n_name), '[a-z]')) as s from nation) select a.n_name as a, b.n_name as b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) as similarity from t a join t b on b.k = a.k + 1")
-def _(spark, d):
-    t = read(spark, d, "nation").select("n_nationkey", "n_name", F.array_distinct(F.regexp_extract_all(F.lower("n_name"), F.lit("[a-z]"), F.lit(0))).alias("s"))
-    u = t.select((F.col("n_nationkey") - 1).alias("n_nationkey"), F.col("n_name").alias("b"), F.col("s").alias("r"))
-    return t.join(u, "n_nationkey").select(F.col("n_name").alias("a"), "b", F.round(F.size(F.array_intersect("s", "r")) / F.size(F.array_union("s", "r")), 6).alias("similarity"))
-
-
 @query("x05_entropy", "with c as (select p_partkey, strlen(p_name) as b, unnest(string_split(p_name, '')) as ch from part), k as (select p_partkey, b, ch, count(*) as n from c where ch <> '' group by all) select p_partkey, round(-sum(n / b * log2(n / b)), 6) as entropy from k group by p_partkey")
 def _(spark, d):
     return read(spark, d, "part").select("p_partkey", F.round(X.entropy(F.col("p_name")), 6).alias("entropy"))
@@ -235,24 +156,6 @@ def _(g):
     return g.nodes.where("kind = 'STRUCT'").select("id", X.parent_dir(F.col("path")).alias("dir"), F.regexp_extract("path", "[^/]*$", 0).alias("file"))
 
 
-@query("x15_type_buckets", "select p_partkey, case when regexp_matches(lower(p_type), 'steel|tin') then 'number' when regexp_matches(lower(p_type), 'brass|copper') then 'string' else 'other' end as bucket from part")
-def _(spark, d):
-    low = F.lower("p_type")
-    return read(spark, d, "part").select("p_partkey", F.when(low.rlike("steel|tin"), "number").when(low.rlike("brass|copper"), "string").otherwise("other").alias("bucket"))
-
-
-@query("x18_set_merge", "select a.n_name as name, array_to_string(list_sort(list_distinct(list_concat(string_split(a.n_name, 'A'), string_split(r_name, 'A')))), ',') as merged from nation a join region on n_regionkey = r_regionkey")
-def _(spark, d):
-    j = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 5 regions
-    return j.select(F.col("n_name").alias("name"), F.array_join(F.array_sort(F.array_distinct(F.concat(F.split("n_name", "A"), F.split("r_name", "A")))), ",").alias("merged"))
-
-
-@query("x22_date_parse", "select o_orderkey, try_cast(case when o_orderkey % 5 = 0 then 'never' else strftime(o_orderdate, '%Y-%m-%d') end as date) as day from orders")
-def _(spark, d):
-    raw = F.when(F.col("o_orderkey") % 5 == 0, "never").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
-    return read(spark, d, "orders").select("o_orderkey", raw.try_cast("date").alias("day"))
-
-
 @query("x23_word_mention", r"select doc_id from documents where regexp_matches(text, '\b(License|licensed)\b')")
 def _(spark, d):
     return read(spark, d, "documents").where(F.col("text").rlike(r"\b(License|licensed)\b")).select("doc_id")
@@ -264,12 +167,6 @@ def _(spark, d):
     return t.join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v")), "doc_id").select("doc_id", (F.size(F.array_intersect("w", "v")) >= 2).alias("satisfied"))
 
 
-@query("d10_structure_checks", "select doc_id, (length(text) - length(replace(text, '|', ''))) % 2 = 0 as even_bars, len(string_split(text, chr(10)))::bigint as lines from documents")
-def _(spark, d):
-    bars = F.length("text") - F.length(F.replace("text", F.lit("|"), F.lit("")))
-    return read(spark, d, "documents").select("doc_id", (bars % 2 == 0).alias("even_bars"), F.size(F.split("text", "\n")).cast("long").alias("lines"))
-
-
 @query("d03_prose_facts", r"select doc_id, len(regexp_extract_all(text, '[.!?]+'))::bigint as sentences, len(regexp_extract_all(text, '[A-Za-z]{12,}'))::bigint as long_words from documents")
 def _(spark, d):
     n = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long")

@@ -10,7 +10,7 @@ from graphweft.operators import graphs as G
 from graphweft.operators import linking as L
 from graphweft.operators import relational as R
 from graphweft.operators import structure as T
-from graphweft.plans.catalog import ALL, DEG, DIRS, LAYERS, ORDER, on_fk, on_trade, pagerank_sql, query, region_of
+from graphweft.plans.catalog import ALL, DEG, DIRS, LAYERS, ORDER, on_fk, on_ring, on_trade, pagerank_sql, query, region_of
 from graphweft.runtime import settled
 from graphweft.sources.tables import read
 
@@ -70,9 +70,9 @@ def _(g):
     return T.folder_components(g.nodes, 30)
 
 
-@on_trade("g06_call_graph", ", s as (select source_id as a, target_id as b from e union select target_id, source_id from e), r(id, d) as (select 'nation:6', 0 union select s.b, r.d + 1 from r join s on s.a = r.id where r.d < 2) select id, min(d) as distance from r group by id")
+@on_ring("g06_call_graph", ", s as (select source_id as a, target_id as b from e where type = 'CALLS' union select target_id, source_id from e where type = 'CALLS'), r(id, d) as (select 'pkg6/file6.go::fn6', 0 union select s.b, r.d + 1 from r join s on s.a = r.id where r.d < 2) select id, min(d) as distance from r group by id")
 def _(g):
-    return G.bfs(g.edges.where("type = 'CALLS'"), g.nodes.where("id = 'nation:6'"), "both", 2)
+    return G.bfs(g.edges.where("type = 'CALLS'"), g.nodes.where("id = 'pkg6/file6.go::fn6'"), "both", 2)
 
 
 def layer_edges(g):
@@ -106,7 +106,7 @@ def _(g):
     return G.weak_components(layer_nodes(g), layer_edges(g)).groupBy(F.col("component").alias("context")).agg(F.count("*").alias("components"))
 
 
-@on_trade("g22_pagerank_normalised", pagerank_sql(10).replace("select id, round(rank, 8) as rank from p10", "select id, round(rank / (select sum(rank) from p10), 8) as rank from p10"))
+@on_ring("g22_pagerank_normalised", pagerank_sql(10, "CALLS").replace("select id, round(rank, 8) as rank from p10", "select id, round(rank / (select sum(rank) from p10), 8) as rank from p10"))
 def _(g):
     r = G.pagerank(g.nodes, g.edges.where("type = 'CALLS'"), 10)
     return r.join(F.broadcast(r.agg(F.sum("rank").alias("t")))).select("id", F.round(F.col("rank") / F.col("t"), 8).alias("rank"))  # one row of totals
@@ -115,11 +115,16 @@ def _(g):
 PATHS = ", dist(s, id, d) as (select id, id, 0 from n union select dist.s, e.target_id, dist.d + 1 from dist join e on e.source_id = dist.id where dist.d < 25), dm as (select s, id, min(d) as d from dist group by all), w(s, path, last, d) as (select id, [id], id, 0 from n union all select w.s, list_append(w.path, e.target_id), e.target_id, w.d + 1 from w join e on e.source_id = w.last join dm on dm.s = w.s and dm.id = e.target_id and dm.d = w.d + 1), k as (select s, last as t, count(*) as k from w group by all), v as (select w.s, w.last as t, unnest(path[2:len(path) - 1]) as id from w where len(path) > 2), bc as (select v.id, sum(1.0 / k) as b from v join k on k.s = v.s and k.t = v.t group by 1)"
 
 
-@on_trade("g26_betweenness_all_sources", PATHS + " select n.id, round(coalesce(b, 0), 4) as betweenness from n left join bc using (id)")
+@on_trade("g25_betweenness", PATHS + " select n.id, round(coalesce(b, 0), 4) as betweenness from n left join bc using (id)")
 def _(g):
     return G.betweenness(g.nodes, g.edges).select("id", F.round("betweenness", 4).alias("betweenness"))
 
 
+@on_trade("g26_betweenness_sampled", PATHS.replace("from w where len(path) > 2), bc", "from w join sk on sk.id = w.s where len(path) > 2), bc").replace(", dist(s, id, d) as", ", sk as (select id from (select id, row_number() over (order by id) - 1 as rank, count(*) over () as c from n) where rank = 0 or floor(rank * 10 / c) <> floor((rank - 1) * 10 / c)), dist(s, id, d) as", 1) + " select n.id, round(coalesce(b, 0) * (select count(*) from n) / 10, 4) as betweenness from n left join bc using (id)")
+def _(g):
+    return G.betweenness(g.nodes, g.edges, 10).select("id", F.round("betweenness", 4).alias("betweenness"))
+
+
 @on_trade("g27_bottlenecks", PATHS + " select id from bc where b > 10")
 def _(g):
     return G.betweenness(g.nodes, g.edges).where("betweenness > 10").select("id")
@@ -131,18 +136,6 @@ def _(g):
     return deg.crossJoin(G.weak_components(g.nodes, g.edges).agg(F.countDistinct("component").alias("components")))  # one row and one row
 
 
-@on_trade("r02_graph_rules", ALL + DEG + ", cyc as (select x.a as id from r x join r y on x.a = y.b and x.b = y.a group by 1 having count(*) > 1), god as (select avg(in_degree + out_degree) + 1.5 * stddev_samp(in_degree + out_degree) as t from deg) select 'R30' as rule, id from cyc union all select 'R32', a from (select b as a, count(*) - 1 as k from r group by 1) where k > 15 union all select 'R35', id from deg, god where in_degree + out_degree > t union all select 'R34', id from deg where in_degree = 0 and out_degree = 0")
-def _(g):
-    comp = settled(G.strong_components(g.nodes, g.edges))
-    cyclic = comp.join(comp.groupBy("component").count().where("count > 1"), "component", "left_semi").select(F.lit("R30").alias("rule"), "id")
-    blast = G.distances(g.edges, g.nodes).groupBy("id").agg((F.count("*") - 1).alias("k")).where("k > 15").select(F.lit("R32").alias("rule"), "id")
-    deg = R.degrees(g.nodes, g.edges).withColumn("t", F.col("in_degree") + F.col("out_degree"))
-    bound = deg.agg((F.avg("t") + 1.5 * F.stddev_samp("t")).alias("edge"))
-    god = deg.join(F.broadcast(bound), F.col("t") > F.col("edge")).select(F.lit("R35").alias("rule"), "id")  # one row of bounds
-    lone = deg.where("t = 0").select(F.lit("R34").alias("rule"), "id")
-    return cyclic.unionByName(blast).unionByName(god).unionByName(lone)
-
-
 @on_trade("r05_layered_pattern", LAYERS + ", x as (select count(*) as crossing, count(distinct sl) as layers, count(*) filter (sl > tl) as upward from l where sl <> tl) select 'PR-01' as pattern, round(1 - upward / crossing, 6) as confidence from x where crossing >= 10 and layers >= 3 and 1 - upward / crossing >= 0.3")
 def _(g):
     return L.layered_pattern(R.with_layers(g.nodes, g.edges, region_of()), ORDER, least=0.3)
@@ -252,7 +245,7 @@ def _(spark, d):
     return base.join(head, "id", "full").where("not (a <=> b)").select("id", change.alias("change"))
 
 
-@on_fk("d25_symbol_view", DEG + ", k as (select id from n join deg using (id) where kind in ('STRUCT', 'PACKAGE', 'MODULE') and in_degree + out_degree >= 3) select source_id, target_id, type from e semi join k a on a.id = source_id semi join k b on b.id = target_id")
+@on_fk("d25_symbol_view", ", ends as materialized (select id, count(*) as k from (select source_id as id from e union all select target_id from e) group by id), k as materialized (select id from n join ends using (id) where kind in ('STRUCT', 'PACKAGE', 'MODULE') and ends.k >= 3) select source_id, target_id, type from e where source_id in (select id from k) and target_id in (select id from k)")
 def _(g):
     kept = g.nodes.where("kind in ('STRUCT', 'PACKAGE', 'MODULE')").join(R.degrees(g.nodes, g.edges).where("in_degree + out_degree >= 3"), "id", "left_semi").select("id")
     return g.edges.join(kept.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(kept.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select("source_id", "target_id", "type")

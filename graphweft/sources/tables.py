@@ -76,6 +76,54 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes, top.select(_id("nation", "s").alias("source_id"), _id("nation", "t").alias("target_id"), F.lit("CALLS").alias("type"), F.col("count").cast("int").alias("line_number")))
 
 
+def ring_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """A graph with cycles that grows with the tables: a function for each customer, in 40 packages and 400 files, that calls two others and names three as parameters."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"))
+    k = c.agg(F.count("*").alias("k"))
+    rows = c.join(F.broadcast(k))  # one row of counts
+    name = lambda i: F.concat(F.lit("pkg"), (i % 40).cast("string"), F.lit("/file"), (i % 400).cast("string"), F.lit(".go::fn"), i.cast("string"))
+    i, n = F.col("i"), F.col("k")
+    nodes = c.select(name(i).alias("id"), F.lit("FUNCTION").alias("kind"), F.concat(F.lit("fn"), i.cast("string")).alias("name"), F.lit("").alias("primitive"), F.substring_index(name(i), "::", 1).alias("path"), (i % 100 + 1).cast("int").alias("line_start"))
+    calls = [("CALLS", 7, 1, 1), ("CALLS", 13, 5, 2), *(("HAS_PARAM", 3, j, 3 + j) for j in range(3))]
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("type"), ((i * a + b) % n).alias("j"), F.lit(line).alias("line_number")) for t, a, b, line in calls])).alias("e")
+    edges = rows.select("i", each).select(name(i).alias("source_id"), name(F.col("e.j")).alias("target_id"), "e.type", "e.line_number")
+    return Graph(nodes, edges)
+
+
+#: Names, kinds and primitives that the code graph deals out in turn.
+CODE_NAMES = ["UserRepository", "orderService", "HttpRouter", "authHandler", "cacheStore", "eventPublisher", "helper", "parseInput", "QueryReader", "sagaRunner", "dataLogger"]
+CODE_KINDS = ["FUNCTION", "FUNCTION", "FUNCTION", "METHOD", "STRUCT", "CLASS", "INTERFACE", "MODULE"]
+CODE_PRIMITIVES = ["", "NETWORK_IO", "DATABASE", "", "DISK_IO", "CACHE", "", "NETWORK_IO,DATABASE", "", "", "DI_CONTAINER", "", ""]
+#: Edges of the code graph: type, every how many nodes, from which on, target (a * i + b), line.
+CODE_EDGES = [
+    ("CALLS", 4, 1, 7, 1, 1), ("CALLS", 4, 0, 13, 5, 2), ("CALLS", 5, 2, 3, 9, 18), ("REFERENCES", 3, 0, 0, 4, 19), ("CFG_IF", 5, 0, 1, 1, 3), ("CFG_LOOP", 7, 0, 1, 2, 4), ("CFG_SWITCH", 9, 0, 1, 3, 5), ("HAS_PARAM", 3, 0, 3, 1, 6),
+    ("CONTAINS", 8, 4, 1, 4, 7), ("CONTAINS", 8, 4, 1, 12, 8), ("CONTAINS", 16, 5, 1, 11, 9), ("EXTENDS", 16, 5, 1, 8, 10), ("IMPLEMENTS", 24, 4, 1, 2, 11), ("PUBLISHES_EVENT", 17, 0, 11, 3, 12),
+    ("DI_INJECTS", 19, 0, 11, 4, 13), ("SPAWNS_CONCURRENT", 23, 0, 11, 5, 14), ("BRANCH_CONSTRAINT", 29, 0, 11, 6, 15), ("DATA_FLOW", 6, 1, 5, 2, 16), ("BELONGS_TO", 3, 0, 8, 7, 17), ("EXTENDS", 32, 13, 1, 16, 20), ("EXTENDS", 32, 29, 1, 24, 21),
+]
+
+
+def code_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """A code graph with properties that grows with the tables: a node for each part, edges of many types, cycles, vendored and test paths.
+
+    Nodes also have `properties` (map) and `entrypoint`; edges `confidence`.
+    """
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), "p_name", "p_brand")
+    k = parts.agg(F.count("*").alias("k"))
+    i, n = F.col("i"), F.col("k")
+    name = lambda i: F.concat(F.lit("pkg"), (i % 40).cast("string"), F.lit("/file"), (i % 400).cast("string"), F.lit(".go::fn"), i.cast("string"))
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i % len(xs) + 1).cast("int"))
+    own = F.substring_index(name(i), "::", 1)
+    path = F.when(i % 50 == 7, F.concat(F.lit("vendor/"), own)).when(i % 50 == 9, F.replace(own, F.lit(".go"), F.lit("_test.go"))).otherwise(own)
+    properties = F.create_map(F.lit("visibility"), F.when(i % 3 == 0, "public").otherwise("private"), F.lit("brand"), "p_brand", F.lit("code"), "p_name")
+    nodes = parts.select(
+        name(i).alias("id"), pick(CODE_KINDS, i).alias("kind"), F.concat(pick(CODE_NAMES, i), i.cast("string")).alias("name"), pick(CODE_PRIMITIVES, i).alias("primitive"),
+        path.alias("path"), (i % 100 + 1).cast("int").alias("line_start"), properties.alias("properties"), (i % 499 == 0).alias("entrypoint"),
+    )
+    each = F.explode(F.array_compact(F.array(*[F.when(i % m == at, F.struct(F.lit(t).alias("type"), ((i * a + b) % n).alias("j"), F.lit(line).alias("line_number"))) for t, m, at, a, b, line in CODE_EDGES]))).alias("e")
+    edges = parts.join(F.broadcast(k)).select("i", each).select(name(i).alias("source_id"), name(F.col("e.j")).alias("target_id"), "e.type", "e.line_number", F.round((i % 10 + 1) / F.lit(10.0), 1).alias("confidence"))  # one row of counts
+    return Graph(nodes, edges)
+
+
 #: The same graphs for the SQL side.
 FK_SQL = """
 place as (select n_nationkey, n_name, r_name || '/' || n_name as place from nation join region on n_regionkey = r_regionkey),
@@ -98,3 +146,26 @@ buys as (select c_nationkey as s, s_nationkey as t, count(*) as k from lineitem
 top as (select *, row_number() over (partition by s order by k desc, (7 * s + 11 * t) % 25, t) as r from buys),
 n as (select 'nation:' || n_nationkey as id, 'PACKAGE' as kind, n_name as name, '' as primitive, r_name || '/' || n_name as path, 1 as line_start from nation join region on n_regionkey = r_regionkey),
 e as (select 'nation:' || s as source_id, 'nation:' || t as target_id, 'CALLS' as type, k::int as line_number from top where r <= 2)"""
+
+
+def _sql_name(i: str) -> str:
+    return f"('pkg' || ({i}) % 40 || '/file' || ({i}) % 400 || '.go::fn' || ({i}))"
+
+
+def _sql_pick(xs: list[str], i: str) -> str:
+    return f"({xs})[{i} % {len(xs)} + 1]"
+
+
+RING_SQL = f"""
+base as (select c_custkey as i, count(*) over () as k from customer),
+n as (select {_sql_name('i')} as id, 'FUNCTION' as kind, 'fn' || i as name, '' as primitive, split_part({_sql_name('i')}, '::', 1) as path, (i % 100 + 1)::int as line_start from base),
+e as (
+ select {_sql_name('i')} as source_id, {_sql_name('((7 * i + 1) % k)')} as target_id, 'CALLS' as type, 1 as line_number from base
+ union all select {_sql_name('i')}, {_sql_name('((13 * i + 5) % k)')}, 'CALLS', 2 from base
+ union all select {_sql_name('i')}, {_sql_name('((3 * i + j) % k)')}, 'HAS_PARAM', (3 + j)::int from base, range(3) r(j))"""
+CODE_SQL = f"""
+base as (select p_partkey as i, p_name, p_brand, count(*) over () as k from part),
+n as (select {_sql_name('i')} as id, {_sql_pick(CODE_KINDS, 'i')} as kind, {_sql_pick(CODE_NAMES, 'i')} || i as name, {_sql_pick(CODE_PRIMITIVES, 'i')} as primitive,
+ case when i % 50 = 7 then 'vendor/' || split_part({_sql_name('i')}, '::', 1) when i % 50 = 9 then replace(split_part({_sql_name('i')}, '::', 1), '.go', '_test.go') else split_part({_sql_name('i')}, '::', 1) end as path,
+ (i % 100 + 1)::int as line_start, map {{'visibility': case when i % 3 = 0 then 'public' else 'private' end, 'brand': p_brand, 'code': p_name}} as properties, i % 499 = 0 as entrypoint from base),
+e as ({' union all '.join(f"select {_sql_name('i')} as source_id, {_sql_name(f'(({a} * i + {b}) % k)')} as target_id, '{t}' as type, {line} as line_number, round((i % 10 + 1) / 10.0, 1)::double as confidence from base where i % {m} = {at}" for t, m, at, a, b, line in CODE_EDGES)})"""
