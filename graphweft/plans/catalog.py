@@ -146,12 +146,6 @@ def _(g):
     return g.edges.groupBy("source_id", "target_id", "type").agg(F.count("*").alias("weight"), F.max("line_number").cast("long").alias("line"))
 
 
-@on_fk("a18_zone_majority", r", z as (select split_part(path, '/', 1) as zone, kind, count(*) as k from n group by all) select zone, kind as top_kind, k from (select *, row_number() over (partition by zone order by k desc, kind) as r from z) where r = 1")
-def _(g):
-    z = g.nodes.groupBy(F.substring_index("path", "/", 1).alias("zone"), "kind").agg(F.count("*").alias("k"))
-    return R.latest(z, ["zone"], [F.desc("k"), F.col("kind")]).select("zone", F.col("kind").alias("top_kind"), "k")
-
-
 @on_trade("a27_topology_hash", " select sha256((select string_agg(id, '|' order by id) from n) || '#' || (select string_agg(type || ':' || source_id || ':' || target_id, '|' order by type || ':' || source_id || ':' || target_id) from e)) as topology")
 def _(g):
     ids = g.nodes.agg(F.array_join(F.sort_array(F.collect_list("id")), "|").alias("a"))
@@ -177,11 +171,6 @@ def _(spark, d):
     return read(spark, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "quality", "toxic").limit(10)
 
 
-@query("a26_ledger_summary", "select event_type, count(*) as runs, round(sum(value), 4) as total, round(avg(value), 6) as mean, min(ts) as first, max(ts) as last from events group by event_type")
-def _(spark, d):
-    return read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("runs"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-
-
 @query("a28_content_hash", "select doc_id, sha256(text) as hash from documents where text is not null")
 def _(spark, d):
     return read(spark, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("hash"))

@@ -167,12 +167,6 @@ def _(spark, d):
     return t.join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v")), "doc_id").select("doc_id", (F.size(F.array_intersect("w", "v")) >= 2).alias("satisfied"))
 
 
-@query("d03_prose_facts", r"select doc_id, len(regexp_extract_all(text, '[.!?]+'))::bigint as sentences, len(regexp_extract_all(text, '[A-Za-z]{12,}'))::bigint as long_words from documents")
-def _(spark, d):
-    n = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long")
-    return read(spark, d, "documents").select("doc_id", n("[.!?]+").alias("sentences"), n("[A-Za-z]{12,}").alias("long_words"))
-
-
 @query("d05_vocabulary", "select distinct word from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents) where length(word) >= 4 order by word limit 500")
 def _(spark, d):
     w = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")

@@ -300,13 +300,6 @@ def _(spark, d):
     return read(spark, d, "documents").where("text is not null").select("doc_id", F.try_element_at(refs, F.lit(1)).alias("first"), F.size(refs).cast("long").alias("refs"))
 
 
-@query("d11_gate", "select doc_id, case when (length(text) - length(replace(text, '```', ''))) // 3 % 2 = 1 then 'syntax' when regexp_matches(text, 'AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|-----BEGIN [A-Z ]+-----') then 'secrets' when length(text) = 0 then 'empty' end as failure from documents where text is not null")
-def _(spark, d):
-    fences = F.floor((F.length("text") - F.length(F.replace("text", F.lit("```"), F.lit("")))) / 3) % 2 == 1
-    secret = F.col("text").rlike("AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|-----BEGIN [A-Z ]+-----")
-    return read(spark, d, "documents").where("text is not null").select("doc_id", F.when(fences, "syntax").when(secret, "secrets").when(F.length("text") == 0, "empty").alias("failure"))
-
-
 @query("a21_severity_totals", "select case when toxic = 1 then 'error' when quality = 0 then 'warning' else 'info' end as severity, count(*) as k from labels group by 1")
 def _(spark, d):
     level = F.when(F.col("toxic") == 1, "error").when(F.col("quality") == 0, "warning").otherwise("info")
