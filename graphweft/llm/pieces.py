@@ -3,7 +3,7 @@
 For merge-type (BPE) vocabularies whose text normalisation is the identity with an added front
 space. A text is cut where no piece can reach across: before each run of space marks, and around
 control characters that no piece holds. Each stretch is merged on its own and remembered by the
-worker; new stretches are checked against the sentencepiece library, batch by batch. A stretch that the
+worker under a number, so texts become arrays of numbers and these arrays of ids; new stretches are checked against the sentencepiece library, batch by batch. A stretch that the
 library encodes differently gets the library's ids; the job fails only if there are more than one
 in `DIFFERING` of at least `CHECKED` stretches, as the vocabulary is then of another kind.
 
@@ -18,14 +18,16 @@ import hashlib
 import heapq
 import itertools
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-#: Stretches that a worker remembers; the older half of what it knows goes when there are more.
-REMEMBERED = 500_000
+#: Stretches that a worker remembers; it starts anew when there are more.
+REMEMBERED = 1_000_000
 #: Stretches from which on, and one in how many of them that may differ from the library's, a worker gives up.
 CHECKED, DIFFERING = 1000, 100
 
@@ -54,8 +56,11 @@ class Pieces:
             raise ValueError("pieces reach across space marks or line ends")
         self.stretches = re.compile(rf"{MARK}+[^{MARK}{alone}]*|[{alone}]|[^{MARK}{alone}]+").findall
         self.checked = self.differing = 0
-        self.new: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.old: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = _Numbers()
+        self.start, self.size, self.held = np.zeros(1024, np.int64), np.zeros(1024, np.int64), array("i")
 
     def merge(self, text: str) -> list[int]:
         """Symbols start as characters; the adjacent pair of best score (then leftmost) is joined until no pair is a piece."""
@@ -93,44 +98,71 @@ class Pieces:
                 out.extend(self.bytes[b] for b in s.encode())
         return out
 
-    def look_up(self, texts: list[str]) -> list[tuple[list[int], str]]:
-        """Of each text, its ids and their decimal forms joined by commas. Stretches not met before are merged, then checked."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's begin. Stretches not met before are merged, then checked."""
+        if len(self.numbers) > REMEMBERED:
+            self.forget()
         cut = [self.stretches(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = []
-        if len(self.new) > REMEMBERED // 2:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        for s in set(itertools.chain.from_iterable(cut)):
-            if s not in new:
-                if (got := old.get(s)) is None:
-                    ids = self.merge(s)
-                    got = (tuple(ids), ",".join(map(str, ids)))
-                    fresh.append(s)
-                new[s] = got
-        self.check(fresh)
-        out = []
-        for stretches in cut:
-            got = [new[s] for s in stretches]
-            out.append((list(itertools.chain.from_iterable([g[0] for g in got])), ",".join([g[1] for g in got])))
-        return out
+        lens = np.array([len(c) for c in cut], np.int64)
+        flat = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(cut)), np.int64, int(lens.sum()))
+        if fresh := self.numbers.fresh:
+            made = self.check(fresh, [self.merge(s) for s in fresh])
+            first, last = len(self.numbers) - len(fresh), len(self.numbers)
+            if last > len(self.size):
+                more = np.zeros(max(last, 2 * len(self.size)) - len(self.size), np.int64)
+                self.start, self.size = np.concatenate([self.start, more]), np.concatenate([self.size, more])
+            sizes = np.array([len(m) for m in made], np.int64)
+            self.size[first:last] = sizes
+            self.start[first:last] = len(self.held) + np.cumsum(sizes) - sizes
+            self.held.extend(itertools.chain.from_iterable(made))
+            self.numbers.fresh = []
+        sizes = self.size[flat]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.start[flat] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return np.frombuffer(self.held, np.int32)[at], np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lens)])]
 
-    def check(self, stretches: list[str]) -> None:
-        """Compare with the library's ids and take those where they differ; stretches without a space mark in front follow a line end, which is a byte of its own."""
-        marked = [s for s in stretches if s[0] == MARK]
-        bare = [s for s in stretches if s[0] != MARK]
-        told: list[tuple[str, list[int]]] = []
+    def look_up(self, texts: list[str]) -> list[tuple[list[int], str]]:
+        """Of each text, its ids and their decimal forms joined by commas."""
+        ids, cut = self.encode(texts)
+        return [(ids[a:b].tolist(), told) for a, b, told in zip(cut, cut[1:], decimal(ids, cut))]
+
+    def check(self, stretches: list[str], made: list[list[int]]) -> list[list[int]]:
+        """Merged ids of stretches, or the library's where it has others; a stretch without a space mark in front follows a line end, which is a byte of its own."""
+        marked = [k for k, s in enumerate(stretches) if s[0] == MARK and s != MARK]
+        bare = [k for k, s in enumerate(stretches) if s[0] != MARK]
+        told: list[tuple[int, list[int]]] = []
         if marked:  # a lone mark is the empty text to the library, which has no ids for it; the front mark of a text is never alone there
-            told += [(s, ids) for s, ids in zip(marked, self.library.encode([s[1:] for s in marked], num_threads=1)) if s != MARK]
+            told += zip(marked, self.library.encode([stretches[k][1:] for k in marked], num_threads=1))
         if bare:
             front = len(self.library.encode("\n"))
-            told += [(s, ids[front:]) for s, ids in zip(bare, self.library.encode(["\n" + s for s in bare], num_threads=1))]
-        for s, ids in told:
-            if tuple(ids) != self.new[s][0]:
+            told += [(k, ids[front:]) for k, ids in zip(bare, self.library.encode(["\n" + stretches[k] for k in bare], num_threads=1))]
+        for k, ids in told:
+            if ids != made[k]:
                 self.differing += 1
-                self.new[s] = (tuple(ids), ",".join(map(str, ids)))
+                made[k] = ids
         self.checked += len(told)
         if self.checked >= CHECKED and self.differing * DIFFERING > self.checked:
             raise ValueError(f"the library encodes {self.differing} of {self.checked} stretches differently")
+        return made
+
+
+class _Numbers(dict):
+    """Numbers of stretches in the order in which they are first met; `fresh` lists those not yet merged."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, s: str) -> int:
+        self[s] = n = len(self)
+        self.fresh.append(s)
+        return n
+
+
+def decimal(ids: np.ndarray, cut: np.ndarray) -> list[str]:
+    """Each text's ids in decimal, joined by commas."""
+    lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids).cast(pa.string()))
+    return pc.binary_join(lists, ",").to_pylist()
 
 
 _known: dict[bytes, Pieces] = {}
@@ -157,6 +189,12 @@ def _some(column: pa.Array, most: int = 1 << 20):
         yield texts
 
 
+def _lists(made: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """One list column of several encoded parts."""
+    sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(cut) for _, cut in made)])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *(ids for ids, _ in made)])))
+
+
 def _kept(df: DataFrame, *gone: str):
     fields = [f for f in df.schema.fields if f.name not in gone]
     return [f.name for f in fields], "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
@@ -170,8 +208,7 @@ def encode_texts(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     def batches(it):
         pieces = _pieces(sent.value)
         for b in it:
-            ids = [i for texts in _some(b.column(text)) for i, _ in pieces.look_up(texts)]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(ids, pa.list_(pa.int32()))], [*keep, "ids"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), _lists([pieces.encode(texts) for texts in _some(b.column(text))])], [*keep, "ids"])
 
     return df.select(*keep, text).mapInArrow(batches, f"{schema}ids array<int>")
 
@@ -199,19 +236,15 @@ def round_trip(df: DataFrame, model: bytes, text: str = "text", with_ids: bool =
         pieces = _pieces(sent.value)
         decode, sha = pieces.library.decode, hashlib.sha256
         for b in it:
-            n, a, d, all_ids = [], [], [], []
+            n, a, d, made = [], [], [], []
             for texts in _some(b.column(text)):
-                for ids, told in pieces.look_up(texts):
-                    n.append(len(ids))
-                    a.append(sha(told.encode()).hexdigest())
-                    d.append(sha(decode(ids).encode() if ids else b"").hexdigest())
-                    if with_ids:
-                        all_ids.append(np.array(ids, np.int32))
-            cols = [*(b.column(x) for x in keep), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
-            names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *all_ids]))))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names)
+                ids, cut = pieces.encode(texts)
+                n += np.diff(cut).tolist()
+                a += [sha(told.encode()).hexdigest() for told in decimal(ids, cut)]
+                d += [sha(decode(ids[x:y].tolist()).encode() if y > x else b"").hexdigest() for x, y in zip(cut.tolist(), cut[1:].tolist())]
+                if with_ids:
+                    made.append((ids, cut))
+            cols = [*(b.column(x) for x in keep), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *([_lists(made)] if with_ids else [])]
+            yield pa.RecordBatch.from_arrays(cols, [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
     return df.select(*keep, text).mapInArrow(batches, f"{schema}n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' if with_ids else ''}")
