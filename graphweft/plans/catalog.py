@@ -146,13 +146,6 @@ def _(g):
     return g.edges.groupBy("source_id", "target_id", "type").agg(F.count("*").alias("weight"), F.max("line_number").cast("long").alias("line"))
 
 
-@on_trade("a27_topology_hash", " select sha256((select string_agg(id, '|' order by id) from n) || '#' || (select string_agg(type || ':' || source_id || ':' || target_id, '|' order by type || ':' || source_id || ':' || target_id) from e)) as topology")
-def _(g):
-    ids = g.nodes.agg(F.array_join(F.sort_array(F.collect_list("id")), "|").alias("a"))
-    keys = g.edges.agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "type", "source_id", "target_id"))), "|").alias("b"))
-    return ids.crossJoin(keys).select(F.sha2(F.concat("a", F.lit("#"), "b"), 256).alias("topology"))  # one row and one row
-
-
 @query("a22_evidence", "with i as (select doc_id % 50 as claim, source, (n_chars % 100) / 100.0 as confidence, (n_chars % 7) / 7.0 as reliability from documents) select claim, round(max(confidence * reliability), 6) as aggregate, (max_by(source, {'a': reliability, 'b': source})) as primary_source from i group by claim")
 def _(spark, d):
     i = read(spark, d, "documents").select((F.col("doc_id") % 50).alias("claim"), "source", (F.col("n_chars") % 100 / 100.0).alias("confidence"), (F.col("n_chars") % 7 / 7.0).alias("reliability"))
@@ -609,15 +602,6 @@ def shared(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
-@query("sc01_json_round_trip", trade(" select source_id, target_id, type, line_number from e"))
-def _(spark, d):
-    import uuid
-
-    path = f"{shared(spark)}/graphweft/doc-{uuid.uuid4().hex}"
-    D.write_graph_json(trade_graph(spark, d), path)
-    return D.read_graph_json(spark, path).edges
-
-
 @on_fk("sc06_deduped_edges", " select source_id, target_id, type, max(line_number)::bigint as line from e group by all")
 def _(g):
     return g.edges.groupBy("source_id", "target_id", "type").agg(F.max("line_number").cast("long").alias("line"))
@@ -639,13 +623,6 @@ def _(spark, d):
     return D.to_cypher(trade_graph(spark, d))
 
 
-@query("sk09_dot", trade(" select 'digraph {' || chr(10) || string_agg('\"' || source_id || '\" -> \"' || target_id || '\"', chr(10) order by source_id, target_id) || chr(10) || '}' as dot from e"))
-def _(spark, d):
-    line = F.concat(F.lit('"'), "source_id", F.lit('" -> "'), "target_id", F.lit('"'))
-    got = trade_graph(spark, d).edges.agg(F.sort_array(F.collect_list(F.struct("source_id", "target_id", line.alias("l")))).alias("x"))
-    return got.select(F.concat(F.lit("digraph {\n"), F.array_join(F.transform("x", lambda r: r["l"]), "\n"), F.lit("\n}")).alias("dot"))
-
-
 @query("st4_stream_once", "select count(*) as events, count(distinct event_id) as ids from events")
 def _(spark, d):
     out = S.drain(S.once(S.event_stream(spark, d, "events.parquet"), "event_id", "ts", "40 days"))

@@ -29,11 +29,6 @@ def _(g):
     return top.select("id", "in_degree", F.row_number().over(Window.orderBy(F.desc("in_degree"), "id")).cast("long").alias("rank"))
 
 
-@on_fk("sc05_metadata", " select (select count(*) from n) as nodes, (select count(*) from e) as edges, 3 as schema_version")
-def _(g):
-    return g.nodes.agg(F.count("*").alias("nodes")).crossJoin(g.edges.agg(F.count("*").alias("edges"))).withColumn("schema_version", F.lit(3))  # one row and one row
-
-
 @query("sc08_last_wins", "select user_id, event_type, value from (select *, row_number() over (partition by user_id, event_type order by event_id desc) as r from events) where r = 1")
 def _(spark, d):
     return R.latest(read(spark, d, "events"), ["user_id", "event_type"], [F.desc("event_id")]).select("user_id", "event_type", "value")

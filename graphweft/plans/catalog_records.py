@@ -181,7 +181,7 @@ def _(spark, d):
 
 def commit_log(spark, d):
     c = commits(spark, d).join(read(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=(F.col("doc_id") % 400 * 5).cast("int"))
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=(F.col("doc_id") % 400).cast("int"))
     return c.select(F.col("source").alias("repo"), F.col("doc_id").alias("id"), at.alias("ts"), F.substring("subject", 1, 60).alias("subject"), "files")
 
 

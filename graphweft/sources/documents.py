@@ -2,32 +2,140 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweft.runtime import settled
 from graphweft.sources.tables import Graph
 
-NODE = "struct<id:string,kind:string,name:string,primitive:string,path:string,line_start:int>"
-EDGE = "struct<source_id:string,target_id:string,type:string,line_number:int>"
-SCHEMA = f"schema_version int, nodes array<{NODE}>, edges array<{EDGE}>"
+NODE = "struct<id:string,kind:string,name:string,primitive:string,primitive_scores:map<string,double>,path:string,line_start:int,properties:map<string,string>>"
+EDGE = "struct<source_id:string,target_id:string,type:string,line_number:int,confidence:float,is_cycle:boolean,properties:map<string,string>>"
+HEADER = "schema_version int, commit_hash string, version long"
+SCHEMA = f"{HEADER}, entrypoints array<string>, nodes array<{NODE}>, edges array<{EDGE}>"
+
+
+def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
 def read_graph_json(spark: SparkSession, path: str) -> Graph:
-    doc = spark.read.schema(SCHEMA).option("multiLine", True).json(path)
-    return Graph(doc.selectExpr("inline(nodes)"), doc.selectExpr("inline(edges)"))
+    """Nodes (with properties, scores and whether they are entry points) and edges of a document."""
+    doc = _document(spark, path, SCHEMA)
+    nodes = doc.select(F.explode("nodes").alias("n"), "entrypoints").select("n.*", F.coalesce(F.array_contains("entrypoints", F.col("n.id")), F.lit(False)).alias("entrypoint"))
+    return Graph(nodes, doc.selectExpr("inline(edges)"))
+
+
+def read_header(spark: SparkSession, path: str) -> DataFrame:
+    """schema_version, commit_hash, version: the reader skips everything else."""
+    return _document(spark, path, HEADER)
+
+
+def read_part(spark: SparkSession, path: str, part: str, columns: dict[str, str]) -> DataFrame:
+    """Some columns (name: type) of `nodes`, `edges`, or `entrypoints` (the ids, as column id) alone: what isn't asked for isn't parsed into rows."""
+    if part == "entrypoints":
+        return _document(spark, path, "entrypoints array<string>").select(F.explode("entrypoints").alias("id"))
+    inner = ",".join(f"{c}:{t}" for c, t in columns.items())
+    return _document(spark, path, f"{part} array<struct<{inner}>>").selectExpr(f"inline({part})")
+
+
+def _full(df: DataFrame, kind: str) -> list[Column]:
+    """The columns of a node or edge in the document's order; those that df lacks are null."""
+    own = [f.split(":", 1) for f in re.split(r",(?![^<]*>)", kind[len("struct<") : -1])]
+    return [(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in own]
+
+
+def write_graph_json(graph: Graph, path: str, commit: str = "", version: int = 1) -> None:
+    """One document, sorted and without repeats by all but the scores: a format for graphs that fit one object; larger ones are kept as Parquet (`commit_state`)."""
+    flat = lambda m: F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    n = graph.nodes.select(*_full(graph.nodes, NODE)).dropDuplicates(["id"])
+    e = graph.edges.select(*_full(graph.edges, EDGE)).withColumn("_p", flat(F.coalesce("properties", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))))
+    e = e.dropDuplicates(["source_id", "target_id", "type", "line_number", "_p"])
+    own = lambda df, kind: F.struct(*[c.split(":", 1)[0] for c in re.split(r",(?![^<]*>)", kind[len("struct<") : -1])])
+    nodes = n.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", own(n, NODE).alias("n"))), lambda x, y: F.when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0)), lambda x: x["n"]).alias("nodes"))
+    key = F.struct("type", "target_id", "line_number", "source_id", "_p").alias("k")
+    order = lambda x, y: F.when(x["k"] < y["k"], -1).when(x["k"] > y["k"], 1).otherwise(0)
+    edges = e.agg(F.transform(F.array_sort(F.collect_list(F.struct(key, own(e, EDGE).alias("e"))), order), lambda x: x["e"]).alias("edges"))
+    entries = graph.nodes.where(F.col("entrypoint")) if "entrypoint" in graph.nodes.columns else graph.nodes.limit(0)
+    roots = entries.agg(F.array_sort(F.collect_set("id")).alias("entrypoints"))
+    head = [F.lit(3).alias("schema_version"), F.lit(commit).alias("commit_hash"), F.lit(version).cast("long").alias("version")]
+    nodes.crossJoin(edges).crossJoin(roots).select(F.to_json(F.struct(*head, "entrypoints", "nodes", "edges")).alias("value")).write.text(path)  # one row each
+
 
+def graph_digest(graph: Graph) -> DataFrame:
+    """(digest): SHA-256 over all ids and edge keys, whatever their order.
 
-def write_graph_json(graph: Graph, path: str) -> None:
-    """One document, sorted and without repeats: a format for graphs that fit one object; larger ones are kept as Parquet."""
-    n = graph.nodes.distinct().agg(F.sort_array(F.collect_list(F.struct("id", "kind", "name", "primitive", "path", "line_start"))).alias("nodes"))
-    e = graph.edges.distinct().agg(F.sort_array(F.collect_list(F.struct("source_id", "target_id", "type", "line_number"))).alias("edges"))
-    n.crossJoin(e).select(F.to_json(F.struct(F.lit(3).alias("schema_version"), "nodes", "edges")).alias("value")).write.text(path)  # one row and one row
+    Rows fall into 65,536 buckets by their own digests, buckets into 256; the digest of each covers its parts' digests in order, and the last one the 256.
+    """
+    rows = graph.nodes.select(F.concat(F.lit("n|"), "id").alias("r")).unionByName(graph.edges.select(F.concat_ws("|", F.lit("e"), "type", "source_id", "target_id").alias("r"))).distinct()
+    now = rows.select(F.sha2("r", 256).alias("h")).select(F.col("h").alias("b"), F.col("h").alias("d"))
+    for width in (4, 2, 0):
+        sorted_parts = F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: F.concat(x["b"], x["d"]))
+        now = now.groupBy(F.substring("b", 1, width).alias("k")).agg(F.sha2(F.array_join(sorted_parts, ""), 256).alias("d")).select(F.col("k").alias("b"), "d")
+    return now.select(F.col("d").alias("digest"))
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written beside its name and renamed over it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, part = hadoop.Path(path), hadoop.Path(path + ".part")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"{path} can't be replaced")
+
+
+def commit_state(graph: Graph, root: str, commit: str, most_bytes: int = 0) -> str:
+    """Write a graph as a new version under root, read it back, compare digests, and only then point CURRENT at it. Returns the version's folder.
+
+    A version over most_bytes (0: no bound) or with another digest is removed and ValueError raised; CURRENT is as it was.
+    """
+    spark = graph.nodes.sparkSession
+    path = f"{root}/v-{commit}-{uuid.uuid4().hex}"
+    graph.nodes.write.parquet(f"{path}/nodes")
+    graph.edges.write.parquet(f"{path}/edges")
+    made = Graph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getContentSummary(folder).getLength()
+    same = graph_digest(graph).first()["digest"] == graph_digest(made).first()["digest"]
+    if not same or (most_bytes and size > most_bytes):
+        fs.delete(folder, True)
+        raise ValueError(f"state of {size} bytes is over the bound of {most_bytes}" if same else "what was written isn't what was given")
+    _write_text(spark, f"{root}/CURRENT", path)
+    return path
+
+
+def read_state(spark: SparkSession, root: str) -> Graph:
+    """The graph that CURRENT points at."""
+    path = spark.read.text(f"{root}/CURRENT").first()["value"]
+    return Graph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
+
+
+def append_log(events: DataFrame, path: str, id: str = "id") -> int:
+    """Append the events whose id the JSON-line log lacks, each once; returns how many."""
+    spark = events.sparkSession
+    once = events.dropDuplicates([id])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        known = spark.read.schema(events.select(id).schema).json(path)
+        once = once.join(known, id, "left_anti")
+    new = settled(once, "new-events")
+    n = new.count()
+    if n:
+        new.write.mode("append").json(path)
+    return n
 
 
 def read_json_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; lines that don't parse are left out."""
-    got = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
-    return got.where("_bad is null").drop("_bad")
+    row = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return spark.read.text(path).select(row.alias("r")).where("r is not null and r._bad is null").select("r.*").drop("_bad")
 
 
 def to_cypher(graph: Graph) -> DataFrame:
@@ -36,3 +144,17 @@ def to_cypher(graph: Graph) -> DataFrame:
     n = graph.nodes.select(F.lit(0).alias("ord"), F.concat(F.lit("CREATE (:"), "kind", F.lit(" {id: "), quoted("id"), F.lit(", name: "), quoted("name"), F.lit("});")).alias("statement"))
     e = graph.edges.select(F.lit(1).alias("ord"), F.concat(F.lit("MATCH (a {id: "), quoted("source_id"), F.lit("}), (b {id: "), quoted("target_id"), F.lit("}) CREATE (a)-[:"), "type", F.lit("]->(b);")).alias("statement"))
     return n.unionByName(e)
+
+
+def diagram(graph: Graph, style: str = "mermaid") -> DataFrame:
+    """(ord, line): a flowchart of the graph, a line for each node and edge, head and foot first and last; sort by all columns to write it."""
+    label = lambda c: F.replace(F.col(c), F.lit('"'), F.lit("'"))
+    alias = lambda c: F.concat(F.lit("n"), F.substring(F.sha2(F.col(c), 256), 1, 12))
+    forms = {
+        "mermaid": (["graph TD"], [], F.concat(F.lit("    "), alias("id"), F.lit('["'), label("name"), F.lit('"]')), F.concat(F.lit("    "), alias("source_id"), F.lit(" -->|"), "type", F.lit("| "), alias("target_id"))),
+        "plantuml": (["@startuml"], ["@enduml"], F.concat(F.lit('component "'), label("name"), F.lit('" as '), alias("id")), F.concat(alias("source_id"), F.lit(" --> "), alias("target_id"), F.lit(" : "), "type")),
+        "dot": (["digraph {"], ["}"], F.concat(F.lit('"'), label("id"), F.lit('" [label="'), label("name"), F.lit('"]')), F.concat(F.lit('"'), label("source_id"), F.lit('" -> "'), label("target_id"), F.lit('" [label="'), "type", F.lit('"]'))),
+    }
+    head, foot, node, edge = forms[style]
+    fixed = graph.nodes.sparkSession.createDataFrame([(0, x) for x in head] + [(3, x) for x in foot], "ord int, line string")
+    return fixed.unionByName(graph.nodes.select(F.lit(1).alias("ord"), node.alias("line")).distinct()).unionByName(graph.edges.select(F.lit(2).alias("ord"), edge.alias("line")).distinct())

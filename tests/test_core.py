@@ -64,20 +64,20 @@ def test_diff_and_rules(four):
     assert rows(R.diff_graphs(four.nodes, four.edges, four.nodes, four.edges)) == []
     less = four.nodes.where("id <> 'store'")
     assert rows(R.diff_graphs(four.nodes, four.edges, less, four.edges)) == [("removed", "node", "store")]
-    assert rows(U.lint(four.nodes, four.edges, [U.LintRule("r", "src/app.go", deny=("src/db*",))])) == [("r", "error", "main", "save")]
-    assert {r[1] for r in rows(U.apply_node_rules(four.nodes, U.NODE_RULES, ["STRUCT"]))} == {"R05"}
+    assert rows(U.lint(four.nodes, four.edges, [U.LintRule("r", "src/app.go", deny=("src/db*",))])) == [("r", "ERROR", "src/app.go", "main", "src/db.go", "save")]
+    stores = four.nodes.withColumn("primitive", F.when(F.col("id") == "store", "DATABASE").otherwise(""))
+    assert rows(U.apply_node_rules(stores, four.edges, kinds=("STRUCT",))) == [("store", "rule_05", "Component DBStore implements the Repository Data Access Pattern [heuristic]")]
+    assert rows(U.apply_node_rules(four.nodes, four.edges, kinds=("STRUCT",))) == [] and rows(U.apply_node_rules(stores, four.edges, kinds=("STRUCT",), mode="structural")) == []
 
 
 def test_budget_fill_walks_every_row(spark):
-    from graphweft.plans import catalog
-
-    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("source", "doc_id", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("score"), "n_chars").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("source", "doc_id", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("score"), "n_chars")
     left, want = {}, set()
-    for r in sorted(d, key=lambda r: (-r["score"], r["doc_id"])):
+    for r in sorted(docs.collect(), key=lambda r: (-r["score"], r["doc_id"])):
         if r["n_chars"] <= left.setdefault(r["source"], 20_000):
             left[r["source"]] -= r["n_chars"]
             want.add((r["source"], r["doc_id"]))
-    got = rows(catalog.QUERIES["w06_budget_fill"](spark, "/root/testdata/sf0.1"))
+    got = rows(M.fill_budget(docs, "source", "score", "doc_id", "n_chars", 20_000))
     assert len(got) == len(want) and set(got) == want
 
 

@@ -1,0 +1,153 @@
+"""Rules, impact, evolution, clusters, document checks and streams on small literals, some against plain Python."""
+
+import datetime as dt
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from graphweft.functions import paths as P
+from graphweft.functions import text as X
+from graphweft.operators import impact as I
+from graphweft.operators import memory as M
+from graphweft.operators import relational as R
+from graphweft.operators import rules as U
+from graphweft.operators import snapshots as N
+from graphweft.operators import verify as Y
+from graphweft.plans import catalog_files, catalog_records
+
+SF = "/root/testdata/sf0.001"
+NODE = "id string, kind string, name string, primitive string, path string, line_start int, entrypoint boolean"
+EDGE = "source_id string, target_id string, type string, line_number int"
+
+
+def graph(spark, nodes, edges):
+    n = [(i, k, name, p, path, 1, entry) for i, k, name, p, path, entry in nodes]
+    return spark.createDataFrame(n, NODE), spark.createDataFrame([(s, t, k, 1) for s, t, k in edges], EDGE)
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple(str(x) for x in r))
+
+
+def test_god_objects_count_types_alone(spark):
+    nodes = [(f"s{i}", "STRUCT", "S", "", "a.go", False) for i in range(20)] + [(f"f{i}", "FUNCTION", "f", "", "a.go", False) for i in range(30)]
+    edges = [(f"f{i}", "s0", "CALLS") for i in range(25)] + [("s0", f"f{i}", "CALLS") for i in range(25)] + [("f0", f"f{i}", "CALLS") for i in range(29)]
+    n, e = graph(spark, nodes, edges)
+    assert rows(R.god_objects(n, e)) == [("s0", 25, 25)]
+
+
+def test_cohesion_falls_back_to_any_inbound_edge(spark):
+    n, e = graph(spark, [(x, "CLASS", x, "", "a.go", False) for x in "abcp"] + [("q", "PACKAGE", "q", "", "", False)], [("a", "p", "CALLS"), ("b", "p", "CALLS"), ("a", "b", "CALLS"), ("a", "q", "BELONGS_TO"), ("c", "q", "CALLS"), ("a", "c", "CALLS")])
+    assert rows(R.cohesion(n, e, spark.createDataFrame([("p",), ("q",)], "id string"))) == [("p", 2, 0.5), ("q", 1, 0.0)]
+
+
+def test_dead_code(spark):
+    nodes = [("main", "FUNCTION", "main", "", "m.go", True), ("used", "FUNCTION", "used", "", "u.go", False), ("dead", "FUNCTION", "dead", "", "d.go", False), ("Api", "FUNCTION", "Api", "", "p.go", False), ("t", "FUNCTION", "t", "", "x_test.go", False), ("v", "VARIABLE", "v", "", "v.go", False), ("flow", "METHOD", "flow", "", "f.go", False)]
+    n, e = graph(spark, nodes, [("main", "used", "CALLS"), ("main", "flow", "DATA_FLOW"), ("dead", "dead2", "CALLS")])
+    assert rows(U.dead_code(n, e, n.where("entrypoint"))) == [("dead", "FUNCTION"), ("flow", "METHOD")]
+    assert rows(U.dead_code(n, e, n.limit(0))) == [] == rows(U.dead_code(n, e, spark.createDataFrame([("gone",)], "id string")))
+
+
+def test_impact_report(spark):
+    nodes = [("t", "STRUCT", "Target", "", "pkg/t.go", False), ("a", "FUNCTION", "A", "", "pkg/a.go", False), ("b", "FUNCTION", "TestB", "", "pkg/b_test.go", False), ("m", "FUNCTION", "main", "", "cmd/m.go", False), ("x", "FUNCTION", "X", "", "gen/x.go", False), ("y", "FUNCTION", "Y", "", "pkg/y.go", False)]
+    n, e = graph(spark, nodes, [("a", "t", "CALLS"), ("b", "a", "CALLS"), ("m", "a", "CALLS"), ("t", "t", "CALLS"), ("x", "t", "CALLS"), ("y", "x", "CALLS"), ("ghost", "t", "CALLS")])
+    target = I.resolve_target(n, "target").select("id")
+    r = I.report(I.dependents(n, e, target, exclude=["gen/"])).first()
+    assert (r["direct"], r["transitive"], r["depth"]) == (1, 2, 2) and r["tests"] == ["pkg/b_test.go"] and r["entries"] == ["main (cmd/m.go)"]
+    assert r["risk"] == 10 + 6 + 15 + 15 and r["level"] == "HIGH" and r["command"] == "go test ./pkg"
+    nothing = I.report(I.dependents(n, e, n.where("id = 'y'").select("id"))).first()
+    assert (nothing["risk"], nothing["level"], nothing["files"], nothing["command"]) == (5, "LOW", [], "")
+
+
+def test_smells_and_layers(spark):
+    nodes = [("g", "CLASS", "God", "", "c0/g.go", True)] + [(f"m{i}", "FUNCTION", f"m{i}", "", f"c{i % 6}/m.go", False) for i in range(12)]
+    edges = [("g", f"m{i}", "CONTAINS") for i in range(12)] + [(f"m{i}", "g", "CALLS") for i in range(12)]
+    n, e = graph(spark, nodes, edges)
+    got = rows(U.smells(n, e, P.directory(F.col("path")), n.where("entrypoint"), fan_in=5, methods=5, share=20.0))
+    assert ("SD-01", "g", "HIGH", 1) in got and ("SD-02", "g", "HIGH", 13) in got and ("SD-05", "c0", "HIGH", 1) in got and ("SD-06", "c0", "MEDIUM", 1) in got
+    assert not [r for r in got if r[0] in ("SD-03", "SD-04")]
+
+
+def test_patterns_need_their_evidence(spark):
+    n, e = graph(spark, [("r", "STRUCT", "UserRepo", "", "a/r.go", False), ("d", "VARIABLE", "d", "DATABASE", "b/d.go", False), *[(f"{k}{i}", "STRUCT", f"{x}{k}", "", "cq/x.go", False) for k in ("Command", "Query") for i, x in enumerate("AB")], ("h", "STRUCT", "ACommandHandler", "", "cq/h.go", False)], [("r", "d", "DEPENDS_ON")])
+    got = dict(rows(U.patterns(n, e, P.directory(F.col("path")))))
+    assert got == {"PR-04": 0.8, "PR-05": 0.8, "PR-07": 0.9}
+
+
+def test_evolution_prefers_members_over_names(spark):
+    base = [("billing", f"n{i}") for i in range(10)] + [("auth", "a1"), ("auth", "a2"), ("old-cart", "c1"), ("lonely", "z")]
+    head = [("billing-core", f"n{i}") for i in range(5)] + [("billing-web", f"n{i}") for i in range(5, 8)] + [("identity", "a1"), ("identity", "a2"), ("cart", "q")]
+    frame = lambda x: spark.createDataFrame(x, "component string, node string")
+    got = rows(N.evolve(frame(base), frame(head)))
+    assert got == [("REMOVED", "lonely", None, None), ("RENAME", "auth", "identity", 1.0), ("RENAME", "old-cart", "cart", 0.5), ("SPLIT", "billing", "billing-core", 0.8), ("SPLIT", "billing", "billing-web", 0.8)]
+
+
+def test_commit_clusters_against_plain(spark):
+    log = catalog_records.commit_log(spark, SF)
+    got = {r["id"]: r["cluster"] for r in M.cluster_commits(log, "repo").collect()}
+    by_repo = {}
+    for r in log.collect():
+        by_repo.setdefault(r["repo"], []).append(r)
+    shared = 0
+    for own in by_repo.values():
+        number, words, files, last = 0, set(), set(), None
+        for r in sorted(own, key=lambda r: (r["ts"], r["id"])):
+            w = {t for t in re.findall("[a-z0-9]+", (r["subject"] or "").lower()) if len(t) >= 4 and t not in X.GLUE}
+            f = {x.lower() for x in r["files"]}
+            if last is not None and r["ts"] - last <= dt.timedelta(hours=24) and (w & words or f & files):
+                words, files, shared = words | w, files | f, shared + 1
+            else:
+                number, words, files = number + 1, w, f
+            last = r["ts"]
+            assert got[r["id"]] == number
+    assert shared > 3
+
+
+def test_watch_and_queue_against_plain(spark):
+    got = rows(catalog_files.QUERIES["st1_watched_changes"](spark, SF).select("user_id", "event_id"))
+    queue = rows(catalog_files.QUERIES["st2_coalesced_queue"](spark, SF))
+    events = [tuple(r) for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_id", "event_type", F.dayofmonth("ts")).collect()]
+    known, want, held = {}, [], []
+    for k in range(3):
+        last = {}
+        for u, i, t, day in sorted(events, key=lambda r: r[1]):
+            if (day - 1) * 3 // 31 == k:
+                last[u] = (i, t)
+        want += [(u, i) for u, (i, t) in last.items() if known.get(u) != t]
+        known |= {u: t for u, (i, t) in last.items()}
+        held += [(u, i, k) for u, (i, _) in sorted(last.items(), key=lambda x: (-x[1][0], x[0]))[:8]]
+    assert got == sorted(want, key=lambda r: tuple(str(x) for x in r)) and queue == sorted(held, key=lambda r: tuple(str(x) for x in r))
+
+
+def test_claims_and_faithfulness(spark):
+    text = "# Title\n\nThe `Store` keeps rows, e.g. many. See [docs](http://x.y) now!\n```\nnot. a claim.\n```\n| a | b |\n| --- | --- |\n| one | two |\n<!-- hidden. -->\n- Calls `Gone.Away`."
+    assert Y.sentences(text) == ["Title", "The `Store` keeps rows, e.g.", "many.", "See docs now!", "| one | two |", "Calls `Gone.Away`."]
+    df = spark.createDataFrame([(1, text, "type Store struct; docs"), (2, "", "x"), (3, None, None)], "doc_id long, text string, facts string")
+    got = {r["doc_id"]: (r["claims"], r["held"], r["score"]) for r in Y.faithfulness(df, X.STOP).collect()}
+    assert got == {1: (6, 2, 2 / 6), 2: (0, 0, 1.0), 3: (0, 0, 1.0)}
+
+
+def test_prose_findings(spark):
+    text = "# One\n# Two\n### Deep\nIt was very much wanted, the the teh. \n\tTabbed line.\nA jargon word.\n```\nis wanted the the\n```"
+    df = spark.createDataFrame([(1, text), (2, "Plain words here."), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r.asDict() for r in Y.prose(df, ["Jargon"]).collect()}
+    assert {k: got[1][k] for k in ("passive", "typos", "doubled", "jargon", "skips", "tops", "trailing", "tabs")} == {"passive": 1, "typos": 1, "doubled": 1, "jargon": 1, "skips": 1, "tops": 1, "trailing": 1, "tabs": 1}
+    assert got[1]["score"] == 100 - 5 * 4 - 2 * 4 and got[2]["score"] == 100 and got[3]["score"] == 100
+
+
+@pytest.mark.parametrize("subject,body,files,want", [
+    ("feat(api)!: x", "", [], "ADD_FEATURE"), ("docs: performance", "", ["a.go"], "DOCS"), ("bump", "", ["go.mod", "sub/package.json"], "DEPENDENCY_UPDATE"), ("Merge pull request #1 from a/fix-cache", "adds a new feature", ["a.go"], "ADD_FEATURE"),
+    ("Merge branch x", "", ["a.go"], "UNKNOWN"), ("éfix", "", [], "FIX_BUG"), ("prefix", "", [], "UNKNOWN"), ("speed up", "", ["README", "a.go"], "PERFORMANCE"), ("x", "y" * 5000 + " fixed", [], "FIX_BUG"),
+])
+def test_intents(spark, subject, body, files, want):
+    df = spark.createDataFrame([(subject, body, files)], "s string, b string, f array<string>")
+    assert df.select(X.intent(F.col("s"), F.col("b"), F.col("f"))).first()[0] == want
+
+
+def test_secrets(spark):
+    given = ["AWS_SECRET_ACCESS_KEY=abcdefgh12", "Authorization: Bearer abcdefghijk", "ASIAABCDEFGHIJKLMNOP", "postgres://u:[REDACTED]@h", "postgres://u:p@h", "nothing", "-----BEGIN RSA PRIVATE KEY-----abc-----END RSA PRIVATE KEY-----"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(given)], "k int, text string")
+    clean = [r["text"] for r in X.sanitize(df).orderBy("k").collect()]
+    assert clean[0] == "AWS_SECRET_ACCESS_KEY=[REDACTED:api_key_assignment]" and clean[1] == "Authorization: [REDACTED:bearer_header]" and clean[4] == "postgres://u:[REDACTED]@h" and clean[6] == "[REDACTED:private_key]"
+    assert [r[0] for r in df.orderBy("k").select(X.has_secret(F.col("text"))).collect()] == [True, True, True, False, True, False, True]
