@@ -307,3 +307,21 @@ def islands(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(component, size) of weak components of two nodes or more that hold no entry point."""
     comp = weak_components(nodes, edges).join(nodes.select("id", "entrypoint"), "id")
     return comp.groupBy("component").agg(F.count("*").alias("size"), F.max("entrypoint").alias("entry")).where("size > 1 and not entry").select("component", "size")
+
+
+def reaching_more(edges: DataFrame, nodes: DataFrame, bound: int, direction: str = "in") -> DataFrame:
+    """Ids of nodes that more than `bound` others reach ("in") or that reach more than `bound` others ("out"); a node's search ends as soon as that is clear, so
+    no node holds many more than bound pairs."""
+    s, t = ("target_id", "source_id") if direction == "in" else ("source_id", "target_id")
+    e = settled(edges.where("source_id <> target_id").select(F.col(s).alias("s"), F.col(t).alias("t")).distinct(), "arcs")
+    seen = settled(nodes.select("id", F.col("id").alias("other")), "seen")
+    front, over = seen, None
+    while not front.isEmpty():
+        step = front.join(e, front["other"] == e["s"]).select("id", F.col("t").alias("other")).distinct().join(seen, ["id", "other"], "left_anti")
+        step = settled(step, "front")
+        seen = settled(seen.unionByName(step), "seen")
+        done = settled(seen.groupBy("id").agg((F.count("*") - 1).alias("n")).where(F.col("n") > bound).select("id"), "over")
+        over = done if over is None else over.unionByName(done)
+        seen = settled(seen.join(done, "id", "left_anti"), "seen")
+        front = step.join(done, "id", "left_anti")
+    return over.distinct()

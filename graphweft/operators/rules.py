@@ -337,3 +337,32 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     external = nodes.where("primitive in ('EXTERNAL', 'NETWORK_IO')").select(F.lit("external").alias("part"), F.col("name").alias("key"), F.lit(1).cast("long").alias("k"))
     out = nodes.join(edges.select(F.col("target_id").alias("id")), "id", "left_anti").join(edges.select(F.col("source_id").alias("id")), "id", "left_semi")
     return kinds.unionByName(external).unionByName(out.select(F.lit("entry").alias("part"), F.col("name").alias("key"), F.lit(1).cast("long").alias("k")))
+
+
+def graph_rules(nodes: DataFrame, edges: DataFrame, blast: int = 50, core: float = 5.0, hub: float = 100.0) -> DataFrame:
+    """(rule, id) of the rules over the whole graph: 29 unreachable, 30 on a cycle, 31 cut vertex, 32 more than `blast` dependents, 33 PageRank over core / n, 34 on an island without
+    entry points, 35 god object, 36 betweenness over `hub`, 37 package of low cohesion. nodes have `entrypoint`."""
+    from graphweft.operators.graphs import betweenness, islands, pagerank, reaching_more
+    from graphweft.operators.relational import cohesion, god_objects, orphans
+    from graphweft.operators.structure import articulation_points
+
+    nodes, edges = settled(nodes, "nodes"), settled(edges, "edges")
+    big = nodes.where("kind in ('MODULE', 'FILE', 'STRUCT', 'CLASS', 'PACKAGE')").select("id")
+    row = lambda n, df: df.join(nodes.select("id"), "id", "left_semi").select(F.lit(f"rule_{n}").alias("rule"), "id")
+    only = lambda df: df.join(big, "id", "left_semi")
+    dead = orphans(nodes, edges, nodes.where("entrypoint")).where("kind in ('MODULE', 'FILE', 'STRUCT', 'CLASS', 'FUNCTION')")
+    comp = settled(strong_components(nodes, edges), "strong")
+    cyclic = comp.join(comp.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi")
+    weak = settled(weak_components(nodes, edges), "weak")
+    lone = weak.join(islands(nodes, edges).select("component"), "component", "left_semi")
+    n = nodes.count()
+    packages = nodes.where("kind in ('MODULE', 'PACKAGE')").select("id")
+    loose = cohesion(nodes, edges, packages).where("cohesion > 0 and cohesion < 1").select(F.col("package").alias("id"))
+    parts = [
+        (29, dead), (30, only(cyclic)), (31, only(articulation_points(nodes, edges))), (32, only(reaching_more(edges, big, blast))), (33, only(pagerank(nodes, edges, 20).where(F.col("rank") > core / max(1, n)))),
+        (34, lone), (35, god_objects(nodes, edges)), (36, only(betweenness(nodes, edges).where(F.col("betweenness") > hub))), (37, loose),
+    ]
+    out = None
+    for k, df in parts:
+        out = row(k, df) if out is None else out.unionByName(row(k, df))
+    return out

@@ -9,6 +9,7 @@ from graphweft.functions import text as X
 from graphweft.operators import graphs as G
 from graphweft.operators import linking as L
 from graphweft.operators import relational as R
+from graphweft.operators import rules as U
 from graphweft.operators import structure as T
 from graphweft.plans.catalog import ALL, DEG, DIRS, LAYERS, ORDER, on_fk, on_ring, on_trade, pagerank_sql, query, region_of
 from graphweft.runtime import settled
@@ -136,6 +137,16 @@ def _(g):
     return deg.crossJoin(G.weak_components(g.nodes, g.edges).agg(F.countDistinct("component").alias("components")))  # one row and one row
 
 
+RULES_SQL = PATHS.replace(", dist(s", ", uu as (select source_id as a, target_id as b from e union select target_id, source_id from e), cutr(v, a, b) as (select n.id, m.id, m.id from n cross join n m where n.id <> m.id union select cutr.v, cutr.a, uu.b from cutr join uu on uu.a = cutr.b where uu.b <> cutr.v), wr(a, b) as (select id, id from n union select wr.a, uu.b from wr join uu on uu.a = wr.b), parts as (select v, count(distinct low) as k from (select v, a, min(b) as low from cutr group by all) group by v), cut as (select p.v as id from parts p where p.k > (select count(distinct low) from (select a, min(b) as low from wr group by 1)) - case when exists (select 1 from uu where a = p.v) then 0 else 1 end), rr(a, b) as (select id, id from n union select rr.a, e.target_id from rr join e on e.source_id = rr.b), cyc as (select x.a as id from rr x join rr y on x.a = y.b and x.b = y.a group by 1 having count(*) > 1), dist(s", 1)
+
+
+@on_trade("r02_graph_rules", RULES_SQL + pagerank_sql(20).split(" select id, round(rank")[0].replace(", w as (", ", pw as (").replace("join w on w.target_id", "join pw on pw.target_id").replace("w.source_id group", "pw.source_id group").replace(" = w.source_id", " = pw.source_id") + " select 'rule_30' as rule, id from cyc union all select 'rule_31', id from cut union all select 'rule_32', b from (select b, count(*) - 1 as k from rr group by 1) where k > 15 union all select 'rule_33', id from p20 where rank > 1.5 / 25 union all select 'rule_36', id from bc where b > 10")
+def _(g):
+    n = g.nodes.withColumn("entrypoint", F.col("id") == "nation:0")
+    got = U.graph_rules(n, g.edges, 15, 1.5, 10.0)
+    return got.where("rule not in ('rule_34', 'rule_37')")
+
+
 @on_trade("r05_layered_pattern", LAYERS + ", x as (select count(*) as crossing, count(distinct sl) as layers, count(*) filter (sl > tl) as upward from l where sl <> tl) select 'PR-01' as pattern, round(1 - upward / crossing, 6) as confidence from x where crossing >= 10 and layers >= 3 and 1 - upward / crossing >= 0.3")
 def _(g):
     return L.layered_pattern(R.with_layers(g.nodes, g.edges, region_of()), ORDER, least=0.3)
