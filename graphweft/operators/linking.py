@@ -97,3 +97,11 @@ def layer_of_path(path: Column) -> Column:
     for layer, words in LAYER_WORDS:
         out = (F if out is None else out).when(low.rlike(words), layer)
     return out.otherwise("common")
+
+
+def vocabulary_edges(edges: DataFrame, names: dict[str, str], entrypoints: DataFrame) -> DataFrame:
+    """(source_id, target_id, pred, line, from_entry): edges under the names of a vocabulary, once each with their greatest line; types without a name go."""
+    pred = F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("type"))
+    once = edges.withColumn("pred", pred).where("pred is not null").groupBy("source_id", "target_id", "pred").agg(F.max("line_number").alias("line"))
+    own = entrypoints.select(F.col("id").alias("source_id"), F.lit(True).alias("from_entry")).distinct()
+    return once.join(own, "source_id", "left").select("source_id", "target_id", "pred", "line", F.coalesce("from_entry", F.lit(False)).alias("from_entry"))

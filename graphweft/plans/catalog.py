@@ -87,12 +87,6 @@ def _(g):
     return R.degrees(g.nodes, g.edges).select("id", (F.col("in_degree") + F.col("out_degree")).alias("total")).orderBy(F.desc("total"), "id").limit(25)
 
 
-@on_fk("t06_entity_budget", DEG + "select id, in_degree + out_degree + case when kind in ('STRUCT', 'CLASS', 'INTERFACE') then 10 else 0 end as score from deg join n using (id) order by score desc, id limit 50")
-def _(g):
-    bonus = F.when(F.col("kind").isin("STRUCT", "CLASS", "INTERFACE"), 10).otherwise(0)
-    return R.degrees(g.nodes, g.edges).join(g.nodes.select("id", "kind"), "id").select("id", (F.col("in_degree") + F.col("out_degree") + bonus).alias("score")).orderBy(F.desc("score"), "id").limit(50)
-
-
 @on_fk("a02_fans", FAN + "select * from fan")
 def _(g):
     return R.fans(g.edges)
@@ -152,13 +146,6 @@ def _(spark, d):
     return M.evidence(i).select("claim", F.round("aggregate", 6).alias("aggregate"), "primary_source")
 
 
-@query("a24_dominant_convention", "with k as (select source, lang, count(*) as n from documents group by all), t as (select source, sum(n) as total from k group by 1) select source, lang, n as support, round(n / total, 6) as share from (select *, row_number() over (partition by source order by n desc, lang) as r from k) join t using (source) where r = 1 and n >= 3")
-def _(spark, d):
-    k = read(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
-    total = k.groupBy("source").agg(F.sum("n").alias("total"))
-    return R.latest(k, ["source"], [F.desc("n"), F.col("lang")]).join(total, "source").where("n >= 3").select("source", "lang", F.col("n").alias("support"), F.round(F.col("n") / F.col("total"), 6).alias("share"))
-
-
 @query("a25_review_tuning", "select quality, toxic, count(*) as k from labels group by all order by k desc, quality, toxic limit 10")
 def _(spark, d):
     return read(spark, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "quality", "toxic").limit(10)
@@ -197,11 +184,6 @@ def _(g):
     return g.nodes.where(F.col("path").rlike(R.glob_regex("*/*/cust*.go"))).select("id", "path")
 
 
-@on_fk("f12_first_layer", " select id, case when starts_with(path, 'EUROPE/') then 'north' when starts_with(path, 'A') then 'wide' when kind = 'INTERFACE' then 'parts' end as layer from n")
-def _(g):
-    return g.nodes.select("id", F.when(F.col("path").rlike(R.glob_regex("EUROPE/**")), "north").when(F.col("path").rlike(R.glob_regex("A**")), "wide").when(F.col("kind") == "INTERFACE", "parts").alias("layer"))
-
-
 @on_fk("f19_search", " select id, name from n where kind = 'CLASS' and (contains(lower(id), '1') or contains(lower(name), '1')) order by id limit 30")
 def _(g):
     return g.nodes.where((F.col("kind") == "CLASS") & (F.lower("id").contains("1") | F.lower("name").contains("1"))).select("id", "name").orderBy("id").limit(30)
@@ -285,13 +267,6 @@ def _(spark, d):
     return read(spark, d, "events").select("user_id").distinct().join(read(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id")), "user_id", "left_anti")
 
 
-@query("j21_overlay", "with c as (select doc_id, 'q' || quality as v, doc_id * 7 % 13 as ts, row_number() over (partition by doc_id order by quality) as seq from labels), l as (select doc_id, max_by(v, {'a': ts, 'b': seq}) as v from c group by 1) select d.doc_id, coalesce(l.v, d.lang) as lang from documents d left join l using (doc_id)")
-def _(spark, d):
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("quality"))
-    c = read(spark, d, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("value"), (F.col("doc_id") * 7 % 13).alias("ts"), seq.alias("seq"))
-    return M.overlay(read(spark, d, "documents").select("doc_id", "lang"), c, "doc_id", "lang")
-
-
 @on_trade("j24_rename", ", m as (select id, case when length(name) > 7 then 'n:' || name end as new from n) select distinct coalesce(a.new, source_id) as source_id, coalesce(b.new, target_id) as target_id, type from e left join m a on a.id = source_id left join m b on b.id = target_id where coalesce(a.new, source_id) <> coalesce(b.new, target_id)")
 def _(g):
     m = g.nodes.where(F.length("name") > 7).select("id", F.concat(F.lit("n:"), "name").alias("new"))
@@ -602,11 +577,6 @@ def shared(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
-@on_fk("sc06_deduped_edges", " select source_id, target_id, type, max(line_number)::bigint as line from e group by all")
-def _(g):
-    return g.edges.groupBy("source_id", "target_id", "type").agg(F.max("line_number").cast("long").alias("line"))
-
-
 @query("sc10_json_log", "select event_id, event_type from events where event_id % 9 <> 0")
 def _(spark, d):
     import uuid

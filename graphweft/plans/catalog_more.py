@@ -39,11 +39,6 @@ def _(spark, d):
     return read(spark, d, "orders").where("o_orderdate >= timestamp '1995-01-01' and o_orderdate < timestamp '1996-01-01'").select("o_orderkey", "o_orderdate")
 
 
-@query("sc15_doc_discovery", r"select page_id from pages where regexp_matches(url, '/(en|de)/[0-9]+(\.html)?$')")
-def _(spark, d):
-    return read(spark, d, "pages").where(F.col("url").rlike(r"/(en|de)/[0-9]+(\.html)?$")).select("page_id")
-
-
 @on_fk("sk01_distinct_edges", " select distinct * from e")
 def _(g):
     return g.edges.distinct()
@@ -52,13 +47,6 @@ def _(g):
 GROUPS = {"CALLS": "CallGraph", "DEPENDS_ON": "CallGraph", "COMPOSES": "Composition", "BELONGS_TO": "Structural"}
 
 
-@on_fk("j03_dangling_sweep", ", k as (select id from n where kind <> 'PACKAGE') select type, count(*) filter (source_id in (select id from k) and target_id in (select id from k)) as kept, count(*) filter (not (source_id in (select id from k) and target_id in (select id from k))) as errors from e group by type")
-def _(g):
-    k = g.nodes.where("kind <> 'PACKAGE'")
-    bad = R.dangling(k, g.edges).groupBy("type").agg(F.count("*").alias("errors"))
-    return g.edges.groupBy("type").agg(F.count("*").alias("all")).join(bad, "type", "left").na.fill(0).select("type", (F.col("all") - F.col("errors")).alias("kept"), "errors")
-
-
 @on_trade("j07_upward_edges", LAYERS + "select source_id, target_id from l where sl > tl")
 def _(g):
     return R.with_layers(g.nodes, g.edges, region_of()).where("source_layer > target_layer").select("source_id", "target_id")
@@ -76,16 +64,6 @@ def _(g):
     return R.collapse(g.edges, by_dir(g)).select("s", "t").distinct()
 
 
-@on_fk("j15_longest_prefix", ", c as (select distinct path as prefix from n where kind in ('MODULE', 'PACKAGE')) select id, (max_by(prefix, length(prefix))) as component from n join c on n.path = prefix or starts_with(n.path, prefix || '/') where kind in ('STRUCT', 'CLASS') group by id")
-def _(g):
-    parts = F.split("path", "/")
-    # every prefix of a path is a key: the theta join becomes an equi join
-    cut = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    prefixes = g.nodes.where("kind in ('MODULE', 'PACKAGE')").select(F.col("path").alias("prefix")).distinct()
-    own = g.nodes.where("kind in ('STRUCT', 'CLASS')").select("id", F.explode(cut).alias("prefix"))
-    return own.join(prefixes, "prefix").groupBy("id").agg(F.max_by("prefix", F.length("prefix")).alias("component"))
-
-
 @on_fk("j17_line_as_of", ", q as (select path, line from (select distinct path from n where kind = 'INTERFACE'), (values (10), (50), (90)) v(line)) select q.path, line, max(line_start) as line_start from q join n on n.path = q.path and line_start <= line group by all")
 def _(g):
     lines = F.explode(F.array(F.lit(10), F.lit(50), F.lit(90))).alias("line")
@@ -100,14 +78,6 @@ def _(spark, d):
     return e.where("event_id % 4 = 0").join(e.where("event_id % 6 = 0"), "event_id", "left_anti")
 
 
-@query("a29_freshness_score", "with r as (select user_id, ts, row_number() over (partition by user_id order by ts desc, event_id) as k from events) select user_id, round(greatest(0, 100 - sum(5.0 / sqrt(date_diff('day', ts, timestamp '2024-02-01') + 1))), 6) as score from r where k <= 100 group by user_id")
-def _(spark, d):
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id"))
-    days = F.datediff(F.lit("2024-02-01").cast("date"), F.to_date("ts"))
-    e = read(spark, d, "events").withColumn("k", k).where("k <= 100")
-    return e.groupBy("user_id").agg(F.round(F.greatest(F.lit(0.0), 100 - F.sum(5.0 / F.sqrt(days + 1))), 6).alias("score"))
-
-
 @query("a31_cluster_files", "select user_id, string_agg(distinct event_type, ',' order by event_type) as types from events group by user_id")
 def _(spark, d):
     return read(spark, d, "events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("types"))

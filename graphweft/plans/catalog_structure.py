@@ -182,12 +182,6 @@ def _(spark, d):
     return calls.join(read(spark, d, "supplier").select(F.col("s_nationkey").alias("iface"), F.col("s_suppkey").alias("method")), "iface").select("caller", "method").distinct()
 
 
-@on_fk("j22_dirty_scopes", ", s as (select distinct regexp_replace(path, '/[^/]*$', '') as scope from n where contains(path, '/')) select distinct s.scope, n.path from n join s on starts_with(n.path, s.scope || '/') where n.kind in ('CLASS', 'STRUCT')")
-def _(g):
-    scopes = g.nodes.where(F.col("path").contains("/")).select(X.parent_dir(F.col("path")).alias("scope")).distinct()
-    return L.dirty_scopes(g.nodes.where("kind in ('CLASS', 'STRUCT')").select("path").distinct(), scopes)
-
-
 @query("j19_stale_components", "select c_custkey as id from customer where c_custkey not in (select o_custkey from orders where o_orderdate >= timestamp '1997-01-01')")
 def _(spark, d):
     fresh = read(spark, d, "orders").where("o_orderdate >= timestamp '1997-01-01'").select(F.col("o_custkey").alias("id"))
@@ -205,11 +199,6 @@ def _(g):
 # Aggregates, order and sets
 
 
-@on_fk("a14_package_rollup", DIRS + ", p as (select grp, min_by(primitive, id) as primitive, count(*) as members from (select dir.id, grp, primitive from n join dir using (id)) group by 1) select * from p")
-def _(g):
-    return g.nodes.groupBy(X.parent_dir(F.col("path")).alias("grp")).agg(F.min_by("primitive", "id").alias("primitive"), F.count("*").alias("members"))
-
-
 @on_fk("a32_groups_by_target", " select target_id, count(*) as k, count(distinct source_id) as sources, min(source_id) as first from e where type = 'DEPENDS_ON' group by 1")
 def _(g):
     return g.edges.where("type = 'DEPENDS_ON'").groupBy("target_id").agg(F.count("*").alias("k"), F.countDistinct("source_id").alias("sources"), F.min("source_id").alias("first"))
@@ -233,15 +222,6 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", rank.alias("priority")).orderBy("priority", "doc_id").limit(100)
 
 
-@query("s04_first_writer", "select id, pass from (select *, row_number() over (partition by id order by pass) as r from (select 'n' || c_nationkey as id, 1 as pass from customer union all select 'n' || s_nationkey, 2 from supplier union all select 'n' || n_nationkey, 3 from nation)) where r = 1")
-def _(spark, d):
-    def ids(t, c, k):
-        return read(spark, d, t).select(F.concat(F.lit("n"), F.col(c).cast("string")).alias("id"), F.lit(k).alias("pass"))
-
-    every = ids("customer", "c_nationkey", 1).unionByName(ids("supplier", "s_nationkey", 2)).unionByName(ids("nation", "n_nationkey", 3))
-    return every.groupBy("id").agg(F.min("pass").alias("pass"))
-
-
 @query("w08_state_fold", "select user_id, max_by(event_type, {'a': ts, 'b': event_id}) as state from events where event_type in ('purchase', 'signup') group by 1")
 def _(spark, d):
     return read(spark, d, "events").where("event_type in ('purchase', 'signup')").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"))
@@ -305,12 +285,6 @@ def _(spark, d):
     return read(spark, d, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))).alias("json"))
 
 
-@query("r20_references", r"select doc_id, list_sort(list_distinct(regexp_extract_all(text, '[0-9]{3,}')))[1] as first, len(list_distinct(regexp_extract_all(text, '[0-9]{3,}')))::bigint as refs from documents where text is not null")
-def _(spark, d):
-    refs = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{3,}"), F.lit(0))))
-    return read(spark, d, "documents").where("text is not null").select("doc_id", F.try_element_at(refs, F.lit(1)).alias("first"), F.size(refs).cast("long").alias("refs"))
-
-
 @query("a21_severity_totals", "select case when toxic = 1 then 'error' when quality = 0 then 'warning' else 'info' end as severity, count(*) as k from labels group by 1")
 def _(spark, d):
     level = F.when(F.col("toxic") == 1, "error").when(F.col("quality") == 0, "warning").otherwise("info")
