@@ -221,7 +221,7 @@ def region_of():
     return F.substring_index("path", "/", 1)
 
 
-@on_trade("j05_layer_crossings", LAYERS + "select source_id, target_id, sl as source_layer, tl as target_layer from l where sl <> tl")
+@on_code("j05_layer_crossings", LAYERS + "select source_id, target_id, sl as source_layer, tl as target_layer from l where sl <> tl")
 def _(g):
     return R.with_layers(g.nodes, g.edges, region_of()).where("source_layer <> target_layer").select("source_id", "target_id", "source_layer", "target_layer")
 
@@ -231,7 +231,7 @@ def _(g):
     return U.drift(R.with_layers(g.nodes, g.edges, region_of()), ORDER, [("ASIA", "EUROPE"), ("AFRICA", "AMERICA")])
 
 
-@on_trade("a19_violation_groups", LAYERS + "select sl as source_layer, tl as target_layer, count(*) as k, string_agg(source_id, ',' order by source_id) as ids from l where sl > tl group by all")
+@on_code("a19_violation_groups", LAYERS + "select sl as source_layer, tl as target_layer, count(*) as k, string_agg(source_id, ',' order by source_id) as ids from l where sl > tl group by all")
 def _(g):
     up = R.with_layers(g.nodes, g.edges, region_of()).where("source_layer > target_layer")
     return up.groupBy("source_layer", "target_layer").agg(F.count("*").alias("k"), F.array_join(F.sort_array(F.collect_list("source_id")), ",").alias("ids"))
@@ -328,7 +328,7 @@ def _(spark, d):
     return R.diff_graphs(b, own(b), h, own(h))
 
 
-@on_trade("s03_trend", LAYERS + ", v as (select distinct source_id || '>' || target_id as k, sl > tl as old, sl <> tl and line_number % 2 = 0 as new from l) select k, case when old and new then 'persisting' when new then 'introduced' else 'resolved' end as trend from v where old or new")
+@on_code("s03_trend", LAYERS + ", v as (select distinct source_id || '>' || target_id as k, sl > tl as old, sl <> tl and line_number % 2 = 0 as new from l) select k, case when old and new then 'persisting' when new then 'introduced' else 'resolved' end as trend from v where old or new")
 def _(g):
     l = R.with_layers(g.nodes, g.edges, region_of()).withColumn("k", F.concat_ws(">", "source_id", "target_id"))  # noqa: E741
     old, new = l.where("source_layer > target_layer").select("k").distinct(), l.where("source_layer <> target_layer and line_number % 2 = 0").select("k").distinct()
@@ -490,7 +490,7 @@ def _(g):
 on_ring("g34_label_propagation")(lambda g: G.label_propagation(g.nodes, g.edges))
 
 
-@on_trade("g33_modularity", LAYERS + ", m as (select count(*) as m from l), i as (select sl as c, count(*) as k from l where sl = tl group by 1), d as (select c, count(*) as d from (select sl as c from l union all select tl from l) group by 1) select round(sum(coalesce(k, 0) / m - pow(d / (2 * m), 2)), 6) as q from d left join i using (c), m")
+@on_code("g33_modularity", LAYERS + ", m as (select count(*) as m from l), i as (select sl as c, count(*) as k from l where sl = tl group by 1), d as (select c, count(*) as d from (select sl as c from l union all select tl from l) group by 1) select round(sum(coalesce(k, 0) / m - pow(d / (2 * m), 2)), 6) as q from d left join i using (c), m")
 def _(g):
     return G.modularity(g.edges, g.nodes.select("id", region_of().alias("community")))
 

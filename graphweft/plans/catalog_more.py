@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphweft.functions import text as X
 from graphweft.operators import graphs as G
 from graphweft.operators import relational as R
-from graphweft.plans.catalog import DEG, DIRS, LAYERS, by_dir, on_fk, on_ring, on_trade, query, region_of
+from graphweft.plans.catalog import DEG, DIRS, LAYERS, by_dir, on_code, on_fk, on_ring, on_trade, query, region_of
 from graphweft.runtime import settled
 from graphweft.sources.tables import read
 
@@ -47,7 +47,7 @@ def _(g):
 GROUPS = {"CALLS": "CallGraph", "DEPENDS_ON": "CallGraph", "COMPOSES": "Composition", "BELONGS_TO": "Structural"}
 
 
-@on_trade("j07_upward_edges", LAYERS + "select source_id, target_id from l where sl > tl")
+@on_code("j07_upward_edges", LAYERS + "select source_id, target_id from l where sl > tl")
 def _(g):
     return R.with_layers(g.nodes, g.edges, region_of()).where("source_layer > target_layer").select("source_id", "target_id")
 

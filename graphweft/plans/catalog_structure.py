@@ -11,7 +11,7 @@ from graphweft.operators import linking as L
 from graphweft.operators import relational as R
 from graphweft.operators import rules as U
 from graphweft.operators import structure as T
-from graphweft.plans.catalog import ALL, DEG, DIRS, LAYERS, ORDER, on_fk, on_ring, on_trade, pagerank_sql, query, region_of
+from graphweft.plans.catalog import ALL, DEG, DIRS, LAYERS, ORDER, on_code, on_fk, on_ring, on_trade, pagerank_sql, query, region_of
 from graphweft.runtime import settled
 from graphweft.sources.tables import read
 
@@ -87,7 +87,7 @@ def layer_nodes(g):
 LAYER_REACH = LAYERS + ", le as (select distinct sl as s, tl as t from l), r(a, b) as (select s, t from le union select r.a, le.t from r join le on le.s = r.b)"
 
 
-@on_trade("g13_layer_cycles", LAYER_REACH + ", c as (select x.a as id, min(x.b) as c from r x join r y on x.a = y.b and x.b = y.a group by 1) select count(*) as cycles from (select c from c group by 1 having count(*) > 1 or bool_or(id in (select s from le where s = t)))")
+@on_code("g13_layer_cycles", LAYER_REACH + ", c as (select x.a as id, min(x.b) as c from r x join r y on x.a = y.b and x.b = y.a group by 1) select count(*) as cycles from (select c from c group by 1 having count(*) > 1 or bool_or(id in (select s from le where s = t)))")
 def _(g):
     e = layer_edges(g)
     comp = settled(G.strong_components(layer_nodes(g), e))
@@ -95,14 +95,14 @@ def _(g):
     return comp.join(loops, "id", "left").groupBy("component").agg(F.count("*").alias("k"), F.max("loop").alias("loop")).where("k > 1 or loop").agg(F.count("*").alias("cycles"))
 
 
-@on_trade("g17_folder_cycle_tags", LAYER_REACH + " select n.id, exists (select 1 from r x join r y on x.a = y.b and x.b = y.a where x.a = split_part(n.path, '/', 1) and x.a <> x.b) as cyclic from n")
+@on_code("g17_folder_cycle_tags", LAYER_REACH + " select n.id, exists (select 1 from r x join r y on x.a = y.b and x.b = y.a where x.a = split_part(n.path, '/', 1) and x.a <> x.b) as cyclic from n")
 def _(g):
     comp = settled(G.strong_components(layer_nodes(g), layer_edges(g)))
     big = comp.join(comp.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi").select(F.col("id").alias("zone"), F.lit(True).alias("c"))
     return g.nodes.select("id", region_of().alias("zone")).join(big, "zone", "left").select("id", F.coalesce("c", F.lit(False)).alias("cyclic"))
 
 
-@on_trade("g29_bounded_contexts", LAYERS + ", z as (select distinct sl as a, tl as b from l where sl <> tl union select distinct tl, sl from l where sl <> tl union select distinct split_part(path, '/', 1), split_part(path, '/', 1) from n), r(a, b) as (select a, b from z union select r.a, z.b from r join z on z.a = r.b) select low as context, count(*) as components from (select a, min(b) as low from r group by 1) group by 1")
+@on_code("g29_bounded_contexts", LAYERS + ", z as (select distinct sl as a, tl as b from l where sl <> tl union select distinct tl, sl from l where sl <> tl union select distinct split_part(path, '/', 1), split_part(path, '/', 1) from n), r(a, b) as (select a, b from z union select r.a, z.b from r join z on z.a = r.b) select low as context, count(*) as components from (select a, min(b) as low from r group by 1) group by 1")
 def _(g):
     return G.weak_components(layer_nodes(g), layer_edges(g)).groupBy(F.col("component").alias("context")).agg(F.count("*").alias("components"))
 
