@@ -8,11 +8,119 @@ from pyspark.sql import functions as F
 from graphweft.runtime import settled
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, direction: str = "out", max_depth: int = 0) -> DataFrame:
+#: Arcs up to which a graph is searched in one task, which holds them; larger ones take rounds of joins. Both give the same rows.
+SMALL = 200_000
+
+
+def _one_task(rows: DataFrame, schema: str, run) -> DataFrame:
+    """All rows (s, t), bounded by SMALL, in one task: run takes two lists."""
+    import pandas as pd
+
+    names = [c.split()[0] for c in schema.split(",")]
+
+    def batches(it):
+        parts = list(it)
+        got = run([x for p in parts for x in p["s"]], [x for p in parts for x in p["t"]])
+        yield pd.DataFrame(got, columns=names)
+
+    return rows.coalesce(1).mapInPandas(batches, schema)
+
+
+def _levels(max_depth: int):
+    def run(s, t):
+        near: dict[str, list[str]] = {}
+        seen: dict[str, int] = {}
+        for a, b in zip(s, t):
+            if b is None:
+                seen[a] = 0
+            else:
+                near.setdefault(a, []).append(b)
+        front, depth = list(seen), 0
+        while front and (not max_depth or depth < max_depth):
+            depth += 1
+            fresh = []
+            for a in front:
+                for b in near.get(a, ()):
+                    if b not in seen:
+                        seen[b] = depth
+                        fresh.append(b)
+            front = fresh
+        return list(seen.items())
+
+    return run
+
+
+def _strong(s, t):
+    """Components by depth-first search with low links, without recursion; each named by its least id."""
+    near: dict[str, list[str]] = {}
+    for a, b in zip(s, t):
+        near.setdefault(a, [])
+        if b is not None:
+            near[a].append(b)
+    order, low, stack, on, out = {}, {}, [], set(), []
+    for root in near:
+        if root in order:
+            continue
+        work = [(root, iter(near[root]))]
+        order[root] = low[root] = len(order)
+        stack.append(root)
+        on.add(root)
+        while work:
+            v, rest = work[-1]
+            for w in rest:
+                if w not in near:
+                    continue
+                if w not in order:
+                    order[w] = low[w] = len(order)
+                    stack.append(w)
+                    on.add(w)
+                    work.append((w, iter(near[w])))
+                    break
+                if w in on:
+                    low[v] = min(low[v], order[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == order[v]:
+                    part = []
+                    while True:
+                        w = stack.pop()
+                        on.discard(w)
+                        part.append(w)
+                        if w == v:
+                            break
+                    least = min(part)
+                    out += [(w, least) for w in part]
+    return out
+
+
+def _weak(s, t):
+    up: dict[str, str] = {}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    nodes = [a for a, b in zip(s, t) if b is None]
+    for a, b in zip(s, t):
+        up.setdefault(a, a)
+        if b is not None:
+            up.setdefault(b, b)
+            x, y = top(a), top(b)
+            up[max(x, y)] = min(x, y)
+    return [(x, top(x)) for x in nodes]
+
+
+def bfs(edges: DataFrame, seeds: DataFrame, direction: str = "out", max_depth: int = 0, small: int = SMALL) -> DataFrame:
     """(id, distance) of everything reached from seeds (id); max_depth counts edges, 0 is no limit."""
     fwd, back = edges.select("source_id", "target_id"), edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
     e = settled({"out": fwd, "in": back, "both": fwd.unionByName(back)}[direction].distinct(), "adjacency")
     seen = settled(seeds.select("id", F.lit(0).alias("distance")).distinct(), "seen")
+    if e.count() + seen.count() <= small:
+        return _one_task(seen.select(F.col("id").alias("s"), F.lit(None).cast("string").alias("t")).unionByName(e.select(F.col("source_id").alias("s"), F.col("target_id").alias("t"))), "id string, distance int", _levels(max_depth))
     front, depth = seen, 0
     while not front.isEmpty() and (not max_depth or depth < max_depth):
         depth += 1
@@ -54,7 +162,7 @@ def simple_paths(edges: DataFrame, start: str, target: str, max_edges: int) -> D
     return found.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).cast("long").alias("length"))
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def weak_components(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(id, component): the least id of each weakly connected component, by alternating stars."""
     e = settled(edges.where("source_id <> target_id").select(F.greatest("source_id", "target_id").alias("a"), F.least("source_id", "target_id").alias("b")).distinct(), "stars")
 
@@ -62,6 +170,9 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     before = mark(e)
+    own = settled(nodes.select("id").distinct(), "ids")
+    if before[0] + own.count() <= small:
+        return _one_task(own.select(F.col("id").alias("s"), F.lit(None).cast("string").alias("t")).unionByName(e.select(F.col("a").alias("s"), F.col("b").alias("t"))), "id string, component string", _weak)
     while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -76,7 +187,7 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(e.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def strong_components(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(id, component): rounds of forward colouring with the greatest id and backward reach from each colour's root.
 
     Before each round nodes without an arc in or out are components of their own and go, three layers of them at most, so
@@ -84,6 +195,8 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     left = settled(nodes.select("id"), "left")
     e = settled(edges.where("source_id <> target_id").select(F.col("source_id").alias("s"), F.col("target_id").alias("t")).distinct(), "arcs")
+    if e.count() + left.count() <= small:
+        return _one_task(left.select(F.col("id").alias("s"), F.lit(None).cast("string").alias("t")).unionByName(e), "id string, component string", _strong)
     done = None
 
     def add(part):

@@ -42,6 +42,31 @@ def test_filters(four):
         assert bool(re.match(R.glob_regex(glob), path)) == fits, (glob, path)
 
 
+@pytest.mark.parametrize("small", [0, 1000])
+def test_searches_in_rounds_and_in_one_task(spark, small):
+    """Both ways give what closures say, on a graph with tails, two cycles that touch, loops and lone nodes."""
+    arcs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "e"), ("x", "a"), ("f", "g"), ("g", "h"), ("d", "out")]
+    ids = sorted({v for a in arcs for v in a} - {"out"}) + ["lone"]
+    n, e = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(arcs, "source_id string, target_id string")
+
+    def reach(pairs):
+        got = {i: {i} for i in [*ids, "out"]}
+        for _ in ids:
+            for s, t in pairs:
+                for v in got.values():
+                    if s in v:
+                        v.add(t)
+        return got
+
+    inner = [a for a in arcs if "out" not in a]
+    r, u = reach(inner), reach([*arcs, *((t, s) for s, t in arcs)])
+    assert rows(G.strong_components(n, e.where("target_id <> 'out'"), small)) == sorted((i, min(j for j in r[i] if i in r[j])) for i in ids)
+    assert rows(G.weak_components(n, e, small)) == sorted((i, min(u[i])) for i in ids)
+    assert rows(G.bfs(e, n.where("id = 'x'"), small=small)) == [("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 5), ("out", 5), ("x", 0)]
+    assert rows(G.bfs(e, n.where("id in ('d', 'h')"), "in", 1, small=small)) == [("c", 1), ("d", 0), ("e", 1), ("g", 1), ("h", 0)]
+    assert rows(G.strong_components(n.limit(0), e.limit(0), small)) == rows(G.weak_components(n.limit(0), e.limit(0), small)) == []
+
+
 def test_components_and_paths(four):
     assert rows(G.strong_components(four.nodes, four.edges)) == [("helper", "helper"), ("main", "main"), ("save", "helper"), ("store", "store")]
     assert rows(G.weak_components(four.nodes, four.edges)) == [("helper", "helper"), ("main", "helper"), ("save", "helper"), ("store", "store")]
