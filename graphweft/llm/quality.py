@@ -33,7 +33,7 @@ from .suffix_tree import bit_map, in_map
 
 SAMPLE, DIM, NONZERO, REACH, LEAST, MOST = 4000, 32, 4, 2, 5, 1_000_000
 #: Words after which a task hands its sums on, and tokens that are summed together.
-FLUSH, SPAN = 400_000, 1 << 18
+FLUSH, SPAN = 300_000, 1 << 17
 _TOKENS = str.split
 #: What stands for the rare words of a shape; no word has white space.
 SHAPES = [f" {k}" for k in range(6)]
@@ -88,14 +88,13 @@ class Sums:
             self.used += len(new)
             self.index = np.concatenate([self.index, index_vectors(h[ok])])
             if self.used > len(self.n):
-                more = max(self.used, 2 * len(self.n)) - len(self.n)
+                more = max(self.used, len(self.n) + len(self.n) // 4) - len(self.n)
                 self.own, self.n = np.concatenate([self.own, np.zeros((more, DIM), np.int32)]), np.concatenate([self.n, np.zeros(more, np.int64)])
             odd = [t for t, o in zip(fresh, ok.tolist()) if not o]
             rare = dict(zip(odd, range(self.used, self.used + len(odd))))
             index = np.concatenate([self.index, index_vectors(h[~ok])])
-        at = {**self.at, **rare} if len(rare) < len(self.at) // 8 else None
         get, more_of = self.at.get, rare.get
-        i = np.array([at[t] for ts in texts for t in ts] if at else [k if (k := get(t)) is not None else more_of(t) for ts in texts for t in ts], np.int64)
+        i = np.array([k if (k := get(t)) is not None else more_of(t) for ts in texts for t in ts], np.int64)
         if not len(i):
             return
         text = np.repeat(np.arange(len(texts)), [len(ts) for ts in texts])
@@ -115,14 +114,15 @@ class Sums:
         self.own[mine] += np.add.reduceat(near[order], start, axis=0, dtype=np.int32)
         self.n[mine] += np.diff([*start, len(i)])
 
-    def rows(self) -> pa.RecordBatch:
-        """Words, counts and sums: the lowest eight bits, signed, and, where that isn't all, what is above them."""
-        own = self.own[: self.used]
-        low = (own + 128 & 255) - 128
-        high = own - low >> 8
-        some = high.any(axis=1)
-        upper = [high[k].tobytes() if o else None for k, o in enumerate(some.tolist())]
-        return pa.RecordBatch.from_arrays([pa.array(self.names, pa.string()), pa.array(self.n[: self.used]), _binary(low.astype(np.int8)), pa.array(upper, pa.binary())], ["token", "n", "low", "high"])
+    def rows(self):
+        """Record batches of words, counts and sums: the lowest eight bits, signed, and, where that isn't all, what is above them."""
+        for at in range(0, self.used, 1 << 14):
+            part = slice(at, min(self.used, at + (1 << 14)))
+            own = self.own[part]
+            low = (own + 128 & 255) - 128
+            high = own - low >> 8
+            upper = [high[k].tobytes() if o else None for k, o in enumerate(high.any(axis=1).tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(self.names[part], pa.string()), pa.array(self.n[part]), _binary(low.astype(np.int8)), pa.array(upper, pa.binary())], ["token", "n", "low", "high"])
 
 
 def _binary(x: np.ndarray) -> pa.Array:
@@ -179,9 +179,9 @@ def sum_vectors(docs: DataFrame, often: np.ndarray, least: int) -> DataFrame:
         for texts in _texts(it, SPAN):
             sums.add(texts)
             if sums.used > FLUSH:
-                yield sums.rows()
+                yield from sums.rows()
                 sums.clear()
-        yield sums.rows()
+        yield from sums.rows()
 
     def whole(it):
         held = None  # the last word's count and sum: more of it may follow
