@@ -27,6 +27,11 @@ def significant(text: Column) -> Column:
     return F.array_sort(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: (F.length(t) >= 4) & ~F.array_contains(glue, t)))
 
 
+def content_tokens(text: Column) -> Column:
+    """Distinct [a-z0-9] runs of at least four characters."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) >= 4))
+
+
 def name_tokens(name: Column) -> Column:
     return F.regexp_extract_all(F.lower(name), F.lit("[a-z0-9]+"), F.lit(0))
 

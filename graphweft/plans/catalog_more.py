@@ -128,7 +128,7 @@ def _(spark, d):
 
 @query("d02_instruction_overlap", "with t as (select doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 4)) as w from documents) select a.doc_id, len(list_intersect(a.w, b.w)) >= 2 as satisfied from t a join t b on b.doc_id = a.doc_id + 1")
 def _(spark, d):
-    t = read(spark, d, "documents").select("doc_id", X.significant(F.col("text")).alias("w"))
+    t = read(spark, d, "documents").select("doc_id", X.content_tokens(F.col("text")).alias("w"))
     return t.join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v")), "doc_id").select("doc_id", (F.size(F.array_intersect("w", "v")) >= 2).alias("satisfied"))
 
 
