@@ -3,7 +3,7 @@
 Random indexing gives each word a sparse random index vector; a word's own vector is the sum of the
 index vectors of its neighbours in all documents, scaled to length one. Every word seen `LEAST`
 times or more in the corpus has its own vector; rarer ones share one for each shape (case,
-digits, marks). Words are what white space separates, case and marks kept. A document is the mean of its words' vectors and three facts of its
+digits, marks). Words are runs of letters, of digits and of marks, and line ends. A document is the mean of its words' vectors and three facts of its
 text. The network is trained on four fifths of a labelled sample; the temperature of its
 probabilities is fitted on the other fifth.
 
@@ -20,6 +20,7 @@ the share of label 1 (0.5 without any).
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -34,8 +35,8 @@ from .suffix_tree import bit_map, in_map
 SAMPLE, DIM, NONZERO, REACH, LEAST, MOST = 4000, 32, 4, 2, 5, 1_000_000
 #: Words after which a task hands its sums on, and tokens that are summed together.
 FLUSH, SPAN = 300_000, 1 << 17
-_TOKENS = str.split
-#: What stands for the rare words of a shape; no word has white space.
+_TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n").findall
+#: What stands for the rare words of a shape; no token has a blank.
 SHAPES = [f" {k}" for k in range(6)]
 
 
