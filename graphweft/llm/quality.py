@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,17 @@ SAMPLE, DIM, NONZERO, REACH, LEAST, MOST = 4000, 32, 4, 2, 5, 1_000_000
 #: Words after which a task hands its sums on, and tokens that are summed together.
 FLUSH, SPAN = 300_000, 1 << 17
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n").findall
+#: The same for texts of ASCII, whose sets of characters are told faster.
+_ASCII = re.compile("[A-Za-z]+|[0-9]+|[%s]+|_+|\n" % "".join(rf"\x{k:02x}" for k in range(128) if re.fullmatch(r"[^\w\s]", chr(k)))).findall
 #: What stands for the rare words of a shape; no token has a blank.
 SHAPES = [f" {k}" for k in range(6)]
 
 
+def tokens_of(text: str | None) -> list[str]:
+    text = text or ""
+    return _ASCII(text) if text.isascii() else _TOKENS(text)
+
+
 def shape(token: str) -> int:
     if token[0].isalpha():
         return 0 if token.islower() else 1 if len(token) > 1 and token.isupper() else 2
@@ -73,13 +81,13 @@ class Sums:
     def clear(self):
         self.at: dict[str, int] = {}  # words that the map lets through; others are looked at anew each time
         self.names = list(SHAPES)
-        self.index = index_vectors(np.zeros(len(SHAPES), np.uint64))
         self.own, self.n, self.used = np.zeros((1024, DIM), np.int32), np.zeros(1024, np.int64), len(SHAPES)
+        self.index = np.zeros((1024, DIM), np.int8)  # of the words, then of a span's rare ones
+        self.index[: self.used] = index_vectors(np.zeros(len(SHAPES), np.uint64))
 
     def add(self, texts: list[list[str]]) -> None:
         fresh = list(set().union(*texts) - self.at.keys())
         rare: dict[str, int] = {}
-        index = self.index
         if fresh:
             h = np.array([word_hash(t) for t in fresh], np.uint64)
             ok = in_map(self.often, h)
@@ -87,19 +95,23 @@ class Sums:
             self.at.update(zip(new, range(self.used, self.used + len(new))))
             self.names += new
             self.used += len(new)
-            self.index = np.concatenate([self.index, index_vectors(h[ok])])
             if self.used > len(self.n):
                 more = max(self.used, len(self.n) + len(self.n) // 4) - len(self.n)
                 self.own, self.n = np.concatenate([self.own, np.zeros((more, DIM), np.int32)]), np.concatenate([self.n, np.zeros(more, np.int64)])
             odd = [t for t, o in zip(fresh, ok.tolist()) if not o]
             rare = dict(zip(odd, range(self.used, self.used + len(odd))))
-            index = np.concatenate([self.index, index_vectors(h[~ok])])
-        get, more_of = self.at.get, rare.get
-        i = np.array([k if (k := get(t)) is not None else more_of(t) for ts in texts for t in ts], np.int64)
+            if self.used + len(odd) > len(self.index):
+                self.index = np.concatenate([self.index, np.zeros((self.used + len(odd) + len(self.index) // 4 - len(self.index), DIM), np.int8)])
+            self.index[self.used - len(new) : self.used] = index_vectors(h[ok])
+            self.index[self.used : self.used + len(odd)] = index_vectors(h[~ok])
+        self.at.update(rare)
+        i = np.fromiter(map(self.at.__getitem__, chain.from_iterable(texts)), np.int64)
+        for t in rare:
+            del self.at[t]
         if not len(i):
             return
         text = np.repeat(np.arange(len(texts)), [len(ts) for ts in texts])
-        x = index[i]
+        x = self.index[i]
         near = np.zeros((len(i), DIM), np.int8)
         for r in range(1, REACH + 1):
             cut = np.flatnonzero(text[r:] != text[:-r])  # neighbours in another text
@@ -109,7 +121,7 @@ class Sums:
             near[r:] += forth
             near[:-r] += back
         slot = np.concatenate([np.arange(self.used), [shape(t) for t in rare]]).astype(np.int64)[i]
-        order = np.argsort(slot, kind="stable")
+        order = np.argsort(slot)
         start = np.flatnonzero(np.concatenate([[True], np.diff(slot[order]) > 0]))
         mine = slot[order][start]
         self.own[mine] += np.add.reduceat(near[order], start, axis=0, dtype=np.int32)
@@ -142,7 +154,7 @@ def _texts(it, size: int):
     held, n = [], 0
     for b in it:
         for t in b.column("text"):
-            held.append(_TOKENS(t.as_py() or ""))
+            held.append(tokens_of(t.as_py()))
             n += len(held[-1])
             if n >= size:
                 yield held
@@ -279,10 +291,13 @@ def pool(docs: DataFrame, vectors: Vectors) -> DataFrame:
                 i = np.array([get(t, -1) for ts in texts for t in ts], np.int64)
                 lens = np.array([len(ts) for ts in texts])
                 odd = np.flatnonzero(i < 0)
+                number, text = i.copy(), np.repeat(np.arange(len(texts)) << 32, lens)
                 if len(odd):
                     at_text = np.searchsorted(np.cumsum(lens), odd, side="right")
                     flat = [t for ts in texts for t in ts]
                     other = [flat[k] for k in odd.tolist()]
+                    seen: dict[str, int] = {}
+                    number[odd] = [len(table) + seen.setdefault(t, len(seen)) for t in other]
                     i[odd] = [shape(t) for t in other]
                     if often is not None:
                         met = in_map(often, np.array([word_hash(t) for t in other], np.uint64))
@@ -290,13 +305,16 @@ def pool(docs: DataFrame, vectors: Vectors) -> DataFrame:
                             tails[r + t].append((w, 1, int(i[k])))
                             i[k] = len(table) - 1  # a row of zeros
                 x = table[i].astype(np.float32)
+                pairs = np.sort(text + number)
+                first = np.concatenate([[True], pairs[1:] != pairs[:-1]])[: len(pairs)]
+                distinct = np.bincount(pairs[first] >> 32, minlength=len(texts))
                 full = np.flatnonzero(lens)
                 if len(full):
                     sums[r + full, :DIM] = np.add.reduceat(x, (np.cumsum(lens) - lens)[full], axis=0)
                 for k, ts in enumerate(texts):
                     if ts:
                         lines = [y for y in (b.column("text")[r + k].as_py()).split("\n") if y.strip()]
-                        sums[r + k, DIM:] = len(ts), np.log1p(len(ts)) / 4 - 1, len(set(ts)) / len(ts), 1 - len(set(lines)) / max(1, len(lines))
+                        sums[r + k, DIM:] = len(ts), np.log1p(len(ts)) / 4 - 1, distinct[k] / len(ts), 1 - len(set(lines)) / max(1, len(lines))
                 r += len(texts)
             cols = {f.name: b.column(f.name) for f in keep}
             if whole:

@@ -695,3 +695,14 @@ def test_pipeline_stages(spark):
             assert four[i] == t
         elif n == 1:
             assert plain_scan(four[i], bench)[1] == 0
+
+
+def test_quality_tokens_and_facts_of_odd_texts(spark):
+    texts = ["".join(map(chr, range(128))), "a_b__c1 2\x1c\x1d\x0b..\n\n-", "é1ª²\u2028x\x85y_", "", None, "Aa aA 12a\x00\x7f!"]
+    assert [quality.tokens_of(t) for t in texts] == [quality._TOKENS(t or "") for t in texts]
+    rows = [(k, t) for k, t in enumerate(texts + ["rare1 rare1 rare2 known known", "known " * 9])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["x"] for r in quality.pool(d, quality.learn_vectors(d)).collect()}
+    for k, t in rows:
+        ts = quality._TOKENS(t or "")
+        assert abs(got[k][quality.DIM + 1] - (len(set(ts)) / len(ts) if ts else 0)) < 1e-6, (k, got[k][quality.DIM + 1])
