@@ -4,7 +4,8 @@ Random indexing gives each word a sparse random index vector; a word's own vecto
 index vectors of its neighbours in all documents, scaled to length one. Every word seen `LEAST`
 times or more in the corpus has its own vector; rarer ones share one for each shape (case,
 digits, marks). Words are runs of letters, of digits and of marks, and line ends. A document is the mean of its words' vectors and three facts of its
-text. The network is trained on four fifths of a labelled sample; the temperature of its
+text. Texts are cut into words in numpy, many at a time; equal words of these are told by 64-bit
+sums over their characters, and each distinct one is a string once. The network is trained on four fifths of a labelled sample; the temperature of its
 probabilities is fitted on the other fifth.
 
 Vectors are summed by task and word, then by word, and stored as a table. Up to `MOST` words, the
@@ -21,9 +22,8 @@ the share of label 1 (0.5 without any).
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +31,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, crc_mod, stored
-from .suffix_tree import bit_map, in_map
+from .suffix_tree import bit_map, in_map, mixed, runs
 
 SAMPLE, DIM, NONZERO, REACH, LEAST, MOST = 4000, 32, 4, 2, 5, 1_000_000
-#: Words after which a task hands its sums on, and tokens that are summed together.
-FLUSH, SPAN = 300_000, 1 << 17
-_TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n").findall
-#: The same for texts of ASCII, whose sets of characters are told faster.
-_ASCII = re.compile("[A-Za-z]+|[0-9]+|[%s]+|_+|\n" % "".join(rf"\x{k:02x}" for k in range(128) if re.fullmatch(r"[^\w\s]", chr(k)))).findall
+#: Words after which a task hands its sums on, and characters that are cut together.
+FLUSH, SPAN = 300_000, 5 << 17
+#: What words are runs of; a line end is a word by itself.
+KINDS = (r"[^\W\d_]+", r"\d+", r"[^\w\s]+", "_+", r"\n")
+_TOKENS = re.compile("|".join(KINDS)).findall
 #: What stands for the rare words of a shape; no token has a blank.
 SHAPES = [f" {k}" for k in range(6)]
 
 
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point, its kind (from 1; 0: in no word) and a random number."""
+    every, kind = "".join(map(chr, range(0x110000))), np.zeros(0x110000, np.uint8)
+    for k, pattern in enumerate(KINDS, 1):
+        for m in re.finditer(pattern, every):
+            kind[m.start() : m.end()] = k
+    return kind, mixed(np.arange(0x110000))
+
+
+@dataclass
+class Cut:
+    """Texts cut into words."""
+
+    names: list[str]  # the distinct ones
+    number: np.ndarray  # of each word, which of names it is
+    lens: np.ndarray  # words of each text
+    order: np.ndarray  # the words by name
+    first: np.ndarray  # where in `order` each name starts
+
+    @property
+    def n(self) -> np.ndarray:
+        """Words of each name."""
+        return np.diff(self.first, append=len(self.order))
+
+
+def cut(texts: list[str]) -> Cut:
+    kinds, random = _characters()
+    joined = " ".join(texts)  # no word has a blank
+    raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = kinds[raw]
+    edge = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == len(KINDS))])) if len(raw) else np.zeros(0, np.int64)
+    size = np.diff(edge, append=len(raw))
+    own = kind[edge] > 0
+    start, size = edge[own], size[own]
+    power = np.cumprod(np.full(int(size.max(initial=1)), 0x9E3779B97F4A7C15, np.uint64))
+    sums = np.zeros(len(start), np.uint64)
+    for at in range(0, len(start), 1 << 17):  # a long text's words in parts
+        n, begin = size[at : at + (1 << 17)], start[at : at + (1 << 17)]
+        to = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(to, n)
+        sums[at : at + len(n)] = np.add.reduceat(random[raw[np.repeat(begin, n) + place]] * power[place], to)
+    order = np.argsort(sums)
+    fresh = runs(sums[order])
+    number = np.zeros(len(start), np.int64)
+    mark = np.zeros(len(start), np.int64)
+    mark[fresh[1:]] = 1
+    number[order] = np.cumsum(mark)
+    where = order[fresh]
+    names = [joined[x:y] for x, y in zip(start[where].tolist(), (start + size)[where].tolist())]
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    return Cut(names, number, np.diff(np.searchsorted(start, ends), prepend=0), order, fresh)
+
+
 def tokens_of(text: str | None) -> list[str]:
-    text = text or ""
-    return _ASCII(text) if text.isascii() else _TOKENS(text)
+    got = cut([text or ""])
+    return [got.names[k] for k in got.number.tolist()]
 
 
 def shape(token: str) -> int:
@@ -85,47 +139,45 @@ class Sums:
         self.index = np.zeros((1024, DIM), np.int8)  # of the words, then of a span's rare ones
         self.index[: self.used] = index_vectors(np.zeros(len(SHAPES), np.uint64))
 
-    def add(self, texts: list[list[str]]) -> None:
-        fresh = list(set().union(*texts) - self.at.keys())
-        rare: dict[str, int] = {}
-        if fresh:
-            h = np.array([word_hash(t) for t in fresh], np.uint64)
-            ok = in_map(self.often, h)
-            new = [t for t, o in zip(fresh, ok.tolist()) if o]
-            self.at.update(zip(new, range(self.used, self.used + len(new))))
-            self.names += new
-            self.used += len(new)
-            if self.used > len(self.n):
-                more = max(self.used, len(self.n) + len(self.n) // 4) - len(self.n)
-                self.own, self.n = np.concatenate([self.own, np.zeros((more, DIM), np.int32)]), np.concatenate([self.n, np.zeros(more, np.int64)])
-            odd = [t for t, o in zip(fresh, ok.tolist()) if not o]
-            rare = dict(zip(odd, range(self.used, self.used + len(odd))))
-            if self.used + len(odd) > len(self.index):
-                self.index = np.concatenate([self.index, np.zeros((self.used + len(odd) + len(self.index) // 4 - len(self.index), DIM), np.int8)])
-            self.index[self.used - len(new) : self.used] = index_vectors(h[ok])
-            self.index[self.used : self.used + len(odd)] = index_vectors(h[~ok])
-        self.at.update(rare)
-        i = np.fromiter(map(self.at.__getitem__, chain.from_iterable(texts)), np.int64)
-        for t in rare:
-            del self.at[t]
-        if not len(i):
+    def add(self, got: Cut) -> None:
+        if not len(got.number):
             return
-        text = np.repeat(np.arange(len(texts)), [len(ts) for ts in texts])
-        x = self.index[i]
-        near = np.zeros((len(i), DIM), np.int8)
+        slot = np.array([self.at.get(t, -1) for t in got.names], np.int64)
+        fresh = np.flatnonzero(slot < 0)
+        h = np.array([word_hash(got.names[k]) for k in fresh.tolist()], np.uint64)
+        ok = in_map(self.often, h)
+        new, rare = fresh[ok], fresh[~ok]
+        names = [got.names[k] for k in new.tolist()]
+        slot[new] = np.arange(self.used, self.used + len(new))
+        self.at.update(zip(names, slot[new].tolist()))
+        self.names += names
+        self.used += len(new)
+        if self.used > len(self.n):
+            more = max(self.used, len(self.n) + len(self.n) // 4) - len(self.n)
+            self.own, self.n = np.concatenate([self.own, np.zeros((more, DIM), np.int32)]), np.concatenate([self.n, np.zeros(more, np.int64)])
+        if self.used > len(self.index):
+            self.index = np.concatenate([self.index, np.zeros((self.used + len(self.index) // 4 - len(self.index), DIM), np.int8)])
+        self.index[self.used - len(new) : self.used] = index_vectors(h[ok])
+        index = np.zeros((len(slot) + 1, DIM), np.int8)  # of the names; the last row stands between texts
+        index[:-1] = self.index[np.maximum(slot, 0)]
+        index[rare] = index_vectors(h[~ok])
+        place = np.arange(len(got.number)) + REACH * (1 + np.repeat(np.arange(len(got.lens)), got.lens))
+        spread = np.full(len(got.number) + REACH * (1 + len(got.lens)), len(slot))
+        spread[place] = got.number
+        x = index[spread]
+        near = np.full((len(x), DIM), BIAS, np.int8)
         for r in range(1, REACH + 1):
-            cut = np.flatnonzero(text[r:] != text[:-r])  # neighbours in another text
-            forth, back = x[:-r].copy(), x[r:].copy()
-            forth[cut] = 0
-            back[cut] = 0
-            near[r:] += forth
-            near[:-r] += back
-        slot = np.concatenate([np.arange(self.used), [shape(t) for t in rare]]).astype(np.int64)[i]
-        order = np.argsort(slot)
-        start = np.flatnonzero(np.concatenate([[True], np.diff(slot[order]) > 0]))
-        mine = slot[order][start]
-        self.own[mine] += np.add.reduceat(near[order], start, axis=0, dtype=np.int32)
-        self.n[mine] += np.diff([*start, len(i)])
+            near[r:] += x[:-r]
+            near[:-r] += x[r:]
+        sums, n = added(near, place[got.order], got.first), got.n
+        named = np.flatnonzero(slot >= 0)
+        self.own[slot[named]] += sums[named]
+        self.n[slot[named]] += n[named]
+        kind = np.array([shape(got.names[k]) for k in rare.tolist()], np.int64)
+        for k in range(len(SHAPES)):
+            some = rare[kind == k]
+            self.own[k] += sums[some].sum(axis=0)
+            self.n[k] += n[some].sum()
 
     def rows(self):
         """Record batches of words, counts and sums: the lowest eight bits, signed, and, where that isn't all, what is above them."""
@@ -138,6 +190,29 @@ class Sums:
             yield pa.RecordBatch.from_arrays([pa.array(self.names[part], pa.string()), pa.array(self.n[part]), _binary(low.astype(np.int8)), pa.array(upper, pa.binary())], ["token", "n", "low", "high"])
 
 
+#: What makes sums of neighbours positive, and how many of them sixteen bits hold.
+BIAS, STRETCH = 2 * REACH * NONZERO, (1 << 16) // (4 * REACH * NONZERO + 1)
+
+
+def added(near: np.ndarray, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums, less their bias, of the stretches of rows that start at `first`: four numbers of sixteen bits added as one, in parts that can't overflow."""
+    n = np.diff(first, append=len(rows))
+    parts = -(-n // STRETCH)
+    own = np.repeat(np.arange(len(n)), parts)
+    start = first[own] + STRETCH * (np.arange(len(own)) - np.repeat(np.cumsum(parts) - parts, parts))
+    packed = near[rows].view(np.uint64)
+    out, low = np.zeros((len(start), DIM), np.int32), np.uint64(0x00FF00FF00FF00FF)
+    for k in range(2):
+        out[:, k::2] = np.add.reduceat(packed >> np.uint64(8 * k) & low, start, axis=0).view(np.uint16)
+    if len(start) > len(n):
+        to = np.cumsum(parts) - parts
+        whole = out[to]
+        for k in np.flatnonzero(parts > 1).tolist():
+            whole[k] = out[to[k] : to[k] + parts[k]].sum(axis=0)
+        out = whole
+    return out - (BIAS * n[:, None]).astype(np.int32)
+
+
 def _binary(x: np.ndarray) -> pa.Array:
     """Rows of bytes as one binary column."""
     offsets = (np.arange(len(x) + 1) * x.shape[1] * x.itemsize).astype(np.int32)
@@ -150,11 +225,11 @@ def _matrix(column: pa.Array, kind) -> np.ndarray:
 
 
 def _texts(it, size: int):
-    """Token lists of batches' texts, in lists of about `size` tokens; a longer text stands alone."""
+    """Batches' texts in lists of about `size` characters; a longer text stands alone."""
     held, n = [], 0
     for b in it:
         for t in b.column("text"):
-            held.append(tokens_of(t.as_py()))
+            held.append(t.as_py() or "")
             n += len(held[-1])
             if n >= size:
                 yield held
@@ -166,7 +241,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     """(token, n) over all texts."""
 
     def batches(it):
-        tally = Counter()
+        tally: dict[str, int] = {}
 
         def flush():
             got = pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], ["token", "n"])
@@ -174,8 +249,9 @@ def count_tokens(docs: DataFrame) -> DataFrame:
             return got
 
         for texts in _texts(it, SPAN):
-            for t in texts:
-                tally.update(t)
+            got = cut(texts)
+            for t, n in zip(got.names, got.n.tolist()):
+                tally[t] = tally.get(t, 0) + n
             if len(tally) > FLUSH:
                 yield flush()
         yield flush()
@@ -190,7 +266,7 @@ def sum_vectors(docs: DataFrame, often: np.ndarray, least: int) -> DataFrame:
     def parts(it):
         sums = Sums(sent.value)
         for texts in _texts(it, SPAN):
-            sums.add(texts)
+            sums.add(cut(texts))
             if sums.used > FLUSH:
                 yield from sums.rows()
                 sums.clear()
@@ -288,42 +364,40 @@ def pool(docs: DataFrame, vectors: Vectors) -> DataFrame:
             sums, tails = np.zeros((len(b), DIM + 4), np.float32), [[] for _ in range(len(b))]
             r = 0
             for texts in _texts([b], SPAN):
-                i = np.array([get(t, -1) for ts in texts for t in ts], np.int64)
-                lens = np.array([len(ts) for ts in texts])
-                odd = np.flatnonzero(i < 0)
-                number, text = i.copy(), np.repeat(np.arange(len(texts)) << 32, lens)
-                if len(odd):
-                    at_text = np.searchsorted(np.cumsum(lens), odd, side="right")
-                    flat = [t for ts in texts for t in ts]
-                    other = [flat[k] for k in odd.tolist()]
-                    seen: dict[str, int] = {}
-                    number[odd] = [len(table) + seen.setdefault(t, len(seen)) for t in other]
-                    i[odd] = [shape(t) for t in other]
-                    if often is not None:
-                        met = in_map(often, np.array([word_hash(t) for t in other], np.uint64))
-                        for k, t, w in zip(odd[met].tolist(), at_text[met].tolist(), [w for w, m in zip(other, met.tolist()) if m]):
-                            tails[r + t].append((w, 1, int(i[k])))
-                            i[k] = len(table) - 1  # a row of zeros
-                x = table[i].astype(np.float32)
-                pairs = np.sort(text + number)
-                first = np.concatenate([[True], pairs[1:] != pairs[:-1]])[: len(pairs)]
-                distinct = np.bincount(pairs[first] >> 32, minlength=len(texts))
-                full = np.flatnonzero(lens)
-                if len(full):
-                    sums[r + full, :DIM] = np.add.reduceat(x, (np.cumsum(lens) - lens)[full], axis=0)
-                for k, ts in enumerate(texts):
-                    if ts:
-                        lines = [y for y in (b.column("text")[r + k].as_py()).split("\n") if y.strip()]
-                        sums[r + k, DIM:] = len(ts), np.log1p(len(ts)) / 4 - 1, distinct[k] / len(ts), 1 - len(set(lines)) / max(1, len(lines))
+                got = cut(texts)
+                lens, names = got.lens, got.names
+                known = np.array([get(t, -1) for t in names], np.int64)
+                odd = np.flatnonzero(known < 0)
+                known[odd] = [shape(names[k]) for k in odd.tolist()]
+                text = np.repeat(np.arange(len(texts)), lens)
+                pairs = np.sort(text << 32 | got.number)
+                start = runs(pairs)
+                distinct = np.bincount(pairs[start] >> 32, minlength=len(texts))
+                if often is not None and len(odd):
+                    met = odd[in_map(often, np.array([word_hash(names[k]) for k in odd.tolist()], np.uint64))]
+                    asked = np.zeros(len(names), bool)
+                    asked[met] = True
+                    own = asked[pairs[start] & 0xFFFFFFFF]
+                    for pair, n in zip(pairs[start][own].tolist(), np.diff(start, append=len(pairs))[own].tolist()):
+                        k = pair & 0xFFFFFFFF
+                        tails[r + (pair >> 32)].append((names[k], n, int(known[k])))
+                    known[met] = len(table) - 1  # a row of zeros
+                x = table[known][got.number].astype(np.float32)
+                ends = np.cumsum(lens).tolist()
+                for k, t in enumerate(texts):
+                    if lens[k]:
+                        lines = [y for y in t.split("\n") if y.strip()]
+                        sums[r + k, :DIM] = x[ends[k] - lens[k] : ends[k]].sum(axis=0)
+                        sums[r + k, DIM:] = lens[k], np.log1p(lens[k]) / 4 - 1, distinct[k] / lens[k], 1 - len(set(lines)) / max(1, len(lines))
                 r += len(texts)
             cols = {f.name: b.column(f.name) for f in keep}
             if whole:
                 yield pa.RecordBatch.from_arrays([*cols.values(), _lists(features(sums))], [*cols, "x"])
             else:
                 flat = [x for t in tails for x in t]
-                cut = pa.array(np.cumsum([0, *map(len, tails)]), pa.int32())
+                offsets = pa.array(np.cumsum([0, *map(len, tails)]), pa.int32())
                 tail = pa.StructArray.from_arrays([pa.array([x[j] for x in flat], k) for j, k in enumerate((pa.string(), pa.int32(), pa.int32()))], ["token", "k", "shape"])
-                yield pa.RecordBatch.from_arrays([b.column("_rid"), *cols.values(), _lists(sums), pa.ListArray.from_arrays(cut, tail)], ["_rid", *cols, "sums", "tail"])
+                yield pa.RecordBatch.from_arrays([b.column("_rid"), *cols.values(), _lists(sums), pa.ListArray.from_arrays(offsets, tail)], ["_rid", *cols, "sums", "tail"])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
     names = [f.name for f in keep]

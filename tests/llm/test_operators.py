@@ -706,3 +706,27 @@ def test_quality_tokens_and_facts_of_odd_texts(spark):
     for k, t in rows:
         ts = quality._TOKENS(t or "")
         assert abs(got[k][quality.DIM + 1] - (len(set(ts)) / len(ts) if ts else 0)) < 1e-6, (k, got[k][quality.DIM + 1])
+
+
+def test_quality_cuts_many_texts_at_once(spark):
+    """Words, their counts and their neighbours' sums from whole lists of texts, as of one text after the other; sums too long for one packed addition too."""
+    some = [t or "" for _, t in docs(spark, SMALL)][:60]
+    texts = ["", "a b a", "\n\n", "é é1", "", "no " * 9000 + "yes", "🙂🙂 x퟿_", *some, ""]
+    got = quality.cut(texts)
+    want = [quality._TOKENS(t) for t in texts]
+    assert got.lens.tolist() == [len(w) for w in want] and [got.names[k] for k in got.number.tolist()] == [x for w in want for x in w]
+    assert dict(zip(got.names, got.n.tolist())) == Counter(x for w in want for x in w) and len(set(got.names)) == len(got.names)
+    sums = quality.Sums(np.full(1, ~np.uint64(0)))  # lets all through
+    sums.add(got)
+    sums.add(quality.cut(texts[:3]))
+    assert not len(quality.cut([]).number) and not len(quality.cut(["", " "]).number)
+    index = {w: quality.index_vectors(np.array([quality.word_hash(w)], np.uint64))[0].astype(int) for w in got.names}
+    own = {w: np.zeros(quality.DIM, int) for w in got.names}
+    for w in want + want[:3]:
+        for i, x in enumerate(w):
+            for j in range(max(0, i - quality.REACH), min(len(w), i + quality.REACH + 1)):
+                if j != i:
+                    own[x] += index[w[j]]
+    assert len(sums.at) == len(own)
+    for w, k in sums.at.items():
+        assert sums.own[k].tolist() == own[w].tolist(), w
