@@ -1,11 +1,11 @@
-"""The ten operators as queries over the synthetic tables, and SQL for those that SQL can express."""
+"""The thirteen operators as queries over the synthetic tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lines, pieces, pii, quality, rules, simhash, suffix_tree, urls
+from . import chat, decontam, leaks, lines, pieces, pii, quality, ranking, rules, simhash, spelling, suffix_tree, urls
 from .common import hex_sha256, table
 
 
@@ -67,7 +67,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_lm_scoring, op3_chat_formatting, op4_sentencepiece, op5_url_filter, op6_line_dedup, op7_quality, op8_quality_rules, op9_decontamination, op10_simhash)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, sf_dir, "documents"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return leaks.find_secrets(docs, leaks.train(docs))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_lm_scoring, op3_chat_formatting, op4_sentencepiece, op5_url_filter, op6_line_dedup, op7_quality, op8_quality_rules, op9_decontamination, op10_simhash, op11_spelling_variants, op12_secret_scan, op13_ranked_search)}
 
 _ESCAPED = "replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '<s>', '<\\s>'), '</s>', '<\\/s>'), '<text>', '<\\text>'), '<turn>', '<\\turn>')"
 
@@ -107,4 +120,15 @@ c as (select rid, count(distinct place) as n from (select rid, unnest(range(pos,
 s as (select rid, count(*) as n, string_agg(item, ',' order by item) as items from (select distinct rid, item_id::varchar as item from h) group by rid)
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(c.n, 0)::bigint as n_hit, coalesce(s.n, 0)::bigint as n_items, sha256(coalesce(s.items, '')) as items_sha256, coalesce(s.n, 0) >= 2 as contaminated
 from d left join c using (rid) left join s using (rid)""",
+    "op13_ranked_search": r"""
+with d as (select row_number() over () as rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+b as (select item_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) as term from benchmark),
+q as (select item_id, term, count(*) as times from b group by item_id, term),
+s as (select count(*)::bigint as n_docs, sum(len(w))::bigint as total from d where len(w) > 0),
+p as (select rid, term, count(*)::bigint as tf from (select rid, unnest(w) as term from d) where term in (select term from q) group by rid, term),
+f as (select term, count(*)::bigint as df from p group by term),
+u as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint as weight from f, s),
+m as (select rid, doc_id, 75 + (25 * len(w) * n_docs) // total as m from d, s),
+c as (select item_id, m.doc_id, rid, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score from q join p using (term) join u using (term) join m using (rid) group by item_id, m.doc_id, rid)
+select item_id, "rank"::int as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id nulls first) as "rank" from c where score > 0) where "rank" <= 20""",
 }
