@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import stored
+from .common import let_go, stored
 
 SHINGLE, ALIKE = 5, 0.8
 BANDS, ROWS = 28, 6
@@ -77,6 +77,7 @@ def _dkey_bands(docs: DataFrame) -> DataFrame:
             flat = np.concatenate([np.zeros(0, np.int64), *bands])
             cut = pa.ListArray.from_arrays(pa.array(np.arange(len(dkeys) + 1) * BANDS, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([pa.array(dkeys, pa.string()), cut], ["dkey", "bands"])
+        let_go()
 
     return docs.select(simhash.row_key().alias("dkey"), "text").mapInArrow(batches, "dkey string, bands array<long>")
 
@@ -120,6 +121,7 @@ def _copies_of_groups(it):
             sets.append(shingles(t.as_py()))
     if len(dkeys) > 1:
         yield done()
+    let_go()
 
 
 def near_copies(docs: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -25,9 +25,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .common import let_go
+
 MARK = "▁"
-#: Stretches that a worker remembers; it starts anew when there are more.
-REMEMBERED = 1_000_000
+#: Bytes of stretches and ids that a worker remembers, about; it starts anew when there are more.
+REMEMBERED = 48 << 20
+#: What a stretch takes beside its characters (two bytes each) and ids (four): string, dict slot, number, cells.
+EACH = 220
 #: Stretches from which on, and one in how many of them that may differ from the library's, a worker gives up.
 CHECKED, DIFFERING = 1000, 100
 
@@ -59,7 +63,7 @@ class Pieces:
         self.forget()
 
     def forget(self) -> None:
-        self.numbers = _Numbers()
+        self.numbers, self.bytes_held = _Numbers(), 0
         self.start, self.size, self.held = np.zeros(1024, np.int64), np.zeros(1024, np.int64), array("i")
 
     def merge(self, text: str) -> list[int]:
@@ -100,7 +104,7 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin. Stretches not met before are merged, then checked."""
-        if len(self.numbers) > REMEMBERED:
+        if self.bytes_held > REMEMBERED:
             self.forget()
         cut = [self.stretches(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         lens = np.array([len(c) for c in cut], np.int64)
@@ -115,6 +119,7 @@ class Pieces:
             self.size[first:last] = sizes
             self.start[first:last] = len(self.held) + np.cumsum(sizes) - sizes
             self.held.extend(itertools.chain.from_iterable(made))
+            self.bytes_held += EACH * len(fresh) + 2 * sum(map(len, fresh)) + 4 * int(sizes.sum())
             self.numbers.fresh = []
         sizes = self.size[flat]
         ends = np.cumsum(sizes)
@@ -176,23 +181,22 @@ def _pieces(model: bytes) -> Pieces:
     return _known[key]
 
 
-def _some(column: pa.Array, most: int = 1 << 20):
-    """Texts in lists of about `most` characters."""
-    texts, size = [], 0
-    for t in column:
+def _parts(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
+    """Slices of a batch with their texts, of about `most` characters; what Arrow frees of each goes back to the system."""
+    at, texts, size = 0, [], 0
+    for t in batch.column(column):
         texts.append(t.as_py() or "")
         size += len(texts[-1])
         if size > most:
-            yield texts
-            texts, size = [], 0
+            yield batch.slice(at, len(texts)), texts
+            at, texts, size = at + len(texts), [], 0
+            pa.default_memory_pool().release_unused()
     if texts:
-        yield texts
+        yield batch.slice(at), texts
 
 
-def _lists(made: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
-    """One list column of several encoded parts."""
-    sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(cut) for _, cut in made)])
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *(ids for ids, _ in made)])))
+def _lists(ids: np.ndarray, cut: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids))
 
 
 def _kept(df: DataFrame, *gone: str):
@@ -206,9 +210,11 @@ def encode_texts(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(model)  # a vocabulary file: its size doesn't follow the data
 
     def batches(it):
+        let_go()
         pieces = _pieces(sent.value)
         for b in it:
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), _lists([pieces.encode(texts) for texts in _some(b.column(text))])], [*keep, "ids"])
+            for part, texts in _parts(b, text):
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), _lists(*pieces.encode(texts))], [*keep, "ids"])
 
     return df.select(*keep, text).mapInArrow(batches, f"{schema}ids array<int>")
 
@@ -233,18 +239,15 @@ def round_trip(df: DataFrame, model: bytes, text: str = "text", with_ids: bool =
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def batches(it):
+        let_go()  # of earlier stages
         pieces = _pieces(sent.value)
         decode, sha = pieces.library.decode, hashlib.sha256
         for b in it:
-            n, a, d, made = [], [], [], []
-            for texts in _some(b.column(text)):
+            for part, texts in _parts(b, text):
                 ids, cut = pieces.encode(texts)
-                n += np.diff(cut).tolist()
-                a += [sha(told.encode()).hexdigest() for told in decimal(ids, cut)]
-                d += [sha(decode(ids[x:y].tolist()).encode() if y > x else b"").hexdigest() for x, y in zip(cut.tolist(), cut[1:].tolist())]
-                if with_ids:
-                    made.append((ids, cut))
-            cols = [*(b.column(x) for x in keep), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *([_lists(made)] if with_ids else [])]
-            yield pa.RecordBatch.from_arrays(cols, [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
+                told = [sha(x.encode()).hexdigest() for x in decimal(ids, cut)]
+                back = [sha(decode(ids[x:y].tolist()).encode() if y > x else b"").hexdigest() for x, y in zip(cut.tolist(), cut[1:].tolist())]
+                cols = [*(part.column(x) for x in keep), pa.array(np.diff(cut), pa.int64()), pa.array(told, pa.string()), pa.array(back, pa.string()), *([_lists(ids, cut)] if with_ids else [])]
+                yield pa.RecordBatch.from_arrays(cols, [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
     return df.select(*keep, text).mapInArrow(batches, f"{schema}n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' if with_ids else ''}")
