@@ -78,7 +78,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end), sorted."""
     out = [(a, 0, b) for a, b in _emails(text)]
     if _DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(x) < 20 and int(x) <= 255 or not x.strip("0") for x in m.group().split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(x := part.lstrip("0")) <= 3 and int(x or 0) <= 255 for part in m.group().split("."))]
         for m in _CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):

@@ -59,6 +59,7 @@ def plain_base(text):
 def test_pii_base_is_the_plain_patterns(spark):
     texts = [t or "" for _, t in docs(spark, SF)] + [
         "a@b a@b.c@d.e x@@y.z a.b@c.d.e, @q.r", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4 12..3.4.5 1.2.3 1.1.1.1.1", "4111 1111 1111 1111-4111111111111111", "+1 (2 +12345678901 +1+2 +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "a" * 3000 + "@" + "b" * 10, "1" * 5000, "1." * 2000,
+        "x 00000000000000000000001.2.3.4 y", *(f"z {'0' * n}255.{'0' * n}.{'0' * n}1.4 {'0' * n}256.1.1.1 {'9' * n}.1.1.1" for n in (17, 18, 19, 20, 21, 300, 4000)),
     ]
     for t in texts:
         assert pii.base_spans(t) == plain_base(t), t[:80]
