@@ -97,8 +97,8 @@ def reachable_facts(nodes: DataFrame, edges: DataFrame, hops: int = 5) -> DataFr
     return now
 
 
-def apply_node_rules(nodes: DataFrame, edges: DataFrame, rules: list[NodeRule] = NODE_RULES, kinds: tuple[str, ...] = ("MODULE", "FILE", "STRUCT", "CLASS", "FUNCTION"), mode: str = "all", disabled: tuple[str, ...] = ()) -> DataFrame:
-    """(id, rule, message) of every rule that fires on a node of the kinds. Mode `structural` leaves heuristic rules out, `disabled` all."""
+def apply_node_rules(nodes: DataFrame, edges: DataFrame, rules: list[NodeRule] = NODE_RULES, kinds: tuple[str, ...] = ("MODULE", "FILE", "STRUCT", "CLASS", "FUNCTION"), mode: str = "all", disabled: tuple[str, ...] = (), facts: DataFrame | None = None) -> DataFrame:
+    """(id, rule, message) of every rule that fires on a node of the kinds. Mode `structural` leaves heuristic rules out, `disabled` all; `facts` (id, facts) are those of the nodes, if already known."""
     low = F.lower("name")
     on = [r for r in rules if r.id not in disabled and mode != "disabled" and (mode != "structural" or r.tier != "heuristic")]
 
@@ -112,7 +112,7 @@ def apply_node_rules(nodes: DataFrame, edges: DataFrame, rules: list[NodeRule] =
         hit = hit | near(r.facts) if r.facts else hit
         return hit & near(r.needs) if r.needs else hit
 
-    own = nodes.where(F.col("kind").isin(*kinds)).join(reachable_facts(nodes, edges), "id")
+    own = nodes.where(F.col("kind").isin(*kinds)).join(reachable_facts(nodes, edges) if facts is None else facts, "id")
     if not on:
         return own.select("id", F.lit("").alias("rule"), F.lit("").alias("message")).limit(0)
     fired = F.array_compact(F.array(*[F.when(fires(r), F.struct(F.lit(r.id).alias("rule"), F.format_string(f"Component %s {r.text} [{r.tier}]", "name").alias("message"))) for r in on]))
