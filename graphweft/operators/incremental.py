@@ -23,7 +23,7 @@ from graphweft.runtime import settled
 from graphweft.sources.tables import Graph
 
 HOPS = 5
-_NONE = F.lit(0).cast("long")
+_NONE = 0  # no facts
 _KEY = ["source_id", "target_id", "type"]
 
 
@@ -59,7 +59,7 @@ def infer(graph: Graph, hops: int = HOPS) -> Inferred:
     state = reachable_facts(graph.nodes, graph.edges, 0).select("id", F.col("facts").alias("l0"))
     for h in range(1, hops + 1):
         far = steps.join(state.select(F.col("id").alias("target_id"), f"l{h - 1}"), "target_id").groupBy(F.col("source_id").alias("id")).agg(F.bit_or(f"l{h - 1}").alias("far"))
-        state = settled(state.join(far, "id", "left").withColumn(f"l{h}", F.col("l0").bitwiseOR(F.coalesce("far", _NONE))).drop("far"), "facts")
+        state = settled(state.join(far, "id", "left").withColumn(f"l{h}", F.col("l0").bitwiseOR(F.coalesce("far", F.lit(_NONE).cast("long")))).drop("far"), "facts")
     rules = settled(apply_node_rules(graph.nodes, graph.edges, facts=state.select("id", F.col(f"l{hops}").alias("facts"))), "rules")
     return Inferred(graph, state, rules)
 
@@ -95,7 +95,7 @@ def maintain(before: Inferred, delta: Delta) -> Inferred:
         new, old = (x.select(F.col("id").alias("target_id"), F.col(f"l{h - 1}").alias(n)) for x, n in ((below, "new"), (before.state, "old")))
         far = arcs.join(new, "target_id", "left").join(old, "target_id", "left").groupBy(F.col("source_id").alias("id")).agg(F.bit_or(F.coalesce("new", "old")).alias("far"))
         own = affected.join(first.withColumnRenamed("l0", "new"), "id", "left").join(before.state.select("id", F.col("l0").alias("old")), "id", "left")
-        levels.append(settled(own.join(far, "id", "left").select("id", F.coalesce("new", "old").bitwiseOR(F.coalesce("far", _NONE)).alias(f"l{h}")), "facts"))
+        levels.append(settled(own.join(far, "id", "left").select("id", F.coalesce("new", "old").bitwiseOR(F.coalesce("far", F.lit(_NONE).cast("long"))).alias(f"l{h}")), "facts"))
     affected = levels[-1].select("id")
     rows = affected.join(before.state.select("id", *(F.col(f"l{h}").alias(f"o{h}") for h in range(hops + 1))), "id", "left")
     for level in levels:
