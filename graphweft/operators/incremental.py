@@ -75,7 +75,9 @@ def changed(graph: Graph, delta: Delta) -> Graph:
 
 def maintain(before: Inferred, delta: Delta) -> Inferred:
     """What `infer` would say of the graph after a change, from what it said before."""
+    delta = Delta(*(settled(x, "delta") for x in (delta.gone, delta.nodes, delta.edges_gone, delta.edges)))
     after = changed(before.graph, delta)
+    after = Graph(settled(after.nodes, "nodes"), settled(after.edges, "edges"))  # the new version, which is kept anyway
     hops = len(before.state.columns) - 2
     gone = settled(delta.gone.select("id").join(delta.nodes.select("id"), "id", "left_anti").distinct(), "gone")
     swept = before.graph.edges.join(gone.select(F.col("id").alias("target_id")), "target_id", "left_semi")
@@ -90,7 +92,7 @@ def maintain(before: Inferred, delta: Delta) -> Inferred:
     for h in range(1, hops + 1):
         below = levels[-1]
         callers = steps.join(below.select(F.col("id").alias("target_id")), "target_id", "left_semi").select(F.col("source_id").alias("id"))
-        affected = settled(seeds.unionByName(callers).distinct(), "affected")
+        affected = seeds.unionByName(callers).distinct()
         arcs = steps.join(affected.select(F.col("id").alias("source_id")), "source_id", "left_semi")
         new, old = (x.select(F.col("id").alias("target_id"), F.col(f"l{h - 1}").alias(n)) for x, n in ((below, "new"), (before.state, "old")))
         far = arcs.join(new, "target_id", "left").join(old, "target_id", "left").groupBy(F.col("source_id").alias("id")).agg(F.bit_or(F.coalesce("new", "old")).alias("far"))

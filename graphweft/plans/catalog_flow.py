@@ -1,14 +1,16 @@
-"""Incremental inference and flow of values: queries over graphs and programs that grow with the tables."""
+"""Incremental inference, flow of values and calls: queries over graphs and programs that grow with the tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphweft.operators import calls as C
 from graphweft.operators import flow as W
 from graphweft.operators import incremental as I
 from graphweft.plans.catalog import query
 from graphweft.plans.catalog_code import REACHED, RULES_SQL
-from graphweft.sources.tables import CODE_SQL, code_graph, read
+from graphweft.runtime import settled
+from graphweft.sources.tables import CODE_SQL, Graph, code_graph, read
 
 # Incremental inference: functions go, are renamed and come, calls go and come
 
@@ -46,9 +48,14 @@ def change(graph) -> I.Delta:
     return I.Delta(nodes.where("i % 101 = 3").select("id"), renamed.select(*columns).unionByName(fresh.select(*columns)), silent, calls)
 
 
+def stored_code_graph(spark, d) -> Graph:
+    g = code_graph(spark, d)
+    return Graph(settled(g.nodes, "nodes"), settled(g.edges, "edges"))
+
+
 @query("r04_incremental_rules", f"with recursive {CHANGED}{REACHED}{_RU}{_FIRED}")
 def _(spark, d):
-    g = code_graph(spark, d)
+    g = stored_code_graph(spark, d)
     return I.maintain(I.infer(g), change(g)).rules
 
 
@@ -57,7 +64,7 @@ _BEFORE = f"with recursive {CODE_SQL}{REACHED}{_RU}{_FIRED}"
 
 @query("r04_rule_changes", f"with a as ({_BEFORE}), b as (with recursive {CHANGED}{REACHED}{_RU}{_FIRED}) select id, rule, message, 'retracted' as change from (select * from a except all select * from b) union all select id, rule, message, 'asserted' from (select * from b except all select * from a)")
 def _(spark, d):
-    g = code_graph(spark, d)
+    g = stored_code_graph(spark, d)
     now = I.maintain(I.infer(g), change(g))
     return now.retracted.withColumn("change", F.lit("retracted")).unionByName(now.asserted.withColumn("change", F.lit("asserted")))
 
@@ -113,3 +120,54 @@ def _(spark, d):
     )
     types = alloc.select(name("o", i).alias("object"), F.concat(F.lit("type:"), "p_brand").alias("of"))
     return W.alias_edges(values, types, p.where("i % 10 = 1").select(name("f", i).alias("func"), name("v", i).alias("var")))
+
+
+# Calls: an order calls a method; parts are symbols, line items imports, suppliers external packages, customers a graph already linked
+
+_CALLS = """
+k as (select count(*) as k from part),
+s as (select 's' || p_partkey as id, 'f' || p_partkey % 200 as file, case when p_partkey % 3 = 0 then '' else 'T' || p_partkey % 40 end as receiver_type, 'm' || p_partkey % 97 as name from part),
+im as (select distinct 'f' || l_suppkey % 200 as file, 'f' || l_partkey % 200 as imported from lineitem where l_linenumber = 1),
+ex as (select 'f' || s_suppkey % 200 as file, 'lib/ext' || s_suppkey % 7 || '/v2' as import, 'ext' || s_suppkey % 7 as base, case when s_suppkey % 2 = 0 then 'lib' || s_suppkey % 5 end as alias from supplier),
+kn as (select 'b' || c_custkey as id, 'T' || c_custkey % 60 as owner, 'm' || c_custkey % 110 as name from customer),
+de as (select 'f' || p_partkey % 200 as file, 'x' || p_partkey as var, 'T' || p_partkey % 40 as type from part where p_partkey % 2 = 0),
+asg as (select 'f' || (p_partkey - 1) % 200 as file, 'x' || p_partkey as var, 'x' || (p_partkey - 1) as source, 'm' || p_partkey % 97 as method from part where p_partkey % 4 in (1, 3)
+ union all select 'f' || (p_partkey - 1) % 200, 'y' || p_partkey, 'x' || p_partkey, 'm' || p_partkey % 97 from part where p_partkey % 4 = 1),
+re as (select 'T' || a as receiver_type, 'm' || b as method, 'T' || (a + b) % 40 as type from range(40) x(a), range(97) y(b) where (a + b) % 3 <> 0),
+ty(file, var, type) as (select * from de union select asg.file, asg.var, re.type from ty join asg on asg.file = ty.file and asg.source = ty.var join re on re.receiver_type = ty.type and re.method = asg.method),
+c0 as (select o_orderkey as call, o_orderkey % 7 as w, o_orderkey % k as i, o_orderkey as o, o_custkey as c from orders, k),
+c as (select call,
+ case when w in (2, 3) then 'f' || (i - i % 2) % 200 else 'f' || c % 200 end as file,
+ case w when 0 then '' when 1 then 'T' || c % 40 when 2 then 'x' || i when 3 then 'y' || i when 4 then 'ext' || o % 7 || '.Client' when 5 then 'T' || c % 40 else 'lib' || o % 5 end as receiver, 'm' || o % 120 as method from c0),
+q as (select c.*, coalesce(ty.type, receiver) as of from c left join ty on ty.file = c.file and ty.var = c.receiver),
+t as (
+ select call, 0 as tier, id as target from q join s on s.file = q.file and s.receiver_type = q.of and s.name = q.method
+ union all select call, 1, id from q join im using (file) join s on s.file = im.imported and s.name = q.method where receiver = '' or s.receiver_type = q.of or receiver = im.imported
+ union all select call, 2, id from q join s on s.name = q.method where (receiver = '' or s.receiver_type = receiver)
+ union all select call, 3, id from q join s on s.name = q.method and s.receiver_type = q.of where receiver <> ''
+ union all select call, 4, 'ext:' || import || '::' || receiver || '.' || method from q join ex using (file) where receiver <> '' and split_part(receiver, '.', 1) in (base, alias)
+ union all select call, 5, id from q join kn on kn.name = q.method and kn.owner = q.of where receiver <> ''
+ union all select call, 6, id from q join kn on kn.name = q.method)"""
+
+
+@query("j10_ranked_calls", f"with recursive {_CALLS}, b as (select call, min((tier, target)) as best from t group by call) select c.call, best[2] as target, best[1]::int as tier, coalesce([1.0, 0.7, 0.5, 0.5, 0.9, 0.7, 0.6][best[1] + 1], 0)::double as confidence from c left join b using (call)")
+def _(spark, d):
+    text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    parts, p = read(spark, d, "part").select("p_partkey"), F.col("p_partkey")
+    symbols = parts.select(text("s", p).alias("id"), text("f", p % 200).alias("file"), F.when(p % 3 != 0, text("T", p % 40)).alias("receiver_type"), text("m", p % 97).alias("name"))
+    imports = read(spark, d, "lineitem").where("l_linenumber = 1").select(text("f", F.col("l_suppkey") % 200).alias("file"), text("f", F.col("l_partkey") % 200).alias("imported"))
+    k, c = F.col("s_suppkey"), F.col("c_custkey")
+    externals = read(spark, d, "supplier").select(text("f", k % 200).alias("file"), text("lib/ext", k % 7, "/v2").alias("import"), F.when(k % 2 == 0, text("lib", k % 5)).alias("alias"))
+    known = read(spark, d, "customer").select(text("b", c).alias("id"), text("T", c % 60).alias("owner"), text("m", c % 110).alias("name"))
+    declared = parts.where("p_partkey % 2 = 0").select(text("f", p % 200).alias("file"), text("x", p).alias("var"), text("T", p % 40).alias("type"))
+    assign = lambda where, var, source: parts.where(where).select(text("f", (p - 1) % 200).alias("file"), var.alias("var"), source.alias("source"), text("m", p % 97).alias("method"))
+    assigned = assign("p_partkey % 4 in (1, 3)", text("x", p), text("x", p - 1)).unionByName(assign("p_partkey % 4 = 1", text("y", p), text("x", p)))
+    a, b = F.floor(F.col("id") / 97), F.col("id") % 97
+    returns = spark.range(40 * 97).where((a + b) % 3 != 0).select(text("T", a).alias("receiver_type"), text("m", b).alias("method"), text("T", (a + b) % 40).alias("type"))
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c")).join(F.broadcast(parts.agg(F.count("*").alias("k"))))  # one row of counts
+    o, w, i, c = F.col("o"), F.col("o") % 7, F.col("o") % F.col("k"), F.col("c")
+    receiver = F.when(w == 1, text("T", c % 40)).when(w == 2, text("x", i)).when(w == 3, text("y", i)).when(w == 4, text("ext", o % 7)).when(w == 5, text("T", c % 40, "<int>")).when(w == 6, text("lib", o % 5))
+    method = F.when(w == 4, text("Client.m", o % 120)).otherwise(text("m", o % 120))
+    calls = rows.select(o.alias("call"), F.when(w.isin(2, 3), text("f", (i - i % 2) % 200)).otherwise(text("f", c % 200)).alias("file"), receiver.alias("receiver"), method.alias("method"))
+    generics = spark.range(40).select(text("T", F.col("id")).alias("name"))
+    return C.resolve(calls, symbols, imports, C.receiver_types(declared, assigned, returns), externals, known, generics)

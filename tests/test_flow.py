@@ -1,9 +1,10 @@
-"""Incremental inference, reaching definitions and points-to sets against plain versions."""
+"""Incremental inference, reaching definitions, points-to sets and call tiers against plain versions and literals."""
 
 import random
 
 import pytest
 
+from graphweft.operators import calls as C
 from graphweft.operators import flow as W
 from graphweft.operators import incremental as I
 from graphweft.sources.tables import Graph
@@ -135,3 +136,19 @@ def test_points_to_and_escapes(spark, seed):
     assert rows(edges, "source_id", "target_id", "type") == sorted([(v, o, "POINTS_TO") for v, o in want] + [("o1", "T", "HEAP_ALIAS")] * ("o1" in held) + [(f, o, "ESCAPES_TO_HEAP") for f, o in escapes])
     none = spark.createDataFrame([], "var string, object string, source string")
     assert W.points_to(none, none, none, none).count() == 0
+
+
+def test_calls_take_the_first_tier(spark):
+    f = spark.createDataFrame
+    symbols = f([("b.go::T::run", "b.go", "T", "run"), ("a.go::run", "a.go", None, "run"), ("c.go::run", "c.go", "", "run"), ("c.go::U::stop", "c.go", "U", "stop"), ("d.go::Box::put", "d.go", "Box", "put"), ("lib/z.go::Z::zip", "lib/z.go", "Z", "zip"), (None, "q.go", None, "run")], "id string, file string, receiver_type string, name string")
+    types = C.receiver_types(f([("a.go", "t", "T"), ("a.go", "t", "Z2"), (None, "t", "T")], "file string, var string, type string"), f([("a.go", "u", "t", "make"), ("a.go", "w", None, "fresh"), ("a.go", "v", "u", "make"), ("a.go", "t", None, "fresh"), ("a.go", "loop", "loop", "make")], "file string, var string, source string, method string"), f([("T", "make", "U"), ("U", "make", "Box"), ("", "fresh", "T"), ("U", None, "T")], "receiver_type string, method string, type string"))
+    assert rows(types, "file", "var", "type") == [("a.go", "t", "T"), ("a.go", "u", "U"), ("a.go", "v", "Box"), ("a.go", "w", "T")]
+    calls = f([(1, "a.go", None, "run"), (2, "a.go", "T", "run"), (3, "x.go", "U", "stop"), (4, "a.go", "u", "stop"), (5, "a.go", "v", "put"), (6, "a.go", "yaml", "Client.load"), (7, "a.go", "T", "known"), (8, "a.go", "", "known"), (9, "a.go", "T", "never"), (10, "x.go", "Box<int>", "put"), (11, None, "T", "run"), (12, "a.go", "", None), (13, "a.go", "z.go", "zip"), (1, "a.go", None, "run")], "call int, file string, receiver string, method string")
+    imports = f([("a.go", "b.go"), ("a.go", "lib/z.go"), ("a.go", None)], "file string, imported string")
+    externals = f([("a.go", "gopkg.in/yaml.v3", None), ("a.go", "other/yaml/v2", "yy")], "file string, import string, alias string")
+    known = f([("k1", "T", "known"), ("k0", None, "known")], "id string, owner string, name string")
+    got = rows(C.resolve(calls, symbols, imports, types, externals, known, f([("Box",)], "name string")), "call", "target", "tier", "confidence")
+    assert got == [
+        (1, "a.go::run", 0, 1.0), (1, "a.go::run", 0, 1.0), (2, "b.go::T::run", 1, 0.7), (3, "c.go::U::stop", 2, 0.5), (4, "c.go::U::stop", 3, 0.5), (5, "d.go::Box::put", 3, 0.5), (6, "ext:gopkg.in/yaml.v3::yaml.Client.load", 4, 0.9), (7, "k1", 5, 0.7), (8, "k0", 6, 0.6),
+        (9, None, None, 0.0), (10, "d.go::Box::put", 2, 0.5), (11, None, None, 0.0), (12, None, None, 0.0), (13, "lib/z.go::Z::zip", 1, 0.7),
+    ]
