@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from .common import let_go
 
 MARK = "▁"
-#: Bytes of stretches and ids that a worker remembers, about; it starts anew when there are more.
-REMEMBERED = 48 << 20
+#: Bytes of stretches and ids that a worker remembers, about, if it isn't told another bound; of more it keeps those met most often, up to half of it.
+REMEMBERED = 64 << 20
 #: What a stretch takes beside its characters (two bytes each) and ids (four): string, dict slot, number, cells.
 EACH = 220
 #: Stretches from which on, and one in how many of them that may differ from the library's, a worker gives up.
@@ -60,11 +60,28 @@ class Pieces:
             raise ValueError("pieces reach across space marks or line ends")
         self.stretches = re.compile(rf"{MARK}+[^{MARK}{alone}]*|[{alone}]|[^{MARK}{alone}]+").findall
         self.checked = self.differing = 0
+        self.remembered = REMEMBERED
         self.forget()
 
     def forget(self) -> None:
         self.numbers, self.bytes_held = _Numbers(), 0
-        self.start, self.size, self.held = np.zeros(1024, np.int64), np.zeros(1024, np.int64), array("i")
+        self.start, self.size, self.met, self.held = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64), array("i")
+
+    def shrink(self) -> None:
+        """Forget stretches met once, and the rarest of the others beyond half of what may be held."""
+        names, n = list(self.numbers), len(self.numbers)
+        order = np.argsort(-self.met[:n], kind="stable")
+        cost = EACH + 4 * self.size[:n] + 2 * np.fromiter(map(len, names), np.int64, n)
+        order = order[(np.cumsum(cost[order]) <= self.remembered // 2) & (self.met[order] > 1)]
+        start, size, met, held = self.start[order], self.size[order], self.met[order], np.frombuffer(self.held, np.int32)
+        self.forget()
+        for k in order.tolist():
+            self.numbers[names[k]] = len(self.numbers)
+        ends = np.cumsum(size)
+        at = np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        self.held, self.bytes_held = array("i", held[at].tobytes()), int(cost[order].sum())
+        more = max(1024 - len(order), 0)
+        self.start, self.size, self.met = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (ends - size, size, met))
 
     def merge(self, text: str) -> list[int]:
         """Symbols start as characters; the adjacent pair of best score (then leftmost) is joined until no pair is a piece."""
@@ -104,8 +121,8 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin. Stretches not met before are merged, then checked."""
-        if self.bytes_held > REMEMBERED:
-            self.forget()
+        if self.bytes_held > self.remembered:
+            self.shrink()
         cut = [self.stretches(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         lens = np.array([len(c) for c in cut], np.int64)
         flat = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(cut)), np.int64, int(lens.sum()))
@@ -114,13 +131,14 @@ class Pieces:
             first, last = len(self.numbers) - len(fresh), len(self.numbers)
             if last > len(self.size):
                 more = np.zeros(max(last, 2 * len(self.size)) - len(self.size), np.int64)
-                self.start, self.size = np.concatenate([self.start, more]), np.concatenate([self.size, more])
+                self.start, self.size, self.met = (np.concatenate([x, more]) for x in (self.start, self.size, self.met))
             sizes = np.array([len(m) for m in made], np.int64)
             self.size[first:last] = sizes
             self.start[first:last] = len(self.held) + np.cumsum(sizes) - sizes
             self.held.extend(itertools.chain.from_iterable(made))
             self.bytes_held += EACH * len(fresh) + 2 * sum(map(len, fresh)) + 4 * int(sizes.sum())
             self.numbers.fresh = []
+        self.met[: len(self.numbers)] += np.bincount(flat, minlength=len(self.numbers))
         sizes = self.size[flat]
         ends = np.cumsum(sizes)
         at = np.repeat(self.start[flat] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
@@ -233,14 +251,15 @@ def decode_ids(df: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
     return df.select(*keep, ids).mapInArrow(batches, f"{schema}text string")
 
 
-def round_trip(df: DataFrame, model: bytes, text: str = "text", with_ids: bool = False) -> DataFrame:
-    """df without the text, with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids: encoded and decoded in one go."""
+def round_trip(df: DataFrame, model: bytes, text: str = "text", with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+    """df without the text, with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids: encoded and decoded in one go. `remembered`: bytes that a worker may hold, about."""
     keep, schema = _kept(df, text, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else []))
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def batches(it):
         let_go()  # of earlier stages
         pieces = _pieces(sent.value)
+        pieces.remembered = remembered
         decode, sha = pieces.library.decode, hashlib.sha256
         for b in it:
             for part, texts in _parts(b, text):

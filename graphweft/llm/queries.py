@@ -36,7 +36,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), model_bytes())
+    return pieces.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), model_bytes(), remembered=256 << 20)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

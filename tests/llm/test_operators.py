@@ -281,6 +281,18 @@ def test_pieces_are_the_library(spark, odd, empty):
     assert pieces.round_trip(empty, queries.model_bytes()).count() == 0
 
 
+def test_pieces_forget_and_go_on():
+    """Ids stay the library's when a worker remembers next to nothing, and frequent stretches are kept."""
+    mine = pieces.Pieces(queries.model_bytes())
+    mine.remembered = 20_000
+    for k in range(30):
+        texts = ["", "often met words", f"rare{k} words{k * k} often  met", "▁x\n" * k, " ".join(f"w{k}{j}" for j in range(40))]
+        for t, (ids, _) in zip(texts, mine.look_up(texts)):
+            assert ids == mine.library.encode(t), t
+        assert len(mine.numbers) < 200
+    assert "▁often" in mine.numbers and len(mine.numbers) <= len(mine.start) == len(mine.met)
+
+
 def test_url_rules_and_models(spark):
     rows = [(1, "http://A.Example.ORG/en/12?x"), (2, "https://example.org/es/1"), (3, "https://org/"), (4, "https://xorg/"), (5, None), (6, "no scheme"), (7, "http://m.com/de/1"), (8, "http://com/fr/"), (9, "http://x.net#a://b/"), (9, "http://x.net#a://b/"), (None, "http://x.org?q"), (10, "ht\ntp://a.com/fr/\n1")]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
