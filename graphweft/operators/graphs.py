@@ -311,56 +311,59 @@ def propagate(scores: DataFrame, edges: DataFrame, factor: float = 0.8, cutoff:
     return now
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, cap: int = 0, max_edges: int = 5_000_000) -> DataFrame:
-    """(id, betweenness): Brandes from every source, or from at most cap evenly spaced ones, scaled; parallel edges multiply paths. Tasks hold the adjacency, so its size is checked."""
-    import pandas as pd
+def betweenness(nodes: DataFrame, edges: DataFrame, cap: int = 0, most: int = 200_000_000) -> DataFrame:
+    """(id, betweenness): Brandes from every source, or from at most cap evenly spaced ones, scaled; parallel edges multiply paths.
 
+    Sources go in blocks of about `most` pairs of a source and a node, each by rounds of joins: numbers of shortest paths forward, a level at a time, then
+    what depends on each node back from the deepest level. No task and not the driver holds the arcs.
+    """
     from graphweft.operators.relational import evenly_spaced
 
-    n_edges = edges.count()
-    if n_edges > max_edges:
-        raise ValueError(f"{n_edges} edges; betweenness holds at most {max_edges} in a task: sample or contract the graph first")
-    adj: dict[str, list[str]] = {}
-    for r in edges.select("source_id", "target_id").toLocalIterator():
-        adj.setdefault(r[0], []).append(r[1])
-    sent = nodes.sparkSession.sparkContext.broadcast(adj)
     n = nodes.count()
-    sources = evenly_spaced(nodes, cap) if cap else nodes.select("id").repartition(nodes.sparkSession.sparkContext.defaultParallelism)
-    scale = n / max(1, min(cap or n, n))
-
-    def brandes(batches):
-        adj, score = sent.value, {}
-        for pdf in batches:
-            for s in pdf["id"]:
-                order, preds, sigma, dist = [], {s: []}, {s: 1}, {s: 0}
-                queue = [s]
-                for v in queue:
-                    order.append(v)
-                    for w in adj.get(v, ()):
-                        if w not in dist:
-                            dist[w], sigma[w], preds[w] = dist[v] + 1, 0, []
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            sigma[w] += sigma[v]
-                            preds[w].append(v)
-                delta = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in preds[w]:
-                        delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-                    if w != s:
-                        score[w] = score.get(w, 0.0) + delta[w]
-        yield pd.DataFrame({"id": list(score), "part": list(score.values())}, columns=["id", "part"]).astype({"id": str, "part": float})
-
-    got = sources.select("id").mapInPandas(brandes, "id string, part double").groupBy("id").agg(F.sum("part").alias("part"))
-    return nodes.select("id").join(got, "id", "left").select("id", F.round(F.coalesce("part", F.lit(0.0)) * scale, 6).alias("betweenness"))
-
-
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, community): asynchronous, in id order within each weak component, least label on ties. Order matters, so a component is one task."""
+    arcs = settled(edges.where("source_id <> target_id").groupBy("source_id", "target_id").agg(F.count("*").cast("double").alias("m")), "arcs")
+    sources = evenly_spaced(nodes, cap).select("id") if cap else nodes.select("id")
+    count = min(cap or n, n)
+    blocks = max(1, -(-count * n // most))
+    sources = settled(sources.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "sources")
+    got = None
+    for k in range(blocks):
+        front = settled(sources.where(F.col("block") == k).select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")), "paths")
+        levels = [front]
+        while True:
+            step = front.join(arcs, front["id"] == arcs["source_id"]).groupBy("s", F.col("target_id").alias("id")).agg(F.sum(F.col("paths") * F.col("m")).alias("paths"))
+            seen = levels[0].select("s", "id")
+            for x in levels[1:]:
+                seen = seen.unionByName(x.select("s", "id"))
+            front = settled(step.join(seen, ["s", "id"], "left_anti"), "paths")
+            if front.isEmpty():
+                break
+            levels.append(front)
+        below = None  # (s, id, share) of a level: (1 + what depends on the node) / its paths
+        for d in range(len(levels) - 1, 0, -1):
+            now = levels[d]
+            if below is None:
+                now = now.withColumn("depends", F.lit(0.0))
+            else:
+                back = arcs.join(below.withColumnRenamed("id", "target_id"), "target_id").groupBy("s", F.col("source_id").alias("id")).agg(F.sum(F.col("m") * F.col("share")).alias("back"))
+                now = settled(now.join(back, ["s", "id"], "left").select("s", "id", "paths", (F.col("paths") * F.coalesce("back", F.lit(0.0))).alias("depends")), "depends")
+            below = now.select("s", "id", ((1 + F.col("depends")) / F.col("paths")).alias("share"))
+            part = now.where("depends > 0").groupBy("id").agg(F.sum("depends").alias("part"))
+            got = part if got is None else got.unionByName(part)
+    if got is None:
+        return nodes.select("id", F.lit(0.0).alias("betweenness"))
+    got = got.groupBy("id").agg(F.sum("part").alias("part"))
+    return nodes.select("id").join(got, "id", "left").select("id", F.round(F.coalesce("part", F.lit(0.0)) * (n / max(1, count)), 6).alias("betweenness"))
+
+
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10, max_edges: int = 5_000_000) -> DataFrame:
+    """(id, community): asynchronous, in id order within each weak component, least label on ties. Order matters, so a component is one task; one of more than max_edges edges is refused."""
     import pandas as pd
 
     comp = weak_components(nodes, edges)
-    pairs = edges.where("source_id <> target_id").join(comp.withColumnRenamed("id", "source_id"), "source_id").select("component", "source_id", "target_id")
+    pairs = settled(edges.where("source_id <> target_id").join(comp.withColumnRenamed("id", "source_id"), "source_id").select("component", "source_id", "target_id"), "by-component")
+    largest = pairs.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+    if largest > max_edges:
+        raise ValueError(f"a component of {largest} edges; a task holds at most {max_edges}: contract the graph first (folder_components)")
     lone = nodes.select("id").join(edges.where("source_id <> target_id").select(F.explode(F.array("source_id", "target_id")).alias("id")), "id", "left_anti").select("id", F.col("id").alias("community"))
 
     def run(pdf):
@@ -416,6 +419,44 @@ def cyclic_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return met.where("s = t").select("source_id", "target_id", F.lit("CYCLIC_DEPENDENCY").alias("type"))
 
 
+def cycle_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(component, length, path) of each strong component of two nodes or more: the shortest closed path through its least id, of equally short ones the first by its ids; the path ends where it begins.
+
+    All components at once: levels of distance back from the least ids, until a component's first arc out of its least id is met; then one step a round along them. A component that is done drops
+    out, so rounds follow the longest of the paths told, and a row holds one path, not a component's members.
+    """
+    comp = settled(strong_components(nodes, edges), "components")
+    ends = edges.where("source_id <> target_id").select("source_id", "target_id").distinct()
+    met = ends.join(comp.select(F.col("id").alias("source_id"), F.col("component").alias("c")), "source_id").join(comp.select(F.col("id").alias("target_id"), F.col("component").alias("t")), "target_id")
+    e = settled(met.where("c = t").select("c", F.col("source_id").alias("s"), F.col("target_id").alias("t")), "inside")
+    front = settled(e.select("c", F.col("c").alias("id"), F.lit(0).alias("d")).distinct(), "near")
+    seen, open_, d = front, front.select("c"), 0
+    while not front.isEmpty():
+        d += 1
+        step = e.join(front.select("c", F.col("id").alias("t")), ["c", "t"]).select("c", F.col("s").alias("id")).distinct().join(seen, ["c", "id"], "left_anti")
+        front = settled(step.select("c", "id", F.lit(d).alias("d")), "near")
+        seen = seen.unionByName(front)
+        if d % 8 == 0:
+            seen = settled(seen, "near")
+        done = e.where("s = c").join(front.select("c", F.col("id").alias("t")), ["c", "t"], "left_semi").select("c").distinct()
+        open_ = settled(open_.join(done, "c", "left_anti"), "open")
+        front = front.join(open_, "c", "left_semi")
+    seen = settled(seen, "near")
+    ahead = e.join(seen.select("c", F.col("id").alias("t"), F.col("d").alias("dt")), ["c", "t"])  # arcs to nodes with a distance
+    first = ahead.where("s = c").groupBy("c").agg(F.min(F.struct("dt", "t")).alias("x")).select("c", F.col("x.t").alias("id"), F.col("x.dt").alias("d"), F.array("c", "x.t").alias("path"))
+    nearer = ahead.join(seen.select("c", F.col("id").alias("s"), F.col("d").alias("ds")), ["c", "s"]).where("dt = ds - 1")
+    follow = settled(nearer.groupBy("c", F.col("s").alias("id")).agg(F.min("t").alias("next")), "follow")
+    walk, out = settled(first, "walk"), None
+    while True:
+        closed = walk.where("d = 0")
+        out = closed if out is None else out.unionByName(closed)
+        walk = walk.where("d > 0")
+        if walk.isEmpty():
+            break
+        walk = settled(walk.join(follow, ["c", "id"]).select("c", F.col("next").alias("id"), (F.col("d") - 1).alias("d"), F.concat("path", F.array("next")).alias("path")), "walk")
+    return out.select(F.col("c").alias("component"), (F.size("path") - 1).cast("long").alias("length"), F.array_join("path", " > ").alias("path"))
+
+
 def islands(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(component, size) of weak components of two nodes or more that hold no entry point."""
     comp = weak_components(nodes, edges).join(nodes.select("id", "entrypoint"), "id")

@@ -42,7 +42,7 @@ def _(spark, d):
     return Z.classify(settled(N.evolve(base.members, head.members)), deps, spark.createDataFrame([("x",)], "title string"), changes, (3, 2))
 
 
-ADR_SQL = r"""adr as (select doc_id, case when doc_id % 4 = 0 then '---' || chr(10) || '# no title' || chr(10) || '---' || chr(10) else '' end || case when doc_id % 9 = 0 then '' else '# Decide ' || doc_id || chr(10) end || '## Status: ' || case doc_id % 3 when 0 then 'Superseded by x' when 1 then 'Draft' else 'Accepted' end || chr(10) || '## CONTEXT' || chr(10) || 'Why ' || lang || '.' || chr(10) || '```' || chr(10) || '## Decision: not here' || chr(10) || '```' || chr(10) || '## Decision' || chr(10) || case when doc_id % 7 = 0 then '' else 'We use Redis' || chr(10) || '  and kafkas.' || chr(10) end || '## Consequences' || chr(10) || 'Redis costs.' || chr(10) || '### Decision: Go now' as text from documents where doc_id % 2 = 0)"""
+ADR_SQL = r"""adr as (select doc_id, case when doc_id % 4 = 0 then '---' || chr(10) || '# no title' || chr(10) || '---' || chr(10) else '' end || case when doc_id % 9 = 0 then '' else '# Decide ' || doc_id || chr(10) end || '## Status: ' || case doc_id % 3 when 0 then 'Superseded by x' when 1 then 'Draft' else 'Accepted' end || chr(10) || '## CONTEXT' || chr(10) || 'Why ' || lang || '.' || chr(10) || '```' || chr(10) || '## Decision: not here' || chr(10) || '```' || chr(10) || '## Decision' || chr(10) || case when doc_id % 7 = 0 then '' else 'We use Redis' || chr(10) || '  and kafkas.' || chr(10) end || '## Consequences' || chr(10) || 'Redis costs.' || chr(10) || '### Decision: Go now' as text from documents)"""
 
 
 def records(spark, d):
@@ -52,10 +52,10 @@ def records(spark, d):
         F.when(i % 4 == 0, "---\n# no title\n---\n").otherwise(""), F.when(i % 9 == 0, "").otherwise(F.concat(F.lit("# Decide "), i.cast("string"), nl)), F.lit("## Status: "), status, F.lit("\n## CONTEXT\nWhy "), "lang",
         F.lit(".\n```\n## Decision: not here\n```\n## Decision\n"), F.when(i % 7 == 0, "").otherwise("We use Redis\n  and kafkas.\n"), F.lit("## Consequences\nRedis costs.\n### Decision: Go now"),
     )
-    return read(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id", text.alias("text"))
+    return read(spark, d, "documents").select("doc_id", text.alias("text"))
 
 
-DECIDED = "dc as (select doc_id, 'Decide ' || doc_id as title, case doc_id % 3 when 0 then 'DEPRECATED' when 1 then 'EXPERIMENTAL' else 'CURRENT' end as state, 'Why ' || lang || '.' as context, case when doc_id % 7 = 0 then 'Go now' else 'We use Redis and kafkas. Go now' end as decision from documents where doc_id % 2 = 0 and doc_id % 9 <> 0)"
+DECIDED = "dc as (select doc_id, 'Decide ' || doc_id as title, case doc_id % 3 when 0 then 'DEPRECATED' when 1 then 'EXPERIMENTAL' else 'CURRENT' end as state, 'Why ' || lang || '.' as context, case when doc_id % 7 = 0 then 'Go now' else 'We use Redis and kafkas. Go now' end as decision from documents where doc_id % 9 <> 0)"
 
 
 @query("r19_decisions", f"with {DECIDED} select * from dc")
