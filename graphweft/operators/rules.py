@@ -184,6 +184,22 @@ def _any_glob(path, globs) -> Column:
     return path.rlike("|".join(glob_regex(g) for g in globs)) if globs else F.lit(False)
 
 
+def _between_files(nodes: DataFrame, edges: DataFrame, exclude) -> DataFrame:
+    """Dependency edges between different files that aren't excluded, with both paths (sp, tp)."""
+    n = nodes.select("id", "path").where(~_any_glob(F.col("path"), exclude) & (F.col("path") != ""))
+    met = edges.where(F.col("type").isin(DEPENDENCY)).select("source_id", "target_id", "type")
+    return met.join(n.select(F.col("id").alias("source_id"), F.col("path").alias("sp")), "source_id").join(n.select(F.col("id").alias("target_id"), F.col("path").alias("tp")), "target_id").where("sp <> tp")
+
+
+def package_cycles(nodes: DataFrame, edges: DataFrame, scope: str = "**", exclude: list[str] = ()) -> DataFrame:
+    """(component, length, path) of packages (folders) within the scope that depend on each other in a circle: one closed path for each strong component, as `cycle_paths` tells it."""
+    from graphweft.operators.graphs import cycle_paths
+
+    met = _between_files(nodes, edges, exclude).select(directory(F.col("sp")).alias("source_id"), directory(F.col("tp")).alias("target_id")).where("source_id <> target_id")
+    inside = settled(met.where(F.col("source_id").rlike(glob_regex(scope)) & F.col("target_id").rlike(glob_regex(scope))).distinct(), "packages")
+    return cycle_paths(inside.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct(), inside)
+
+
 def lint(nodes: DataFrame, edges: DataFrame, rules: list[LintRule], exclude: list[str] = ()) -> DataFrame:
     """(rule, severity, source_path, source_id, target_path, target_id): violations.
 
@@ -191,10 +207,7 @@ def lint(nodes: DataFrame, edges: DataFrame, rules: list[LintRule], exclude: lis
     layer that it requires. Packages (folders): those on a cycle within the scope, each with the least other package of its cycle, and
     those with too many distinct targets.
     """
-    n = nodes.select("id", "path").where(~_any_glob(F.col("path"), exclude) & (F.col("path") != ""))
-    met = edges.where(F.col("type").isin(DEPENDENCY)).select("source_id", "target_id", "type")
-    met = met.join(n.select(F.col("id").alias("source_id"), F.col("path").alias("sp")), "source_id").join(n.select(F.col("id").alias("target_id"), F.col("path").alias("tp")), "target_id").where("sp <> tp")
-    met = settled(met, "lint")
+    met = settled(_between_files(nodes, edges, exclude), "lint")
     same = directory(F.col("sp")) == directory(F.col("tp"))
     out = None
     for r in rules:

@@ -11,7 +11,8 @@ from graphweft.operators import linking as L
 from graphweft.operators import relational as R
 from graphweft.operators import rules as U
 from graphweft.operators import structure as T
-from graphweft.plans.catalog import ALL, DEG, DIRS, LAYERS, ORDER, on_code, on_fk, on_ring, on_trade, pagerank_sql, query, region_of
+from graphweft.plans.catalog import ALL, ARCS, DEG, DIRS, LAYERS, ORDER, REACH, WEAK, arcs, loose, on_code, on_fk, on_ring, on_trade, pagerank_sql, query, region_of, seed
+from graphweft.plans.catalog_code import LINT, LINT_YAML
 from graphweft.runtime import settled
 from graphweft.sources.tables import read
 
@@ -140,11 +141,10 @@ def _(g):
 RULES_SQL = PATHS.replace(", dist(s", ", uu as (select source_id as a, target_id as b from e union select target_id, source_id from e), cutr(v, a, b) as (select n.id, m.id, m.id from n cross join n m where n.id <> m.id union select cutr.v, cutr.a, uu.b from cutr join uu on uu.a = cutr.b where uu.b <> cutr.v), wr(a, b) as (select id, id from n union select wr.a, uu.b from wr join uu on uu.a = wr.b), parts as (select v, count(distinct low) as k from (select v, a, min(b) as low from cutr group by all) group by v), cut as (select p.v as id from parts p where p.k > (select count(distinct low) from (select a, min(b) as low from wr group by 1)) - case when exists (select 1 from uu where a = p.v) then 0 else 1 end), rr(a, b) as (select id, id from n union select rr.a, e.target_id from rr join e on e.source_id = rr.b), cyc as (select x.a as id from rr x join rr y on x.a = y.b and x.b = y.a group by 1 having count(*) > 1), dist(s", 1)
 
 
-@on_trade("r02_graph_rules", RULES_SQL + pagerank_sql(20).split(" select id, round(rank")[0].replace(", w as (", ", pw as (").replace("join w on w.target_id", "join pw on pw.target_id").replace("w.source_id group", "pw.source_id group").replace(" = w.source_id", " = pw.source_id") + " select 'rule_30' as rule, id from cyc union all select 'rule_31', id from cut union all select 'rule_32', b from (select b, count(*) - 1 as k from rr group by 1) where k > 15 union all select 'rule_33', id from p20 where rank > 1.5 / 25 union all select 'rule_36', id from bc where b > 10")
+@on_trade("r02_graph_rules", RULES_SQL + pagerank_sql(20).split(" select id, round(rank")[0].replace(", w as (", ", pw as (").replace("join w on w.target_id", "join pw on pw.target_id").replace("w.source_id group", "pw.source_id group").replace(" = w.source_id", " = pw.source_id") + " select 'rule_30' as rule, id from cyc union all select 'rule_34', a from wr group by a having count(*) > 1 and not bool_or(b = 'nation:0') union all select 'rule_37', package from (select package, count(*) as members, coalesce(max(k), 0) as k from (select distinct target_id as package, source_id as m from e) left join (select package, count(*) as k from e join (select distinct target_id as package, source_id as m from e) x on x.m = e.source_id where exists (select 1 from e y where y.target_id = x.package and y.source_id = e.target_id) group by 1) using (package) group by 1) where k > 0 and k < members union all select 'rule_31', id from cut union all select 'rule_32', b from (select b, count(*) - 1 as k from rr group by 1) where k > 15 union all select 'rule_33', id from p20 where rank > 1.5 / 25 union all select 'rule_36', id from bc where b > 10")
 def _(g):
     n = g.nodes.withColumn("entrypoint", F.col("id") == "nation:0")
-    got = U.graph_rules(n, g.edges, 15, 1.5, 10.0)
-    return got.where("rule not in ('rule_34', 'rule_37')")
+    return U.graph_rules(n, g.edges, 15, 1.5, 10.0)
 
 
 @on_trade("r05_layered_pattern", LAYERS + ", x as (select count(*) as crossing, count(distinct sl) as layers, count(*) filter (sl > tl) as upward from l where sl <> tl) select 'PR-01' as pattern, round(1 - upward / crossing, 6) as confidence from x where crossing >= 10 and layers >= 3 and 1 - upward / crossing >= 0.3")
@@ -157,6 +157,75 @@ def _(g):
     return L.event_pattern(g.edges, ["CALLS"])
 
 
+# Closed paths of cycles; the searches by rounds of joins, as graphs of any size take them
+
+CLOSED = """,
+td(c, id, k) as (select distinct c, c, 0 from i union select i.c, i.s, td.k + 1 from td join i on i.c = td.c and i.t = td.id where td.k < 40),
+tm as (select c, id, min(k) as k from td group by all),
+nx as (select i.c, i.s, min(i.t) as t from i join tm a on a.c = i.c and a.id = i.s join tm b on b.c = i.c and b.id = i.t where b.k = a.k - 1 group by all),
+wk(c, id, k, path) as (
+ select i.c, arg_min(i.t, (b.k, i.t)), min(b.k), [i.c, arg_min(i.t, (b.k, i.t))] from i join tm b on b.c = i.c and b.id = i.t where i.s = i.c group by i.c
+ union all select wk.c, nx.t, wk.k - 1, list_append(path, nx.t) from wk join nx on nx.c = wk.c and nx.s = wk.id where wk.k > 0)
+select c as component, (len(path) - 1)::bigint as length, array_to_string(path, ' > ') as path from wk where k = 0"""
+_INSIDE = ", sc as (select x.a as id, min(x.b) as c from r x join r y on x.a = y.b and x.b = y.a group by 1), i as (select a.c, x.s, x.t from {arcs} x join sc a on a.id = x.s join sc b on b.id = x.t where a.c = b.c and x.s <> x.t)"
+
+
+@on_code("g15_cycle_paths", ARCS + _INSIDE.format(arcs="(select source_id as s, target_id as t from d)") + CLOSED)
+def _(g):
+    return G.cycle_paths(g.nodes, arcs(g))
+
+
+@on_code("g15_package_cycle_paths", LINT.replace(" where starts_with(s, 'vendor/') and starts_with(t, 'vendor/')", "") + _INSIDE.format(arcs="v") + CLOSED)
+def _(g):
+    _, exclude = U.load_rules(LINT_YAML)
+    return U.package_cycles(g.nodes, g.edges, "**", exclude)
+
+
+_TURNS = """with recursive o as (select 'order:' || o_orderkey as id, o_orderkey as k, lead('order:' || o_orderkey) over w as next, lag('order:' || o_orderkey, 2) over w as back from orders window w as (partition by o_custkey order by o_orderkey)),
+d as (select id as s, next as t from o where next is not null union select id, back from o where back is not null and k % 3 = 0), r(a, b) as (select id, id from o union select r.a, d.t from r join d on d.s = r.b)"""
+
+
+@query("g15_order_cycle_paths", _TURNS + _INSIDE.format(arcs="d") + CLOSED)
+def _(spark, d):
+    """Each customer's orders, an arc from each to the next and from every third one to the last but one before it: components for each customer."""
+    own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    key = F.concat(F.lit("order:"), F.col("o_orderkey").cast("string"))
+    o = settled(read(spark, d, "orders").select(key.alias("id"), F.lead(key).over(own).alias("next"), F.when(F.col("o_orderkey") % 3 == 0, F.lag(key, 2).over(own)).alias("back")), "orders")
+    turns = o.select(F.col("id").alias("source_id"), F.explode(F.array_compact(F.array("next", "back"))).alias("target_id"))
+    return G.cycle_paths(o.select("id"), turns)
+
+
+@on_ring("g04_bfs_by_rounds", REACH + "select * from b")
+def _(g):
+    return G.bfs(g.edges, seed(g), small=0)
+
+
+@on_code("g12_strong_components_by_rounds", ARCS + "select x.a as id, min(x.b) as component from r x join r y on x.a = y.b and x.b = y.a group by 1")
+def _(g):
+    return G.strong_components(g.nodes, arcs(g), small=0)
+
+
+@on_code("g28_weak_components_by_rounds", WEAK + "select * from wc")
+def _(g):
+    return G.weak_components(g.nodes, loose(g), small=0)
+
+
+# Betweenness on a graph that grows, from a hundred evenly spaced sources
+
+SAMPLED = """, sk as (select id from (select id, row_number() over (order by id) - 1 as rank, count(*) over () as c from n) where c <= 100 or rank = 0 or floor(rank * 100 / c) <> floor((rank - 1) * 100 / c)),
+ds(s, id, d) as (select id, id, 0 from sk union select ds.s, e.target_id, ds.d + 1 from ds join e on e.source_id = ds.id where ds.d < 12),
+dm as (select s, id, min(d) as d from ds group by all),
+ph(s, path, last, d) as (select id, [id], id, 0 from sk union all select ph.s, list_append(ph.path, e.target_id), e.target_id, ph.d + 1 from ph join e on e.source_id = ph.last join dm on dm.s = ph.s and dm.id = e.target_id and dm.d = ph.d + 1),
+kk as (select s, last as t, count(*) as k from ph group by all), vv as (select s, last as t, unnest(path[2:len(path) - 1]) as id from ph where len(path) > 2),
+bc as (select vv.id, sum(1.0 / k) as b from vv join kk using (s, t) group by 1)
+select n.id, round(coalesce(b, 0) * (select count(*) from n) / (select count(*) from sk), 4) as betweenness from n left join bc using (id)"""
+
+
+@on_ring("g26_betweenness_of_calls", SAMPLED)
+def _(g):
+    return G.betweenness(g.nodes, g.edges, 100).select("id", F.round("betweenness", 4).alias("betweenness"))
+
+
 # Links between records
 
 

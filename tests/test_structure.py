@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from graphweft.operators import graphs as G
 from graphweft.operators import structure as T
 
 E = "source_id string, target_id string, type string"
@@ -97,3 +98,62 @@ def test_random_tokens(spark):
     texts = [f"x=1 ('{key}'), {flat}", "123e4567-e89b-12d3-a456-426614174000", "0123456789abcdef0123456789abcdef", "", None]
     got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").select("k", X.random_tokens(F.col("text")).alias("s"))
     assert {r.k: r.s for r in got.collect()} == {0: [key], 1: [], 2: ["0123456789abcdef0123456789abcdef"], 3: [], 4: None}
+
+
+def test_betweenness_in_blocks_against_plain(spark):
+    rng = random.Random(5)
+    ids = [f"n{i:02d}" for i in range(24)]
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(60)] + [(ids[0], ids[1])] * 3 + [(ids[2], ids[2])]
+    near = {v: [b for a, b in pairs if a == v] for v in ids}
+    want = dict.fromkeys(ids, 0.0)
+    for s in ids:
+        order, sigma, dist, before = [s], {s: 1}, {s: 0}, {s: []}
+        for v in order:
+            for w in near[v]:
+                if w not in dist:
+                    dist[w], sigma[w], before[w] = dist[v] + 1, 0, []
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    sigma[w] += sigma[v]
+                    before[w].append(v)
+        delta = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in before[w]:
+                delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+            want[w] += delta[w] if w != s else 0
+    nodes, edges = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(pairs, "source_id string, target_id string")
+    for most in (10**6, 24 * 9):
+        got = {r["id"]: r["betweenness"] for r in G.betweenness(nodes, edges, most=most).collect()}
+        assert got == pytest.approx(want, abs=1e-5)
+    assert {r["betweenness"] for r in G.betweenness(nodes, edges.limit(0)).collect()} == {0.0}
+    assert G.betweenness(nodes.limit(0), edges.limit(0)).count() == 0
+
+
+def test_cycle_paths_against_plain(spark):
+    rng = random.Random(8)
+    ids = [f"v{i:02d}" for i in range(40)]
+    pairs = [(8 * g + rng.randrange(8), 8 * g + rng.randrange(8)) for g in range(5) for _ in range(13)] + [(a, b) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(20)) if a // 8 < b // 8]
+    pairs = [(ids[a], ids[b]) for a, b in pairs] + [("v01", "v01"), ("v02", "v03"), ("v02", "v03"), ("v03", "v02")]
+    near = {v: sorted({b for a, b in pairs if a == v and b != v}) for v in ids}
+
+    def reach(v):
+        seen, todo = {v}, [v]
+        while todo:
+            for w in near[todo.pop()]:
+                if w not in seen:
+                    seen.add(w)
+                    todo.append(w)
+        return seen
+
+    all_ = {v: reach(v) for v in ids}
+    comp = {v: min(w for w in all_[v] if v in all_[w]) for v in ids}
+    want = {}
+    for root in sorted({c for c in comp.values() if sum(x == c for x in comp.values()) > 1}):
+        paths = [[root]]
+        while not (done := sorted(p for p in paths if len(p) > 1 and p[-1] == root)):
+            paths = [[*p, w] for p in paths for w in near[p[-1]] if comp[w] == root and w not in p[1:]]
+        want[root] = (len(done[0]) - 1, " > ".join(done[0]))
+    frame = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(pairs, "source_id string, target_id string")
+    assert len(want) > 2
+    assert {r["component"]: (r["length"], r["path"]) for r in G.cycle_paths(*frame).collect()} == want
+    assert G.cycle_paths(frame[0], frame[1].limit(0)).count() == 0
