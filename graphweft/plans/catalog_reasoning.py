@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphweft.operators import decisions as Q
 from graphweft.operators import reasoning as Z
 from graphweft.operators import snapshots as N
 from graphweft.plans.catalog import code, on_code, query
@@ -109,3 +110,36 @@ def _(g):
 def _(spark, d):
     p = read(spark, d, "part").select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("pos"), F.col("p_type").alias("owner"), F.concat("p_name", "p_partkey").alias("name"), F.col("p_size").alias("tokens"))
     return Z.grouped_chunks(p, 60)
+
+
+# Events of decisions in commit logs, and the records that they supersede
+
+PHRASES = ["Split the billing MODULE", "schema moved", "cycle: break it", "a cycle was detected", "Layer rules violated", "boundary violations", "new service for carts", "API renamed", "OAuth for auth", "new layer on top", "split of nothing", "cycles in the park", "Signature kept"]
+_LOG = f"lg as (select doc_id, ({PHRASES})[doc_id % {len(PHRASES)} + 1] || case when doc_id % 5 = 0 then ' of storage' when doc_id % 7 = 0 then ' and fix it' else '' end || chr(10) || coalesce(text, '') as log from documents)"
+_EVENT = "case " + " ".join(f"when {' and '.join('(' + ' or '.join(f'contains(lower(log), {w!r})' for w in g) + ')' for g in groups)} then {k + 1}" for k, (_, groups, _) in enumerate(Q.EVENTS)) + " end"
+
+
+@query("d21_decision_events", f"with {_LOG}, ev as (select doc_id, log, {_EVENT} as k from lg) select doc_id, ({[t for t, _, _ in Q.EVENTS]})[k] as type, ({[t for _, _, t in Q.EVENTS]})[k] as title, sha256('Architectural change detected in commit log: ' || log) as context from ev where k is not null")
+def _(spark, d):
+    i = F.col("doc_id")
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (i % len(PHRASES) + 1).cast("int"))
+    log = F.concat(phrase, F.when(i % 5 == 0, " of storage").when(i % 7 == 0, " and fix it").otherwise(""), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return Q.decision_events(read(spark, d, "documents").select("doc_id", log.alias("log"))).select("doc_id", "type", "title", F.sha2("context", 256).alias("context"))
+
+
+_LONG = [("alpha", 5), ("betas", 7), ("gamma", 11), ("delta", 13), ("epsil", 3), ("zetas", 4), ("theta", 6), ("kappa", 9)]
+_RECORDS = f"""rc as (select 'docs/adr/' || lpad(p_partkey::varchar, 7, '0') || '-' || replace(p_name, ' ', '-') || '.md' as path,
+ p_name || ' for ' || p_type || ' with module' || p_partkey % 37 || case when p_partkey % 10 = 0 then {" || ".join(f"' {w}' || p_partkey % {m}" for w, m in _LONG)} else '' end as title,
+ case p_partkey % 4 when 0 then '' when 1 then 'SERVICE_ADDED' when 2 then 'service_added ' else 'NEW_SUBSYSTEM' end as type, case p_size % 4 when 0 then 'Superseded' when 1 then 'Proposed' else ' Accepted (by hand)' end as status from part),
+w as (select path, lower(trim(type)) as type, contains(lower(status), 'accepted') as accepted, list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda t: length(t) >= 4 and not list_contains({Q.PLAIN}, t))))as words from rc)"""
+
+
+@query("d21_superseded_candidates", f"with {_RECORDS}, nw as (select words, type from w group by all), od as (select words, type, min(path) as path, list_sort(list(path))[1:2] as two from w where accepted group by words, type), x as (select nw.words, nw.type, od.two, len(list_intersect(nw.words, od.words)) as overlap from nw join od on nw.type = '' or od.type = '' or nw.type = od.type), y as (select words, type, overlap, unnest(two) as candidate from x where overlap >= 2) select w.path, arg_min(candidate, (-overlap, candidate)) as candidate, max(overlap)::bigint as overlap from w join y using (words, type) where w.path <> candidate group by w.path")
+def _(spark, d):
+    i, c = F.col("p_partkey"), F.concat
+    longer = c(*[c(F.lit(f" {w}"), (i % m).cast("string")) for w, m in _LONG])
+    title = c("p_name", F.lit(" for "), "p_type", F.lit(" with module"), (i % 37).cast("string"), F.when(i % 10 == 0, longer).otherwise(""))
+    path = c(F.lit("docs/adr/"), F.lpad(i.cast("string"), 7, "0"), F.lit("-"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(".md"))
+    kind = F.when(i % 4 == 0, "").when(i % 4 == 1, "SERVICE_ADDED").when(i % 4 == 2, "service_added ").otherwise("NEW_SUBSYSTEM")
+    status = F.when(F.col("p_size") % 4 == 0, "Superseded").when(F.col("p_size") % 4 == 1, "Proposed").otherwise(" Accepted (by hand)")
+    return Q.superseded_candidates(read(spark, d, "part").select(path.alias("path"), title.alias("title"), kind.alias("type"), status.alias("status")))
