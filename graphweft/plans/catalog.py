@@ -267,7 +267,7 @@ def _(spark, d):
     return read(spark, d, "events").select("user_id").distinct().join(read(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id")), "user_id", "left_anti")
 
 
-@on_trade("j24_rename", ", m as (select id, case when length(name) > 7 then 'n:' || name end as new from n) select distinct coalesce(a.new, source_id) as source_id, coalesce(b.new, target_id) as target_id, type from e left join m a on a.id = source_id left join m b on b.id = target_id where coalesce(a.new, source_id) <> coalesce(b.new, target_id)")
+@on_code("j24_rename", ", m as (select id, case when length(name) > 7 then 'n:' || name end as new from n) select distinct coalesce(a.new, source_id) as source_id, coalesce(b.new, target_id) as target_id, type from e left join m a on a.id = source_id left join m b on b.id = target_id where coalesce(a.new, source_id) <> coalesce(b.new, target_id)")
 def _(g):
     m = g.nodes.where(F.length("name") > 7).select("id", F.concat(F.lit("n:"), "name").alias("new"))
     e = g.edges.join(m.select(F.col("id").alias("source_id"), F.col("new").alias("a")), "source_id", "left").join(m.select(F.col("id").alias("target_id"), F.col("new").alias("b")), "target_id", "left")
@@ -336,9 +336,9 @@ def _(g):
     return both.select("k", F.when(F.col("o") & F.col("n"), "persisting").when(F.col("n"), "introduced").otherwise("resolved").alias("trend"))
 
 
-@on_trade("s05_delta_upsert", ", p as (select path from n where starts_with(path, 'ASIA/')), new as (select 'new:' || id as id from n where starts_with(path, 'ASIA/')), k as (select id from n where path not in (select path from p) union all select id from new), en as (select source_id, target_id, type, line_number from e where source_id not in (select id from n where path in (select path from p)) union select 'new:' || source_id, target_id, 'CALLS', 1 from e where source_id in (select id from n where starts_with(path, 'ASIA/'))) select source_id, target_id, type, line_number from en where source_id in (select id from k) and target_id in (select id from k)")
+@on_ring("s05_delta_upsert", ", p as (select path from n where starts_with(path, 'pkg7/')), new as (select 'new:' || id as id from n where starts_with(path, 'pkg7/')), k as (select id from n where path not in (select path from p) union all select id from new), en as (select source_id, target_id, type, line_number from e where source_id not in (select id from n where path in (select path from p)) union select 'new:' || source_id, target_id, 'CALLS', 1 from e where source_id in (select id from n where starts_with(path, 'pkg7/'))) select source_id, target_id, type, line_number from en where source_id in (select id from k) and target_id in (select id from k)")
 def _(g):
-    asia = g.nodes.where("startswith(path, 'ASIA/')")
+    asia = g.nodes.where("startswith(path, 'pkg7/')")
     new = asia.withColumn("id", F.concat(F.lit("new:"), "id"))
     moved = g.edges.join(asia.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(F.concat(F.lit("new:"), "source_id").alias("source_id"), "target_id", F.lit("CALLS").alias("type"), F.lit(1).alias("line_number"))
     return R.upsert(g.nodes, g.edges, new, moved, asia.select("path").distinct())[1].select("source_id", "target_id", "type", "line_number")
@@ -424,10 +424,10 @@ def _(g):
     return G.strong_components(g.nodes, arcs(g))
 
 
-@on_trade("g16_cycle_edges", ALL + ", c as (select x.a as id, min(x.b) as component from r x join r y on x.a = y.b and x.b = y.a group by 1) select source_id, target_id from e join c a on a.id = source_id join c b on b.id = target_id where a.component = b.component")
+@on_code("g16_cycle_edges", ARCS + ", c as (select x.a as id, min(x.b) as component from r x join r y on x.a = y.b and x.b = y.a group by 1) select source_id, target_id from e join c a on a.id = source_id join c b on b.id = target_id where a.component = b.component and type in ('CALLS', 'EXTENDS', 'DATA_FLOW')")
 def _(g):
-    c = settled(G.strong_components(g.nodes, g.edges))
-    return R.with_layers(c.withColumnRenamed("component", "layer"), g.edges, F.col("layer")).where("source_layer = target_layer").select("source_id", "target_id")
+    c = settled(G.strong_components(g.nodes, arcs(g)))
+    return R.with_layers(c.withColumnRenamed("component", "layer"), arcs(g), F.col("layer")).where("source_layer = target_layer").select("source_id", "target_id")
 
 
 WEAK = ", u as (select source_id as s, target_id as t from e where type in ('PUBLISHES_EVENT', 'EXTENDS', 'IMPLEMENTS', 'CONTAINS') union select target_id, source_id from e where type in ('PUBLISHES_EVENT', 'EXTENDS', 'IMPLEMENTS', 'CONTAINS')), r(a, b) as (select id, id from n union select r.a, u.t from r join u on u.s = r.b), wc as (select a as id, min(b) as component from r group by 1) "
@@ -447,7 +447,7 @@ def _(g):
     return G.islands(g.nodes, loose(g))
 
 
-@on_trade("g18_topological_levels", LAYERS + ", d as (select distinct source_id, target_id from l where source_id < target_id), r(id, level) as (select id, 0 from n union select d.target_id, r.level + 1 from r join d on d.source_id = r.id) select id, max(level) as level from r group by 1")
+@on_ring("g18_topological_levels", ", d as (select distinct source_id, target_id from e where source_id < target_id), r(id, level) as (select id, 0 from n union select d.target_id, r.level + 1 from r join d on d.source_id = r.id) select id, max(level) as level from r group by 1")
 def _(g):
     return G.topological_levels(g.nodes, g.edges.where("source_id < target_id"))
 

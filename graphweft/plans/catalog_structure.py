@@ -11,7 +11,7 @@ from graphweft.operators import linking as L
 from graphweft.operators import relational as R
 from graphweft.operators import rules as U
 from graphweft.operators import structure as T
-from graphweft.plans.catalog import ALL, ARCS, DEG, DIRS, LAYERS, ORDER, REACH, WEAK, arcs, loose, on_code, on_fk, on_ring, on_trade, pagerank_sql, query, region_of, seed
+from graphweft.plans.catalog import ARCS, DEG, DIRS, LAYERS, ORDER, REACH, WEAK, arcs, loose, on_code, on_fk, on_ring, on_trade, pagerank_sql, query, region_of, seed
 from graphweft.plans.catalog_code import LINT, LINT_YAML
 from graphweft.runtime import settled
 from graphweft.sources.tables import read
@@ -42,7 +42,7 @@ def _(g):
 LEVELS = ", d as (select distinct source_id, target_id from e where source_id < target_id), p(id, level) as (select id, 0 from n union select d.target_id, p.level + 1 from p join d on d.source_id = p.id), lv as (select id, max(level) as level from p group by 1), back as (select d.target_id as id, min(d.source_id) as prev from d join lv a on a.id = d.source_id join lv b on b.id = d.target_id where a.level = b.level - 1 group by 1)"
 
 
-@on_trade("g19_critical_path", LEVELS + ", w(id, position) as (select id, level::bigint from (select * from lv order by level desc, id limit 1) union all select prev, position - 1 from w join back using (id)) select id, position from w")
+@on_ring("g19_critical_path", LEVELS + ", w(id, position) as (select id, level::bigint from (select * from lv order by level desc, id limit 1) union all select prev, position - 1 from w join back using (id)) select id, position from w")
 def _(g):
     return T.critical_path(g.nodes, g.edges.where("source_id < target_id"))
 
@@ -273,14 +273,14 @@ def _(g):
     return g.edges.where("type = 'DEPENDS_ON'").groupBy("target_id").agg(F.count("*").alias("k"), F.countDistinct("source_id").alias("sources"), F.min("source_id").alias("first"))
 
 
-@on_trade("a34_trend_summary", LAYERS + " select count(*) filter (sl > tl) as worsened, count(*) filter (sl < tl) as improved, count(*) filter (sl > tl) - count(*) filter (sl < tl) as net from l")
+@on_fk("a34_trend_summary", LAYERS + " select count(*) filter (sl > tl) as worsened, count(*) filter (sl < tl) as improved, count(*) filter (sl > tl) - count(*) filter (sl < tl) as net from l")
 def _(g):
     e = R.with_layers(g.nodes, g.edges, region_of())
     up, down = F.count_if(F.col("source_layer") > F.col("target_layer")), F.count_if(F.col("source_layer") < F.col("target_layer"))
     return e.agg(up.alias("worsened"), down.alias("improved"), (up - down).alias("net"))
 
 
-@on_trade("t09_edge_order", " select * from (select type, target_id, line_number, source_id from e order by type, target_id, line_number, source_id)")
+@on_code("t09_edge_order", " select * from (select type, target_id, line_number, source_id from e order by type, target_id, line_number, source_id)")
 def _(g):
     return g.edges.select("type", "target_id", "line_number", "source_id").orderBy("type", "target_id", "line_number", "source_id")
 
@@ -382,6 +382,6 @@ def _(spark, d):
 CYCLES = "select c, count(*) as k, list(id order by id) as m from (select x.a as id, min(x.b) as c from {0} x join {0} y on x.a = y.b and x.b = y.a group by 1) group by 1 having count(*) > 1"
 
 
-@on_trade("s10_cycle_diff", ALL + f", h(a, b) as (select id, id from n union select h.a, e.target_id from h join e on e.source_id = h.b where e.source_id <> 'nation:6'), o as ({CYCLES.format('r')}), w as ({CYCLES.format('h')}) select 'resolved' as change, c as component, k as members from o where m not in (select m from w) union all select 'introduced', c, k from w where m not in (select m from o)")
+@on_code("s10_cycle_diff", ARCS + f", h(a, b) as (select id, id from n union select h.a, d.target_id from h join d on d.source_id = h.b where d.source_id <> 'pkg5/file5.go::fn5'), o as ({CYCLES.format('r')}), w as ({CYCLES.format('h')}) select 'resolved' as change, c as component, k as members from o where m not in (select m from w) union all select 'introduced', c, k from w where m not in (select m from o)")
 def _(g):
-    return T.cycle_diff(G.strong_components(g.nodes, g.edges), G.strong_components(g.nodes, g.edges.where("source_id <> 'nation:6'")))
+    return T.cycle_diff(G.strong_components(g.nodes, arcs(g)), G.strong_components(g.nodes, arcs(g).where("source_id <> 'pkg5/file5.go::fn5'")))
