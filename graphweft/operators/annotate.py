@@ -56,8 +56,7 @@ def annotate(df: DataFrame, primitives: str = "primitives", name: str = "name",
     """
     p = F.col(primitives)
     has = lambda *xs: F.arrays_overlap(p, F.array(*map(F.lit, xs)))
-    points = F.transform(p, lambda x: _points(x))
-    score = F.aggregate(points, F.lit(0), lambda a, x: a + x)
+    score = risk_score(p)
     low = F.lower(F.concat_ws(" ", F.col(name), F.col(parts)) if parts else F.col(name))
     personal = F.lit(False)
     for w in PERSONAL:
@@ -68,13 +67,22 @@ def annotate(df: DataFrame, primitives: str = "primitives", name: str = "name",
         F.when(has("UI_EVENT") & data, "Anti-Pattern: UI-to-DB Direct Access"), F.when(has("DISK_IO") & has("NETWORK_IO"), "Anti-Pattern: High I/O Coupling"), F.when(has("CRYPTO") & ~has("SECURITY_AUTH"), "Anti-Pattern: Crypto without Auth"),
     ))
     return df.withColumns({
-        "risk": score, "level": F.when(score >= 60, "CRITICAL").when(score >= 40, "HIGH").when(score >= 20, "MEDIUM").otherwise("LOW"), "tier": tier, "violations": bad,
+        "risk": score, "level": risk_level(score), "tier": tier, "violations": bad,
         "personal": has("LOGGING", "NETWORK_IO") & ~has("CRYPTO") & personal, "hot_path": has("COMPUTE_MATH") & has("ALLOCATION"),
         "resilience": F.when(has("NETWORK_IO", "RPC"), F.when(F.col(text).contains("recover("), "Hardened").otherwise("Fragile")),
         "blind_spot": has("NETWORK_IO", "IPC") & ~has("TELEMETRY", "LOGGING"),
     })
 
 
+def risk_score(primitives: Column) -> Column:
+    """Sum of the points of an array of primitives."""
+    return F.aggregate(F.transform(primitives, _points), F.lit(0), lambda a, x: a + x)
+
+
+def risk_level(score: Column) -> Column:
+    return F.when(score >= 60, "CRITICAL").when(score >= 40, "HIGH").when(score >= 20, "MEDIUM").otherwise("LOW")
+
+
 def _points(x: Column) -> Column:
     out = F.lit(OTHER_RISK)
     for points, names in RISK.items():

@@ -62,11 +62,6 @@ def event_pattern(edges: DataFrame, event_types: list[str], least: int = 5, shar
     return row.where((F.col("k") >= least) & (F.col("k") >= share * F.col("t"))).select(F.lit("PR-06").alias("pattern"), F.round(sure, 6).alias("confidence"))
 
 
-#: What a behaviour adds to the risk of a symbol; others add 5.
-RISK = {
-    "CRYPTO": 30, "SECURITY_AUTH": 30, "DATABASE_SQL": 20, "DATABASE_NOSQL": 20, "NETWORK_IO": 20, "RPC": 20, "IPC": 20, "DISK_IO": 20,
-    "CONTAINER_DEVOPS": 15, "CLOUD_SDK": 15, "MESSAGE_QUEUE": 15, "CONCURRENCY": 10, "SYNCHRONIZATION": 10, "ALLOCATION": 10, "COMPUTE_MATH": 10,
-}
 #: Subject words in order of precedence, with their weights; none of them weighs 5.
 SUBJECT_WEIGHTS = [("refactor", 15), ("feat", 15), ("add", 15), ("fix", 8), ("perf", 5), ("secur", 5), ("test", 2), ("docs", 2), ("readme", 2), ("depend", 1), ("chore", 1)]
 #: Path words of each layer, first match wins.
@@ -76,15 +71,6 @@ LAYER_WORDS = [
 ]
 
 
-def risk_score(behaviours: Column) -> Column:
-    weight = F.create_map(*[F.lit(x) for kv in RISK.items() for x in kv])
-    return F.aggregate(behaviours, F.lit(0).cast("long"), lambda a, p: a + F.coalesce(F.try_element_at(weight, p), F.lit(5)))
-
-
-def risk_level(score: Column) -> Column:
-    return F.when(score >= 60, "CRITICAL").when(score >= 40, "HIGH").when(score >= 20, "MEDIUM").otherwise("LOW")
-
-
 def subject_weight(subject: Column) -> Column:
     low, out = F.lower(subject), None
     for word, weight in SUBJECT_WEIGHTS:

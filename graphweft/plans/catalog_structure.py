@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphweft.functions import text as X
+from graphweft.operators import annotate as A
 from graphweft.operators import graphs as G
 from graphweft.operators import linking as L
 from graphweft.operators import relational as R
@@ -336,7 +337,7 @@ def _(spark, d):
     k = F.col("p_size") % 4
     some = lambda *v: F.array(*[F.lit(x) for x in v])
     p = F.when(k == 0, some("CRYPTO", "CACHE")).when(k == 1, some("DATABASE_SQL", "RPC")).when(k == 2, some("LOGGING")).otherwise(F.array().cast("array<string>"))
-    return read(spark, d, "part").select("p_partkey", L.risk_score(p).alias("risk")).select("p_partkey", "risk", L.risk_level(F.col("risk")).alias("level"))
+    return read(spark, d, "part").select("p_partkey", A.risk_score(p).cast("long").alias("risk")).select("p_partkey", "risk", A.risk_level(F.col("risk")).alias("level"))
 
 
 @query("x19_subject_weight", "with s as (select doc_id, lower(split_part(text, chr(10), 1)) as s from documents) select doc_id, case when contains(s, 'refactor') or contains(s, 'feat') or contains(s, 'add') then 15 when contains(s, 'fix') then 8 when contains(s, 'perf') or contains(s, 'secur') then 5 when contains(s, 'test') or contains(s, 'docs') or contains(s, 'readme') then 2 when contains(s, 'depend') or contains(s, 'chore') then 1 else 5 end as weight from documents join s using (doc_id)")
