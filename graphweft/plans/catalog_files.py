@@ -44,6 +44,11 @@ def _(spark, d):
     return n.unionByName(e).unionByName(D.read_part(spark, path, "entrypoints", {}).select(F.lit("entry").alias("part"), F.col("id").alias("key"), F.lit(1).cast("long").alias("k")))
 
 
+@query("sc02_document_stats", code(", d as (select distinct source_id, target_id, type from e) select count(*) as nodes, 0::bigint as virtual_nodes, count(distinct path) as files, (select count(*) from d) as edges, (select count(*) from d where source_id not in (select id from n) or target_id not in (select id from n)) as dangling, count(*) filter (entrypoint) as entrypoints from n"))
+def _(spark, d):
+    return D.document_stats(spark, stored_document(spark, d))
+
+
 @query("sc05_header", "select 3 as schema_version, 'c0ffee' as commit_hash, 7::bigint as version")
 def _(spark, d):
     return D.read_header(spark, stored_document(spark, d))

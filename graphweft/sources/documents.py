@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweft.functions.paths import slashed
+from graphweft.operators.relational import is_virtual
 from graphweft.runtime import settled
+from graphweft.sources.scan import elements, header
 from graphweft.sources.tables import Graph
 
 NODE = "struct<id:string,kind:string,name:string,primitive:string,primitive_scores:map<string,double>,path:string,line_start:int,properties:map<string,string>>"
@@ -29,16 +33,45 @@ def read_graph_json(spark: SparkSession, path: str) -> Graph:
 
 
 def read_header(spark: SparkSession, path: str) -> DataFrame:
-    """schema_version, commit_hash, version: the reader skips everything else."""
-    return _document(spark, path, HEADER)
+    """schema_version, commit_hash, version (null where the document lacks them): one task reads up to the first closing brace; the whole document is read only if some don't stand before it."""
+    names = [c.split()[0] for c in HEADER.split(", ")]
+    found = header(spark, path, names)
+    if len(found) < len(names):
+        return _document(spark, path, HEADER)
+    return spark.createDataFrame([(json.dumps(found),)], "v string").select(F.from_json("v", HEADER, {"mode": "FAILFAST"}).alias("v")).select("v.*")
 
 
-def read_part(spark: SparkSession, path: str, part: str, columns: dict[str, str]) -> DataFrame:
-    """Some columns (name: type) of `nodes`, `edges`, or `entrypoints` (the ids, as column id) alone: what isn't asked for isn't parsed into rows."""
+#: What an element must name to count.
+NEEDED = {"nodes": ["id"], "edges": ["source_id", "target_id"]}
+
+
+def read_part(spark: SparkSession, path: str, part: str, columns: dict[str, str], to_end: bool = False) -> DataFrame:
+    """Some columns (name: type) of the elements of `nodes`, `edges`, or `entrypoints` (the ids, as column id), cut out of the document by many tasks (see `scan`), which stop where the part ends.
+
+    Nodes without an id and edges without both ends are left out. A document that has a part twice is read whole with `to_end`.
+    """
+    found = elements(spark, path, part, to_end)
+    parsed = lambda of: F.get(F.from_json(F.concat(F.lit("["), "element", F.lit("]")), f"array<{of}>", {"mode": "FAILFAST"}), F.lit(0))
     if part == "entrypoints":
-        return _document(spark, path, "entrypoints array<string>").select(F.explode("entrypoints").alias("id"))
-    inner = ",".join(f"{c}:{t}" for c, t in columns.items())
-    return _document(spark, path, f"{part} array<struct<{inner}>>").selectExpr(f"inline({part})")
+        return found.select(parsed("string").alias("id"))
+    needed = NEEDED.get(part, [])
+    inner = ",".join(f"{c}:{t}" for c, t in ({c: "string" for c in needed} | columns).items())
+    rows = found.select(parsed(f"struct<{inner}>").alias("v"))
+    for c in needed:
+        rows = rows.where(F.col(f"v.{c}") != "")
+    return rows.select(*[F.col(f"v.{c}").alias(c) for c in columns])
+
+
+def document_stats(spark: SparkSession, path: str) -> DataFrame:
+    """nodes, virtual_nodes, entrypoints, edges (distinct by ends and type), dangling (of them, those with an end that is no node), files: counts over a document's parts, without a graph in memory."""
+    nodes = settled(read_part(spark, path, "nodes", {"id": "string", "path": "string"}), "document-nodes")
+    edges = read_part(spark, path, "edges", {"source_id": "string", "target_id": "string", "type": "string"}).distinct()
+    ids = nodes.select("id").distinct()
+    met = edges.join(ids.withColumnRenamed("id", "source_id").withColumn("_s", F.lit(1)), "source_id", "left").join(ids.withColumnRenamed("id", "target_id").withColumn("_t", F.lit(1)), "target_id", "left")
+    of_nodes = nodes.agg(F.count("*").alias("nodes"), F.count_if(is_virtual(F.col("id"))).alias("virtual_nodes"), F.count_distinct(slashed(F.coalesce("path", F.lit("")))).alias("files"))
+    of_edges = met.agg(F.count("*").alias("edges"), F.count_if(F.col("_s").isNull() | F.col("_t").isNull()).alias("dangling"))
+    entries = read_part(spark, path, "entrypoints", {}).agg(F.count("*").alias("entrypoints"))
+    return of_nodes.crossJoin(of_edges).crossJoin(entries)  # one row each
 
 
 def _full(df: DataFrame, kind: str) -> list[Column]:
