@@ -186,5 +186,6 @@ def grouped_chunks(declarations: DataFrame, budget: int) -> DataFrame:
         n = F.when(fits, a["n"]).otherwise(a["n"] + 1)
         return F.struct(n.alias("n"), F.when(fits, a["sum"] + x["tokens"]).otherwise(x["tokens"]).cast("long").alias("sum"), F.concat(a["out"], F.array(F.struct(n.alias("n"), x["name"].alias("name")))).alias("out"))
 
-    parts = rows.select("path", "owner", F.explode(F.aggregate("d", start, step, lambda a: a["out"])).alias("x"))
-    return parts.groupBy("path", "owner", F.col("x.n").alias("chunk")).agg(F.collect_list("x.name").alias("l")).select("path", "owner", "chunk", F.array_join("l", ",").alias("names"))
+    parts = rows.select("path", "owner", F.posexplode(F.aggregate("d", start, step, lambda a: a["out"])).alias("k", "x"))
+    named = F.array_sort(F.collect_list(F.struct("k", "x.name")))  # what an aggregation hands on has no order
+    return parts.groupBy("path", "owner", F.col("x.n").alias("chunk")).agg(named.alias("l")).select("path", "owner", "chunk", F.array_join(F.transform("l", lambda e: e["name"]), ",").alias("names"))

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from graphweft.operators.reasoning import grouped_chunks
 from graphweft.plans import catalog
 
 
@@ -36,3 +37,10 @@ def test_trends_of_parallel_edges(spark, tmp_path, n):
     got = same_as_sql(spark, tables(spark, tmp_path, part=parts(spark, n)), "s03_trend", ["part"])
     if n == 29:
         assert len({k for k, _ in got}) < len(got)
+
+
+def test_names_of_many_chunks_stay_in_order(spark):
+    """More chunks of one type than an aggregation keeps in its hash map (128)."""
+    rows = [("a.go", i, "T", f"m{i:04d}", 20) for i in range(900)]
+    got = grouped_chunks(spark.createDataFrame(rows, "path string, pos int, owner string, name string, tokens int"), 60).collect()
+    assert {(r["chunk"], r["names"]) for r in got} == {(k, ",".join(f"m{i:04d}" for i in range(3 * k, 3 * k + 3))) for k in range(300)}
