@@ -44,3 +44,9 @@ def test_names_of_many_chunks_stay_in_order(spark):
     rows = [("a.go", i, "T", f"m{i:04d}", 20) for i in range(900)]
     got = grouped_chunks(spark.createDataFrame(rows, "path string, pos int, owner string, name string, tokens int"), 60).collect()
     assert {(r["chunk"], r["names"]) for r in got} == {(k, ",".join(f"m{i:04d}" for i in range(3 * k, 3 * k + 3))) for k in range(300)}
+
+
+@pytest.mark.parametrize("n", [400, 3280])
+def test_shortest_paths_keep_to_the_nodes_of_their_sql(spark, tmp_path, n):
+    d = tables(spark, tmp_path, customer=spark.range(n).select(F.col("id").alias("c_custkey")))
+    assert len(same_as_sql(spark, d, "g01_shortest_path", ["customer"])) == (n == 400)
