@@ -18,7 +18,6 @@ from graphweft.sources.tables import Graph
 NODE = "struct<id:string,kind:string,name:string,primitive:string,primitive_scores:map<string,double>,path:string,line_start:int,properties:map<string,string>>"
 EDGE = "struct<source_id:string,target_id:string,type:string,line_number:int,confidence:float,is_cycle:boolean,properties:map<string,string>>"
 HEADER = "schema_version int, commit_hash string, version long"
-SCHEMA = f"{HEADER}, entrypoints array<string>, nodes array<{NODE}>, edges array<{EDGE}>"
 
 
 def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -26,10 +25,16 @@ def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_graph_json(spark: SparkSession, path: str) -> Graph:
-    """Nodes (with properties, scores and whether they are entry points) and edges of a document."""
-    doc = _document(spark, path, SCHEMA)
-    nodes = doc.select(F.explode("nodes").alias("n"), "entrypoints").select("n.*", F.coalesce(F.array_contains("entrypoints", F.col("n.id")), F.lit(False)).alias("entrypoint"))
-    return Graph(nodes, doc.selectExpr("inline(edges)"))
+    """Nodes (with properties, scores and whether they are entry points) and edges of a document, cut out of it by many tasks (see `scan`)."""
+    nodes = _parsed(elements(spark, path, "nodes"), NODE).select("v.*")
+    entries = _parsed(elements(spark, path, "entrypoints"), "string").select(F.col("v").alias("id"), F.lit(True).alias("entrypoint")).distinct()
+    nodes = nodes.join(entries, "id", "left").select(*nodes.columns, F.coalesce("entrypoint", F.lit(False)).alias("entrypoint"))
+    return Graph(nodes, _parsed(elements(spark, path, "edges"), EDGE).select("v.*"))
+
+
+def _parsed(found: DataFrame, kind: str) -> DataFrame:
+    """v: the values of elements."""
+    return found.select(F.get(F.from_json(F.concat(F.lit("["), "element", F.lit("]")), f"array<{kind}>", {"mode": "FAILFAST"}), F.lit(0)).alias("v"))
 
 
 def read_header(spark: SparkSession, path: str) -> DataFrame:
@@ -51,12 +56,11 @@ def read_part(spark: SparkSession, path: str, part: str, columns: dict[str, str]
     Nodes without an id and edges without both ends are left out. A document that has a part twice is read whole with `to_end`.
     """
     found = elements(spark, path, part, to_end)
-    parsed = lambda of: F.get(F.from_json(F.concat(F.lit("["), "element", F.lit("]")), f"array<{of}>", {"mode": "FAILFAST"}), F.lit(0))
     if part == "entrypoints":
-        return found.select(parsed("string").alias("id"))
+        return _parsed(found, "string").select(F.col("v").alias("id"))
     needed = NEEDED.get(part, [])
     inner = ",".join(f"{c}:{t}" for c, t in ({c: "string" for c in needed} | columns).items())
-    rows = found.select(parsed(f"struct<{inner}>").alias("v"))
+    rows = _parsed(found, f"struct<{inner}>")
     for c in needed:
         rows = rows.where(F.col(f"v.{c}") != "")
     return rows.select(*[F.col(f"v.{c}").alias(c) for c in columns])
@@ -81,20 +85,25 @@ def _full(df: DataFrame, kind: str) -> list[Column]:
 
 
 def write_graph_json(graph: Graph, path: str, commit: str = "", version: int = 1) -> None:
-    """One document, sorted and without repeats by all but the scores: a format for graphs that fit one object; larger ones are kept as Parquet (`commit_state`)."""
+    """One document, sorted and without repeats by all but the scores, an element a line. Its lines are sorted by many tasks and written by one, which holds one part of them at a time."""
     flat = lambda m: F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"]))
     n = graph.nodes.select(*_full(graph.nodes, NODE)).dropDuplicates(["id"])
     e = graph.edges.select(*_full(graph.edges, EDGE)).withColumn("_p", flat(F.coalesce("properties", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))))
     e = e.dropDuplicates(["source_id", "target_id", "type", "line_number", "_p"])
-    own = lambda df, kind: F.struct(*[c.split(":", 1)[0] for c in re.split(r",(?![^<]*>)", kind[len("struct<") : -1])])
-    nodes = n.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", own(n, NODE).alias("n"))), lambda x, y: F.when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0)), lambda x: x["n"]).alias("nodes"))
-    key = F.struct("type", "target_id", "line_number", "source_id", "_p").alias("k")
-    order = lambda x, y: F.when(x["k"] < y["k"], -1).when(x["k"] > y["k"], 1).otherwise(0)
-    edges = e.agg(F.transform(F.array_sort(F.collect_list(F.struct(key, own(e, EDGE).alias("e"))), order), lambda x: x["e"]).alias("edges"))
+    own = lambda df, kind: F.to_json(F.struct(*[c.split(":", 1)[0] for c in re.split(r",(?![^<]*>)", kind[len("struct<") : -1])]))
+    order = {"a": "string", "b": "string", "line": "int", "c": "string", "p": "array<string>"}
+    line = lambda df, place, value, **by: df.select(F.lit(place).alias("place"), *[by.get(k, F.lit(None)).cast(t).alias(k) for k, t in order.items()], value.alias("value"))
     entries = graph.nodes.where(F.col("entrypoint")) if "entrypoint" in graph.nodes.columns else graph.nodes.limit(0)
-    roots = entries.agg(F.array_sort(F.collect_set("id")).alias("entrypoints"))
-    head = [F.lit(3).alias("schema_version"), F.lit(commit).alias("commit_hash"), F.lit(version).cast("long").alias("version")]
-    nodes.crossJoin(edges).crossJoin(roots).select(F.to_json(F.struct(*head, "entrypoints", "nodes", "edges")).alias("value")).write.text(path)  # one row each
+    bare = F.to_json(F.array("id"))
+    rows = line(entries.select("id").where("id is not null").distinct(), 1, F.substring(bare, F.lit(2), F.length(bare) - 2), a=F.col("id"))
+    rows = rows.unionByName(line(n, 3, own(n, NODE), a=F.col("id")))
+    rows = settled(rows.unionByName(line(e, 5, own(e, EDGE), a=F.col("type"), b=F.col("target_id"), line=F.col("line_number"), c=F.col("source_id"), p=F.col("_p"))), "document-lines")
+    first = rows.groupBy("place").agg(F.min(F.struct(*order)).alias("first"))  # three rows
+    rows = rows.join(F.broadcast(first), "place").withColumn("value", F.when(F.struct(*order).eqNullSafe(F.col("first")), F.col("value")).otherwise(F.concat(F.lit(","), "value"))).drop("first")
+    head = json.dumps({"schema_version": 3, "commit_hash": commit, "version": version}, ensure_ascii=False, separators=(",", ":"))
+    for place, text in ((0, head[:-1] + ',"entrypoints":['), (2, '],"nodes":['), (4, '],"edges":['), (6, "]}")):
+        rows = rows.unionByName(line(graph.nodes.sparkSession.range(1), place, F.lit(text)))
+    rows.sort("place", *order).select("value").coalesce(1).write.text(path)
 
 
 def graph_digest(graph: Graph) -> DataFrame:

@@ -1,5 +1,6 @@
 """Queries against their own SQL on small tables made for what went wrong on large ones."""
 
+import json
 from collections import Counter
 
 import duckdb
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 
 from graphweft.operators.reasoning import grouped_chunks
 from graphweft.plans import catalog
+from graphweft.sources import documents as D
+from graphweft.sources.tables import Graph
 
 
 def tables(spark, folder, **made):
@@ -51,3 +54,25 @@ def test_shortest_paths_keep_to_the_nodes_of_their_sql(spark, tmp_path, n):
     d = tables(spark, tmp_path, customer=spark.range(n).select(F.col("id").alias("c_custkey")))
     found = [len(same_as_sql(spark, d, q, ["customer"])) for q in ("g01_shortest_path", "g02_path_bounds")]
     assert found == ([1, 2] if n == 400 else [0, 1])
+
+
+def test_no_row_holds_a_document(spark, tmp_path):
+    """An element a line, as JSON and as read back from blocks of 2,000 bytes."""
+    nodes = spark.range(300).select(F.concat(F.lit('n"}é'), F.col("id")).alias("id"), F.lit("F").alias("kind"), F.create_map(F.lit("k"), F.col("id").cast("string")).alias("properties"), (F.col("id") % 9 == 0).alias("entrypoint"))
+    edges = spark.range(300).select(F.concat(F.lit("n"), F.col("id")).alias("source_id"), F.concat(F.lit("m"), F.col("id") % 7).alias("target_id"), F.lit("T").alias("type"), F.when(F.col("id") % 2 == 0, 1).cast("int").alias("line_number"))
+    D.write_graph_json(Graph(nodes, edges.unionByName(edges)), f"{tmp_path}/doc", "c", 2)
+    text = next(tmp_path.glob("doc/part-*")).read_text()
+    doc = json.loads(text)
+    assert max(map(len, text.splitlines())) < 200
+    assert [doc[k] for k in ("schema_version", "commit_hash", "version")] == [3, "c", 2]
+    assert [n["id"] for n in doc["nodes"]] == sorted(f'n"}}é{i}' for i in range(300)) and doc["entrypoints"] == sorted(f'n"}}é{i}' for i in range(0, 300, 9))
+    assert [(e["target_id"], e.get("line_number") or 0, e["source_id"]) for e in doc["edges"]] == sorted((f"m{i % 7}", 1 - i % 2, f"n{i}") for i in range(300))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2000)
+    try:
+        g = D.read_graph_json(spark, f"{tmp_path}/doc")
+        assert {(r["id"], r["properties"]["k"], r["entrypoint"]) for r in g.nodes.collect()} == {(f'n"}}é{i}', str(i), i % 9 == 0) for i in range(300)}
+        assert g.edges.count() == 300 and D.read_header(spark, f"{tmp_path}/doc").first()["version"] == 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    D.write_graph_json(Graph(nodes.limit(0), edges.limit(0)), f"{tmp_path}/none")
+    assert json.loads(next(tmp_path.glob("none/part-*")).read_text()) == {"schema_version": 3, "commit_hash": "", "version": 1, "entrypoints": [], "nodes": [], "edges": []}
