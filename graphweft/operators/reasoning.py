@@ -123,18 +123,18 @@ LINE_LINK = r"\[([^\]]+)\]\(([^)#]+\.[a-zA-Z0-9]+)#L([0-9]+)(?:-L([0-9]+))?\)"
 
 
 def heal_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with the lines of links whose text is the name of a symbol in the linked file set to where that is now; others stay. Each distinct link is looked up once."""
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit(f"({LINE_LINK})"), F.lit(1)))
-    each = docs.select("doc_id", F.explode(found).alias("l"))
+    """docs (doc_id, text) with the lines of links whose text is the name of a symbol in the linked file set to where that is now; others stay.
+
+    Each distinct link is looked up once; a text is put together again from its links in order and what is between them, in one pass whatever their number.
+    """
+    marked = docs.withColumn("_h", F.sha2("text", 256))
+    each = marked.select("doc_id", "_h", "text").dropDuplicates(["doc_id", "_h"]).select("doc_id", "_h", F.posexplode(F.regexp_extract_all("text", F.lit(f"({LINE_LINK})"), F.lit(1))).alias("k", "l"))
     asked = each.select("l").distinct().select("l", F.regexp_extract("l", LINE_LINK, 1).alias("name"), F.regexp_extract("l", LINE_LINK, 2).alias("path"))
     where = nodes.where("line_start > 0").groupBy("name", "path").agg(F.min(F.struct("line_start", "line_end")).alias("at"))
-    now = asked.join(where, ["name", "path"]).select("l", F.concat(F.lit("["), "name", F.lit("]("), permalink(F.col("path"), F.col("at.line_start"), F.col("at.line_end")), F.lit(")")).alias("new")).where("l <> new")
-    swaps = each.join(now, "l").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("l", "new"))).alias("swaps"))
-    met = docs.join(swaps, "doc_id", "left")
-    # marked first, so that one link's new lines are never another's old ones
-    marked = F.aggregate(F.coalesce("swaps", F.array().cast("array<struct<l:string,new:string>>")), F.col("text"), lambda t, s: F.replace(t, s["l"], F.concat(F.lit("\x00"), F.sha2(s["l"], 256), F.lit("\x00"))))
-    done = F.aggregate(F.coalesce("swaps", F.array().cast("array<struct<l:string,new:string>>")), F.col("_m"), lambda t, s: F.replace(t, F.concat(F.lit("\x00"), F.sha2(s["l"], 256), F.lit("\x00")), s["new"]))
-    return met.withColumn("_m", marked).withColumn("text", done).drop("_m", "swaps")
+    now = asked.join(where, ["name", "path"]).select("l", F.concat(F.lit("["), "name", F.lit("]("), permalink(F.col("path"), F.col("at.line_start"), F.col("at.line_end")), F.lit(")")).alias("new"))
+    links = each.join(now, "l", "left").groupBy("doc_id", "_h").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("new", "l").alias("l")))).alias("links"))
+    whole = F.array_join(F.flatten(F.zip_with(F.split("text", LINE_LINK), "links", lambda rest, x: F.array(rest, F.coalesce(x["l"], F.lit(""))))), "")
+    return marked.join(links, ["doc_id", "_h"], "left").withColumn("text", F.when(F.col("links").isNull(), F.col("text")).otherwise(whole)).select(docs.columns)
 
 
 def with_hygiene(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,13 +1,14 @@
 """Queries against their own SQL on small tables made for what went wrong on large ones."""
 
 import json
+import time
 from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from graphweft.operators.reasoning import grouped_chunks
+from graphweft.operators.reasoning import grouped_chunks, heal_links
 from graphweft.plans import catalog
 from graphweft.sources import documents as D
 from graphweft.sources.tables import Graph
@@ -76,3 +77,15 @@ def test_no_row_holds_a_document(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     D.write_graph_json(Graph(nodes.limit(0), edges.limit(0)), f"{tmp_path}/none")
     assert json.loads(next(tmp_path.glob("none/part-*")).read_text()) == {"schema_version": 3, "commit_hash": "", "version": 1, "entrypoints": [], "nodes": [], "edges": []}
+
+
+def test_a_text_of_many_links_is_healed_in_one_pass(spark):
+    """Replacing link by link takes a time like the square of their number."""
+    nodes = spark.range(12_000).select(F.concat(F.lit("f"), F.col("id") % 11_000).alias("name"), F.lit("a/b.go").alias("path"), (F.col("id") + 5).cast("int").alias("line_start"), (F.col("id") + 5).cast("int").alias("line_end"))
+    links = [f"$1 [f{i}](a/b.go#L1) [gone{i}](a/b.go#L2)" for i in range(12_000)]
+    docs = [(1, "\n".join(links), "x"), (1, "[f0](a/b.go#L9)[f0](a/b.go#L9-L10)", "y"), (2, None, "z"), (3, "none", "z"), (3, "none", "z"), (4, "", "z")]
+    began = time.time()
+    got = sorted(heal_links(spark.createDataFrame(docs, "doc_id int, text string, more string"), nodes).collect(), key=str)
+    assert time.time() - began < 60
+    want = [f"$1 [f{i}](a/b.go#L{i + 5}) [gone{i}](a/b.go#L2)" if i < 11_000 else links[i] for i in range(12_000)]
+    assert got == sorted([(1, "\n".join(want), "x"), (1, "[f0](a/b.go#L5)[f0](a/b.go#L5)", "y"), *docs[2:]], key=str)
