@@ -29,6 +29,19 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, owned: DataFrame | None
     return met.select("call", F.coalesce("own", "lent", "world").alias("target"), sure.alias("confidence"))
 
 
+def dispatched(calls: DataFrame, methods: DataFrame) -> DataFrame:
+    """(caller, method), each once, of calls (caller, iface) and methods (iface, method) that share an interface.
+
+    As large as all pairs, which go straight to where they are written: repeats leave the two sides before they meet, and a pair that shares several interfaces is told at the least of them.
+    """
+    def sided(rows: DataFrame, key: str, of: str) -> DataFrame:
+        return rows.where("iface is not null").groupBy(key).agg(F.array_sort(F.collect_set("iface")).alias(of)).select(key, of, F.explode(of).alias("iface"))
+
+    met = sided(calls, "caller", "_c").join(sided(methods, "method", "_m"), "iface")
+    alone = (F.size("_c") == 1) | (F.size("_m") == 1)
+    return met.where(alone | (F.array_min(F.array_intersect("_c", "_m")) == F.col("iface"))).select("caller", "method")
+
+
 def dirty_scopes(paths: DataFrame, scopes: DataFrame) -> DataFrame:
     """(scope, path) of changed paths below documented folders: each path gives its prefixes, so the join is an equality."""
     parts = F.split("path", "/")

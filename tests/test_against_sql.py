@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from graphweft.operators.linking import dispatched
 from graphweft.operators.reasoning import grouped_chunks, heal_links
 from graphweft.plans import catalog
 from graphweft.sources import documents as D
@@ -89,3 +90,13 @@ def test_a_text_of_many_links_is_healed_in_one_pass(spark):
     assert time.time() - began < 60
     want = [f"$1 [f{i}](a/b.go#L{i + 5}) [gone{i}](a/b.go#L2)" if i < 11_000 else links[i] for i in range(12_000)]
     assert got == sorted([(1, "\n".join(want), "x"), (1, "[f0](a/b.go#L5)[f0](a/b.go#L5)", "y"), *docs[2:]], key=str)
+
+
+def test_pairs_of_callers_and_methods_are_not_shuffled(spark):
+    calls = [(1, 1), (1, 1), (1, 2), (2, 2), (3, None), (4, 9), (None, 1)]
+    methods = [(1, 10), (2, 10), (2, 11), (1, 11), (3, 12), (None, 13), (2, None), (1, 14), (1, 14)]
+    met = dispatched(spark.createDataFrame(calls, "caller int, iface int"), spark.createDataFrame(methods, "iface int, method int"))
+    got = Counter(tuple(r) for r in met.collect())
+    assert got == Counter({(c, m) for c, i in calls for j, m in methods if i is not None and i == j})
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
