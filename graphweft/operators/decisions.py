@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,12 +58,37 @@ def _kinds(asked: bool) -> Column:
     return F.when(own == "", F.array(F.lit("*"))).otherwise(F.array(F.lit("="), F.concat(F.lit("="), own))) if asked else F.array(F.lit("*"), F.concat(F.lit("="), own))
 
 
-def superseded_candidates(records: DataFrame, least: int = 2, most: int = 8) -> DataFrame:
+def _sets(rows: DataFrame, k: int) -> DataFrame:
+    """rows with a row for each set of k of their sorted words, joined by blanks; a task holds 100,000 sets or so."""
+    columns = [c for c in rows.columns if c != "words"]
+
+    def batches(it):
+        import pyarrow as pa
+
+        def made(b, at, sets):
+            return pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(at, pa.int64())) for c in columns], pa.array(sets, pa.string())], [*columns, "set"])
+
+        for b in it:
+            at, sets = [], []
+            for i, words in enumerate(b.column("words").to_pylist()):
+                for s in combinations(words, k):
+                    at.append(i)
+                    sets.append(" ".join(s))
+                if len(sets) >= 100_000:
+                    yield made(b, at, sets)
+                    at, sets = [], []
+            if sets:
+                yield made(b, at, sets)
+
+    return rows.where(F.size("words") >= k).mapInArrow(batches, ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns], "set string"]))
+
+
+def superseded_candidates(records: DataFrame, least: int = 2, most: int = 16) -> DataFrame:
     """(path, candidate, overlap): for each record (path, title, type, status), the other accepted record whose title shares most words with its own, `least` or more; ties go to the least path.
 
     Types must be equal in any case where both have one; the status counts by its first word. Records without such a candidate have no row; a null path is none, of rows with one path the least stays.
-    Equal titles are one class, of which two paths are enough. Titles of up to `most` words meet on sets of their words, each of which keeps two paths, so what many titles share makes no pairs. Where either
-    title is longer, they meet on a prefix: all words but the `least` - 1 most frequent, of which two sets that share `least` have one in common.
+    Equal titles are one class, of which two paths are enough. Titles of up to `most` words meet on sets of their words, the largest sets first; each set keeps two paths and a class that has two goes, so what many
+    titles share makes no pairs and rows follow the number of titles. Where either title is longer, they meet on a prefix: all words but the `least` - 1 most frequent, of which two sets that share `least` have one in common.
     """
     whole = records.where("path is not null").groupBy("path").agg(F.min(F.struct(F.coalesce("title", F.lit("")).alias("title"), F.lower(F.btrim(F.coalesce("type", F.lit("")))).alias("type"), F.coalesce("status", F.lit("")).alias("status"))).alias("r"))
     base = whole.select("path", title_words(F.col("r.title")).alias("words"), F.col("r.type").alias("type"), (F.regexp_extract(F.lower("r.status"), "[a-z]+", 0) == "accepted").alias("accepted"))
@@ -71,27 +98,36 @@ def superseded_candidates(records: DataFrame, least: int = 2, most: int = 8) ->
         return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_k <= 2").drop("_k")
 
     old = settled(two(base.where("accepted").select("path", "words", "type"), ["words", "type"], "path"), "accepted")
-    new = settled(base.select("words", "type").distinct(), "asking")
+    new = settled(base.select("words", "type").distinct().withColumn("id", F.monotonically_increasing_id()), "asking")
 
-    subsets = F.filter(F.aggregate("words", F.array(F.array().cast("array<string>")), lambda acc, t: F.concat(acc, F.transform(acc, lambda a: F.array_append(a, t)))), lambda a: F.size(a) >= least)
     short = F.size("words") <= most
-    key = lambda rows, asked: rows.where(short).withColumn("set", F.explode(subsets)).withColumn("kind", F.explode(_kinds(asked)))
-    index = two(key(old, False).select("set", "kind", "path"), ["set", "kind"], "path")
-    met = key(new, True).join(index, ["set", "kind"]).select("words", "type", "path", F.size("set").alias("overlap"))
-
-    often = base.select("words").distinct().select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("often"))
-
-    def prefixes(rows: DataFrame, keep: list[str]) -> DataFrame:
-        ranked = rows.select(*keep, F.explode("words").alias("word")).join(often, "word").groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("o"))
-        return ranked.select(*keep, F.explode(F.slice("o", F.lit(1), F.size("o") - (least - 1))).alias("o")).select(*keep, F.col("o.word").alias("word"))
-
-    asks = prefixes(new, ["words", "type"])
-    have = prefixes(old, ["words", "type", "path"]).select("word", F.col("words").alias("w"), F.col("type").alias("t"), "path")
-    longer = (F.size("words") > most) | (F.size("w") > most)
-    pairs = asks.join(have, "word").where(longer & ((F.col("type") == "") | (F.col("t") == "") | (F.col("t") == F.col("type")))).select("words", "type", "w", "path").distinct()
-    far = pairs.select("words", "type", "path", F.size(F.array_intersect("words", "w")).alias("overlap")).where(F.col("overlap") >= least)
-
-    best = met.unionByName(far).groupBy("words", "type", "path").agg(F.max("overlap").alias("overlap"))
+    kinds = lambda sets, asked: sets.withColumn("kind", F.explode(_kinds(asked))).drop("type")
+    top = new.where(short).agg(F.max(F.size("words"))).first()[0] or 0
+    open_, met = new.where(short), settled(new.limit(0).select("id", F.lit("").alias("path"), F.lit(0).alias("overlap")), "met")
+    for k in range(top, least - 1, -1):
+        asks = settled(kinds(_sets(open_.select("id", "type", "words"), k), True), "asks")
+        if asks.isEmpty():
+            continue
+        index = kinds(_sets(old.where(short), k), False).join(asks.select("set", "kind").distinct(), ["set", "kind"], "left_semi")
+        fresh = asks.join(two(index, ["set", "kind"], "path"), ["set", "kind"]).select("id", "path").distinct().join(met.select("id", "path"), ["id", "path"], "left_anti")
+        met = settled(met.unionByName(two(fresh, ["id"], "path").withColumn("overlap", F.lit(k))), "met")
+        open_ = settled(open_.join(met.groupBy("id").count().where("count >= 2"), "id", "left_anti"), "open")
+    met = met.join(new, "id").select("words", "type", "path", "overlap")
+
+    if not base.where(~short).isEmpty():
+        often = base.select("words").distinct().select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("often"))
+
+        def prefixes(rows: DataFrame, keep: list[str]) -> DataFrame:
+            ranked = rows.select(*keep, F.explode("words").alias("word")).join(often, "word").groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("o"))
+            return ranked.select(*keep, F.explode(F.slice("o", F.lit(1), F.size("o") - (least - 1))).alias("o")).select(*keep, F.col("o.word").alias("word"))
+
+        asks = prefixes(new, ["words", "type"])
+        have = prefixes(old, ["words", "type", "path"]).select("word", F.col("words").alias("w"), F.col("type").alias("t"), "path")
+        both = asks.where(~short).join(have, "word").unionByName(asks.where(short).join(have.where(F.size("w") > most), "word"))
+        pairs = both.where((F.col("type") == "") | (F.col("t") == "") | (F.col("t") == F.col("type"))).select("words", "type", "w", "path").distinct()
+        met = met.unionByName(pairs.select("words", "type", "path", F.size(F.array_intersect("words", "w")).alias("overlap")).where(F.col("overlap") >= least))
+
+    best = met.groupBy("words", "type", "path").agg(F.max("overlap").alias("overlap"))
     best = two(best, ["words", "type"], F.desc("overlap"), "path").select("words", "type", F.col("path").alias("candidate"), "overlap")
     told = base.select("path", "words", "type").join(best, ["words", "type"]).where("path <> candidate").groupBy("path").agg(F.min(F.struct((-F.col("overlap")).alias("o"), F.col("candidate").alias("c"))).alias("x"))
     return told.select("path", F.col("x.c").alias("candidate"), (-F.col("x.o")).cast("long").alias("overlap"))

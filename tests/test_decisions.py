@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from graphweft.operators import decisions as Q
 
@@ -47,3 +48,13 @@ def test_events_take_the_first_kind_in_the_whole_log(spark):
     kinds = sorted((r["id"], r["type"]) for r in got.collect())
     assert kinds == [(1, "COMPONENT_SPLIT"), (5, "NEW_DATABASE_LAYER"), (6, "CYCLE_RESOLVED"), (7, "CYCLE_INTRODUCED"), (8, "LAYER_VIOLATION"), (9, "LAYER_VIOLATION"), (10, "NEW_SUBSYSTEM"), (11, "INTERFACE_CHANGED"), (12, "AUTH_ARCHITECTURE"), (12, "AUTH_ARCHITECTURE")]
     assert Q.decision_events(got.drop("type", "context").limit(0)).count() == 0
+
+
+def test_long_titles_that_share_words_make_no_pairs(spark):
+    """4,000 titles of twelve words, nine of them common to all, ten to each pair: as pairs on a prefix these would be 128 million rows."""
+    common = " ".join(f"common{c}" for c in "abcdefghi")
+    made = [(f"docs/{i:04d}.md", f"{common} both{i // 2} own{i:04d} self{i:04d}", "", "Accepted") for i in range(4000)]
+    began = time.time()
+    got = {(r["path"], r["candidate"], r["overlap"]) for r in Q.superseded_candidates(spark.createDataFrame(made, R)).collect()}
+    assert time.time() - began < 100
+    assert got == {(f"docs/{i:04d}.md", f"docs/{i ^ 1:04d}.md", 10 if len(f"both{i // 2}") >= 4 else 9) for i in range(4000)}
