@@ -1,6 +1,7 @@
 import pytest
 
 from graphweft.operators import graphs as G
+from graphweft.operators import structure as T
 
 
 @pytest.mark.parametrize("search", ["strong", "bfs"])
@@ -21,3 +22,16 @@ def test_rounds_send_no_table_through_the_driver(spark, monkeypatch, search):
     want = {"strong": [("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("x", "x")], "bfs": [("a", 1), ("b", 2), ("c", 3), ("d", 4), ("x", 0)]}
     assert sorted(tuple(r) for r in got.collect()) == want[search]
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_lcom4_merges_small_classes_in_one_pass(spark, monkeypatch):
+    """Classes within the bound take no rounds; larger ones do, with the same groups."""
+    calls_ = []
+    monkeypatch.setattr(T, "weak_components", lambda *a: calls_.append(1) or G.weak_components(*a))
+    classes = spark.createDataFrame([("A", "m1"), ("A", "m2"), ("A", "m3"), ("A", "m5"), ("B", "m4"), ("B", "m6")], "class string, method string")
+    uses = spark.createDataFrame([("m1", "f"), ("m2", "g"), ("m5", "f"), ("m5", "g"), ("m5", "g"), ("m4", "f"), ("m6", "h")], "method string, field string")
+    calls = spark.createDataFrame([("m3", "m4"), ("m6", "m4")], "source_id string, target_id string")
+    assert sorted(tuple(r) for r in T.lcom4(classes, uses, calls).collect()) == [("A", 2), ("B", 1)]
+    assert not calls_
+    assert sorted(tuple(r) for r in T.lcom4(classes, uses, calls, 4).collect()) == [("A", 2), ("B", 1)]
+    assert calls_
