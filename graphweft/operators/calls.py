@@ -61,8 +61,13 @@ def resolve(calls: DataFrame, symbols: DataFrame, imports: DataFrame, types: Dat
     s = settled(symbols.select("id", "file", F.coalesce("receiver_type", F.lit("")).alias("of"), F.col("name").alias("method")), "symbols")
     least = lambda x, *by: x.groupBy(*by).agg(F.min("id").alias("target"))
     found = lambda x, tier: x.select("file", "receiver", "method", F.lit(tier).alias("tier"), "target")
-    owned = keys.join(imports.select("file", "imported").dropna().distinct(), "file").join(least(s, "file", "of", "method").select(F.col("file").alias("imported"), F.col("of").alias("owner"), "method", "target"), ["imported", "method"])
-    owned = owned.where((F.col("receiver") == "") | (F.col("owner") == F.col("of")) | (F.col("receiver") == package_name(F.col("imported"))))
+    files = imports.select("file", "imported").dropna().distinct().withColumn("package", package_name(F.col("imported")))
+    tasks = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    offered = files.repartition(tasks, "imported").join(least(s, "file", "of", "method").select(F.col("file").alias("imported"), "of", "method", "target").hint("merge"), "imported")  # few rows make many here, so they are dealt out
+    offered = settled(offered.groupBy("file", "of", "method", "package").agg(F.min("target").alias("id")), "offered")  # what a file's imports offer, by owner and package: calls meet one row of it each, not one for each import
+    owned = keys.where("receiver = ''").join(least(offered, "file", "method"), ["file", "method"]).select("file", "receiver", "method", "target")
+    owned = owned.unionByName(keys.join(least(offered, "file", "of", "method"), ["file", "of", "method"]).select("file", "receiver", "method", "target"))
+    owned = owned.unionByName(keys.join(least(offered, "file", F.col("package").alias("receiver"), "method"), ["file", "receiver", "method"]).select("file", "receiver", "method", "target"))
     by_name = keys.where("receiver <> ''").join(least(s, F.col("of").alias("receiver"), "method"), ["receiver", "method"])
     bare = keys.where("receiver = ''").join(least(s, "method"), "method")
     packages = externals.select("file", "import", F.explode(F.array_compact(F.array(package_name(F.col("import")), F.col("alias")))).alias("qualifier")).distinct()

@@ -138,6 +138,21 @@ def test_points_to_and_escapes(spark, seed):
     assert W.points_to(none, none, none, none).count() == 0
 
 
+def test_calls_do_not_meet_each_import(spark):
+    """What 300 imports of a file offer is made into a row for each owner, package and method before 400 calls meet it."""
+    f = spark.createDataFrame
+    symbols = f([(f"s{i:03d}{k}", f"lib/p{i}/v2", k, "run") for i in range(300) for k in ("", "T")], "id string, file string, receiver_type string, name string")
+    calls = spark.range(400).selectExpr("cast(id as int) as call", "'a.go' as file", "case when id = 0 then '' when id = 1 then 'p7' when id = 2 then 'T' else 'x' || id end as receiver", "'run' as method")
+    imports = spark.range(300).selectExpr("'a.go' as file", "concat('lib/p', id, '/v2') as imported")
+    types = spark.range(400).selectExpr("'a.go' as file", "'x' || id as var", "'T' as type")
+    none = lambda s: f([], s)
+    df = C.resolve(calls, symbols, imports, types, none("file string, import string, alias string"), none("id string, owner string, name string"), none("name string"))
+    got = {r["call"]: (r["target"], r["tier"]) for r in df.collect()}
+    assert (got[0], got[1], got[2], got[399], len(got)) == (("s000", 1), ("s007", 1), ("s000T", 1), ("s000T", 1), 400)
+    # before, the keys of calls met the imports themselves
+    assert "imported" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_calls_take_the_first_tier(spark):
     f = spark.createDataFrame
     symbols = f([("b.go::T::run", "b.go", "T", "run"), ("a.go::run", "a.go", None, "run"), ("c.go::run", "c.go", "", "run"), ("c.go::U::stop", "c.go", "U", "stop"), ("d.go::Box::put", "d.go", "Box", "put"), ("lib/z.go::Z::zip", "lib/z.go", "Z", "zip"), (None, "q.go", None, "run")], "id string, file string, receiver_type string, name string")
