@@ -35,3 +35,11 @@ def test_lcom4_merges_small_classes_in_one_pass(spark, monkeypatch):
     assert not calls_
     assert sorted(tuple(r) for r in T.lcom4(classes, uses, calls, 4).collect()) == [("A", 2), ("B", 1)]
     assert calls_
+
+
+def test_simple_paths_make_their_arcs_once(spark, tmp_path):
+    """Nothing that is handed on, and no round, goes back to what the arcs are made of."""
+    spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "a")], "source_id string, target_id string").write.parquet(f"{tmp_path}/edges")
+    got = G.simple_paths(spark.read.parquet(f"{tmp_path}/edges"), "a", "c", 3)
+    assert not [x for x in got.inputFiles() if str(tmp_path) in x]
+    assert sorted(map(tuple, got.collect())) == [("a>b>c", 2), ("a>c", 1)]
