@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +42,9 @@ def bare_code(text: Column) -> Column:
 
 
 def primitives_of(text: Column, name: Column) -> Column:
-    """The primitives that a text (less comments and strings) or name shows, in their order."""
+    """The primitives that a text (less comments and strings) or name shows, in their order. Plain searches for one word each: a pattern of all tries each at every place."""
     low = F.lower(F.concat_ws(" ", bare_code(text), name))
-    return F.array_compact(F.array(*[F.when(low.rlike("|".join(map(re.escape, words))), p) for p, words in PRIMITIVES.items()]))
+    return F.get(F.transform(F.array(low), lambda t: F.array_compact(F.array(*[F.when(_any(t, words), p) for p, words in PRIMITIVES.items()]))), 0)
 
 
 def annotate(df: DataFrame, primitives: str = "primitives", name: str = "name", parts: str | None = None, text: str = "text") -> DataFrame:

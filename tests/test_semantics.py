@@ -151,3 +151,11 @@ def test_secrets(spark):
     clean = [r["text"] for r in X.sanitize(df).orderBy("k").collect()]
     assert clean[0] == "AWS_SECRET_ACCESS_KEY=[REDACTED:api_key_assignment]" and clean[1] == "Authorization: [REDACTED:bearer_header]" and clean[4] == "postgres://u:[REDACTED]@h" and clean[6] == "[REDACTED:private_key]"
     assert [r[0] for r in df.orderBy("k").select(X.has_secret(F.col("text"))).collect()] == [True, True, True, False, True, False, True]
+
+
+def test_words_of_primitives_are_searched_plainly(spark):
+    from graphweft.operators import annotate as A
+
+    df = spark.createDataFrame([("x = db.query( // kafka\n", "f"), ("numpy", "kafka_in"), ("", "f"), (None, None)], "text string, name string").select(A.primitives_of(F.col("text"), F.col("name")).alias("p"))
+    assert [r["p"] for r in df.collect()] == [["DATABASE_SQL"], ["MESSAGE_QUEUE", "COMPUTE_MATH"], [], []]
+    assert "RLIKE" not in df._jdf.queryExecution().optimizedPlan().toString().upper()
