@@ -43,3 +43,20 @@ def test_simple_paths_make_their_arcs_once(spark, tmp_path):
     got = G.simple_paths(spark.read.parquet(f"{tmp_path}/edges"), "a", "c", 3)
     assert not [x for x in got.inputFiles() if str(tmp_path) in x]
     assert sorted(map(tuple, got.collect())) == [("a>b>c", 2), ("a>c", 1)]
+
+
+def test_betweenness_keeps_a_row_for_each_node_of_a_level(spark, monkeypatch):
+    """All sources that meet a node on a level share its row; ends of many arcs, summed in parts, give the same numbers."""
+    sizes = []
+
+    def settled(df, label="step", keep=G.settled):
+        out = keep(df, label)
+        sizes.extend([out.count()] if label == "paths" else [])
+        return out
+
+    monkeypatch.setattr(G, "settled", settled)
+    n = spark.createDataFrame([(f"n{i}",) for i in range(8)], "id string")
+    e = spark.createDataFrame([(f"n{i}", f"n{j % 8}") for i in range(8) for j in (i + 1, i + 2, 0)], "source_id string, target_id string")
+    plain = dict(map(tuple, G.betweenness(n, e).collect()))
+    assert max(sizes) <= 8 and sum(plain.values()) > 0
+    assert dict(map(tuple, G.betweenness(n, e, hub=2).collect())) == pytest.approx(plain, abs=1e-6)
