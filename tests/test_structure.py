@@ -157,3 +157,16 @@ def test_cycle_paths_against_plain(spark):
     assert len(want) > 2
     assert {r["component"]: (r["length"], r["path"]) for r in G.cycle_paths(*frame).collect()} == want
     assert G.cycle_paths(frame[0], frame[1].limit(0)).count() == 0
+
+
+def test_cycle_paths_within_groups_take_no_rounds(spark, monkeypatch):
+    """Small groups are searched in one pass, large ones by rounds, with the same paths."""
+    rng = random.Random(11)
+    pairs = [(g, f"v{g}{rng.randrange(7)}", f"v{g}{rng.randrange(7)}") for g in range(6) for _ in range(12)] + [(7, "w0", "w1"), (7, "w1", "w0"), (7, "w0", "w1")]
+    arcs = spark.createDataFrame(pairs, "g int, source_id string, target_id string")
+    nodes = spark.createDataFrame(sorted({(x,) for p in pairs for x in p[1:]}), "id string")
+    want, rounds = sorted(map(tuple, G.cycle_paths(nodes, arcs.drop("g")).collect())), []
+    assert len(want) > 3
+    monkeypatch.setattr(G, "cycle_paths", lambda *a, run=G.cycle_paths: rounds.append(1) or run(*a))
+    assert sorted(map(tuple, G.cycle_paths_within(arcs).collect())) == want and not rounds
+    assert sorted(map(tuple, G.cycle_paths_within(arcs, 5).collect())) == want and rounds
