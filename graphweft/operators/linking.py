@@ -104,3 +104,16 @@ def vocabulary_edges(edges: DataFrame, names: dict[str, str], entrypoints: DataF
     once = edges.withColumn("pred", pred).where("pred is not null").groupBy("source_id", "target_id", "pred").agg(F.max("line_number").alias("line"))
     own = entrypoints.select(F.col("id").alias("source_id"), F.lit(True).alias("from_entry")).distinct()
     return once.join(own, "source_id", "left").select("source_id", "target_id", "pred", "line", F.coalesce("from_entry", F.lit(False)).alias("from_entry"))
+
+
+def renamed(edges: DataFrame, names: DataFrame, rows: int = 500_000) -> DataFrame:
+    """(source_id, target_id, type): the distinct edges with new names (id, new) at both ends, without those that become loops.
+
+    Edges are dealt over a task for each `rows` of them before they meet names and each other, so that no task holds more as the graph grows.
+    """
+    tasks = -(-edges.count() // rows) or 1
+    e = edges.select("source_id", "target_id", "type")
+    for end in ("source_id", "target_id"):
+        new = names.select(F.col("id").alias(end), "new").repartition(tasks, end).hint("merge")
+        e = e.repartition(tasks, end).join(new, end, "left").withColumn(end, F.coalesce("new", end)).drop("new")
+    return e.where("source_id <> target_id").repartition(tasks, "source_id", "target_id", "type").distinct().select("source_id", "target_id", "type")

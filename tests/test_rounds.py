@@ -1,6 +1,7 @@
 import pytest
 
 from graphweft.operators import graphs as G
+from graphweft.operators import linking as L
 from graphweft.operators import structure as T
 
 
@@ -60,3 +61,13 @@ def test_betweenness_keeps_a_row_for_each_node_of_a_level(spark, monkeypatch):
     plain = dict(map(tuple, G.betweenness(n, e).collect()))
     assert max(sizes) <= 8 and sum(plain.values()) > 0
     assert dict(map(tuple, G.betweenness(n, e, hub=2).collect())) == pytest.approx(plain, abs=1e-6)
+
+
+def test_renamed_edges_are_dealt_over_more_tasks_as_they_grow(spark):
+    """A task for each so many edges, whatever number of tasks reads them, and no table of names in each."""
+    e = spark.createDataFrame([(f"a{i}", f"b{i % 7}", "CALLS") for i in range(40)] * 2 + [("x", "y", "CALLS")], "source_id string, target_id string, type string").coalesce(1)
+    names = spark.createDataFrame([("b1", "n:b"), ("b2", "n:b"), ("a1", "n:a"), ("x", "n:x"), ("y", "n:x")], "id string, new string")
+    got = L.renamed(e, names, 10)
+    assert got.rdd.getNumPartitions() == 9 and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    new = dict(map(tuple, names.collect()))
+    assert sorted(map(tuple, got.collect())) == sorted({(new.get(f"a{i}", f"a{i}"), new.get(f"b{i % 7}", f"b{i % 7}"), "CALLS") for i in range(40)})
