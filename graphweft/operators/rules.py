@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphweft.functions.paths import directory, has_folder, is_excluded, is_exported
-from graphweft.operators.graphs import bfs, strong_components, weak_components
+from graphweft.operators.graphs import bfs, dealt, strong_components, weak_components
 from graphweft.operators.relational import glob_regex
 from graphweft.operators.vocabulary import CODE_UNITS, DEPENDENCY, DOMAIN_WORDS, EVENTS, INFRA_WORDS, OWN_RESOURCES, STRUCTURAL
 from graphweft.runtime import settled
@@ -88,12 +88,12 @@ def reachable_facts(nodes: DataFrame, edges: DataFrame, hops: int = 5) -> DataFr
     for f, types in FLAG_EDGES.items():
         flag = flag.bitwiseOR(F.when(F.col("type").isin(types), BIT[f]).otherwise(0).cast("long"))
     of_edges = edges.groupBy(F.col("source_id").alias("id")).agg(F.bit_or(flag).alias("e"))
-    base = settled(nodes.select("id", own.alias("o")).join(of_edges, "id", "left").select("id", F.col("o").bitwiseOR(F.coalesce("e", F.lit(0).cast("long"))).alias("facts")), "facts")
+    base = settled(nodes.select("id", own.alias("o")).join(dealt(of_edges), "id", "left").select("id", F.col("o").bitwiseOR(F.coalesce("e", F.lit(0).cast("long"))).alias("facts")), "facts")
     steps = settled(edges.where(F.col("type").isin(STEPS)).select("source_id", "target_id").distinct(), "steps")
     now = base
     for _ in range(hops):
-        far = steps.join(now.select(F.col("id").alias("target_id"), "facts"), "target_id").groupBy(F.col("source_id").alias("id")).agg(F.bit_or("facts").alias("f"))
-        now = base.join(far, "id", "left").select("id", F.col("facts").bitwiseOR(F.coalesce("f", F.lit(0).cast("long"))).alias("facts"))
+        far = steps.join(dealt(now.select(F.col("id").alias("target_id"), "facts")), "target_id").groupBy(F.col("source_id").alias("id")).agg(F.bit_or("facts").alias("f"))
+        now = base.join(dealt(far), "id", "left").select("id", F.col("facts").bitwiseOR(F.coalesce("f", F.lit(0).cast("long"))).alias("facts"))
     return now
 
 
@@ -112,7 +112,7 @@ def apply_node_rules(nodes: DataFrame, edges: DataFrame, rules: list[NodeRule] =
         hit = hit | near(r.facts) if r.facts else hit
         return hit & near(r.needs) if r.needs else hit
 
-    own = nodes.where(F.col("kind").isin(*kinds)).join(reachable_facts(nodes, edges) if facts is None else facts, "id")
+    own = nodes.where(F.col("kind").isin(*kinds)).join(dealt(reachable_facts(nodes, edges) if facts is None else facts), "id")
     if not on:
         return own.select("id", F.lit("").alias("rule"), F.lit("").alias("message")).limit(0)
     fired = F.array_compact(F.array(*[F.when(fires(r), F.struct(F.lit(r.id).alias("rule"), F.format_string(f"Component %s {r.text} [{r.tier}]", "name").alias("message"))) for r in on]))

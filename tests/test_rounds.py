@@ -1,8 +1,10 @@
 import pytest
 
 from graphweft.operators import graphs as G
+from graphweft.operators import incremental as I
 from graphweft.operators import linking as L
 from graphweft.operators import structure as T
+from graphweft.sources.tables import Graph
 
 
 @pytest.mark.parametrize("search", ["strong", "bfs"])
@@ -71,3 +73,21 @@ def test_renamed_edges_are_dealt_over_more_tasks_as_they_grow(spark):
     assert got.rdd.getNumPartitions() == 9 and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     new = dict(map(tuple, names.collect()))
     assert sorted(map(tuple, got.collect())) == sorted({(new.get(f"a{i}", f"a{i}"), new.get(f"b{i % 7}", f"b{i % 7}"), "CALLS") for i in range(40)})
+
+
+def test_rules_under_changes_send_no_table_through_the_driver(spark, monkeypatch):
+    """Neither the inference nor what a change leaves of it joins by a broadcast beyond FEW rows."""
+    plans = []
+
+    def settled(df, label="step", keep=I.settled):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, label)
+
+    monkeypatch.setattr(G, "FEW", -1)
+    monkeypatch.setattr(I, "settled", settled)
+    n = spark.createDataFrame([(i, "FUNCTION", f"auth{i}", "NETWORK_IO" if i == "c" else "") for i in "abc"], "id string, kind string, name string, primitive string")
+    e = spark.createDataFrame([("a", "b", "CALLS"), ("b", "c", "CALLS")], "source_id string, target_id string, type string")
+    now = I.maintain(I.infer(Graph(n, e), 2), I.Delta(n.where("id = 'c'").select("id"), n.limit(0), e.limit(0), e.limit(0)))
+    plans.append(now.rules._jdf.queryExecution().executedPlan().toString())
+    assert {r["id"] for r in now.rules.collect()} <= {"a", "b"}
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
