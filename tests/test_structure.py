@@ -170,3 +170,15 @@ def test_cycle_paths_within_groups_take_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(G, "cycle_paths", lambda *a, run=G.cycle_paths: rounds.append(1) or run(*a))
     assert sorted(map(tuple, G.cycle_paths_within(arcs).collect())) == want and not rounds
     assert sorted(map(tuple, G.cycle_paths_within(arcs, 5).collect())) == want and rounds
+
+
+@pytest.mark.parametrize("rounds", [1, 10])
+def test_labels_by_rounds_equal_one_walk_in_order(spark, rounds):
+    """A component of any size gets its labels, those of a walk over its nodes in the order of their ids."""
+    rng = random.Random(3)
+    pairs = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(75)] + [("x1", "x2"), ("x2", "x3"), ("x2", "x3"), ("n1", "n2"), ("n1", "n2")]
+    nodes = spark.createDataFrame([(i,) for i in sorted({x for p in pairs for x in p} | {"lone"})], "id string")
+    edges = spark.createDataFrame(pairs, "source_id string, target_id string")
+    want = dict(map(tuple, G.label_propagation(nodes, edges, rounds).collect()))
+    assert dict(map(tuple, G.label_propagation(nodes, edges, rounds, small=10).collect())) == want
+    assert len(set(want.values())) > 3 and want["lone"] == "lone"
