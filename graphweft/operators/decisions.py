@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,29 +60,43 @@ def _kinds(asked: bool) -> Column:
     return F.when(own == "", F.array(F.lit("*"))).otherwise(F.array(F.lit("="), F.concat(F.lit("="), own))) if asked else F.array(F.lit("*"), F.concat(F.lit("="), own))
 
 
-def _sets(rows: DataFrame, k: int) -> DataFrame:
-    """rows with a row for each set of k of their sorted words, joined by blanks; a task holds 100,000 sets or so."""
-    columns = [c for c in rows.columns if c != "words"]
+#: Sets of words that a task makes, and sets asked for up to which they are broadcast, so that the index leaves out others before it is dealt (24 bytes each).
+SETS, FEW_SETS = 4_000_000, 100_000
 
-    def batches(it):
-        import pyarrow as pa
 
-        def made(b, at, sets):
-            return pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(at, pa.int64())) for c in columns], pa.array(sets, pa.string())], [*columns, "set"])
+def _sets(rows: DataFrame, k: int, tasks: int) -> DataFrame:
+    """(id, a, b): for each set of k of a row's words (id, words, kinds), under each of its kinds, 128 bits that tell it: two sums of hashes of the words and the kind. A batch holds 200,000 sets or so."""
+
+    def batches(it):
+        from hashlib import blake2b
 
-        for b in it:
-            at, sets = [], []
-            for i, words in enumerate(b.column("words").to_pylist()):
-                for s in combinations(words, k):
-                    at.append(i)
-                    sets.append(" ".join(s))
-                if len(sets) >= 100_000:
-                    yield made(b, at, sets)
-                    at, sets = [], []
-            if sets:
-                yield made(b, at, sets)
+        import numpy as np
+        import pyarrow as pa
 
-    return rows.where(F.size("words") >= k).mapInArrow(batches, ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns], "set string"]))
+        def hashed(column):
+            values = column.flatten().dictionary_encode()
+            of = np.frombuffer(b"".join(blake2b(t.encode(), digest_size=16).digest() for t in values.dictionary.to_pylist()), np.uint64).reshape(-1, 2)
+            n = column.value_lengths().to_numpy().astype(np.int64)
+            return of[values.indices.to_numpy()], n, np.cumsum(n) - n
+
+        for batch in it:
+            ids = batch.column("id").to_numpy()
+            (words, n, at), (kinds, n_kinds, kind_at) = hashed(batch.column("words")), hashed(batch.column("kinds"))
+            for size in np.unique(n[n >= k]):
+                picks = np.array(list(combinations(range(size), k)))
+                rows_of, step = np.flatnonzero(n == size), max(1, 200_000 // len(picks))
+                for i in range(0, len(rows_of), step):
+                    part = rows_of[i : i + step]
+                    own = words[at[part][:, None] + np.arange(size)]
+                    sums = np.zeros((len(part), len(picks), 2), np.uint64)
+                    for j in range(k):
+                        sums += own[:, picks[:, j]]
+                    for j in range(n_kinds[part].max()):
+                        has = n_kinds[part] > j
+                        keys = (sums[has] + kinds[kind_at[part[has]] + j][:, None]).reshape(-1, 2).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[part[has]], len(picks))), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy())], ["id", "a", "b"])
+
+    return rows.where(F.size("words") >= k).select("id", "words", "kinds").repartition(tasks, "id").mapInArrow(batches, "id long, a long, b long")
 
 
 def superseded_candidates(records: DataFrame, least: int = 2, most: int = 16) -> DataFrame:
@@ -88,46 +104,64 @@ def superseded_candidates(records: DataFrame, least: int = 2, most: int = 16) ->
 
     Types must be equal in any case where both have one; the status counts by its first word. Records without such a candidate have no row; a null path is none, of rows with one path the least stays.
     Equal titles are one class, of which two paths are enough. Titles of up to `most` words meet on sets of their words, the largest sets first; each set keeps two paths and a class that has two goes, so what many
-    titles share makes no pairs and rows follow the number of titles. Where either title is longer, they meet on a prefix: all words but the `least` - 1 most frequent, of which two sets that share `least` have one in common.
+    titles share makes no pairs and rows follow the number of titles. Sets meet by 128 bits; what is told is held against the words, and ends the job if two sets should ever have the same. Where either title is
+    longer, they meet on a prefix: all words but the `least` - 1 most frequent, of which two sets that share `least` have one in common. No table passes the driver, but at most FEW_SETS keys for a size of sets.
     """
     whole = records.where("path is not null").groupBy("path").agg(F.min(F.struct(F.coalesce("title", F.lit("")).alias("title"), F.lower(F.btrim(F.coalesce("type", F.lit("")))).alias("type"), F.coalesce("status", F.lit("")).alias("status"))).alias("r"))
     base = whole.select("path", title_words(F.col("r.title")).alias("words"), F.col("r.type").alias("type"), (F.regexp_extract(F.lower("r.status"), "[a-z]+", 0) == "accepted").alias("accepted"))
     base = settled(base.where(F.size("words") >= least), "records")
 
-    def two(rows: DataFrame, by: list[str], *order) -> DataFrame:
-        return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_k <= 2").drop("_k")
+    def kept(rows: DataFrame, by: list[str], *order, most: int = 2) -> DataFrame:
+        return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= most).drop("_k")
+
+    # Numbers of accepted records follow their paths.
+    old = settled(kept(base.where("accepted").select("path", "words", "type"), ["words", "type"], "path").orderBy("path").withColumn("id", F.monotonically_increasing_id()).withColumn("kinds", _kinds(False)), "accepted")
+    new = settled(base.select("words", "type").distinct().withColumn("id", F.monotonically_increasing_id()).withColumn("kinds", _kinds(True)), "asking")
 
-    old = settled(two(base.where("accepted").select("path", "words", "type"), ["words", "type"], "path"), "accepted")
-    new = settled(base.select("words", "type").distinct().withColumn("id", F.monotonically_increasing_id()), "asking")
+    def of_size(rows: DataFrame) -> dict[int, int]:
+        """By number of words, up to `most`: rows, one for each kind."""
+        return dict(rows.where(short).groupBy(F.size("words").alias("n")).agg(F.sum(F.size("kinds")).alias("rows")).collect())
 
     short = F.size("words") <= most
-    kinds = lambda sets, asked: sets.withColumn("kind", F.explode(_kinds(asked))).drop("type")
-    top = new.where(short).agg(F.max(F.size("words"))).first()[0] or 0
-    open_, met = new.where(short), settled(new.limit(0).select("id", F.lit("").alias("path"), F.lit(0).alias("overlap")), "met")
-    for k in range(top, least - 1, -1):
-        asks = settled(kinds(_sets(open_.select("id", "type", "words"), k), True), "asks")
-        if asks.isEmpty():
+    have, asking = of_size(old), of_size(new)
+    open_, met = new.where(short).select("id", "words", "kinds", F.lit(None).cast("long").alias("had")), [new.limit(0).select("id", F.lit(0).cast("long").alias("at"), F.lit(0).alias("overlap"))]
+    for k in range(max(asking, default=0), least - 1, -1):
+        sets, asked = (sum(comb(n, k) * rows for n, rows in sizes.items()) for sizes in (have, asking))
+        if not sets or not asked:
             continue
-        index = kinds(_sets(old.where(short), k), False).join(asks.select("set", "kind").distinct(), ["set", "kind"], "left_semi")
-        fresh = asks.join(two(index, ["set", "kind"], "path"), ["set", "kind"]).select("id", "path").distinct().join(met.select("id", "path"), ["id", "path"], "left_anti")
-        met = settled(met.unionByName(two(fresh, ["id"], "path").withColumn("overlap", F.lit(k))), "met")
-        open_ = settled(open_.join(met.groupBy("id").count().where("count >= 2"), "id", "left_anti"), "open")
-    met = met.join(new, "id").select("words", "type", "path", "overlap")
+        asks, index = _sets(open_, k, 1 + asked // SETS), _sets(old.where(short), k, 1 + sets // SETS).withColumnRenamed("id", "at")
+        if asked <= FEW_SETS:
+            asks = settled(asks, "asks")
+            index = index.join(F.broadcast(asks.select("a", "b").distinct()), ["a", "b"], "left_semi")
+        fresh = asks.join(kept(index, ["a", "b"], "at").hint("merge"), ["a", "b"]).select("id", "at").distinct()
+        # A class has met one at most while it is open, so three that it meets now hold the two least others.
+        fresh = kept(fresh, ["id"], "at", most=3).join(open_.select("id", "had").hint("merge"), "id").where("had is null or at <> had")
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("at"))
+        fresh = settled(fresh.withColumn("_k", rank).where("_k = 1 or _k = 2 and had is null").select("id", "at", F.lit(k).alias("overlap")), "met")
+        met.append(fresh)
+        now = fresh.groupBy("id").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+        open_ = open_.join(now.hint("merge"), "id", "left").where(F.coalesce("n", F.lit(0)) + F.col("had").isNotNull().cast("int") < 2)
+        open_ = settled(open_.select("id", "words", "kinds", F.coalesce("had", "first").alias("had")), "open")
+        asking = of_size(open_)
+    met = reduce(DataFrame.unionByName, met).join(new.select("id", "words", "type").hint("merge"), "id").drop("id")
+    met = met.join(old.select(F.col("id").alias("at"), F.col("words").alias("w"), "path").hint("merge"), "at")
+    shared = F.size(F.array_intersect("words", "w"))
+    met = met.select("words", "type", "path", F.when(shared == F.col("overlap"), shared).otherwise(F.raise_error(F.lit("two sets of words have the same 128 bits"))).alias("overlap"))
 
     if not base.where(~short).isEmpty():
         often = base.select("words").distinct().select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("often"))
 
         def prefixes(rows: DataFrame, keep: list[str]) -> DataFrame:
-            ranked = rows.select(*keep, F.explode("words").alias("word")).join(often, "word").groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("o"))
+            ranked = rows.select(*keep, F.explode("words").alias("word")).join(often.hint("merge"), "word").groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("o"))
             return ranked.select(*keep, F.explode(F.slice("o", F.lit(1), F.size("o") - (least - 1))).alias("o")).select(*keep, F.col("o.word").alias("word"))
 
         asks = prefixes(new, ["words", "type"])
-        have = prefixes(old, ["words", "type", "path"]).select("word", F.col("words").alias("w"), F.col("type").alias("t"), "path")
-        both = asks.where(~short).join(have, "word").unionByName(asks.where(short).join(have.where(F.size("w") > most), "word"))
+        known = prefixes(old, ["words", "type", "path"]).select("word", F.col("words").alias("w"), F.col("type").alias("t"), "path")
+        both = asks.where(~short).join(known.hint("merge"), "word").unionByName(asks.where(short).join(known.where(F.size("w") > most).hint("merge"), "word"))
         pairs = both.where((F.col("type") == "") | (F.col("t") == "") | (F.col("t") == F.col("type"))).select("words", "type", "w", "path").distinct()
         met = met.unionByName(pairs.select("words", "type", "path", F.size(F.array_intersect("words", "w")).alias("overlap")).where(F.col("overlap") >= least))
 
     best = met.groupBy("words", "type", "path").agg(F.max("overlap").alias("overlap"))
-    best = two(best, ["words", "type"], F.desc("overlap"), "path").select("words", "type", F.col("path").alias("candidate"), "overlap")
-    told = base.select("path", "words", "type").join(best, ["words", "type"]).where("path <> candidate").groupBy("path").agg(F.min(F.struct((-F.col("overlap")).alias("o"), F.col("candidate").alias("c"))).alias("x"))
+    best = kept(best, ["words", "type"], F.desc("overlap"), "path").select("words", "type", F.col("path").alias("candidate"), "overlap")
+    told = base.select("path", "words", "type").join(best.hint("merge"), ["words", "type"]).where("path <> candidate").groupBy("path").agg(F.min(F.struct((-F.col("overlap")).alias("o"), F.col("candidate").alias("c"))).alias("x"))
     return told.select("path", F.col("x.c").alias("candidate"), (-F.col("x.o")).cast("long").alias("overlap"))

@@ -58,3 +58,21 @@ def test_long_titles_that_share_words_make_no_pairs(spark):
     got = {(r["path"], r["candidate"], r["overlap"]) for r in Q.superseded_candidates(spark.createDataFrame(made, R)).collect()}
     assert time.time() - began < 100
     assert got == {(f"docs/{i:04d}.md", f"docs/{i ^ 1:04d}.md", 10 if len(f"both{i // 2}") >= 4 else 9) for i in range(4000)}
+
+
+def test_no_table_of_titles_passes_the_driver(spark, monkeypatch):
+    """Joins are left to no estimate: without the few sets that may be broadcast, no plan has a broadcast, and candidates are the same."""
+    rng = random.Random(5)
+    made = [(f"docs/{i:03d}.md", " ".join(f"word{rng.randrange(12)}" for _ in range(rng.choice([2, 5, 18, 40]))), rng.choice(["", "A"]), "Accepted") for i in range(60)]
+    plans, store = [], Q.settled
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, label)
+
+    monkeypatch.setattr(Q, "settled", seen)
+    monkeypatch.setattr(Q, "FEW_SETS", 0, raising=False)
+    told = Q.superseded_candidates(spark.createDataFrame(made, R), 2, 8)
+    plans.append(told._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in plans if "Broadcast" in p]
+    assert {r["path"]: (r["candidate"], r["overlap"]) for r in told.collect()} == plain(made, 2)
