@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphweft.runtime import settled
+
 
 def resolve_imports(files: DataFrame, imports: DataFrame) -> DataFrame:
     """(importer, target): imports (importer, module) meet files (id, path) by the lower-cased path, least id on ties."""
@@ -29,17 +31,35 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, owned: DataFrame | None
     return met.select("call", F.coalesce("own", "lent", "world").alias("target"), sure.alias("confidence"))
 
 
+#: Callers, and methods, in a row that meets others; pairs that a task makes; callers or methods that are gathered at a time.
+CALLERS, METHODS, PAIRS, GATHERED = 128, 1000, 100_000_000, 100_000
+
+
 def dispatched(calls: DataFrame, methods: DataFrame) -> DataFrame:
     """(caller, method), each once, of calls (caller, iface) and methods (iface, method) that share an interface.
 
     As large as all pairs, which go straight to where they are written: repeats leave the two sides before they meet, and a pair that shares several interfaces is told at the least of them.
+    Callers of the same interfaces meet methods some at a time, all of them for one method, then for the next: one column stands still while the other repeats a short list, which Parquet writes in a fraction of a byte a pair.
     """
-    def sided(rows: DataFrame, key: str, of: str) -> DataFrame:
-        return rows.where("iface is not null").groupBy(key).agg(F.array_sort(F.collect_set("iface")).alias(of)).select(key, of, F.explode(of).alias("iface"))
-
-    met = sided(calls, "caller", "_c").join(sided(methods, "method", "_m"), "iface")
+    def gathered(rows: DataFrame, key: str, of: str, most: int) -> DataFrame:
+        """(iface, of, keys): keys that have the same interfaces `of`, at most `most` in a row, once for each of these."""
+        sets = settled(rows.where("iface is not null").groupBy(key).agg(F.array_sort(F.collect_set("iface")).alias(of)), key)
+        part = F.pmod(F.xxhash64(key), F.lit(1 + sets.count() // GATHERED))
+        lists = sets.groupBy(of, part.alias("_part")).agg(F.array_sort(F.collect_list(F.struct(key))).getField(key).alias("_all"))
+        starts = F.sequence(F.lit(1), F.size("_all"), F.lit(most))
+        cut = lists.select(of, F.explode(F.transform(starts, lambda i: F.slice("_all", i, most))).alias(f"{key}s"))
+        return settled(cut.select(of, f"{key}s", F.explode(of).alias("iface")), f"{key}s")
+
+    callers, told = gathered(calls, "caller", "_c", CALLERS), gathered(methods, "method", "_m", METHODS)
+    n_callers, n_methods = (rows.groupBy("iface").agg(F.sum(F.size(keys).cast("long")).alias(keys)) for rows, keys in ((callers, "callers"), (told, "methods")))
+    pairs = n_callers.join(n_methods.hint("merge"), "iface").agg(F.sum(F.col("callers").cast("double") * F.col("methods"))).first()[0] or 0
+    tasks = 1 + int(pairs // PAIRS)
+    dealt = callers.withColumn("_task", F.pmod(F.xxhash64("callers"), F.lit(tasks))).repartition(tasks, "iface", "_task")
+    copies = told.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)).cast("array<bigint>"))).repartition(tasks, "iface", "_task")
+    met = dealt.join(copies.hint("merge"), ["iface", "_task"])
     alone = (F.size("_c") == 1) | (F.size("_m") == 1)
-    return met.where(alone | (F.array_min(F.array_intersect("_c", "_m")) == F.col("iface"))).select("caller", "method")
+    met = met.where(alone | (F.array_min(F.array_intersect("_c", "_m")) == F.col("iface")))
+    return met.select("callers", F.explode("methods").alias("method")).select(F.explode("callers").alias("caller"), "method")
 
 
 def dirty_scopes(paths: DataFrame, scopes: DataFrame) -> DataFrame:

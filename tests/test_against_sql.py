@@ -100,3 +100,14 @@ def test_pairs_of_callers_and_methods_are_not_shuffled(spark):
     assert got == Counter({(c, m) for c, i in calls for j, m in methods if i is not None and i == j})
     plan = met._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_pairs_of_callers_and_methods_are_written_in_half_a_byte(spark, tmp_path):
+    """3,001 callers times 3,001 methods; a twentieth of the callers have a second interface, of which some methods are too."""
+    calls = spark.range(3001).select(F.col("id").alias("caller"), F.explode(F.when(F.col("id") % 20 == 0, F.array(F.lit(0), F.lit(7))).otherwise(F.array(F.lit(7)))).alias("iface"))
+    methods = spark.range(3001).select(F.explode(F.when(F.col("id") % 500 == 0, F.array(F.lit(7), F.lit(0))).otherwise(F.array(F.lit(7)))).alias("iface"), F.col("id").alias("method"))
+    out = tmp_path / "pairs"
+    dispatched(calls, methods).write.parquet(str(out))
+    got = spark.read.parquet(str(out))
+    assert got.count() == got.distinct().count() == 3001 * 3001
+    assert sum(p.stat().st_size for p in out.glob("*.parquet")) < 0.5 * 3001 * 3001
